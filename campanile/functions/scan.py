@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK_CONF = "spark.campanile.rowsPerBlock"
 ROWS_PER_BLOCK = 1_000_000
-MAX_CUTS = 2_047
+MAX_CUTS = 1_023
+SKETCH_ACCURACY = 4_096
 
 _BLOCK = "__block"
 
@@ -89,11 +90,12 @@ class Blocks:
 
 def plan_blocks(df: DataFrame, primary, tie=None) -> Blocks:
     """Choose cuts from one aggregate over the order columns (bounded result)."""
-    probs = [i / (MAX_CUTS + 1) for i in range(1, MAX_CUTS + 1)]
-    aggs = [F.count(F.lit(1)).alias("n"), F.percentile_approx(as_column(primary), probs, 10_000).alias("p")]
+    probs = "array(" + ", ".join(f"{i / (MAX_CUTS + 1)}D" for i in range(1, MAX_CUTS + 1)) + ")"
+    order = [as_column(primary).alias("__p")] + ([] if tie is None else [as_column(tie).alias("__t")])
+    aggs = [F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(__p, {probs}, {SKETCH_ACCURACY})").alias("p")]
     if tie is not None:
-        aggs.append(F.percentile_approx(as_column(tie), probs, 10_000).alias("t"))
-    row = df.select(*aggs).first()
+        aggs.append(F.expr(f"percentile_approx(__t, {probs}, {SKETCH_ACCURACY})").alias("t"))
+    row = df.select(*order).agg(*aggs).first()
     target = rows_per_block(df)
     if row["n"] <= target or not row["p"]:
         return Blocks()
