@@ -225,3 +225,10 @@ def with_halo(df: DataFrame, rn: str, before: int, chunk: int, out: str = "chunk
     pos = (F.col(rn) - 1) % chunk
     copies = F.when(pos >= chunk - before, F.array(home, home + 1)).otherwise(F.array(home))
     return df.withColumn(out, F.explode(copies)).withColumn("is_halo", F.col(out) != home)
+
+
+def lagged(df: DataFrame, keys: Sequence[str], value: str, rn: str, out: str, chunk: int = 100_000) -> DataFrame:
+    """Value of the previous row of the group; `rn` numbers the rows from 1 without gaps."""
+    wide = with_halo(df, rn, 1, chunk)
+    order = W.partitionBy(*keys, "chunk").orderBy(rn)
+    return wide.withColumn(out, F.lag(value).over(order)).filter(~F.col("is_halo")).drop("chunk", "is_halo")

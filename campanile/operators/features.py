@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantile import quantiles
 from ..functions.scan import as_column
 
 
@@ -86,7 +87,7 @@ def concentrations(base, ratio, equivalents, volume, guard: bool = True) -> dict
     }
 
 
-def feasibility(temperature, limit, margin: float = 10.0, default: float = 500.0, scale: float = 15.0) -> Column:
+def feasibility(temperature, limit, margin: float = 15.0, default: float = 500.0, scale: float = 15.0) -> Column:
     """1 up to the limit, then exponential decay; an unknown limit is `default`."""
     t, top = as_column(temperature), F.coalesce(as_column(limit), F.lit(default)) - margin
     return F.when(t <= top, F.lit(1.0)).otherwise(F.exp(-(t - top) / scale))
@@ -187,10 +188,22 @@ def elbow(scores: DataFrame, score: str, name: str, least: int = 50, most: int |
     second = curve.withColumn("d2", (F.lead("s", 2).over(by_rank) - 2 * F.lead("s", 1).over(by_rank) + F.col("s")) / F.col("peak"))
     best = second.agg(
         F.max("n").alias("n"), F.max("peak").alias("peak"),
-        F.min_by("rn", F.struct((-F.col("d2")).alias("k"), F.col("rn"))).alias("at"),
+        F.min_by("rn", F.when(F.col("d2").isNotNull(), F.struct((-F.col("d2")).alias("k"), F.col("rn")))).alias("at"),
         F.min(F.when(F.col("s") < F.col("peak") * 0.05, F.col("rn") - 1)).alias("below_5pct"),
     )
     cap = F.col("n") if most is None else F.least(F.col("n"), F.lit(most))
     chosen = F.when(F.col("n") <= least, F.col("n")).when(F.col("peak") == 0, cap).otherwise(F.greatest(F.lit(least), F.least(F.coalesce("at", cap), cap)))
     cliff = F.greatest(F.lit(1), F.least(F.coalesce("below_5pct", "n"), F.coalesce("at", "n"), F.col("n")))
     return best.select(chosen.cast("long").alias("elbow"), cliff.cast("long").alias("cliff"))
+
+
+def binned_information(long: DataFrame, n_bins: int = 10, feature: str = "feature", value: str = "value", label: str = "label") -> DataFrame:
+    """Mutual information of a continuous value after equal-frequency binning (an estimate).
+
+    Edges are a table of n_bins - 1 numbers per feature, joined on the feature.
+    """
+    probs = [i / n_bins for i in range(1, n_bins)]
+    edges = quantiles(long, [feature], value, probs).groupBy(feature).agg(F.sort_array(F.collect_list("q")).alias("edges"))
+    at = F.size(F.filter("edges", lambda e: e <= F.col(value)))
+    binned = long.join(edges, feature).select(feature, at.alias(value), label)
+    return mutual_information(binned, feature, value, label)
