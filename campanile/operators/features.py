@@ -207,3 +207,14 @@ def binned_information(long: DataFrame, n_bins: int = 10, feature: str = "featur
     at = F.size(F.filter("edges", lambda e: e <= F.col(value)))
     binned = long.join(edges, feature).select(feature, at.alias(value), label)
     return mutual_information(binned, feature, value, label)
+
+
+def concat_blocks(blocks: Sequence[DataFrame], key: str, vectors: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Join blocks on the id and put scalar and array columns together into one array per vector.
+
+    Blocks written bucketed by the key join without moving rows.
+    """
+    wide = reduce(lambda a, b: a.join(b, key), blocks)
+    kinds = dict(wide.dtypes)
+    part = lambda c: F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("double"))
+    return wide.withColumns({name: F.concat(*[part(c) for c in cols]) for name, cols in vectors.items()})
