@@ -139,7 +139,7 @@ def _literal_map(table: DataFrame, key: str, value: str) -> Column:
     return table.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
 
 
-def tail_weights(df: DataFrame, y: str, threshold: float = 7.0, alpha: float = 0.5, min_freq: float = 0.01) -> DataFrame:
+def tail_weights(df: DataFrame, y: str, threshold: float = 7.0, alpha: float = 0.5, min_freq: float = 1e-3) -> DataFrame:
     """Inverse-frequency weight of the score bin on the tail, mean 1 over all rows. At most 11 bins."""
     slot = F.greatest(F.lit(0), F.least(F.lit(10), F.bround(y).cast("int")))
     counts = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) >= threshold).alias("n_tail"))

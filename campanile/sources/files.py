@@ -49,10 +49,10 @@ def read_profiles(spark: SparkSession, glob: str, pattern: str, rows: int) -> Da
         "path", F.regexp_extract("path", pattern, 1).alias("digits"),
         parts[0].try_cast("double").alias("sigma"), F.get(parts, F.lit(1)).try_cast("double").alias("area"),
     ).filter(F.col("digits") != "")
-    files = points.groupBy("path", "digits").agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("sigma", "area"))).alias("points")
-    )
-    whole = files.filter((F.col("n") == rows) & F.forall("points", lambda p: p["sigma"].isNotNull() & p["area"].isNotNull()))
+    # sizes first, so that only files of the right length are ever gathered
+    sized = points.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sigma").isNull() | F.col("area").isNull()).alias("bad"))
+    fitting = points.join(sized.filter((F.col("n") == rows) & (F.col("bad") == 0)).select("path"), "path", "left_semi")
+    whole = fitting.groupBy("path", "digits").agg(F.array_sort(F.collect_list(F.struct("sigma", "area"))).alias("points"))
     number = F.col("digits").cast("int")
     best = whole.groupBy(number.alias("index_no")).agg(F.max_by("points", F.length("digits")).alias("points"))
     return best.select("index_no", F.transform("points", lambda p: p["sigma"]).alias("sigma"), F.transform("points", lambda p: p["area"]).alias("area"))
