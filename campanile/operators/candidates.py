@@ -235,15 +235,19 @@ def pair_label(first, second, phi=None) -> Column:
     return F.when(pure, a).otherwise(F.concat(a, F.lit("+"), b))
 
 
-def shingle_fingerprints(df: DataFrame, text: str, bits: int = 2048, width: int = 3, pattern: str = "[^a-z]+", out: str = "bits") -> DataFrame:
+def shingle_fingerprint(text, bits: int = 2048, width: int = 3, pattern: str = "[^a-z]+") -> Column:
     """Sorted bits set by the word shingles of a whole text.
 
-    Words become a column first, so a text is split once however many shingles it has.
+    The words are bound to a lambda variable, so a text is split once however
+    many shingles it has and wherever the optimizer moves the expression.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), pattern), lambda w: F.length(w) > 0)
-    heads = F.slice("__w", F.lit(1), F.greatest(F.size("__w") - (width - 1), F.lit(0)))
-    shingles = F.transform(heads, lambda w, i: F.concat_ws(" ", w, *[F.get("__w", i + j) for j in range(1, width)]))
-    return df.withColumn("__w", words).withColumn(out, fold_tokens(shingles, bits)).drop("__w")
+    words = F.filter(F.split(F.lower(as_column(text)), pattern), lambda w: F.length(w) > 0)
+
+    def fold(w: Column) -> Column:
+        heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(0)))
+        return fold_tokens(F.transform(heads, lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, width)])), bits)
+
+    return F.get(F.transform(F.array(words), fold), F.lit(0))
 
 
 # ---- neighbourhood template ---------------------------------------------------------------
