@@ -90,6 +90,12 @@ def tanimoto(a, b) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
 
 
+def correlation(x, y) -> Column:
+    """Pearson correlation as an aggregate; null when a side is constant (the built-in one raises then)."""
+    x, y = as_column(x).cast("double"), as_column(y).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def nearest_allowed(x, allowed: list[float]) -> Column:
     """Closest of a short list of values, the first on ties."""
     x = as_column(x)

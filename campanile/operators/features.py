@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numeric import correlation
 from ..functions.quantile import quantiles
 from ..functions.scan import as_column
 
@@ -59,7 +60,7 @@ class Standard:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """R for every column pair i < j, from one aggregate."""
     pairs = [(i, j) for j in range(len(columns)) for i in range(j)]
-    row = df.agg(*[F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
+    row = df.agg(*[correlation(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
     structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[j]).alias("column"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs]
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import normal_cdf
+from ..functions.numeric import correlation, normal_cdf
 from ..functions.quantile import quantiles, quantiles_wide
 from ..functions.scan import as_column, average_rank, count_at_most, number_rows, rank_counts, running
 
@@ -265,7 +265,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, tie: str) -> Data
     b = rank_counts(a, by, y, tie, "yl", "ye", "yn")
     rx, ry = average_rank("xl", "xe"), average_rank("yl", "ye")
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return b.groupBy(*by).agg(F.when(varies, F.corr(rx, ry)).alias("spearman"))
+    return b.groupBy(*by).agg(F.when(varies, correlation(rx, ry)).alias("spearman"))
 
 
 def tail_rmse(df: DataFrame, by: Sequence[str], y: str, predicted: str, threshold: float) -> DataFrame:
