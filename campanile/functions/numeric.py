@@ -90,6 +90,15 @@ def tanimoto(a, b) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
 
 
+def digamma(n) -> Column:
+    """Digamma of a positive number: shifted above 6, then the asymptotic series."""
+    n = as_column(n).cast("double")
+    shift = sum((F.when(n + i < 6, 1 / (n + i)).otherwise(F.lit(0.0)) for i in range(6)), F.lit(0.0))
+    x = F.when(n >= 6, n).otherwise(n + F.ceil(F.lit(6.0) - n))
+    y = 1 / (x * x)
+    return F.log(x) - 0.5 / x - y * (F.lit(1 / 12) - y * (F.lit(1 / 120) - y * (F.lit(1 / 252) - y * F.lit(1 / 240)))) - shift
+
+
 def correlation(x, y) -> Column:
     """Pearson correlation as an aggregate; null when a side is constant (the built-in one raises then)."""
     x, y = as_column(x).cast("double"), as_column(y).cast("double")

@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 ROWS_PER_BLOCK_CONF = "spark.campanile.rowsPerBlock"
 ROWS_PER_BLOCK = 1_000_000
 MAX_CUTS = 1_023
 SKETCH_ACCURACY = 4_096
 
-_BLOCK = "__block"
+_BLOCK = "__scan_block"
 
 
 def as_column(value) -> Column:
@@ -77,24 +79,24 @@ class Blocks:
     def attach(self, df: DataFrame, primary: Column, tie: Column | None) -> DataFrame:
         if self.single:
             return df.withColumn(_BLOCK, F.lit(0))
-        df = df.withColumn("__p", primary)
-        df = count_at_most(self.cuts, "__p", "__c", df, strict=True)
+        df = df.withColumn("__scan_p", primary)
+        df = count_at_most(self.cuts, "__scan_p", "__scan_c", df, strict=True)
         if not self.heavy:
-            return df.withColumn(_BLOCK, F.col("__c") * F.lit(2 * self.width)).drop("__p", "__c")
-        is_heavy = F.coalesce(F.col("__p").isin(list(self.heavy)), F.lit(False))
-        df = df.withColumn("__t", F.when(is_heavy, tie) if tie is not None else F.lit(None).cast("long"))
-        df = count_at_most(self.tie_cuts, "__t", "__s", df, strict=False)
-        cell = F.col("__c") * 2 + is_heavy.cast("int")
-        return df.withColumn(_BLOCK, cell * F.lit(self.width) + F.col("__s")).drop("__p", "__c", "__t", "__s")
+            return df.withColumn(_BLOCK, F.col("__scan_c") * F.lit(2 * self.width)).drop("__scan_p", "__scan_c")
+        is_heavy = F.coalesce(F.col("__scan_p").isin(list(self.heavy)), F.lit(False))
+        df = df.withColumn("__scan_t", F.when(is_heavy, tie) if tie is not None else F.lit(None).cast("long"))
+        df = count_at_most(self.tie_cuts, "__scan_t", "__scan_s", df, strict=False)
+        cell = F.col("__scan_c") * 2 + is_heavy.cast("int")
+        return df.withColumn(_BLOCK, cell * F.lit(self.width) + F.col("__scan_s")).drop("__scan_p", "__scan_c", "__scan_t", "__scan_s")
 
 
 def plan_blocks(df: DataFrame, primary, tie=None) -> Blocks:
     """Choose cuts from one aggregate over the order columns (bounded result)."""
     probs = "array(" + ", ".join(f"{i / (MAX_CUTS + 1)}D" for i in range(1, MAX_CUTS + 1)) + ")"
-    order = [as_column(primary).alias("__p")] + ([] if tie is None else [as_column(tie).alias("__t")])
-    aggs = [F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(__p, {probs}, {SKETCH_ACCURACY})").alias("p")]
+    order = [as_column(primary).alias("__scan_p")] + ([] if tie is None else [as_column(tie).alias("__scan_t")])
+    aggs = [F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(__scan_p, {probs}, {SKETCH_ACCURACY})").alias("p")]
     if tie is not None:
-        aggs.append(F.expr(f"percentile_approx(__t, {probs}, {SKETCH_ACCURACY})").alias("t"))
+        aggs.append(F.expr(f"percentile_approx(__scan_t, {probs}, {SKETCH_ACCURACY})").alias("t"))
     row = df.select(*order).agg(*aggs).first()
     target = rows_per_block(df)
     if row["n"] <= target or not row["p"]:
@@ -127,11 +129,16 @@ def running(
     measures: Mapping[str, tuple[str, object]],
     totals: Mapping[str, tuple[str, object]] | None = None,
     blocks: Blocks | None = None,
+    settle: bool = False,
 ) -> DataFrame:
     """Running aggregates from the first row of each group to the current row.
 
     `measures` maps an output name to (kind, column) with kind one of sum,
     count, max, min. `totals` gives whole-group aggregates from the same pass.
+
+    A scan over several blocks reads its input for the cuts, the totals and the
+    rows. Where its result feeds another scan, `settle` writes it once to a
+    checkpoint instead of letting the passes multiply.
     """
     keys, totals = list(keys), dict(totals or {})
     primary, tie = as_column(primary), as_column(tie)
@@ -145,69 +152,78 @@ def running(
         return df.withColumns(out)
     blocked = blocks.attach(df, primary, tie)
     scan = W.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = blocked.withColumns({f"__l_{m}": _KINDS[k][0](as_column(c)).over(scan) for m, (k, c) in measures.items()})
+    local = blocked.withColumns({f"__scan_l_{m}": _KINDS[k][0](as_column(c)).over(scan) for m, (k, c) in measures.items()})
     per_block = blocked.groupBy(*keys, _BLOCK).agg(
-        *[_KINDS[k][0](as_column(c)).alias(f"__a_{m}") for m, (k, c) in {**measures, **totals}.items()]
+        *[_KINDS[k][0](as_column(c)).alias(f"__scan_a_{m}") for m, (k, c) in {**measures, **totals}.items()]
     )
     before = W.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     offsets = per_block.select(
         *keys,
         _BLOCK,
-        *[_ROLLUP[k](f"__a_{m}").over(before).alias(f"__o_{m}") for m, (k, _) in measures.items()],
-        *[_ROLLUP[k](f"__a_{m}").over(whole).alias(m) for m, (k, _) in totals.items()],
+        *[_ROLLUP[k](f"__scan_a_{m}").over(before).alias(f"__scan_o_{m}") for m, (k, _) in measures.items()],
+        *[_ROLLUP[k](f"__scan_a_{m}").over(whole).alias(m) for m, (k, _) in totals.items()],
     )
     joined = local.join(offsets, [*keys, _BLOCK])
-    out = {m: _KINDS[k][1](F.col(f"__l_{m}"), F.col(f"__o_{m}")) for m, (k, _) in measures.items()}
-    return joined.withColumns(out).select(*df.columns, *measures, *totals)
+    out = {m: _KINDS[k][1](F.col(f"__scan_l_{m}"), F.col(f"__scan_o_{m}")) for m, (k, _) in measures.items()}
+    result = joined.withColumns(out).select(*df.columns, *measures, *totals)
+    return cut(result) if settle else result
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], primary, tie, out: str = "rn", total: str | None = None,
-                blocks: Blocks | None = None) -> DataFrame:
+                blocks: Blocks | None = None, settle: bool = False) -> DataFrame:
     """Row number in (primary, tie) order, and the group size when asked."""
     one = F.lit(1)
-    return running(df, keys, primary, tie, {out: ("count", one)}, {total: ("count", one)} if total else None, blocks)
+    return running(df, keys, primary, tie, {out: ("count", one)}, {total: ("count", one)} if total else None, blocks, settle)
 
 
 def rank_counts(df: DataFrame, keys: Sequence[str], value, tie, lt: str = "n_lt", eq: str = "n_eq", total: str = "n_all",
-                blocks: Blocks | None = None) -> DataFrame:
-    """Per row: how many group members are smaller, how many equal, how many in all."""
+                rn: str | None = None, blocks: Blocks | None = None, settle: bool = False) -> DataFrame:
+    """Per row: how many group members are smaller, how many equal, how many in all; and its row number when asked."""
     keys = list(keys)
     value, tie = as_column(value), as_column(tie)
     blocks = plan_blocks(df, value, tie) if blocks is None else blocks
-    df_v = df.withColumn("__v", value)
+    df_v = df.withColumns({"__scan_v": value, "__scan_w": tie})
+    extra = [rn] if rn else []
     if blocks.single:
-        out = df_v.withColumns({
-            lt: (F.rank().over(W.partitionBy(*keys).orderBy("__v")) - 1).cast("long"),
-            eq: F.count(F.lit(1)).over(W.partitionBy(*keys, "__v")),
+        out = {
+            lt: (F.rank().over(W.partitionBy(*keys).orderBy("__scan_v")) - 1).cast("long"),
+            eq: F.count(F.lit(1)).over(W.partitionBy(*keys, "__scan_v")),
             total: F.count(F.lit(1)).over(W.partitionBy(*keys)),
-        })
-        return out.drop("__v")
-    blocked = blocks.attach(df_v, F.col("__v"), tie)
+        }
+        if rn:
+            out[rn] = F.row_number().over(W.partitionBy(*keys).orderBy("__scan_v", "__scan_w")).cast("long")
+        return df_v.withColumns(out).drop("__scan_v", "__scan_w")
+    blocked = blocks.attach(df_v, F.col("__scan_v"), F.col("__scan_w"))
     cell = F.floor(F.col(_BLOCK) / blocks.width)
     local = blocked.withColumns({
-        "__lt": (F.rank().over(W.partitionBy(*keys, _BLOCK).orderBy("__v")) - 1).cast("long"),
-        "__eq": F.count(F.lit(1)).over(W.partitionBy(*keys, _BLOCK, "__v")),
+        "__scan_lt": (F.rank().over(W.partitionBy(*keys, _BLOCK).orderBy("__scan_v")) - 1).cast("long"),
+        "__scan_eq": F.count(F.lit(1)).over(W.partitionBy(*keys, _BLOCK, "__scan_v")),
     })
-    per_block = blocked.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__n")).withColumn("__cell", cell)
-    by_cell = W.partitionBy(*keys).orderBy("__cell")
+    if rn:
+        local = local.withColumn("__scan_rn", F.row_number().over(W.partitionBy(*keys, _BLOCK).orderBy("__scan_v", "__scan_w")))
+    per_block = blocked.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__scan_n")).withColumn("__scan_cell", cell)
+    by_cell = W.partitionBy(*keys).orderBy("__scan_cell")
+    by_block = W.partitionBy(*keys).orderBy(_BLOCK)
     offsets = per_block.select(
         *keys,
         _BLOCK,
-        F.col("__cell"),
-        F.coalesce(F.sum("__n").over(by_cell.rangeBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__n").over(W.partitionBy(*keys, "__cell")).alias("__in_cell"),
-        F.sum("__n").over(W.partitionBy(*keys)).alias(total),
-    )
-    heavy = (F.col("__cell") % 2) == 1
-    return (
-        local.join(offsets, [*keys, _BLOCK])
-        .withColumns({
-            lt: F.col("__before") + F.when(heavy, F.lit(0)).otherwise(F.col("__lt")),
-            eq: F.when(heavy, F.col("__in_cell")).otherwise(F.col("__eq")),
-        })
-        .select(*df.columns, lt, eq, total)
+        F.col("__scan_cell"),
+        F.coalesce(F.sum("__scan_n").over(by_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__scan_ahead"),
+        F.coalesce(F.sum("__scan_n").over(by_cell.rangeBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__scan_before"),
+        F.sum("__scan_n").over(W.partitionBy(*keys, "__scan_cell")).alias("__scan_in_cell"),
+        F.sum("__scan_n").over(W.partitionBy(*keys)).alias(total),
     )
+    # an odd cell holds one value, spread over several blocks
+    heavy = (F.col("__scan_cell") % 2) == 1
+    out = {
+        lt: F.col("__scan_before") + F.when(heavy, F.lit(0)).otherwise(F.col("__scan_lt")),
+        eq: F.when(heavy, F.col("__scan_in_cell")).otherwise(F.col("__scan_eq")),
+    }
+    if rn:
+        out[rn] = F.col("__scan_ahead") + F.col("__scan_rn")
+    result = local.join(offsets, [*keys, _BLOCK]).withColumns(out).select(*df.columns, lt, eq, total, *extra)
+    return cut(result) if settle else result
 
 
 def average_rank(lt: str = "n_lt", eq: str = "n_eq") -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scan import number_rows, running, with_halo
+from .joins import join_checked
 
 
 def attach_history(split: DataFrame, history: DataFrame, run: str = "run_id", item: str = "item_id") -> DataFrame:
@@ -21,18 +22,19 @@ def attach_history(split: DataFrame, history: DataFrame, run: str = "run_id", it
     return split.join(history.select(run, item, "iteration"), [run, item], "left")
 
 
-def merge_rare_groups(df: DataFrame, key: str, min_size: int, out: str = "group_id", rare: str = "rare") -> DataFrame:
+def merge_rare_groups(df: DataFrame, key: str, min_size: int, out: str = "group_id", rare: str = "rare", population: DataFrame | None = None) -> DataFrame:
     """Groups under `min_size` share one label; null keys count as 'unknown'.
 
-    Sizes are combined map-side; the join back is on the key and adaptive
-    execution splits or broadcasts it as the measured sizes allow.
+    Sizes are counted over `population` (by default `df`; pass the plain table
+    when `df` is the result of longer work on the same rows) and combined
+    map-side. The kept groups are joined back by a broadcast when their counted
+    number allows, else by a shuffle that adaptive execution splits at hot keys.
     """
     label = F.coalesce(F.col(key).cast("string"), F.lit("unknown"))
-    sizes = df.groupBy(label.alias("__label")).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = (df if population is None else population).groupBy(label.alias("__label")).agg(F.count(F.lit(1)).alias("__size"))
     kept = sizes.filter(F.col("__size") >= min_size).select("__label")
     return (
-        df.withColumn("__label", label)
-        .join(kept.withColumn(out, F.col("__label")), "__label", "left")
+        join_checked(df.withColumn("__label", label), kept.withColumn(out, F.col("__label")), "__label", "left")
         .withColumn(out, F.coalesce(F.col(out), F.lit(rare)))
         .drop("__label")
     )
@@ -256,7 +258,7 @@ def seed_band(history: DataFrame, method: str, seed: str, value: str) -> DataFra
     steps = history.groupBy(method, "iteration").agg(
         F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("std_value"), F.count(F.lit(1)).alias("n_seeds")
     )
-    return steps.join(shortest, method).filter(F.col("iteration") <= F.col("__shortest")).drop("__shortest")
+    return join_checked(steps, shortest, method).filter(F.col("iteration") <= F.col("__shortest")).drop("__shortest")
 
 
 def group_share(history: DataFrame, run: Sequence[str], group: str, groups_per_run: DataFrame) -> DataFrame:
@@ -264,5 +266,5 @@ def group_share(history: DataFrame, run: Sequence[str], group: str, groups_per_r
     counted = running(
         history, [*run, group], F.col("iteration").cast("double"), "item_id", {"group_count": ("count", F.lit(1))}
     )
-    shares = counted.join(groups_per_run, list(run))
+    shares = join_checked(counted, groups_per_run, list(run))
     return shares.withColumn("expected", ratio("iteration", "n_groups"))

@@ -287,9 +287,10 @@ def neighbourhood_template(neighbours: DataFrame, key: str, tokens: str, hub: st
     centre is the weighted mean over successes (if there are two), the spread
     the population deviation over the whole pool.
     """
-    a = neighbours.select(F.col(key).alias("__a"), F.col(tokens).alias("__ta"))
-    b = neighbours.select(F.col(key).alias("__b"), F.col(tokens).alias("__tb"))
-    alike = a.join(b, F.col("__a") < F.col("__b")).agg(F.coalesce(F.avg(tanimoto("__ta", "__tb")), F.lit(0.0))).scalar()
+    # each row carries the token sets of the others as one array: a handful of rows, no join
+    sets = neighbours.agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(tokens).alias("t")))).scalar()
+    later = neighbours.withColumn("__sets", sets).select(F.col(key), F.col(tokens), F.explode("__sets").alias("o")).filter(F.col("o.k") > F.col(key))
+    alike = later.agg(F.coalesce(F.avg(tanimoto(tokens, "o.t")), F.lit(0.0))).scalar()
     of_hub = neighbours.agg(F.count_if(F.col(hub) == target_hub)).scalar()
     tagged = neighbours.withColumns({"__alike": alike, "__of_hub": of_hub})
     pool = tagged.filter(~((F.col("__alike") >= strat) & (F.col("__of_hub") >= 2)) | (F.col(hub) == target_hub))

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import correlation
+from ..functions.numeric import correlation, digamma
 from ..functions.quantile import quantiles
-from ..functions.scan import as_column
+from ..functions.scan import as_column, number_rows, running
+from .joins import join_checked
 
 
 @dataclass(frozen=True)
@@ -206,7 +207,7 @@ def binned_information(long: DataFrame, n_bins: int = 10, feature: str = "featur
     probs = [i / n_bins for i in range(1, n_bins)]
     edges = quantiles(long, [feature], value, probs).groupBy(feature).agg(F.sort_array(F.collect_list("q")).alias("edges"))
     at = F.size(F.filter("edges", lambda e: e <= F.col(value)))
-    binned = long.join(edges, feature).select(feature, at.alias(value), label)
+    binned = join_checked(long, edges, feature).select(feature, at.alias(value), label)
     return mutual_information(binned, feature, value, label)
 
 
@@ -219,3 +220,44 @@ def concat_blocks(blocks: Sequence[DataFrame], key: str, vectors: Mapping[str, S
     kinds = dict(wide.dtypes)
     part = lambda c: F.col(c) if kinds[c].startswith("array") else F.array(F.col(c).cast("double"))
     return wide.withColumns({name: F.concat(*[part(c) for c in cols]) for name, cols in vectors.items()})
+
+
+def neighbour_information(long: DataFrame, key: str, k: int = 3, feature: str = "feature", value: str = "value", label: str = "label") -> DataFrame:
+    """Mutual information of a continuous value and a class by nearest neighbours on the line.
+
+    Per row the radius is the distance to its k-th nearest value of the same
+    class (k at most the class size less one), and m counts the rows of any
+    class strictly inside it, itself included. The estimate is
+    psi(n) + mean psi(k) - mean psi(class size) - mean psi(m), at least 0; rows
+    of classes with one member are left out. Neighbours of a sorted row lie
+    within k rows of it, so the search is one scan with a halo of k rows.
+    """
+    rows = long.select(F.col(key).alias("__id"), F.col(feature).alias("__f"), F.col(label).alias("__c"), F.col(value).cast("double").alias("__x"))
+    ordered = number_rows(rows, ["__f", "__c"], "__x", "__id", out="__rn", total="__n", settle=True)
+    used = ordered.filter(F.col("__n") > 1)
+    around = _both_halos(used, "__rn", k, 100_000)
+    order = W.partitionBy("__f", "__c", "chunk").orderBy("__rn")
+    gaps = [F.abs(step("__x", i).over(order) - F.col("__x")) for i in range(1, k + 1) for step in (F.lag, F.lead)]
+    near = around.withColumn("__gaps", F.array_sort(F.array_compact(F.array(*gaps)))).filter(~F.col("is_halo"))
+    near = near.withColumn("__k", F.least(F.lit(k).cast("bigint"), F.col("__n") - 1)).withColumn("__r", F.element_at("__gaps", F.col("__k").cast("int")))
+    # rows strictly inside (x - r, x + r): those below x + r, less those not above x - r
+    asks = near.select("__id", "__f", "__x", "__k", "__n", F.explode(F.array(
+        F.struct(F.lit(1).alias("sign"), (F.col("__x") + F.col("__r")).alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("__x") - F.col("__r")).alias("at")),
+    )).alias("a")).select("__id", "__f", "__x", "__k", "__n", "a.*")
+    folded = used.groupBy("__f", F.col("__x").alias("at")).agg(F.count(F.lit(1)).alias("w"))
+    events = asks.withColumn("w", F.lit(0).cast("bigint")).unionByName(folded, allowMissingColumns=True)
+    # at one position: asks for "below" first, then the values, then asks for "not above"
+    tie = F.when(F.col("w") > 0, F.lit(1 << 30)).when(F.col("sign") == 1, F.pmod(F.xxhash64("__id"), F.lit(1 << 30))).otherwise(F.lit((1 << 30) + 1) + F.pmod(F.xxhash64("__id"), F.lit(1 << 30)))
+    counted = running(events.withColumn("__tie", tie), ["__f"], "at", "__tie", {"upto": ("sum", "w")})
+    inside = counted.filter(F.col("w") == 0).groupBy("__f", "__id").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"), F.max("__k").alias("k"), F.max("__n").alias("n"))
+    # with radius 0 no value is strictly inside but the row counts itself and its copies as one
+    m = F.greatest(F.col("m"), F.lit(1))
+    sums = inside.groupBy("__f").agg(F.count(F.lit(1)).alias("n_all"), F.avg(digamma("k")).alias("pk"), F.avg(digamma("n")).alias("pn"), F.avg(digamma(m)).alias("pm"))
+    return sums.select(F.col("__f").alias(feature), F.greatest(digamma("n_all") + F.col("pk") - F.col("pn") - F.col("pm"), F.lit(0.0)).alias("mi"))
+
+
+def _both_halos(df: DataFrame, rn: str, width: int, chunk: int) -> DataFrame:
+    """Copies of edge rows into both neighbouring chunks of row numbers."""
+    home, pos = F.floor((F.col(rn) - 1) / chunk), (F.col(rn) - 1) % chunk
+    copies = F.array_compact(F.array(home, F.when(pos >= chunk - width, home + 1), F.when(pos < width, home - 1)))
+    return df.withColumn("chunk", F.explode(copies)).withColumn("is_halo", F.col("chunk") != home)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, uniform
 from ..functions.scan import as_column, number_rows
+from .joins import join_checked
 
 HEAVY_GROUPS = 1_000
 
@@ -73,7 +74,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0, ou
     if placed:
         fixed = df.sparkSession.createDataFrame(list(placed.items()), df.select(group, F.lit(0).alias(out)).schema)
         folds = folds.unionByName(fixed)
-    return df.join(folds, group)
+    return join_checked(df, folds, group)
 
 
 def init_pool_split(df: DataFrame, group: str | None, score: str, key: str, fraction: float = 0.3, seed: int = 0, out: str = "role") -> DataFrame:
@@ -87,7 +88,7 @@ def init_pool_split(df: DataFrame, group: str | None, score: str, key: str, frac
     plan = bins.groupBy("__g").agg(F.sum("n").alias("__size"), F.min("n").alias("least"), F.count(F.lit(1)).alias("n_bins"))
     n_init = F.floor(F.col("__size") * fraction)
     can = (F.col("least") >= 2) & (n_init >= F.col("n_bins")) & (F.col("__size") - n_init >= F.col("n_bins"))
-    planned = rows.join(plan.select("__g", "__size", can.alias("__strat")), "__g")
+    planned = join_checked(rows, plan.select("__g", "__size", can.alias("__strat")), "__g")
     planned = planned.withColumns({"__cell": F.when(F.col("__strat"), F.col("__bin")).otherwise(F.lit(-1)), "__draw": draw(key, F.lit(seed))})
     dealt = number_rows(planned, ["__g", "__cell"], "__draw", key, out="__rn", total="__n")
     quota = F.when(F.col("__strat"), F.bround(F.col("__n") * fraction)).otherwise(F.greatest(F.lit(1), F.floor(F.col("__n") * fraction)))

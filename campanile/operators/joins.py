@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ARRAY_LIMIT = 20_000
+BROADCAST_ROWS = 100_000
 
 
 def _members(df: DataFrame, columns: Sequence[str]) -> Column | None:
@@ -17,6 +18,18 @@ def _members(df: DataFrame, columns: Sequence[str]) -> Column | None:
     return df.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("m")).scalar()
 
 
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a table that is usually small, such as an aggregate per run or group.
+
+    Its rows are counted first, up to the limit. Within it the table is
+    broadcast and the big side stays where it is; beyond it both sides shuffle
+    and adaptive execution splits hot keys.
+    """
+    if small.select(F.lit(1)).limit(rows + 1).count() <= rows:
+        small = F.broadcast(small)
+    return big.join(small, on, how)
+
+
 def product(left: DataFrame, right: DataFrame, buckets: int | None = None) -> DataFrame:
     """Every row of `left` with every row of a smaller table.
 

@@ -261,7 +261,7 @@ def ndcg_at(df: DataFrame, by: Sequence[str], gain: str, score: str, tie: str, k
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, tie: str) -> DataFrame:
     """Correlation of average ranks, null when a side is constant."""
-    a = rank_counts(df.select(*by, tie, x, y), by, x, tie, "xl", "xe", "xn")
+    a = rank_counts(df.select(*by, tie, x, y), by, x, tie, "xl", "xe", "xn", settle=True)
     b = rank_counts(a, by, y, tie, "yl", "ye", "yn")
     rx, ry = average_rank("xl", "xe"), average_rank("yl", "ye")
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
@@ -446,9 +446,8 @@ def rank_in_sample(queries: DataFrame, sample: DataFrame, value: str, key: str,
 
 def consensus(df: DataFrame, first: str, second: str, tie: str, fraction: float = 0.10, out: str = "consensus") -> DataFrame:
     """Second score's rank; rows in the top fraction of both get the mean rank plus 1. Ids break ties at the cut."""
-    a = rank_counts(df, [], first, tie, "al", "ae", "an")
-    b = rank_counts(a, [], second, tie, "bl", "be", "bn")
-    c = number_rows(number_rows(b, [], first, tie, out="ar"), [], second, tie, out="br")
+    a = rank_counts(df, [], first, tie, "al", "ae", "an", rn="ar", settle=True)
+    c = rank_counts(a, [], second, tie, "bl", "be", "bn", rn="br")
     n = F.col("an")
     k = F.greatest(F.lit(1), F.floor(n * fraction))
     ra, rb = average_rank("al", "ae") / n, average_rank("bl", "be") / n

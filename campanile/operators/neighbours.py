@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw
 from ..functions.numeric import euclidean
 from ..functions.scan import number_rows, running
+from ..session import cut
 
 ROWS_PER_BLOCK = 4_096
 PIVOTS = 32
@@ -65,7 +66,8 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_bl
     if not chosen:
         raise ValueError("no rows")
     centres = np.array([r["v"] for r in chosen])
-    cells = _cells(df, key, vector, centres)
+    # read three times below, so the assignment is kept
+    cells = cut(_cells(df, key, vector, centres))
     stats = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius")).collect()}
     reach = {c: (2 * radius if n > k else float("inf")) for c, (n, radius) in stats.items()}
     gap = lambda i, j: float(np.linalg.norm(centres[i] - centres[j]))

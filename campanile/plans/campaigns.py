@@ -86,15 +86,15 @@ def micros(name: str):
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(name).cast("timestamp_ntz"))
 
 
-def scored(t: Tables) -> DataFrame:
+def scored(t: Tables, settle: bool = False) -> DataFrame:
     base = items(t).withColumn("placed", micros("placed"))
-    numbered = number_rows(base, ["method", "seed", "role"], "placed", "item_id", out="pos", total="n_role")
+    numbered = number_rows(base, ["method", "seed", "role"], "placed", "item_id", out="pos", total="n_role", settle=settle)
     chosen = (F.col("role") == "pool") & (F.col("pos") <= F.floor(F.col("n_role") * 0.2))
     return numbered.select("method", "seed", "item_id", "raw_group", "y", "role", F.when(chosen, F.col("pos")).alias("iteration"))
 
 
 def grouped(t: Tables) -> DataFrame:
-    return C.merge_rare_groups(scored(t), "raw_group", MIN_GROUP)
+    return C.merge_rare_groups(scored(t), "raw_group", MIN_GROUP, population=items(t))
 
 
 RUN = ["method", "seed"]
@@ -223,7 +223,7 @@ curves AS (SELECT method, seed, iteration, item_id, y,
 
 
 def curve_table(t):
-    return C.curves(scored(t), RUN, HIT)
+    return C.curves(scored(t, settle=True), RUN, HIT)
 
 
 @query("w1_running_best", "WITH" + CURVES + " SELECT method, seed, iteration, best_so_far FROM curves")

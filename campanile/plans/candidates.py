@@ -11,6 +11,7 @@ from ..operators import candidates as K
 from ..operators import features as X
 from ..operators import groups as G
 from ..operators import joins as J
+from ..session import spread
 from .campaigns import GROUPED, SCORED, grouped, micros, scored
 from .metrics import CDF, r6
 from .registry import query
@@ -217,7 +218,7 @@ def _(t):
 @query("c13_shingle_fingerprint", r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 0) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 8))::BIGINT % 512 AS bit FROM w, unnest(range(1, len(w) - 1)) AS u(i)) SELECT doc_id, count(*)::INTEGER AS n_bits, sum(bit)::BIGINT AS bit_sum FROM s GROUP BY 1""")
 def _(t):
-    bits = t.documents.select("doc_id", K.shingle_fingerprint("text", 512).alias("b")).filter(F.size("b") > 0)
+    bits = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", K.shingle_fingerprint("text", 512).alias("b")).filter(F.size("b") > 0)
     return bits.select("doc_id", F.size("b").alias("n_bits"), F.aggregate("b", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("bit_sum"))
 
 
@@ -246,7 +247,7 @@ com AS (SELECT *, 0.3::DOUBLE * fp_sim + 0.7::DOUBLE * greatest(0, least(1, feat
 def doc_rows(t):
     tokens = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 0))
     vec = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    docs = t.documents.select("doc_id", "lang", "source", "n_chars", tokens.alias("tok"), F.array("source").alias("src"))
+    docs = spread(t.documents.select("doc_id", "text", "lang", "source", "n_chars"), "doc_id").select("doc_id", "lang", "source", "n_chars", tokens.alias("tok"), F.array("source").alias("src"))
     target = docs.filter("doc_id = 0")
     rows = docs.join(vec, "doc_id").withColumns({"tt": target.select("tok").scalar(), "ts": target.select("src").scalar()})
     fp = K.set_similarity({"linker": (F.col("tt"), 0.35), "precursor": (F.col("ts"), 0.55), "modulator": (None, 0.10)}, {"linker": "tok", "precursor": "src", "modulator": "src"})

@@ -322,6 +322,12 @@ def _(t):
     return X.binned_information(t.lineitem.select(F.lit("price").alias("feature"), F.col("l_extendedprice").alias("value"), F.col("l_returnflag").alias("label"))).withColumns(r6("mi", digits=8))
 
 
+@query("a48_neighbour_information")
+def _(t):
+    long = t.events.select("event_id", F.lit("value").alias("feature"), "value", F.col("event_type").alias("label"))
+    return X.neighbour_information(long, "event_id").withColumns(r6("mi"))
+
+
 @query("a49_signal_class", f"WITH {MI} SELECT feature, CASE WHEN mi * 1000 >= 0.05 THEN 'strong' WHEN mi * 1000 >= 0.01 THEN 'weak' ELSE 'noise' END AS signal FROM mi")
 def _(t):
     return X.mutual_information(long_features(t)).select("feature", X.signal_class(F.col("mi") * 1000).alias("signal"))

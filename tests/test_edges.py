@@ -150,3 +150,34 @@ def test_trust_region_by_chunks(spark, blocks, chunk):
         want[c] = (*region(flags), best, 150)
     got = K.trust_region(spark.createDataFrame(rows, "c int, step long, y double"), "c", "step", "y", chunk=chunk).collect()
     assert {r["c"]: (r["length"], r["successes"], r["failures"], r["best"], r["n_updates"]) for r in got} == want
+
+
+def psi(n):
+    import numpy as np
+
+    return -0.5772156649015329 + sum(1 / i for i in range(1, int(n))) if np.isscalar(n) else np.array([psi(int(i)) for i in n])
+
+
+def test_digamma(spark):
+    rows = spark.createDataFrame([(float(i),) for i in (1, 2, 3, 5, 6, 7, 50, 1000)], "n double")
+    for n, value in rows.select("n", N.digamma("n")).collect():
+        assert value == pytest.approx(psi(n), abs=1e-8)
+
+
+def test_neighbour_information_against_brute_force(spark, blocks):
+    import numpy as np
+
+    from campanile.operators.features import neighbour_information
+
+    rng = np.random.default_rng(2)
+    label = rng.integers(0, 3, 400)
+    x = rng.normal(label, 1.0)
+    k, own, radius, inside = 3, [], [], []
+    for i in range(len(x)):
+        same = np.sort(np.abs(x[label == label[i]] - x[i]))[1:]
+        own.append(len(same) + 1)
+        radius.append(same[k - 1])
+        inside.append((np.abs(x - x[i]) < same[k - 1]).sum())
+    want = psi(len(x)) + psi(k) - psi(np.array(own)).mean() - psi(np.array(inside)).mean()
+    rows = spark.createDataFrame([(i, "f", float(v), int(c)) for i, (v, c) in enumerate(zip(x, label))], "id long, feature string, value double, label int")
+    assert neighbour_information(rows, "id").first()["mi"] == pytest.approx(max(want, 0), abs=1e-3)

@@ -58,7 +58,7 @@ def test_blocks_are_bounded(spark, frame):
     spark.conf.set("spark.campanile.rowsPerBlock", "200")
     df = spark.createDataFrame(frame)
     blocks = plan_blocks(df, "v", "id")
-    sizes = blocks.attach(df, F.col("v"), F.col("id")).groupBy("__block").count().toPandas()["count"]
+    sizes = blocks.attach(df, F.col("v"), F.col("id")).groupBy("__scan_block").count().toPandas()["count"]
     spark.conf.unset("spark.campanile.rowsPerBlock")
     assert sizes.sum() == len(frame) and sizes.max() <= 400
 
