@@ -356,29 +356,30 @@ class InformationSelector(Estimator):
 
 
 def oversample(df: DataFrame, key: str, vector: str, label: str, targets: Mapping, neighbours: int = 5, seed: int = 42) -> DataFrame:
-    """Rows of each class up to its target count by interpolation towards one of the nearest rows of the class."""
-    parts = [df.select(F.col(key).cast("string").alias("row"), F.col(vector).cast("array<double>").alias("vec"), label)]
+    """Rows of each class up to its target count by interpolation towards one of the nearest rows of the class.
+
+    The missing rows of a class are dealt evenly over its rows in a hashed order.
+    """
+    rows = df.select(F.col(key), F.col(vector).cast("array<double>").alias("vec"), label)
+    kept = rows.select(F.col(key).cast("string").alias("row"), "vec", label)
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    for cls, target in targets.items():
-        have = sizes.get(cls, 0)
-        if have < 2 or target <= have:
-            continue
-        rows = df.filter(F.col(label) == cls).select(key, F.col(vector).cast("array<double>").alias("vec"))
-        k = min(neighbours, have - 1)
-        near = nearest_neighbours(rows, key, "vec", k)
-        whole, rest = divmod(target - have, have)
-        order = number_rows(rows.withColumn("__d", draw(key, F.lit(seed))), [], "__d", key, out="__rn")
-        copies = F.lit(whole) + (F.col("__rn") <= rest).cast("int")
-        made = order.withColumn("__n", copies).filter(F.col("__n") > 0).select(key, "vec", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-        pick = made.withColumn("rank", (draw(key, "copy", F.lit(seed)) % k + 1).cast("int"))
-        other = rows.select(F.col(key).alias("neighbour"), F.col("vec").alias("to"))
-        met = pick.join(near.select(F.col("id").alias(key), "neighbour", "rank"), [key, "rank"]).join(other, "neighbour")
-        met = met.withColumn("__u", uniform(key, "copy", F.lit(seed), F.lit("u")))
-        parts.append(met.select(
-            F.concat_ws("+", F.col(key).cast("string"), F.col("copy").cast("string")).alias("row"),
-            F.zip_with("vec", "to", lambda a, b: a + (b - a) * F.col("__u")).alias("vec"), F.lit(cls).alias(label),
-        ))
-    return reduce(DataFrame.unionByName, parts)
+    short = {c: (n - sizes[c]) for c, n in targets.items() if sizes.get(c, 0) >= 2 and n > sizes[c]}
+    if not short:
+        return kept
+    per_class = lambda f: F.element_at(F.create_map(*[x for c in short for x in (F.lit(c), F.lit(f(c)))]), F.col(label))
+    near = nearest_neighbours(rows, key, "vec", neighbours, within=label, groups=list(short))
+    base = rows.filter(F.col(label).isin(list(short))).withColumn("__d", draw(key, F.lit(seed)))
+    dealt = number_rows(base, [label], "__d", key, out="__rn", settle=True)
+    copies = per_class(lambda c: short[c] // sizes[c]) + (F.col("__rn") <= per_class(lambda c: short[c] % sizes[c])).cast("int")
+    made = dealt.withColumn("__n", copies).filter(F.col("__n") > 0).select(key, "vec", label, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    pick = made.withColumn("rank", (draw(key, "copy", F.lit(seed)) % per_class(lambda c: min(neighbours, sizes[c] - 1)) + 1).cast("int"))
+    other = rows.select(F.col(key).alias("neighbour"), F.col("vec").alias("to"))
+    met = pick.join(near.select(F.col("id").alias(key), "neighbour", "rank"), [key, "rank"]).join(other, "neighbour")
+    made_up = met.withColumn("__u", uniform(key, "copy", F.lit(seed), F.lit("u"))).select(
+        F.concat_ws("+", F.col(key).cast("string"), F.col("copy").cast("string")).alias("row"),
+        F.zip_with("vec", "to", lambda x, y: x + (y - x) * F.col("__u")).alias("vec"), label,
+    )
+    return kept.unionByName(made_up)
 
 
 def cluster_sweep(df: DataFrame, features: str, label: str, rare, ks: Sequence[int], n_folds: int = 3, least: int = 5, seed: int = 42) -> DataFrame:

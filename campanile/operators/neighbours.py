@@ -38,8 +38,8 @@ def _distances(a: np.ndarray, b: np.ndarray):
         yield start, np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
 
 
-def _cells(df: DataFrame, key: str, vector: str, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot of each row and the distance to it."""
+def _cells(df: DataFrame, key: str, vector: str, pivots: np.ndarray, group) -> DataFrame:
+    """Add the cell of each row (its nearest pivot, counted on per group) and the distance to the pivot."""
 
     def run(frames):
         for frame in frames:
@@ -48,30 +48,40 @@ def _cells(df: DataFrame, key: str, vector: str, pivots: np.ndarray) -> DataFram
             for start, d in _distances(x, pivots) if len(frame) else ():
                 at = d.argmin(axis=1)
                 best[start : start + len(d)], near[start : start + len(d)] = at, d[np.arange(len(d)), at]
-            yield frame.assign(cell=best, near=near)
+            yield frame.assign(cell=frame["grp"].to_numpy() * len(pivots) + best, near=near)[["id", "vec", "cell", "near"]]
 
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"), group.cast("int").alias("grp"))
     return rows.mapInPandas(run, f"id {kind}, vec array<double>, cell int, near double")
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_block: int = ROWS_PER_BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_block: int = ROWS_PER_BLOCK, pivots: int = PIVOTS,
+                       within: str | None = None, groups: Sequence = ()) -> DataFrame:
     """Exact k nearest other rows by Euclidean distance: (id, neighbour, distance, rank); ids break ties.
 
+    With `within` only rows of one of the `groups` are used, and neighbours come from the row's own group.
+
     Rows go to the cell of their nearest pivot and a large cell is split into
     blocks. Two cells whose distance exceeds what the k nearest rows of the
     first can reach (triangle inequality) never meet, so no result is lost.
     """
+    group = F.lit(0)
+    if within is not None:
+        df = df.filter(F.col(within).isin(list(groups)))
+        group = F.element_at(F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(g), F.lit(i))]), F.col(within))
+    # a cell should fill a good part of a block, or tiles become many and tiny
+    pivots = max(1, min(pivots, 4 * df.count() // rows_per_block))
     chosen = df.select(F.col(key), F.col(vector).cast("array<double>").alias("v"), draw(key).alias("d")).orderBy("d", key).limit(pivots).collect()
     if not chosen:
         raise ValueError("no rows")
     centres = np.array([r["v"] for r in chosen])
     # read three times below, so the assignment is kept
-    cells = cut(_cells(df, key, vector, centres))
+    cells = cut(_cells(df, key, vector, centres, group))
     stats = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius")).collect()}
     reach = {c: (2 * radius if n > k else float("inf")) for c, (n, radius) in stats.items()}
-    gap = lambda i, j: float(np.linalg.norm(centres[i] - centres[j]))
-    meets = {i: [j for j in stats if gap(i, j) - stats[i][1] - stats[j][1] <= reach[i] * (1 + 1e-9) + 1e-9] for i in stats}
+    size = len(centres)
+    gap = lambda i, j: float(np.linalg.norm(centres[i % size] - centres[j % size])) if i // size == j // size else float("inf")
+    meets = {i: [j for j in stats if i // size == j // size and gap(i, j) - stats[i][1] - stats[j][1] <= reach[i] * (1 + 1e-9) + 1e-9] for i in stats}
     met_by = {j: [i for i in stats if j in meets[i]] for j in stats}
     parts = {c: -(-n // rows_per_block) for c, (n, _) in stats.items()}
 
