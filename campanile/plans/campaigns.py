@@ -150,18 +150,21 @@ def _seed_aggs(metrics):
 
 
 METRICS = ["AF", "EF", "hit_discovery_rate"]
-ROUNDED = r6(*[f"{m}_{k}" for m in METRICS for k in ("mean", "std")])
+
+
+def rounded():
+    return r6(*[f"{m}_{k}" for m in METRICS for k in ("mean", "std")])
 
 
 @query("a17_leaderboard_over_runs", "WITH" + GROUPED + f""" SELECT method, group_id, {_seed_aggs(METRICS)} FROM gsummary GROUP BY 1, 2""")
 def _(t):
-    return C.across_seeds(C.group_summary(grouped(t), [*RUN, "group_id"], HIT), ["method", "group_id"], METRICS).withColumns(ROUNDED)
+    return C.across_seeds(C.group_summary(grouped(t), [*RUN, "group_id"], HIT), ["method", "group_id"], METRICS).withColumns(rounded())
 
 
 @query("a17_across_seeds", "WITH" + SUMMARY + f""" SELECT method, {_seed_aggs(METRICS)} FROM summary GROUP BY 1 ORDER BY avg(AF) DESC NULLS LAST, method""")
 def _(t):
     table = C.across_seeds(C.run_summary(scored(t), RUN, HIT), ["method"], METRICS)
-    return C.order_undefined_last(table.withColumns(ROUNDED), "AF_mean", "method")
+    return C.order_undefined_last(table.withColumns(rounded()), "AF_mean", "method")
 
 
 @query("a18_macro_total_row", "WITH" + GROUPED + f""", per_seed AS (SELECT method, seed, avg(AF) AS AF, avg(EF) AS EF, avg(hit_discovery_rate) AS hit_discovery_rate FROM gsummary GROUP BY 1, 2)
@@ -169,7 +172,7 @@ SELECT method, group_id, {_seed_aggs(METRICS)} FROM gsummary GROUP BY 1, 2
 UNION ALL SELECT method, 'total', {_seed_aggs(METRICS)} FROM per_seed GROUP BY 1""")
 def _(t):
     groups = C.group_summary(grouped(t), [*RUN, "group_id"], HIT)
-    return C.macro_total(groups, ["method"], "seed", "group_id", METRICS).withColumns(ROUNDED)
+    return C.macro_total(groups, ["method"], "seed", "group_id", METRICS).withColumns(rounded())
 
 
 @query("a19_weighted_over_groups", "WITH" + GROUPED + f""", per_seed AS (SELECT method, seed,
@@ -177,7 +180,7 @@ def _(t):
 SELECT method, {_seed_aggs(METRICS)} FROM per_seed GROUP BY 1""")
 def _(t):
     groups = C.group_summary(grouped(t), [*RUN, "group_id"], HIT)
-    return C.across_seeds(C.weighted_over_groups(groups, RUN, "n_pool", METRICS), ["method"], METRICS).withColumns(ROUNDED)
+    return C.across_seeds(C.weighted_over_groups(groups, RUN, "n_pool", METRICS), ["method"], METRICS).withColumns(rounded())
 
 
 SEEDS = [str(i) for i in range(10)]
