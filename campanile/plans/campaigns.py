@@ -186,12 +186,12 @@ def _(t):
 SEEDS = [str(i) for i in range(10)]
 
 
-@query("a20_metric_pivot", "WITH" + GROUPED + """ SELECT method, """ + ", ".join(
+@query("a20_metric_pivot", "WITH" + GROUPED + """ SELECT method || '|' || group_id AS method, """ + ", ".join(
     f"""round(CASE WHEN count(*) FILTER (seed = {s} AND AF IS NULL) = 0 THEN avg(AF) FILTER (seed = {s}) END, 6) AS s{s}""" for s in SEEDS
-) + """ FROM (SELECT * FROM gsummary WHERE group_id = 'rare') GROUP BY 1""")
+) + """ FROM gsummary GROUP BY 1""")
 def _(t):
-    groups = C.group_summary(grouped(t), [*RUN, "group_id"], HIT).filter(F.col("group_id") == "rare")
-    named = groups.withColumn("surrogate", F.concat(F.lit("s"), F.col("seed").cast("string")))
+    groups = C.group_summary(grouped(t), [*RUN, "group_id"], HIT)
+    named = groups.select(F.concat_ws("|", "method", "group_id").alias("method"), F.concat(F.lit("s"), F.col("seed").cast("string")).alias("surrogate"), "AF")
     domain = [f"s{s}" for s in SEEDS]
     return C.metric_pivot(named, "method", "surrogate", domain, "AF").withColumns(r6(*domain))
 

@@ -143,12 +143,14 @@ def _(t):
 
 
 @query("m11_expected_improvement", f"""WITH x AS (SELECT event_id, value AS mu, (user_id % 10)::DOUBLE AS sigma FROM events), g AS (SELECT *, mu - 30 - 0.01::DOUBLE AS g, CASE WHEN sigma > 1e-10 THEN (mu - 30 - 0.01::DOUBLE) / sigma END AS z FROM x)
-SELECT event_id, round(CASE WHEN sigma > 1e-10 THEN g * ({CDF}) + sigma * exp(-z * z / 2) / sqrt(2 * pi()) ELSE greatest(g, 0) END, 6) AS ei FROM g""")
+, r AS (SELECT event_id, round(CASE WHEN sigma > 1e-10 THEN g * ({CDF}) + sigma * exp(-z * z / 2) / sqrt(2 * pi()) ELSE greatest(g, 0) END, 6) AS ei FROM g)
+SELECT event_id, CASE WHEN ei = 0 THEN 0 ELSE ei END AS ei FROM r""")
 def _(t):
     rows = t.events.select("event_id", F.col("value").alias("mu"), F.pmod("user_id", F.lit(10)).cast("double").alias("sigma"))
     ei = K.expected_improvement("mu", F.nullif("sigma", F.lit(0.0)), 30.0)
     flat = K.expected_improvement("mu", F.lit(0.0) + F.when(F.col("sigma") == 0, F.lit(1e-12)), 30.0)
-    return rows.select("event_id", F.round(F.when(F.col("sigma") > 0, ei).otherwise(flat), 6).alias("ei"))
+    rounded = rows.select("event_id", F.round(F.when(F.col("sigma") > 0, ei).otherwise(flat), 6).alias("ei"))
+    return rounded.withColumn("ei", F.when(F.col("ei") == 0, F.lit(0.0)).otherwise(F.col("ei")))
 
 
 @query("m14_fallback_chain", """WITH s AS (SELECT 0.00005::DOUBLE * o_orderkey / (SELECT max(o_orderkey) FROM orders) AS ssl, 0.5::DOUBLE AS plain, o_totalprice AS ei FROM orders)

@@ -173,11 +173,12 @@ def _(t):
     )
 
 
-@query("p24_round_half_even", """SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice / 100 - 273.15::DOUBLE, 0) AS celsius,
+@query("p24_round_half_even", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN round_even(l_extendedprice / 100 - 273.15::DOUBLE, 0) = 0 THEN 0 ELSE round_even(l_extendedprice / 100 - 273.15::DOUBLE, 0) END AS celsius,
 round_even(l_quantity * 0.25::DOUBLE, 1) AS first_part, round_even(l_quantity * 0.75::DOUBLE, 1) AS second_part FROM lineitem""")
 def _(t):
     a, b = C.split_volume("l_quantity", F.lit(0.25), 1)
     celsius = C.kelvin_to_celsius(F.col("l_extendedprice") / 100)
+    celsius = F.when(celsius == 0, F.lit(0.0)).otherwise(celsius)
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", celsius.alias("celsius"), a.alias("first_part"), b.alias("second_part"))
 
 

@@ -277,10 +277,10 @@ def _(t):
     return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"))
 
 
-@query("w12_newest_per_key", "SELECT user_id, event_type, max(ts) AS newest, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+@query("w12_newest_per_key", "SELECT user_id, event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS newest, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
 def _(t):
     newest = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    return t.events.withColumn("rn", newest).filter("rn = 1").select("user_id", "event_type", F.col("ts").alias("newest"), "event_id")
+    return t.events.withColumn("rn", newest).filter("rn = 1").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("newest"), "event_id")
 
 
 @query("w13_batch_ranks", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS batch_rank FROM conversations")

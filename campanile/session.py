@@ -26,6 +26,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
