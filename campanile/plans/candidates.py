@@ -218,9 +218,9 @@ def _(t):
 
 
 @query("c13_shingle_fingerprint", r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 0) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 8))::BIGINT % 512 AS bit FROM w, unnest(range(1, len(w) - 1)) AS u(i)) SELECT doc_id, count(*)::INTEGER AS n_bits, sum(bit)::BIGINT AS bit_sum FROM s GROUP BY 1""")
+s AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 8))::BIGINT % 512 AS bit FROM w, unnest(range(1, len(w) - 1)) AS u(i)) SELECT doc_id, count(bit)::INTEGER AS n_bits, coalesce(sum(bit), 0)::BIGINT AS bit_sum FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1""")
 def _(t):
-    bits = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", K.shingle_fingerprint("text", 512).alias("b")).filter(F.size("b") > 0)
+    bits = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", K.shingle_fingerprint("text", 512).alias("b"))
     return bits.select("doc_id", F.size("b").alias("n_bits"), F.aggregate("b", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("bit_sum"))
 
 
