@@ -17,9 +17,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        # split hot join keys even where that costs one more shuffle, unless the session says otherwise
-        if spark.conf.get(SKEW, "unset") in ("unset", "false"):
-            spark.conf.set(SKEW, "true")
+        # split hot join keys even where that costs one more shuffle
+        spark.conf.set(SKEW, "true")
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -181,3 +181,14 @@ def test_neighbour_information_against_brute_force(spark, blocks):
     want = psi(len(x)) + psi(k) - psi(np.array(own)).mean() - psi(np.array(inside)).mean()
     rows = spark.createDataFrame([(i, "f", float(v), int(c)) for i, (v, c) in enumerate(zip(x, label))], "id long, feature string, value double, label int")
     assert neighbour_information(rows, "id").first()["mi"] == pytest.approx(max(want, 0), abs=1e-3)
+
+
+def test_tables_work_in_a_session_without_our_settings(spark, folder):
+    from campanile.plans.registry import SKEW, Tables
+
+    before = spark.conf.get(SKEW)
+    spark.conf.unset(SKEW)
+    try:
+        assert Tables(spark, folder).region.count() == 5
+    finally:
+        spark.conf.set(SKEW, before)
