@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from campanile.llm.common import vocabulary
+from campanile.llm.archives import read_archives, resolved, write_archives
+from campanile.llm.common import shared_folder, vocabulary
+from campanile.llm.line_frequency import drop_boilerplate, lines_of
+from campanile.llm.quality import cascade
 from campanile.llm.registry import QUERIES, TWINS, query, table  # noqa: F401  the entry file reads both
 from campanile.llm.token_counts import count_tokens
 
@@ -12,3 +16,38 @@ from campanile.llm.token_counts import count_tokens
 @query("op4_token_counts")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    judged = cascade(table(spark, folder, "documents"), metrics=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+    return judged.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
+@query("op7_warc_revisits", sql="""
+    with p as (select page_id, coalesce(html, '') payload from pages),
+         d as (select page_id, octet_length(encode(payload))::bigint payload_bytes, upper(sha1(payload)) hex, min(page_id) over (partition by payload) first_id from p),
+         b as (select *, [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1) for i in range(32)] digits from d)
+    select page_id, payload_bytes, array_to_string(digits, '') payload_digest, case when page_id = first_id then 'response' else 'revisit' end record_type,
+           case when page_id <> first_id then first_id end refers_to
+    from b
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_folder(spark, "warc")
+    write_archives(table(spark, folder, "pages"), archives)
+    return resolved(read_archives(spark, archives, payload=False))
+
+
+@query("op8_line_dedup", sql=r"""
+    with p as (select doc_id, coalesce(source, '') host, string_split(coalesce(text, ''), chr(10)) lines from documents),
+         l as (select host, line, count(*) k from (select host, unnest(list_distinct([x for x in lines if regexp_matches(x, '[^\x20\x09-\x0D]')])) line from p) group by all),
+         t as (select host, count(*) n from p group by host),
+         b as (select l.host, list(line) gone from l join t using (host) where k >= 4 and k > 0.05 * n group by l.host),
+         c as (select doc_id, lines, case when gone is null then lines else [x for x in lines if not list_contains(gone, x)] end kept from p left join b using (host))
+    select doc_id, len(lines)::int n_lines, (len(lines) - len(kept))::int n_dropped_lines, length(array_to_string(kept, chr(10)))::int n_chars, md5(array_to_string(kept, chr(10))) text_md5
+    from c
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    clean = drop_boilerplate(docs.withColumn("n_lines", F.size(lines_of(F.col("text")))))
+    return clean.select("doc_id", "n_lines", "n_dropped_lines", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
