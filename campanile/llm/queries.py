@@ -11,6 +11,7 @@ from campanile.llm.line_frequency import drop_boilerplate, lines_of
 from campanile.llm.quality import cascade
 from campanile.llm.registry import QUERIES, TWINS, query, table  # noqa: F401  the entry file reads both
 from campanile.llm.token_counts import count_tokens
+from campanile.llm.winnowing import digest, edited_likeness
 
 
 @query("op4_token_counts")
@@ -51,3 +52,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     clean = drop_boilerplate(docs.withColumn("n_lines", F.size(lines_of(F.col("text")))))
     return clean.select("doc_id", "n_lines", "n_dropped_lines", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("op3_winnowing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = edited_likeness(table(spark, folder, "documents"))
+    names = [digest(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names, "near_edited", "near_next")
