@@ -98,9 +98,9 @@ RULES = (
 
 
 def ordered_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample: int = 400) -> list[Rule]:
-    """The rules by documents rejected per second, the best first, measured on at most `sample` rows.
+    """The rules by documents rejected per second, the best first, measured on the first `sample` rows found.
 
-    The rows are those with the smallest hashes of their text among a hash slice; the order changes the cost of a cascade, never its verdict.
+    The order changes the cost of a cascade, never its verdict.
     Each rule is timed on a fresh document, so its features count as its own. Equal rules, and all rules without rows, stay in the given order.
     """
 

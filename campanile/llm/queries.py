@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from campanile.llm.archives import read_archives, resolved, write_archives
 from campanile.llm.common import shared_folder, vocabulary
 from campanile.llm.line_frequency import drop_boilerplate, lines_of
+from campanile.llm.packing import pack_documents
 from campanile.llm.quality import cascade
 from campanile.llm.registry import QUERIES, TWINS, query, table  # noqa: F401  the entry file reads both
 from campanile.llm.token_counts import count_tokens
@@ -59,3 +60,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = edited_likeness(table(spark, folder, "documents"))
     names = [digest(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *names, "near_edited", "near_next")
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
