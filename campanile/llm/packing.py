@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from campanile.llm.common import Memo, file_bytes, map_texts
+from campanile.llm.token_counts import byte_symbols
 from campanile.session import cut
 
 #: Characters for which white space parts tokens and lower case is taken letter by letter, in Python as in the library. Texts with others go to it whole.
 PLAIN = re.compile("[^\x00-\x1b -\x84\x86-\x9f¡-įı-ſ]")
+CONTROL = re.compile("[\x1c-\x1f]")
 #: Shares of the rows that are ranked on their own.
 SHARES, LEAST_SHARE = 4096, 256
 
@@ -29,15 +33,26 @@ class Encoder:
 
         self.library = Tokenizer.from_str(file)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = Memo(self.whole, room=1_000_000)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        spec = json.loads(file)
+        split, _ = spec["pre_tokenizer"]["pretokenizers"]
+        if [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"]:
+            raise ValueError("not a vocabulary whose words are parted by white space and lower-cased")
+        self.parts = regex.compile(split["pattern"]["Regex"])
+        self.model, self.symbols = self.library.model, byte_symbols()
+        self.words = Memo(self.word, room=600_000)
+        self.tokens = Memo(self.token, room=600_000)
+
+    def word(self, word: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, self.parts.findall(word)))
+
+    def token(self, part: str) -> bytes:
+        """A part as the library's model merges it."""
+        return np.array([t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, part.encode())))], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """White space parts tokens, so words that were met before are looked up. Texts with added tokens or unusual characters take the library's own way."""
-        if not text.isascii() and PLAIN.search(text) or text.isascii() and re.search("[\x1c-\x1f]", text) or any(s in text for s in self.special):
-            return self.whole(text)
+        if not text.isascii() and PLAIN.search(text) or text.isascii() and CONTROL.search(text) or any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
