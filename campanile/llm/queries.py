@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from campanile.llm.archives import read_archives, resolved, write_archives
 from campanile.llm.common import shared_folder, vocabulary
+from campanile.llm.dart_minhash import near_duplicates
 from campanile.llm.line_frequency import drop_boilerplate, lines_of
 from campanile.llm.packing import pack_documents
 from campanile.llm.quality import cascade
@@ -65,3 +66,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
