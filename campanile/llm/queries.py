@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campanile.llm.archives import read_archives, resolved, write_archives
-from campanile.llm.common import shared_folder, vocabulary
+from campanile.llm import toxicity
+from campanile.llm.common import held_out, shared_folder, vocabulary
 from campanile.llm.dart_minhash import near_duplicates
 from campanile.llm.line_frequency import drop_boilerplate, lines_of
 from campanile.llm.packing import pack_documents
@@ -71,3 +72,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_near_duplicates")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels, usable=~held_out("doc_id", 0))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
