@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campanile.llm.archives import read_archives, resolved, write_archives
-from campanile.llm import toxicity
+from campanile.llm import lm_scoring, toxicity
 from campanile.llm.common import held_out, shared_folder, vocabulary
 from campanile.llm.dart_minhash import near_duplicates
 from campanile.llm.line_frequency import drop_boilerplate, lines_of
@@ -79,3 +79,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = toxicity.train(docs, labels, usable=~held_out("doc_id", 0))
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
+
+
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    held = held_out("doc_id", 1)
+    scores = lm_scoring.score(table(spark, folder, "documents"), ~held, vocabulary("byte_bpe_50k.tiktoken"))
+    return scores.withColumn("held_out", held)
