@@ -11,6 +11,7 @@ from campanile.llm.common import held_out, shared_folder, vocabulary
 from campanile.llm.dart_minhash import near_duplicates
 from campanile.llm.line_frequency import drop_boilerplate, lines_of
 from campanile.llm.packing import pack_documents
+from campanile.llm.pieces import decode, encode
 from campanile.llm.quality import cascade
 from campanile.llm.registry import QUERIES, TWINS, query, table  # noqa: F401  the entry file reads both
 from campanile.llm.token_counts import count_tokens
@@ -86,3 +87,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     held = held_out("doc_id", 1)
     scores = lm_scoring.score(table(spark, folder, "documents"), ~held, vocabulary("byte_bpe_50k.tiktoken"))
     return scores.withColumn("held_out", held)
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    encoded = encode(table(spark, folder, "documents"), path, carry=("doc_id", "text"))
+    both = decode(encoded, path, carry=("doc_id", "text", "ids"))
+    # the file's sign for a space is itself read as one
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
+    return both.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
