@@ -15,7 +15,8 @@ NEIGHBOURS = 4_000
 #: Beyond so many groups they grow with the table; they are sorted and read one after another, with spilling.
 MOST_GROUPS = 10_000
 
-_HASH_BITS, _POSITION_BITS = 31, 32
+_POSITION_BITS = 32
+_HASH_MASK = (2**31 - 1) << _POSITION_BITS
 
 
 def _utf32(text: Column) -> Column:
@@ -29,23 +30,55 @@ def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
     As such a long sorts by hash and then from the right, the least of a window is its minimum with ties to the right. A text of fewer than `window` k-grams is one
     window; one shorter than `k` is one k-gram of its own length; an empty or null one has none. Positions ascend and do not repeat.
     """
+    return _winnowed(text, F.lit(0), k, window)
+
+
+def spliced_fingerprint(found: Column, shared: Column, text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """The fingerprint of `text`, which has its first `shared` code points in common with the text whose fingerprint is `found`.
+
+    Whether a k-gram is chosen depends on the `window` - 1 k-grams on either side only. So those with all these in the common part are taken from `found`, and the rest of the
+    text alone is winnowed, from as far back as its windows reach.
+    """
+    own = F.greatest(shared - k + 1 - (window - 1), F.lit(0))  # k-grams before this one are decided within the common part
+    begin = F.greatest(own - (window - 1), F.lit(0))
+    place = lambda x: F.lit(2**_POSITION_BITS - 1) - x.bitwiseAND(F.lit(2**_POSITION_BITS - 1))
+    # a text too short for one whole window is winnowed whole
+    whole = F.length(text) < k + window - 1
+    own, begin = F.when(whole, 0).otherwise(own), F.when(whole, 0).otherwise(begin)
+    # and so is one whose rest is too short for a window of its own
+    begin = F.least(begin, F.greatest(F.length(text) - (k + window - 1), F.lit(0)))
+    bound = F.array(F.struct(own.alias("own"), found.alias("found"), _winnowed(F.substring(text, begin + 1, F.length(text)), begin, k, window).alias("rest")))
+    return F.transform(bound, lambda x: F.concat(F.filter(x["found"], lambda v: place(v) < x["own"]), F.filter(x["rest"], lambda v: place(v) >= x["own"])))[0]
+
+
+def _winnowed(text: Column, begin: Column, k: int, window: int) -> Column:
+    """The fingerprint, positions counted from `begin`."""
     points = _utf32(text)
-    return F.transform(F.array(F.struct(points.alias("b"), (F.octet_length(points) / 4).cast("int").alias("n"))), lambda x: _winnow(x["b"], x["n"], k, window))[0]
+    bound = F.array(F.struct(points.alias("b"), (F.octet_length(points) / 4).cast("int").alias("n"), begin.cast("long").alias("begin")))
+    return F.transform(bound, lambda x: _winnow(x["b"], x["n"], x["begin"], k, window))[0]
 
 
-def _winnow(points: Column, n: Column, k: int, window: int) -> Column:
+def _least_with(step: int):
+    return lambda h: F.zip_with(h, F.slice(h, step + 1, F.size(h)), lambda x, y: F.least(x, y))
+
+
+def _winnow(points: Column, n: Column, begin: Column, k: int, window: int) -> Column:
     grams = F.greatest(n - k + 1, F.least(n, F.lit(1)))
     windows = F.greatest(grams - window + 1, F.least(n, F.lit(1)))
 
-    def value(i: Column) -> Column:
-        gram = F.substring(points, 4 * i + 1, F.lit(4 * k))
-        return F.shiftleft(F.shiftrightunsigned(F.xxhash64(gram), 64 - _HASH_BITS), _POSITION_BITS).bitwiseOR(F.lit(2**_POSITION_BITS - 1) - i)
-
     def block(b: Column) -> Column:
         first = b * BLOCK
-        last = F.least(first + BLOCK, windows) - 1  # windows first to last
-        hashes = F.transform(F.sequence(first, F.least(last + window, grams) - 1), value)
-        return F.transform(F.array(hashes), lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), last - first + 1), lambda a: F.array_min(F.slice(h, a, window)))))[0]
+        count = F.least(windows - first, F.lit(BLOCK))  # windows of this block
+        last = F.least(first + count - 1 + window, grams) - 1  # and their last k-gram
+        base = F.array(F.struct(F.sequence(4 * first + 1, 4 * last + 1, F.lit(4)).alias("at"), (F.lit(2**_POSITION_BITS - 1) - begin - first).alias("top")))
+        hashed = lambda x: F.transform(x["at"], lambda q, i: F.xxhash64(F.substring(points, q, F.lit(4 * k))).bitwiseAND(F.lit(_HASH_MASK)).bitwiseOR(x["top"] - i))
+        least = F.transform(base, hashed)
+        reach = 1
+        while reach < window:  # minima of 2, 4, 8, ... neighbours, then of `window`; what runs over the end is null, which least() passes over
+            step = min(reach, window - reach)
+            least = F.transform(least, _least_with(step))
+            reach += step
+        return F.array_distinct(F.slice(least[0], 1, count))
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((windows - 1) / BLOCK).cast("int")), block)
     return F.when(n > 0, F.array_distinct(F.flatten(blocks))).otherwise(F.array().cast("array<long>"))
@@ -123,7 +156,7 @@ def edited_likeness(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next.text", F.lit(1), third)))
-    rows = rows.withColumn("edited_found", fingerprint(F.col("edited"), k, window))
+    rows = rows.withColumn("edited_found", spliced_fingerprint(F.col("found"), n - third, F.col("edited"), k, window))
     return rows.select(
         F.col("id").alias(id_column), n.cast("long").alias("n_chars"), "edited", F.col("found").alias("fingerprint"), F.col("edited_found").alias("edited_fingerprint"),
         likeness(F.col("hashes"), hashes(F.col("edited_found"))).alias("near_edited"), likeness(F.col("hashes"), F.col("next.hashes")).alias("near_next"),

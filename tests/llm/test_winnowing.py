@@ -1,10 +1,11 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from campanile.llm import winnowing
-from campanile.llm.winnowing import edited_likeness, fingerprint, hashes, positions
+from campanile.llm.winnowing import edited_likeness, fingerprint, hashes, positions, spliced_fingerprint
 
 TEXTS = ["", None, "a", "short", "exactly12chr", "thirteen char", "é😀" * 30, "abc" * 50, "x" * 400, "the quick brown fox jumps over the lazy dog and runs away " * 20]
 
@@ -34,6 +35,19 @@ def test_fingerprint_matches_the_definition(spark, monkeypatch, k, window, block
         assert r.h == [r.grams[i] for i in r.at]
 
 
+@pytest.mark.parametrize("k,window", [(12, 8), (3, 4), (1, 1), (2, 5)])
+def test_spliced_fingerprint_is_that_of_the_whole_text(spark, k, window):
+    rng = random.Random(k)
+    rows = []
+    for n in [*range(30), 60, 200]:
+        for shared in {0, n // 3, n // 2, max(0, n - 3), n}:
+            a, b = ("".join(rng.choices("abc", k=n)) for _ in range(2))
+            rows.append((a, a[:shared] + b[: rng.randrange(len(b) + 1)], shared))
+    df = spark.createDataFrame(rows, "a string, b string, shared int")
+    both = df.select("*", spliced_fingerprint(fingerprint(F.col("a"), k, window), F.col("shared"), F.col("b"), k, window).alias("x"), fingerprint(F.col("b"), k, window).alias("y"))
+    assert [r for r in both.collect() if r.x != r.y] == []
+
+
 def test_a_shared_passage_is_always_met(spark):
     passage = "0123456789abcdefghi"  # k + window - 1 code points
     df = spark.createDataFrame([("left part " + passage + " ends", "other " * 9 + passage)], "a string, b string")
