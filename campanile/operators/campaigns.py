@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scan import number_rows, running, with_halo
-from .joins import join_checked
 
 
 def attach_history(split: DataFrame, history: DataFrame, run: str = "run_id", item: str = "item_id") -> DataFrame:
@@ -34,7 +33,7 @@ def merge_rare_groups(df: DataFrame, key: str, min_size: int, out: str = "group_
     sizes = (df if population is None else population).groupBy(label.alias("__label")).agg(F.count(F.lit(1)).alias("__size"))
     kept = sizes.filter(F.col("__size") >= min_size).select("__label")
     return (
-        join_checked(df.withColumn("__label", label), kept.withColumn(out, F.col("__label")), "__label", "left")
+        df.withColumn("__label", label).join(kept.withColumn(out, F.col("__label")), "__label", "left")
         .withColumn(out, F.coalesce(F.col(out), F.lit(rare)))
         .drop("__label")
     )
@@ -258,7 +257,7 @@ def seed_band(history: DataFrame, method: str, seed: str, value: str) -> DataFra
     steps = history.groupBy(method, "iteration").agg(
         F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("std_value"), F.count(F.lit(1)).alias("n_seeds")
     )
-    return join_checked(steps, shortest, method).filter(F.col("iteration") <= F.col("__shortest")).drop("__shortest")
+    return steps.join(shortest, method).filter(F.col("iteration") <= F.col("__shortest")).drop("__shortest")
 
 
 def group_share(history: DataFrame, run: Sequence[str], group: str, groups_per_run: DataFrame) -> DataFrame:
@@ -266,5 +265,5 @@ def group_share(history: DataFrame, run: Sequence[str], group: str, groups_per_r
     counted = running(
         history, [*run, group], F.col("iteration").cast("double"), "item_id", {"group_count": ("count", F.lit(1))}
     )
-    shares = join_checked(counted, groups_per_run, list(run))
+    shares = counted.join(groups_per_run, list(run))
     return shares.withColumn("expected", ratio("iteration", "n_groups"))

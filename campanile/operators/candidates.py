@@ -265,10 +265,10 @@ def set_similarity(roles: Mapping[str, tuple[Column, float]], columns: Mapping[s
 
 
 def blended_similarity(rows: DataFrame, key: str, fp: Column, vector: str, blend: float = 0.3) -> DataFrame:
-    """C6 stages 1 and 2: token similarity, cosine to the vector of its best row, and their blend."""
+    """C6 stages 1 and 2: token similarity, cosine to the vector of its best row that has one, and their blend; a row without a vector has cosine 0."""
     first = rows.withColumn("fp_sim", fp)
-    best = first.agg(F.min_by(vector, F.struct((-F.col("fp_sim")).alias("s"), F.col(key).alias("k")))).scalar()
-    out = first.withColumn("__ref", best).withColumn("feat_sim", cosine(vector, "__ref")).drop("__ref")
+    best = first.where(F.col(vector).isNotNull()).agg(F.min_by(vector, F.struct((-F.col("fp_sim")).alias("s"), F.col(key).alias("k")))).scalar()
+    out = first.withColumn("__ref", best).withColumn("feat_sim", F.coalesce(cosine(vector, "__ref"), F.lit(0.0))).drop("__ref")
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("feat_sim")))
     return out.withColumn("combined_sim", blend * F.col("fp_sim") + (1 - blend) * clipped)
 

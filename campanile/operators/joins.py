@@ -4,43 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARRAY_LIMIT = 20_000
-BROADCAST_ROWS = 100_000
-
-
-def _members(df: DataFrame, columns: Sequence[str]) -> Column | None:
-    """A table as one array of structs when its measured size allows, else None."""
-    if df.select(F.lit(1)).limit(ARRAY_LIMIT + 1).count() > ARRAY_LIMIT:
-        return None
-    return df.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("m")).scalar()
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a table that is usually small, such as an aggregate per run or group.
-
-    Its rows are counted first, up to the limit. Within it the table is
-    broadcast and the big side stays where it is; beyond it both sides shuffle
-    and adaptive execution splits hot keys.
-    """
-    if small.select(F.lit(1)).limit(rows + 1).count() <= rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
-
 
 def product(left: DataFrame, right: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Every row of `left` with every row of a smaller table.
+    """Every row of `left` with every row of a dimension table; the product is the feature, so both should be small or one tiny.
 
-    A right side of a checked small size rides along as an array and no row
-    moves. A larger one is split over buckets and `left` is copied to each; the
-    output is larger than those copies in any case.
+    The right rows are dealt over buckets and `left` is copied to each, so no task holds either table.
     """
-    members = _members(right, right.columns)
-    if members is not None:
-        out = left.withColumn("__m", F.explode(members))
-        return out.select(*left.columns, *[F.col(f"__m.{c}").alias(c) for c in right.columns])
     n = buckets or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = left.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     b = right.withColumn("__b", F.pmod(F.xxhash64(*right.columns), F.lit(n)).cast("int"))
@@ -49,18 +21,12 @@ def product(left: DataFrame, right: DataFrame, buckets: int | None = None) -> Da
 
 def unordered_pairs(dimension: DataFrame, key: str, first: str = "a", second: str = "b", singletons: bool = True,
                     buckets: int | None = None) -> DataFrame:
-    """All a < b of a dimension's distinct keys, plus (a, '') for each key."""
+    """All a < b of a dimension's distinct keys, plus (a, '') for each key. All pairs are the feature: for dimension tables only."""
     keys = dimension.select(key).where(F.col(key).isNotNull()).distinct()
-    members = _members(keys, [key])
-    if members is not None:
-        later = F.filter("__all", lambda m: m[key] > F.col(key))
-        pairs = keys.withColumn("__all", members).select(F.col(key).alias(first), F.explode(later).alias("m"))
-        pairs = pairs.select(first, F.col(f"m.{key}").alias(second))
-    else:
-        n = buckets or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        a = keys.select(F.col(key).alias(first), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__b"))
-        b = keys.select(F.col(key).alias(second), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("__b"))
-        pairs = a.join(b, (a["__b"] == b["__b"]) & (F.col(first) < F.col(second))).select(first, second)
+    n = buckets or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = keys.select(F.col(key).alias(first), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__b"))
+    b = keys.select(F.col(key).alias(second), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("__b"))
+    pairs = a.join(b, (a["__b"] == b["__b"]) & (F.col(first) < F.col(second))).select(first, second)
     if not singletons:
         return pairs
     return pairs.unionByName(keys.select(F.col(key).alias(first), F.lit("").cast(keys.schema[key].dataType).alias(second)))
@@ -105,22 +71,18 @@ def without(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """Fail when a side holds two rows for one key."""
-    twice = df.groupBy(key).count().filter("count > 1").select(key).limit(5).collect()
-    if twice:
-        raise ValueError(f"more than one row per {key}: {sorted(r[0] for r in twice)}")
-    return df
+def one_per_key(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """`columns` of each key; the job fails when a key has two rows. The check is part of the aggregation, so it starts no job of its own."""
+    once = F.assert_true(F.count(F.lit(1)) == 1, F.concat(F.lit(f"more than one row per {key}: "), F.first(F.col(key).cast("string"))))
+    found = df.groupBy(key).agg(*[F.first(c).alias(c) for c in columns], once.alias("__once"))
+    return found.filter(F.col("__once").isNull()).drop("__once")
 
 
 def paired(df: DataFrame, method: str, a: str, b: str, key: str, metrics: Sequence[str]) -> DataFrame:
-    """Metrics of two methods side by side on the keys both have."""
-    side_a = one_per_key(df.filter(F.col(method) == a), key).select(key, *[F.col(m).alias(f"{m}_a") for m in metrics])
-    side_b = one_per_key(df.filter(F.col(method) == b), key).select(key, *[F.col(m).alias(f"{m}_b") for m in metrics])
-    both = side_a.join(side_b, key)
-    if not both.limit(1).count():
-        raise ValueError(f"no common {key} between {a} and {b}")
-    return both
+    """Metrics of two methods side by side on the keys both have; no rows when there are none."""
+    side_a = one_per_key(df.filter(F.col(method) == a), key, metrics).select(key, *[F.col(m).alias(f"{m}_a") for m in metrics])
+    side_b = one_per_key(df.filter(F.col(method) == b), key, metrics).select(key, *[F.col(m).alias(f"{m}_b") for m in metrics])
+    return side_a.join(side_b, key)
 
 
 def union_by_name(a: DataFrame, b: DataFrame) -> DataFrame:

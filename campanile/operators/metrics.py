@@ -325,9 +325,21 @@ def paired_deltas(pairs: DataFrame, key: str, metrics: Mapping[str, bool]) -> Da
     return pairs.select(key, F.explode(rows).alias("r")).select(key, "r.*").filter(F.col("delta").isNotNull())
 
 
+# above so many deltas the exact distribution is not asked for
+EXACT = 50
+
+
+def signed_rank_tail(t: Column, n: Column) -> Column:
+    """Probability that the ranks 1 to n with random signs have a positive sum of `t` or more: subsets counted by their sum, one rank after another."""
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    counts = F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(1.0)), lambda c, k: F.zip_with(F.concat(c, zeros(k)), F.concat(zeros(k), c), lambda x, y: x + y))
+    return F.aggregate(F.slice(counts, t + 1, n * n), F.lit(0.0), lambda s, x: s + x) / F.pow(F.lit(2.0), n)
+
+
 def signed_rank(deltas: DataFrame, by: Sequence[str], delta: str = "delta") -> DataFrame:
-    """One-sided Wilcoxon with zeros split, normal approximation with tie correction; 1 when all are zero.
+    """One-sided Wilcoxon with zeros split; 1 when all are zero.
 
+    Up to `EXACT` deltas without ties and zeros have the exact distribution, others the normal approximation with tie correction.
     Equal absolute deltas fold to one counted row, whose mean rank follows from the running count.
     """
     size = F.abs(F.col(delta))
@@ -343,7 +355,8 @@ def signed_rank(deltas: DataFrame, by: Sequence[str], delta: str = "delta") -> D
     n = F.col("n").cast("double")
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
     z = F.try_divide(F.col("t") - n * (n + 1) / 4, spread)
-    return out.select(*by, F.when(F.col("n_zero") == F.col("n"), F.lit(1.0)).otherwise(1 - normal_cdf(z)).alias("p_value"))
+    exact = (F.col("n") <= EXACT) & (F.col("ties") == 0) & (F.col("n_zero") == 0)
+    return out.select(*by, F.when(F.col("n_zero") == F.col("n"), F.lit(1.0)).when(exact, signed_rank_tail(F.col("t").cast("int"), F.col("n").cast("int"))).otherwise(1 - normal_cdf(z)).alias("p_value"))
 
 
 def decision(n, median, p, win_rate) -> Column:

@@ -28,10 +28,15 @@ from .neighbours import nearest_neighbours
 
 def array_stats(values: Column) -> tuple[Column, Column]:
     """Mean and population deviation of an array column."""
-    n = F.size(values)
-    mean = array_sum(values) / n
-    spread = F.sqrt(F.greatest(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n, F.lit(0.0)))
-    return mean, spread
+    # sums about the first value in one pass: an expression in the lambda that reads the whole array would be evaluated once an element
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+
+    def add(acc, x):
+        first = F.coalesce(acc["first"], x)
+        return F.struct(first.alias("first"), (acc["s"] + (x - first)).alias("s"), (acc["q"] + (x - first) * (x - first)).alias("q"))
+
+    sums = F.aggregate(values, start, add, lambda acc: F.struct(acc["first"].alias("first"), (acc["s"] / F.nullif(F.size(values), F.lit(0))).alias("m"), (acc["q"] / F.nullif(F.size(values), F.lit(0))).alias("q")))
+    return sums["first"] + sums["m"], F.sqrt(F.greatest(sums["q"] - sums["m"] * sums["m"], F.lit(0.0)))
 
 
 # ---- ordinal classification ----------------------------------------------------------
@@ -68,8 +73,9 @@ def class_probabilities(above: Sequence[Column]) -> Column:
     """P(y = k) from P(y > k): positive differences, normalised."""
     edges = [F.lit(1.0), *above, F.lit(0.0)]
     raw = F.array(*[F.greatest(F.lit(0.0), a - b) for a, b in zip(edges, edges[1:])])
-    total = array_sum(raw)
-    return F.transform(raw, lambda p: F.when(total > 0, p / total).otherwise(F.lit(1.0 / (len(above) + 1))))
+    # the sum is bound once, not computed for each class
+    bound = F.array(F.struct(raw.alias("raw"), array_sum(raw).alias("total")))
+    return F.transform(bound, lambda b: F.transform(b["raw"], lambda p: F.when(b["total"] > 0, p / b["total"]).otherwise(F.lit(1.0 / (len(above) + 1)))))[0]
 
 
 class OrdinalForestModel(Model):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw
+from ..functions.hashing import draw, long_draw
 from ..functions.numeric import euclidean
 from ..functions.scan import number_rows, running
 from ..session import cut
@@ -136,20 +136,23 @@ def agreement_verdict(agreement: DataFrame, threshold: float = 0.70) -> DataFram
 
 
 def sampled_pairs(df: DataFrame, key: str, vector: str, y: str, n_pairs: int = 2_000, seed: int = 42) -> DataFrame:
-    """About `n_pairs` distinct random pairs with their distance and |dy|.
+    """Exactly `n_pairs` distinct random pairs with their distance and |dy|, or all when there are no more.
 
-    Pairs are drawn as two row numbers, so the work is one numbering scan and two
-    joins with the draws; no other pair is ever formed. All pairs are used when
-    there are no more than `n_pairs`.
+    Four times as many pairs are drawn as two row numbers, and the first distinct
+    ones in a hashed order stay; a table with hardly more pairs than that offers
+    all of them. The work is one numbering scan and two joins with the draws; no
+    other pair is ever formed.
     """
     rows = number_rows(df.select(F.col(key).alias("id"), F.col(vector).alias("vec"), F.col(y).cast("double").alias("y")), [], "id", F.lit(0))
     n = rows.count()
-    if n * (n - 1) // 2 <= n_pairs:
+    if n * (n - 1) // 2 <= 4 * n_pairs:
         later = F.explode(F.sequence(F.col("i") + 1, F.lit(n)))
-        pairs = df.sparkSession.range(1, n).select(F.col("id").alias("i")).select("i", later.alias("j"))
+        offered = df.sparkSession.range(1, n).select(F.col("id").alias("i")).select("i", later.alias("j"))
     else:
-        drawn = df.sparkSession.range(n_pairs).select((draw("id", F.lit(seed), F.lit("a")) % n + 1).alias("a"), (draw("id", F.lit(seed), F.lit("b")) % n + 1).alias("b"))
-        pairs = drawn.filter("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+        number = lambda side: (long_draw("id", F.lit(seed), F.lit(side)) % n + 1).alias(side)
+        drawn = df.sparkSession.range(4 * n_pairs).select(number("a"), number("b"))
+        offered = drawn.filter("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+    pairs = offered.orderBy(long_draw("i", "j", F.lit(seed)), "i", "j").limit(n_pairs)
     left = rows.select(F.col("rn").alias("i"), F.col("id").alias("id_a"), F.col("vec").alias("va"), F.col("y").alias("ya"))
     right = rows.select(F.col("rn").alias("j"), F.col("id").alias("id_b"), F.col("vec").alias("vb"), F.col("y").alias("yb"))
     joined = pairs.join(left, "i").join(right, "j")

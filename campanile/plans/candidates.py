@@ -11,7 +11,6 @@ from ..operators import candidates as K
 from ..operators import features as X
 from ..operators import groups as G
 from ..operators import joins as J
-from ..session import spread
 from .campaigns import GROUPED, SCORED, grouped, micros, scored
 from .metrics import CDF, r6
 from .registry import query
@@ -220,7 +219,7 @@ def _(t):
 @query("c13_shingle_fingerprint", r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 0) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 8))::BIGINT % 512 AS bit FROM w, unnest(range(1, len(w) - 1)) AS u(i)) SELECT doc_id, count(bit)::INTEGER AS n_bits, coalesce(sum(bit), 0)::BIGINT AS bit_sum FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1""")
 def _(t):
-    bits = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", K.shingle_fingerprint("text", 512).alias("b"))
+    bits = t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", K.shingle_fingerprint("text", 512).alias("b"))
     return bits.select("doc_id", F.size("b").alias("n_bits"), F.aggregate("b", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("bit_sum"))
 
 
@@ -238,20 +237,20 @@ def _(t):
 
 
 TARGET = "t AS (SELECT list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 0)) AS tt FROM documents WHERE doc_id = 0)"
-DOCS = f"""{TARGET}, d AS (SELECT doc_id, lang, source, n_chars, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 0)) AS tok, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+DOCS = f"""{TARGET}, d AS (SELECT doc_id, lang, source, n_chars, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 0)) AS tok, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 tan AS (SELECT d.*, coalesce(len(list_intersect(tok, tt)) / nullif(len(list_distinct(list_concat(tok, tt))), 0)::DOUBLE, 0) AS a, (source = (SELECT source FROM documents WHERE doc_id = 0))::INT::DOUBLE AS b FROM d, t),
 fp AS (SELECT *, a * (0.35::DOUBLE / 0.9) + b * (0.55::DOUBLE / 0.9) AS fp_sim FROM tan),
-ref AS (SELECT embedding AS r FROM fp ORDER BY fp_sim DESC, doc_id LIMIT 1),
+ref AS (SELECT embedding AS r FROM fp WHERE embedding IS NOT NULL ORDER BY fp_sim DESC, doc_id LIMIT 1),
 sim AS (SELECT fp.*, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(r, lambda x: x::DOUBLE)) AS feat_sim FROM fp, ref),
-com AS (SELECT *, 0.3::DOUBLE * fp_sim + 0.7::DOUBLE * greatest(0, least(1, feat_sim)) AS combined_sim FROM sim)"""
+com AS (SELECT *, 0.3::DOUBLE * fp_sim + 0.7::DOUBLE * greatest(0, least(1, coalesce(feat_sim, 0))) AS combined_sim FROM sim)"""
 
 
 def doc_rows(t):
     tokens = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 0))
     vec = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    docs = spread(t.documents.select("doc_id", "text", "lang", "source", "n_chars"), "doc_id").select("doc_id", "lang", "source", "n_chars", tokens.alias("tok"), F.array("source").alias("src"))
+    docs = t.documents.select("doc_id", "text", "lang", "source", "n_chars").repartition("doc_id").select("doc_id", "lang", "source", "n_chars", tokens.alias("tok"), F.array("source").alias("src"))
     target = docs.filter("doc_id = 0")
-    rows = docs.join(vec, "doc_id").withColumns({"tt": target.select("tok").scalar(), "ts": target.select("src").scalar()})
+    rows = docs.join(vec, "doc_id", "left").withColumns({"tt": target.select("tok").scalar(), "ts": target.select("src").scalar()})
     fp = K.set_similarity({"linker": (F.col("tt"), 0.35), "precursor": (F.col("ts"), 0.55), "modulator": (None, 0.10)}, {"linker": "tok", "precursor": "src", "modulator": "src"})
     return K.blended_similarity(rows, "doc_id", fp, "vec")
 

@@ -102,19 +102,21 @@ APPENDED = "SELECT c_custkey AS id, c_name AS name, c_acctbal AS score, NULL::VA
 def appended(t):
     table = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
     rows = t.part.select((F.col("p_partkey") + 1000000).alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("score"), F.col("p_brand").alias("brand"))
-    return E.append_rows(table, rows, ["id", "name"], "score")
+    return table, *E.accepted_rows(table, rows, ["id", "name"], "score")
 
 
 @query("e1_validated_append", APPENDED)
 def _(t):
+    before, accepted, _ = appended(t)
     table = E.SnapshotTable(t.spark, S.scratch(t.spark, "append"))
-    table.commit(appended(t)[0])
+    table.commit(before)
+    table.commit(accepted, append=True)
     return table.read()
 
 
 @query("e1_rejected_rows", "SELECT p_partkey + 1000000 AS id, 'score is out of range' AS reasons FROM part WHERE p_size NOT BETWEEN 0 AND 9")
 def _(t):
-    return appended(t)[1].select("id", F.array_join("reasons", "; ").alias("reasons"))
+    return appended(t)[2].select("id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("e2_update_rows", "SELECT c_custkey, CASE WHEN o.k IS NOT NULL THEN coalesce(m, c_acctbal) ELSE c_acctbal END AS c_acctbal, CASE WHEN o.k IS NULL THEN c_nationkey::DOUBLE END AS c_nationkey, n::DOUBLE AS n_orders FROM customer LEFT JOIN (SELECT o_custkey AS k, CASE WHEN max(o_totalprice) > 400000 THEN max(o_totalprice) END AS m, count(*) AS n FROM orders GROUP BY 1) o ON o.k = c_custkey")

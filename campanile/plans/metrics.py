@@ -223,19 +223,22 @@ def _(t):
     return M.paired_compare(pairs(t), "seed", METRICS).withColumns(r6(*cols)).select("metric", "n_valid", *cols)
 
 
-ERF = f"(1 / (1 + {0.3275911!r}::DOUBLE * abs(z) / sqrt(2.0::DOUBLE)))"
-CDF = f"""(CASE WHEN z >= 0 THEN 1 ELSE -1 END * (1 - ({ERF} * (0.254829592::DOUBLE + {ERF} * (-0.284496736::DOUBLE + {ERF} * (1.421413741::DOUBLE + {ERF} * (-1.453152027::DOUBLE + {ERF} * 1.061405429::DOUBLE))))) * exp(-z * z / 2)) + 1) / 2"""
+# the integral of the density by Simpson's rule
+CDF = "(0.5 + Z9 / 1200 * list_sum([(CASE WHEN i % 400 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(Z9 * i / 400) * (Z9 * i / 400) / 2) for i in range(401)]) / sqrt(2 * pi()))".replace("Z9", "greatest(-9, least(9, z))")
+# exact for up to 12 deltas without ties or zeros: every choice of signs is tried
+TAIL = "(SELECT count(*) FILTER (list_sum([CASE WHEN (m >> (i - 1)::BIGINT) & 1 = 1 THEN i ELSE 0 END for i in range(1, 13)]) >= t) / (1 << least(n, 12)::INTEGER)::DOUBLE FROM (SELECT unnest(range(0, (1 << least(n, 12)::INTEGER)::BIGINT)) AS m))"
+P_VALUE = f"CASE WHEN n <= 12 AND ties = 0 AND zeros = 0 THEN {TAIL} ELSE 1 - {CDF} END"
 WILCOXON = f"""{PAIRS}, rk AS (SELECT metric, delta, rank() OVER (PARTITION BY metric ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY metric, abs(delta)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY metric, abs(delta)) AS tie FROM d),
-w AS (SELECT metric, count(*)::DOUBLE AS n, sum(CASE WHEN delta > 0 THEN r WHEN delta = 0 THEN r / 2 ELSE 0 END) AS t, sum(tie * tie - 1)::DOUBLE AS ties FROM rk GROUP BY 1),
-zz AS (SELECT metric, n, (t - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM w)"""
+w AS (SELECT metric, count(*)::DOUBLE AS n, sum(CASE WHEN delta > 0 THEN r WHEN delta = 0 THEN r / 2 ELSE 0 END) AS t, sum(tie * tie - 1)::DOUBLE AS ties, count(*) FILTER (delta = 0) AS zeros FROM rk GROUP BY 1),
+zz AS (SELECT metric, n, t, ties, zeros, (t - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM w)"""
 
 
-@query("a41_signed_rank", f"WITH {WILCOXON} SELECT metric, round(1 - {CDF}, 6) AS p_value FROM zz")
+@query("a41_signed_rank", f"WITH {WILCOXON} SELECT metric, round({P_VALUE}, 6) AS p_value FROM zz")
 def _(t):
     return M.signed_rank(M.paired_deltas(pairs(t), "seed", METRICS), ["metric"]).withColumns(r6("p_value"))
 
 
-@query("a42_decision", f"""WITH {WILCOXON}, pv AS (SELECT metric, n, 1 - {CDF} AS p FROM zz), s AS (SELECT metric, median(delta) AS m, avg((delta > 0)::INT) AS w FROM d GROUP BY 1)
+@query("a42_decision", f"""WITH {WILCOXON}, pv AS (SELECT metric, n, {P_VALUE} AS p FROM zz), s AS (SELECT metric, median(delta) AS m, avg((delta > 0)::INT) AS w FROM d GROUP BY 1)
 SELECT metric, CASE WHEN n < 3 THEN 'insufficient_data' WHEN n < 10 THEN 'underpowered' WHEN m > 0 AND p < 0.05 AND w >= 0.6 THEN 'A_wins' WHEN m < 0 AND 1 - p < 0.05 AND w <= 0.4 THEN 'B_likely_better' ELSE 'tie' END AS decision FROM pv JOIN s USING (metric)""")
 def _(t):
     return M.paired_compare(pairs(t), "seed", METRICS).select("metric", "decision")

@@ -39,8 +39,8 @@ def _(t):
 
 
 SAMPLE = """e AS (SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT count(*) AS n FROM e),
-dr AS (SELECT ('0x' || substr(md5(s || '|42|a'), 1, 8))::BIGINT % n + 1 AS a, ('0x' || substr(md5(s || '|42|b'), 1, 8))::BIGINT % n + 1 AS b FROM range(0, 2000) r(s), n),
-p AS (SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM dr WHERE a <> b),
+dr AS (SELECT ('0x' || substr(md5(s || '|42|a'), 1, 15))::BIGINT % n + 1 AS a, ('0x' || substr(md5(s || '|42|b'), 1, 15))::BIGINT % n + 1 AS b FROM range(0, 8000) r(s), n),
+p AS (SELECT * FROM (SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM dr WHERE a <> b) ORDER BY ('0x' || substr(md5(i || '|' || j || '|42'), 1, 15))::BIGINT, i, j LIMIT 2000),
 sp AS (SELECT x.vec_id AS id_a, y.vec_id AS id_b, list_distance(x.v, y.v) AS distance, abs(x.label - y.label)::DOUBLE AS dy FROM p JOIN e x ON x.rn = i JOIN e y ON y.rn = j)"""
 
 

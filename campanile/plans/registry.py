@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SKEW = "spark.sql.adaptive.forceOptimizeSkewedJoin"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
@@ -17,8 +15,6 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        # split hot join keys even where that costs one more shuffle
-        spark.conf.set(SKEW, "true")
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -9,12 +9,11 @@ from ..functions import numeric as N
 from ..functions.scan import number_rows
 from ..operators import inventory as I
 from ..operators import joins as J
-from ..session import spread
 from .registry import query
 
 
 def doc_tokens(t):
-    return I.token_inventory(spread(t.documents.select("doc_id", "text"), "doc_id"), "doc_id", F.split(F.lower("text"), "[^a-z]+"))
+    return I.token_inventory(t.documents.select("doc_id", "text").repartition("doc_id"), "doc_id", F.split(F.lower("text"), "[^a-z]+"))
 
 
 WORDS = """

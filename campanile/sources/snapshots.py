@@ -1,13 +1,15 @@
 """Versioned Parquet snapshots and the table maintenance on top of them.
 
-A table folder holds `data/v=<n>` and a commit marker per version. A writer
-reads a version, writes the next one beside it and commits by creating its
-marker; creation fails when another writer was first, so nobody overwrites a
-version. Older versions stay as backups.
+A version is a pointer: a small file that names the data folders it is made of. A
+writer puts its rows into a folder of its own and publishes by creating the next
+pointer; creation fails when another writer was first, so nobody touches what a
+published version reads. An append adds one folder to the list of the version
+before. Older versions stay as backups.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,25 +41,34 @@ class SnapshotTable:
         found = self.versions()
         return found[-1] if found else 0
 
+    def folders(self, version: int) -> list[str]:
+        """The data folders of a version."""
+        return [r.value for r in self.spark.read.text(f"{self.folder}/commits/{version}").collect()]
+
     def read(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
         if v == 0:
             raise FileNotFoundError(f"{self.folder} has no committed version")
-        return self.spark.read.parquet(f"{self.folder}/data/v={v}")
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.folder}/data/{name}" for name in self.folders(v)])
+
+    def commit(self, df: DataFrame, expected: int | None = None, append: bool = False) -> int:
+        """Write rows and publish the next version; `expected` is the version the change was made from.
 
-    def commit(self, df: DataFrame, expected: int | None = None) -> int:
-        """Write the next version and publish it; `expected` is the version the change was made from."""
+        With `append` the rows join those of that version, which are not written again; else they replace them.
+        """
         base = self.version() if expected is None else expected
         if self.version() != base:
             raise ConcurrentEdit(f"version is {self.version()}, not {base}")
-        new = base + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/data/v={new}")
-        marker = self._path(f"{self.folder}/commits/{new}")
+        own = uuid.uuid4().hex
+        df.write.parquet(f"{self.folder}/data/{own}")
+        names = [*(self.folders(base) if append and base else []), own]
         try:
-            self._fs.create(marker, False).close()
+            pointer = self._fs.create(self._path(f"{self.folder}/commits/{base + 1}"), False)
         except Exception as error:
-            raise ConcurrentEdit(f"version {new} was committed by another writer") from error
-        return new
+            raise ConcurrentEdit(f"version {base + 1} was committed by another writer") from error
+        pointer.writeBytes("".join(f"{n}\n" for n in names))
+        pointer.close()
+        return base + 1
 
     def backups(self) -> list[int]:
         """The versions before the current one, newest first."""
@@ -67,14 +78,14 @@ class SnapshotTable:
 # -- pure plans, usable without a table --------------------------------------------
 
 
-def append_rows(table: DataFrame, rows: DataFrame, required: Sequence[str], score: str,
-                enrich: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(table with the accepted rows, rejected rows with reasons); new fields become columns."""
+def accepted_rows(table: DataFrame, rows: DataFrame, required: Sequence[str], score: str,
+                  enrich: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, with the table's types; rejected rows with reasons); new fields become columns."""
     accepted, rejected = split_valid(validate_rows(rows, required, score))
     accepted = enrich(accepted) if enrich else accepted
     casts = dict(table.dtypes)
     accepted = accepted.withColumns({c: F.col(c).cast(casts[c]) for c in accepted.columns if c in casts})
-    return table.unionByName(accepted, allowMissingColumns=True), rejected
+    return accepted, rejected
 
 
 def check_identity(table: DataFrame, key: str, expected: DataFrame) -> None:
@@ -159,6 +170,6 @@ class Memo:
         wanted = df.select(F.col(key).cast("string").alias("key")).where(F.col(key).isNotNull()).distinct()
         fresh = wanted.join(self.known().select("key"), "key", "left_anti")
         compute(fresh).select("key", "value").write.mode("append").parquet(self.path)
-        # two writers may have added one key; either value serves
-        table = self.known().groupBy("key").agg(F.any_value("value").alias(out))
+        # only the wanted keys are looked up; two writers may have added one key, and either value serves
+        table = self.known().join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("value").alias(out))
         return df.join(table, F.col(key).cast("string") == F.col("key"), "left").drop("key")

@@ -1,6 +1,7 @@
 """Hand-computed edge rules."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ def test_numbers(spark):
 
 
 def test_normal_cdf(spark):
-    rows = spark.createDataFrame([(i / 10,) for i in range(-40, 41)], "z double")
+    rows = spark.createDataFrame([(i / 10,) for i in range(-80, 81)], "z double")
     for z, p in rows.select("z", N.normal_cdf("z")).collect():
-        assert p == pytest.approx((1 + math.erf(z / math.sqrt(2))) / 2, abs=2e-7)
+        assert p == pytest.approx((1 + math.erf(z / math.sqrt(2))) / 2, abs=1e-14)
 
 
 def scored(spark, rows):
@@ -67,8 +68,23 @@ def test_wilcoxon_all_zero_and_known(spark):
     rows = spark.createDataFrame([("z", 0.0)] * 4 + [("p", float(i)) for i in range(1, 11)], "m string, delta double")
     got = {r["m"]: r["p_value"] for r in M.signed_rank(rows, ["m"]).collect()}
     assert got["z"] == 1.0
-    # 10 positive deltas: statistic 55, mean 27.5, variance 96.25
-    assert got["p"] == pytest.approx(1 - (1 + math.erf(27.5 / math.sqrt(96.25) / math.sqrt(2))) / 2, abs=1e-6)
+    # of all choices of signs only one has ten positive ranks
+    assert got["p"] == 1 / 1024
+
+
+def test_wilcoxon_is_exact_for_few_and_approximate_with_ties(spark):
+    import itertools
+
+    rng = random.Random(5)
+    for n in (1, 2, 7, 11):
+        deltas = [rng.choice((-1, 1)) * (i + 1.0) for i in range(n)]
+        t = sum(i + 1 for i, d in enumerate(deltas) if d > 0)
+        exact = sum(sum(s) >= t for s in itertools.product(*[(0, i + 1) for i in range(n)])) / 2**n
+        got = one(M.signed_rank(spark.createDataFrame([("a", d) for d in deltas], "m string, delta double"), ["m"]))
+        assert got["p_value"] == pytest.approx(exact, abs=1e-12)
+    tied = spark.createDataFrame([("a", d) for d in (1.0, 1.0, 2.0, -3.0, 4.0)], "m string, delta double")
+    z = (11 - 7.5) / math.sqrt((5 * 6 * 11 - 6 / 2) / 24)
+    assert one(M.signed_rank(tied, ["m"]))["p_value"] == pytest.approx((1 - math.erf(z / math.sqrt(2))) / 2, abs=1e-12)
 
 
 def test_spearman_constant(spark):
@@ -100,20 +116,19 @@ def test_profile_moments_of_nothing(spark):
     assert got["m0"] == 0.0 and got["f_acc"] is None and got["spread"] is None
 
 
-def test_pairs_by_buckets_equal_pairs_by_array(spark, monkeypatch):
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_pairs_by_buckets(spark, buckets):
     names = spark.createDataFrame([(c,) for c in "dacbe"], "k string")
-    small = sorted(map(tuple, J.unordered_pairs(names, "k").collect()))
-    cross = sorted(map(tuple, J.product(names, names.withColumnRenamed("k", "j")).collect()))
-    monkeypatch.setattr(J, "ARRAY_LIMIT", 2)
-    assert sorted(map(tuple, J.unordered_pairs(names, "k").collect())) == small
-    assert sorted(map(tuple, J.product(names, names.withColumnRenamed("k", "j")).collect())) == cross
-    assert len(small) == 15 and len(cross) == 25
+    pairs = sorted(map(tuple, J.unordered_pairs(names, "k", buckets=buckets).collect()))
+    assert pairs == sorted([(a, b) for a in "abcde" for b in "abcde" if a < b] + [(a, "") for a in "abcde"])
+    assert sorted(map(tuple, J.product(names, names.withColumnRenamed("k", "j"), buckets).collect())) == [(a, b) for a in "abcde" for b in "abcde"]
 
 
 def test_duplicate_seed_is_an_error(spark):
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("b", 1, 1.0)], "m string, seed int, v double")
-    with pytest.raises(ValueError):
-        J.paired(rows, "m", "a", "b", "seed", ["v"])
+    with pytest.raises(Exception, match="more than one row per seed: 1"):
+        J.paired(rows, "m", "a", "b", "seed", ["v"]).collect()
+    assert J.paired(rows.filter("v <> 1 or m = 'b'"), "m", "a", "b", "seed", ["v"]).collect() == [(1, 2.0, 1.0)]
 
 
 def test_expected_improvement_without_spread(spark):

@@ -137,6 +137,31 @@ def test_concurrent_commit_fails(spark, t):
     assert table.versions() == [1, 2] and table.backups() == [1]
 
 
+def test_refused_writer_leaves_the_published_version(spark, t):
+    """Both writers pass the version check before either publishes."""
+    folder = S.scratch(spark, "race")
+    first = E.SnapshotTable(spark, folder)
+    first.commit(t.nation)
+
+    class Late(E.SnapshotTable):
+        def version(self):
+            return 1
+
+    late = Late(spark, folder)
+    first.commit(t.nation.limit(5), expected=1)
+    with pytest.raises(E.ConcurrentEdit):
+        late.commit(t.nation.limit(9), expected=1)
+    assert first.read(2).count() == 5 and first.version() == 2
+
+
+def test_append_keeps_the_folders_before(spark, t):
+    table = E.SnapshotTable(spark, S.scratch(spark, "append"))
+    table.commit(t.nation)
+    table.commit(t.nation.limit(3).withColumn("more", F.lit(1)), append=True)
+    assert table.folders(2)[:1] == table.folders(1) and len(table.folders(2)) == 2
+    assert table.read().count() == t.nation.count() + 3 and table.read().filter("more = 1").count() == 3
+
+
 def test_identity_guard(spark, t):
     with pytest.raises(E.ConcurrentEdit):
         E.check_identity(t.nation, "n_nationkey", t.nation.select((F.col("n_nationkey") + 1).alias("n_nationkey")))
