@@ -100,11 +100,12 @@ def table_of(words: list[tuple[int, ...]], weights: np.ndarray) -> np.ndarray:
     return table
 
 
-def apply_tables(words: list[tuple[int, ...]], tables: np.ndarray) -> np.ndarray:
-    """Normalized kernel of each word with each table's vector."""
+def apply_tables(words: list[tuple[int, ...]], tables: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Normalized kernel of each word with each table's vector. `place` says where a subsequence is in tables that leave most out."""
     out = np.zeros((len(words), len(tables)))
     for rows, codes in by_length(words):
         number, weight = subsequences(codes)
+        number = number if place is None else place[number]
         length = norms(codes)
         for k, table in enumerate(tables):
             out[rows, k] = table[number] @ weight / length
@@ -140,11 +141,16 @@ def learn(positive: dict[str, float], negative: list[str], seed: int = 0, cost:
     words, y = [*good, *bad], np.repeat([1.0, -1.0], [len(good), len(bad)])
     marks = [good[i] for i in sorted(range(len(good)), key=lambda i: (-weights[i], i))[: LANDMARKS // 2]]
     marks += [bad[i] for i in np.random.default_rng(seed).permutation(len(bad))[: LANDMARKS // 2]]
-    tables = np.array([table_of([m], np.ones(1)) for m in marks])
-    values, vectors = np.linalg.eigh(apply_tables(marks, tables))
+    used = np.unique(np.concatenate([subsequences(np.array([m]))[0].ravel() for m in marks]))
+    place = np.full(SIZE**3, len(used), np.int32)  # what no landmark has is in a last column of zeros
+    place[used] = np.arange(len(used))
+    tables = np.zeros((len(marks), len(used) + 1), np.float32)
+    for row, mark in zip(tables, marks):
+        row[:-1] = table_of([mark], np.ones(1))[used]
+    values, vectors = np.linalg.eigh(apply_tables(marks, tables, place))
     kept = values > 1e-8 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    x = np.column_stack([apply_tables(words, tables) @ root, np.ones(len(words))])
+    x = np.column_stack([apply_tables(words, tables, place) @ root, np.ones(len(words))])
     weight = np.concatenate([np.sqrt(np.array(weights)), np.ones(len(bad))])
     for side in (1.0, -1.0):
         weight[y == side] *= cost * 0.5 * len(y) / max(1.0, weight[y == side].sum())
@@ -158,7 +164,7 @@ def learn(positive: dict[str, float], negative: list[str], seed: int = 0, cost:
         active = now
         z = x[active] * weight[active, None]
         w = np.linalg.solve(ridge + z.T @ x[active], z.T @ y[active])
-    return Machine(tables.T @ (root @ w[:-1]), float(w[-1]))
+    return Machine((tables.T @ (root @ w[:-1]))[place], float(w[-1]))
 
 
 def cover(bags: list[set[str]]) -> dict[str, int]:
@@ -242,7 +248,7 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_column: str = "do
     ids = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & usable).groupBy(id_column).agg(F.max(F.col(label).cast("int")).alias("__toxic"))
     ids = ids.orderBy(F.xxhash64(id_column), id_column).limit(most)
     docs = df.join(F.broadcast(ids), id_column).select(F.col(id_column).alias("id"), "__toxic", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))))
+    parts = F.array_distinct(F.split(F.translate(F.lower("text"), EDGES, " " * len(EDGES)), r"\s+"))
     words = docs.select(F.md5("text").alias("copy"), "__toxic", F.explode(parts).alias("word")).where(F.length("word") > 1)
     words = cut(words.groupBy("word", "copy").agg(F.max("__toxic").alias("toxic")))
     counts = words.groupBy("word").agg(F.sum("toxic").alias("up"), F.sum(1 - F.col("toxic")).alias("down"))
