@@ -199,11 +199,31 @@ def test_neighbour_information_against_brute_force(spark, blocks):
 
 
 def test_tables_work_in_a_session_without_our_settings(spark, folder):
-    from campanile.plans.registry import SKEW, Tables
+    from campanile.plans.registry import Tables
 
-    before = spark.conf.get(SKEW)
-    spark.conf.unset(SKEW)
+    setting = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    before = spark.conf.get(setting)
+    spark.conf.unset(setting)
     try:
         assert Tables(spark, folder).region.count() == 5
+        assert spark.conf.get(setting) == "false"  # a query leaves the caller's settings alone
     finally:
-        spark.conf.set(SKEW, before)
+        spark.conf.set(setting, before)
+
+
+def test_checkpoints_need_no_setting():
+    """In a process of its own: no preset folder, then only the context's."""
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+from campanile.session import checkpoint_dir, cut
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+{before}
+assert cut(spark.range(5)).count() == 5
+assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+"""
+    root = __file__.rsplit("/", 2)[0]
+    for before in ("", "import tempfile; spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())"):
+        subprocess.run([sys.executable, "-c", code.format(before=before)], cwd=root, check=True, timeout=120, capture_output=True)
