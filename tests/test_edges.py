@@ -1,6 +1,7 @@
 """Hand-computed edge rules."""
 
 import math
+import os
 import random
 
 import pytest
@@ -211,7 +212,7 @@ def test_tables_work_in_a_session_without_our_settings(spark, folder):
         spark.conf.set(setting, before)
 
 
-def test_checkpoints_need_no_setting():
+def test_checkpoints_need_no_setting(tmp_path):
     """In a process of its own: no preset folder, then only the context's."""
     import subprocess
     import sys
@@ -226,4 +227,4 @@ assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
 """
     root = __file__.rsplit("/", 2)[0]
     for before in ("", "import tempfile; spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())"):
-        subprocess.run([sys.executable, "-c", code.format(before=before)], cwd=root, check=True, timeout=120, capture_output=True)
+        subprocess.run([sys.executable, "-c", code.format(before=before)], cwd=root, check=True, timeout=120, capture_output=True, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)})
