@@ -32,6 +32,15 @@ def batch_strategy(score: str, requested: str | None = None) -> str:
     return requested if requested in allowed else allowed[0]
 
 
+def batch_strategies(score, requested) -> Column:
+    """C5 by row: the same rule over columns of score names and requested strategies."""
+    s, r = as_column(score), as_column(requested)
+    known = F.create_map(*[x for name, allowed in BATCH_STRATEGIES.items() for x in (F.lit(name), F.array(*map(F.lit, allowed)))])
+    bound = F.array(F.struct(F.element_at(known, s).alias("allowed"), r.alias("asked")))
+    rule = lambda b: F.when(b["allowed"].isNull(), F.coalesce(b["asked"], F.lit("diverse_greedy"))).when(F.array_contains(b["allowed"], b["asked"]), b["asked"]).otherwise(b["allowed"][0])
+    return F.transform(bound, rule)[0]
+
+
 def candidate_features(candidates: DataFrame, template: Mapping[str, float], ranges: Ranges, temperature: str, ratio: str, hours: str) -> DataFrame:
     """Template values for absent columns, candidate values scaled and clipped by the trained ranges, interactions."""
     rows = candidates.withColumns({c: F.lit(v) for c, v in template.items() if c not in candidates.columns})

@@ -57,6 +57,12 @@ class Standard:
         return (F.col(column) - F.lit(self.mean[column])) / F.lit(self.std[column] or 1.0)
 
 
+def varying_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The names of the columns that hold more than one value, as rows; one scan."""
+    ranges = F.array(*[F.struct(F.lit(c).alias("column"), (F.min(c) < F.max(c)).alias("varies")) for c in columns])
+    return df.agg(ranges.alias("r")).select(F.explode("r").alias("r")).filter("r.varies").select("r.column")
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """R for every column pair i < j, from one aggregate."""
     pairs = [(i, j) for j in range(len(columns)) for i in range(j)]

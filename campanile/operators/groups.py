@@ -144,8 +144,8 @@ def balanced_resample(df: DataFrame, label: str, key: str, seed: int = 0) -> Dat
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("class_weight", "__copies")
 
 
-def poisson_count(u, rate: float = 1.0, most: int = 12) -> Column:
-    """Poisson count from a uniform number by its distribution function."""
+def poisson_count(u, rate: float = 1.0, most: int = 18) -> Column:
+    """Poisson count from a uniform number by its distribution function. At rate 1 more than 17 has probability 1e-16, below what a draw can tell."""
     u = as_column(u)
     term, total, steps = math.exp(-rate), math.exp(-rate), []
     for i in range(most):

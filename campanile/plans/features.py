@@ -18,11 +18,7 @@ NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query("p17_varying_columns", """SELECT 'l_quantity' AS "column" FROM lineitem HAVING min(l_quantity) <> max(l_quantity) UNION ALL SELECT 'l_tax' FROM lineitem HAVING min(l_tax) <> max(l_tax)""")
 def _(t):
-    df = t.lineitem.withColumn("constant", F.lit(3.0))
-    kept = X.Ranges.fit(df, ["l_quantity", "constant", "l_tax"]).kept()
-    # the kept names come from the data: one row per varying column
-    names = F.array(*[F.lit(k) for k in kept])
-    return t.lineitem.agg(F.count(F.lit(1)).alias("n")).select(F.explode(names).alias("column"))
+    return X.varying_columns(t.lineitem.withColumn("constant", F.lit(3.0)), ["l_quantity", "constant", "l_tax"])
 
 
 @query("p18_correlated_columns", """WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS r1, corr(l_quantity, l_quantity * 2 + l_tax) AS r2, corr(l_extendedprice, l_quantity * 2 + l_tax) AS r3 FROM lineitem)

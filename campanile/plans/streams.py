@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources.files import scratch
 from ..streaming import append, region
 from .candidates import campaign_steps
-from .registry import query
+from .registry import TWINS, query
 
 
 @query("x1_streaming_append", "SELECT p_partkey AS id, p_size::DOUBLE AS score FROM part WHERE p_size BETWEEN 0 AND 9")
@@ -30,13 +30,16 @@ def _(t):
     return append.count_by_reason(append.read_batches(t.spark, f"{base}/quarantine"))
 
 
-@query("x2_streaming_region")
+@query("x2_streaming_region", f"SELECT o_custkey AS campaign, length, successes, failures, best, n_updates FROM ({TWINS['c7_trust_region']})")
 def _(t):
     base = scratch(t.spark, "region")
     steps = campaign_steps(t).select(F.col("o_custkey").alias("campaign"), F.col("at").alias("step"), F.col("y").alias("score"))
-    # a campaign's rows lie in one file, so its steps arrive in order
-    steps.repartition(4, "campaign").write.parquet(f"{base}/in")
-    stream = t.spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    # a campaign's steps are split over files that are written, and so read, in their order: its state crosses micro-batches
+    cuts = steps.select(F.percentile_approx("step", [0.25, 0.5, 0.75])).first()[0]
+    part = sum((F.col("step") > c).cast("int") for c in cuts)
+    for k in range(4):
+        steps.filter(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
