@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from campanile.session import checkpoint_dir
 
@@ -47,12 +48,12 @@ class Memo(dict):
 def map_texts(df: DataFrame, carry: list[str], text: str, fields: str, start: Callable[[], Callable[[list[str]], list]], rows: int = 512) -> DataFrame:
     """One output row per input row: the columns `carry` as they are, then `fields` as `start()(texts)` gives them, a list for each.
 
-    `start` runs once in a task. A null text counts as empty. Other columns are left out, so their names cannot clash.
+    `start` runs once in a task. A null text counts as empty. Other columns are left out; a carried column with a name of the result gives way to it.
     """
+    added = StructType.fromDDL(fields)
+    taken = {f.name.lower() for f in added}
+    carry = [c for c in carry if c.lower() not in taken]
     chosen = df.select(*dict.fromkeys([*carry, text]))
-    added = T._parse_datatype_string(fields)
-    if twice := {f.name.lower() for f in added} & {c.lower() for c in carry}:
-        raise ValueError(f"carried columns have names of the result: {sorted(twice)}")
     kinds = [ARROW[f.dataType] for f in added]
     schema = T.StructType([chosen.schema[c] for c in carry] + list(added))
 

@@ -35,14 +35,13 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_rat
 
 
 def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 4, into: str = "n_dropped_lines") -> DataFrame:
-    """The rows of `df` with boilerplate lines taken out of `text`, and how many in the new column `into`.
+    """The rows of `df` with boilerplate lines taken out of `text`, and how many in the column `into` (which replaces one of that name).
 
     Null texts stay null, and a page all of whose lines go keeps its row with an empty text. Repeated rows count as pages of their own. A host has at most
     (lines a page) / max_ratio flagged lines, so its list is bounded; the lists go to all tasks if they are few in all, else they are joined by host, the pages
     of a host being dealt to many parts.
     """
-    if into in df.columns:
-        raise ValueError(f"the column {into} exists")
+    df = df.drop(into)
     lists = cut(boilerplate(df, host, text, max_ratio, min_pages).groupBy("host").agg(F.collect_list("line_key").alias("__drop")))
     size = lists.agg(F.sum(F.size("__drop"))).first()[0] or 0
     name = F.coalesce(F.col(host).cast("string"), F.lit(""))

@@ -39,3 +39,4 @@ def test_nulls_repeats_clashes_and_no_rows(spark):
     got = sorted(((r.doc_id, r.n_tokens) for r in count_tokens(df, PATH).collect()), key=str)
     assert got == [(1, 2), (1, 2), (2, 0), (None, 0)]
     assert count_tokens(df.limit(0), PATH).count() == 0
+    assert count_tokens(df, PATH, carry=("doc_id", "n_tokens")).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
