@@ -6,6 +6,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from campanile.session import cut
 WORDS, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 meets in none of the bands with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Rounds that compare each text with one other of its buckets, before all that are still apart are compared.
-STAR_ROUNDS = 2
+#: Texts of a bucket that are compared with one another in one place.
+TILE = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,7 +106,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
 
 
 class Shingler:
-    """Weighted sets of word n-grams as 64-bit hashes."""
+    """Sets of word n-grams as 64-bit hashes, with weights."""
 
     def __init__(self, words: int, weights: str):
         self.n, self.weights = words, weights
@@ -127,6 +128,57 @@ class Shingler:
         return distinct, counts.astype(float) if self.weights == "count" else np.ones(len(distinct))
 
 
+    def multiset(self, text: str) -> np.ndarray:
+        """The shingles, sorted, a further element for each time one counts: Jaccard indices of these sets are those of the weights."""
+        elements, weights = self.shingles(text)
+        times = weights.astype(np.int64)
+        if times.max(initial=1) > 1:
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            elements = np.repeat(elements, times)
+            elements = np.unique(np.where(nth > 0, mix(elements + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), elements))
+        return elements
+
+
+def links(sets: list[np.ndarray], left: np.ndarray, classes: list, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (sorted, distinct) with a Jaccard index of `threshold` or more, of different classes and one of them `left`.
+
+    Common elements are counted by products of incidence matrices, some thousand elements at a time; elements of one set alone count for nothing.
+    """
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if classes[0] != classes[1] and sizes.sum() and both >= threshold * (sizes.sum() - both) else []
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    kept = counts[codes] > 1
+    rows, codes = rows[kept], (np.cumsum(counts > 1) - 1)[codes[kept]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows[order], codes[order]
+    for low in range(0, int(codes[-1]) + 1 if len(codes) else 0, 2048):
+        a, b = np.searchsorted(codes, (low, low + 2048))
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[rows[a:b], codes[a:b] - low] = 1
+        common += part @ part.T
+    number = np.unique(np.array(classes), return_inverse=True)[1]
+    near = (common >= threshold * (sizes[:, None] + sizes[None, :] - common)) & (number[:, None] != number[None, :]) & (sizes[:, None] > 0)
+    near &= left[:, None] | left[None, :]
+    if not left.all():  # two tiles: pairs within either are met elsewhere
+        near &= left[:, None] != left[None, :]
+    found, fresh = [], np.ones(len(sets), bool)
+    for root in np.flatnonzero(near.any(1)):
+        if not fresh[root]:
+            continue
+        fresh[root], stack = False, [root]
+        while stack:
+            at = stack.pop()
+            new = np.flatnonzero(near[at] & fresh)
+            fresh[new] = False
+            stack += new.tolist()
+            found += [(int(at), int(n)) for n in new]
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of undirected `edges` (a, b): the root is the least node of the component.
 
@@ -159,9 +211,9 @@ def near_classes(df: DataFrame, text: str = "text", words: int = WORDS, threshol
     """(text_key, class_key) for each distinct text of `df`: texts linked by chains of pairs with a similarity of `threshold` or more share a class_key.
 
     The similarity is the weighted Jaccard index of word shingles: by default every shingle weighs 1, with weights="count" as often as it occurs. Equal texts are one
-    (their key is the MD5 of the text). Signatures meet in buckets of equal bands. Each text is compared exactly with one centre of its buckets, twice, and the classes found so
-    far are joined; then texts of a bucket still in different classes are compared with all others of it, so that no link between texts that share a bucket is lost. The pairs
-    of a bucket never all become rows unless none of its texts is like another. Null and empty texts have no shingles and are one text.
+    (their key is the MD5 of the text). Signatures meet in buckets of equal bands. First each text is compared with one centre of its buckets, and the classes so found are
+    joined; then the texts of each bucket that is not of one class are compared with one another, by tiles of bounded size, and only links come out, at most one for each
+    text and tile. All links are checked by the whole sets. Texts that meet in no bucket are not compared. Null and empty texts have no shingles and are one text.
     """
 
     def start():
@@ -179,54 +231,70 @@ def near_classes(df: DataFrame, text: str = "text", words: int = WORDS, threshol
 
     def measured():
         shingler = Shingler(words, weights)
-
-        def sets(texts):
-            found = [shingler.shingles(t) for t in texts]
-            return [[e.view(np.int64).tolist() for e, _ in found], [w.astype(np.int64).tolist() for _, w in found]]
-
-        return sets
+        return lambda texts: [[shingler.multiset(t).view(np.int64).tolist() for t in texts]]
 
     def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose sets are like enough."""
         a, b = (sets.select(*(F.col(c).alias(f"{c}_{side}") for c in sets.columns)) for side in "ab")
         joined = pairs.join(a, pairs["a"] == a["text_key_a"]).join(b, pairs["b"] == b["text_key_b"])
-        if weights == "set":
-            both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        else:
-            lightest = F.map_zip_with(F.map_from_arrays("shingles_a", "weights_a"), F.map_from_arrays("shingles_b", "weights_b"), lambda k, x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
-            both = F.aggregate(F.map_values(lightest), F.lit(0).cast("long"), lambda x, y: x + y)
-        return joined.select("a", "b", both.alias("both"), (F.col("total_a") + F.col("total_b")).alias("total")).where(F.col("both") >= threshold * (F.col("total") - F.col("both"))).select("a", "b")
+        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        return joined.select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("total")).where(F.col("both") >= threshold * (F.col("total") - F.col("both"))).select("a", "b")
+
+    def tile_links(batches):
+        """Links within the tiles, whose rows follow one another."""
+
+        def close(rows_):
+            keys, classes, left, sets = zip(*rows_)
+            sets = [np.unique(np.asarray(s, np.int32)) for s in sets]
+            return [(keys[a], keys[b]) for a, b in links(sets, np.array(left), list(classes), threshold)]
+
+        def pack(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+        tile, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "text_key", "class_key", "left")]
+            shingles = batch.column("shingles")
+            found = []
+            for n, (bucket, i, j, key, cls, left) in enumerate(zip(*columns)):
+                if (bucket, i, j) != tile:
+                    if len(held) > 1:
+                        found += close(held)
+                    tile, held = (bucket, i, j), []
+                held.append((key, cls, left, shingles[n].values.to_numpy()))
+            if found:
+                yield pack(found)
+        if len(held) > 1 and (found := close(held)):
+            yield pack(found)
 
     keyed = df.select(_text_key(text).alias("text_key"), F.col(text).alias("text"))
     signed = map_texts(keyed, ["text_key"], "text", "bands array<long>", start, rows=128)
     one = cut(signed.groupBy("text_key").agg(F.first("bands").alias("bands")))
     held = one.select("text_key", F.explode("bands").alias("bucket"))
-    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(held.join(shared, "bucket"))
+    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("text_key"), "text_key")).alias("centre")).where("n > 1")
+    members = cut(held.join(shared, "bucket").select("bucket", "text_key", "n", F.col("centre.text_key").alias("centre"), F.col("centre.col1").alias("order")))
     wanted = members.select("text_key").distinct()
     texts = keyed.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = cut(map_texts(texts, ["text_key"], "text", "shingles array<long>, weights array<long>", measured, rows=128).withColumn("total", F.aggregate("weights", F.lit(0).cast("long"), lambda x, y: x + y)))
-
-    classes = wanted.withColumn("class_key", F.col("text_key"))
-    edges = None
-    for turn in range(STAR_ROUNDS + 1):
-        apart = members.join(classes, "text_key")
-        mixed = apart.groupBy("bucket").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high"), F.min(F.struct(F.xxhash64("text_key", F.lit(turn)), "text_key", "class_key")).alias("centre")).where("low < high")
-        if turn < STAR_ROUNDS:
-            met = apart.join(mixed.select("bucket", "centre"), "bucket").where(F.col("class_key") != F.col("centre.class_key"))
-            pairs = met.groupBy("text_key").agg(F.min("centre").alias("centre")).select(F.col("text_key").alias("a"), F.col("centre.text_key").alias("b"))
-        else:
-            # the class with most texts of a bucket need not be compared within itself; all others are met with every text of other classes
-            few = apart.join(mixed.select("bucket"), "bucket")
-            largest = few.groupBy("bucket", "class_key").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "class_key")).alias("largest"))
-            small = few.join(largest, "bucket").where(F.col("class_key") != F.col("largest.class_key")).select("bucket", F.col("text_key").alias("a"), F.col("class_key").alias("ca"), F.col("largest.class_key").alias("cl"))
-            met = small.join(few.select("bucket", F.col("text_key").alias("b"), F.col("class_key").alias("cb")), "bucket").where((F.col("ca") < F.col("cb")) | (F.col("cb") == F.col("cl")))
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = similar(pairs, sets)
-        edges = found if edges is None else edges.unionAll(found)
-        edges = cut(edges)
+    sets = cut(map_texts(texts, ["text_key"], "text", "shingles array<long>", measured, rows=128))
+
+    def joined(edges: DataFrame) -> DataFrame:
         roots = components(edges)
-        classes = wanted.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").select("text_key", F.coalesce("root", "text_key").alias("class_key"))
+        return wanted.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").select("text_key", F.coalesce("root", "text_key").alias("class_key"))
+
+    stars = members.where("text_key <> centre").groupBy("text_key").agg(F.min(F.struct("order", "centre")).alias("best")).select(F.col("text_key").alias("a"), F.col("best.centre").alias("b"))
+    stars = cut(similar(stars, sets))
+    classes = cut(joined(stars))
+
+    apart = members.select("bucket", "text_key", "n").join(classes, "text_key")
+    mixed = apart.groupBy("bucket").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).where("low < high").select("bucket")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    placed = apart.join(mixed, "bucket").withColumn("at", F.pmod(F.xxhash64("text_key"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    # the fold to 32 bits only finds pairs to check
+    folded = sets.select("text_key", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("shingles"))
+    rows_ = placed.select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "text_key", "class_key", (F.col("at") <= F.col("other")).alias("left")).join(folded, "text_key")
+    met = rows_.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(tile_links, "a string, b string")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    classes = joined(stars.unionAll(similar(cut(pairs), sets)))
     return one.select("text_key").join(classes, "text_key", "left").select("text_key", F.coalesce("class_key", "text_key").alias("class_key"))
 
 
@@ -241,3 +309,17 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     named = least.select("text_key", "class_key").join(least.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows")), "class_key")
     out = keyed.join(named, "text_key")
     return out.select(F.col("id").alias(id_column), "class_id", "class_rows", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of `df` without near duplicates: of each class the row with the least id stays, once (see `near_classes`).
+
+    Rows without an id stay only if none of their class has one; of texts without ids that with the least MD5 stays. Rows are matched by id and text, so that a text with many copies
+    does not meet in one task.
+    """
+    last = F.lit(2**63 - 1)
+    keyed = df.withColumn("__key", _text_key(text)).withColumn("__id", F.coalesce(F.col(id_column).cast("long"), last))
+    least = keyed.groupBy("__key").agg(F.min("__id").alias("__id"))
+    classes = near_classes(df, text, **settings).select(F.col("text_key").alias("__key"), "class_key")
+    best = least.join(classes, "__key").groupBy("class_key").agg(F.min(F.struct("__id", "__key")).alias("best")).select("best.__id", "best.__key")
+    return keyed.join(best, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"]).select(df.columns)

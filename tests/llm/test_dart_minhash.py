@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from campanile.llm.dart_minhash import Shingler, components, near_duplicates, signatures
+from campanile.llm import dart_minhash
+from campanile.llm.dart_minhash import Shingler, components, links, near_duplicates, signatures
 
 
 def jaccard(a, b):
@@ -61,8 +62,28 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("weights", ["set", "count"])
-def test_classes_match_brute_force(spark, weights):
+def test_links_span_the_similar_pairs_of_tiles():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 10**6, 100)
+    sets = [np.unique(np.where(rng.random(100) < 0.06, rng.integers(0, 10**6, 100), base)) for _ in range(40)] + [rng.integers(0, 9, 0)] * 2
+    classes_ = [i // 3 for i in range(42)]
+    for left in (np.ones(42, bool), np.arange(42) < 20):
+        found = links(sets, left, classes_, 0.8)
+        near = {(i, j) for i in range(42) for j in range(i) if len(sets[i]) and classes_[i] != classes_[j] and (left.all() or left[i] != left[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+        assert all((max(p), min(p)) in near for p in found)
+        groups = []
+        for edges in (near, found):
+            root = list(range(42))
+            for _ in root:
+                for a, b in edges:
+                    root[a] = root[b] = min(root[a], root[b])
+            groups.append(root)
+        assert groups[0] == groups[1] and len(near) > len(found) > 5
+
+
+@pytest.mark.parametrize("weights,tile", [("set", 256), ("count", 256), ("set", 2)])
+def test_classes_match_brute_force(spark, weights, tile, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "TILE", tile)
     texts = corpus(5) + ["x y z " * n for n in (40, 41, 100)]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, class_id string")
     got = {r.doc_id: r for r in near_duplicates(df, weights=weights).collect()}
