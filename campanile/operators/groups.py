@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw, uniform
 from ..functions.scan import as_column, number_rows
 
-HEAVY_GROUPS = 1_000
-
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0, out: str = "fold") -> DataFrame:
     """Each class dealt round the folds in a hashed order. The label must not be null."""
@@ -31,49 +30,37 @@ def repeated_folds(df: DataFrame, fold_once, repeats: int, seed: int = 0) -> Dat
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0, out: str = "fold") -> DataFrame:
-    """G1: whole groups to folds with the class mix balanced.
+    """G1: whole groups to folds with the class mix balanced, by one rule for groups of all sizes.
 
-    Groups that hold more than a thousandth of the rows (at most a thousand of
-    them) are placed one by one where they leave the class counts most even. All
-    other groups are too small to unbalance a fold: they are sorted by main
-    class and size and dealt back and forth over the folds inside Spark.
+    Groups with like class counts (to three binary digits) are interchangeable. Of each such kind the groups are dealt round the folds, largest
+    first and back and forth; the folds that get one more are those which it leaves most even so far, the kinds being taken by falling size.
+    Only the kinds and how many groups each has go to the driver: a power of the logarithm of the largest group, whatever the number of groups.
     """
     cells = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
-    sizes = cells.groupBy(group).agg(F.sum("n").alias("size"), F.max_by(label, F.struct("n", label)).alias("main"))
-    total = df.count()
-    limit = max(1, math.ceil(total / HEAVY_GROUPS))
-    heavy = sizes.filter(F.col("size") > limit).select(group)
-    placed: dict = {}
-    load: list[dict] = [dict() for _ in range(k)]
-    counts: dict = {}
-    for row in cells.join(heavy, group, "left_semi").collect():
-        counts.setdefault(row[group], {})[row[label]] = row["n"]
-    classes = sorted({c for v in counts.values() for c in v}, key=repr)
-    for g in sorted(counts, key=lambda g: (-sum(counts[g].values()), repr(g))):
-        def spread(f: int) -> float:
-            worst = 0.0
-            for c in classes:
-                values = [load[i].get(c, 0) + (counts[g].get(c, 0) if i == f else 0) for i in range(k)]
-                mean = sum(values) / k
-                worst += sum((v - mean) ** 2 for v in values)
-            return worst
-
-        fold = min(range(k), key=lambda f: (spread(f), (f + seed) % k))
-        placed[g] = fold
-        for c, n in counts[g].items():
-            load[fold][c] = load[fold].get(c, 0) + n
-    light = sizes.join(heavy, group, "left_anti").withColumn("__h", draw(group, F.lit(seed)))
-    # position of a main class in name order, then size descending
-    place = F.lit(0)
-    for i, c in enumerate(sorted(r[0] for r in sizes.select("main").distinct().collect())):
-        place = F.when(F.col("main") == c, F.lit(i)).otherwise(place)
-    dealt = number_rows(light.withColumn("__o", place * float(total + 1) - F.col("size")), [], "__o", "__h", out="__rn")
-    at = (F.col("__rn") - 1 + seed) % (2 * k)
-    folds = dealt.select(group, F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int").alias(out))
-    if placed:
-        fixed = df.sparkSession.createDataFrame(list(placed.items()), df.select(group, F.lit(0).alias(out)).schema)
-        folds = folds.unionByName(fixed)
-    return df.join(folds, group)
+    shift = F.greatest(F.floor(F.log2("n")).cast("int") - 2, F.lit(0))
+    step = F.pow(F.lit(2), shift).cast("bigint")
+    rounded = F.floor(F.col("n") / step).cast("bigint") * step
+    groups = cells.groupBy(group).agg(F.sum("n").alias("size"), F.to_json(F.sort_array(F.collect_list(F.struct(F.col(label).cast("string").alias("c"), rounded.alias("n"))))).alias("kind"))
+    found = [(json.loads(r.kind), r.kind, r.m) for r in groups.groupBy("kind").agg(F.count(F.lit(1)).alias("m")).collect()]
+    found.sort(key=lambda x: (-sum(c["n"] for c in x[0]), x[1]))
+    load: list[dict] = [{} for _ in range(k)]
+    orders = []
+    for counts, kind, m in found:
+        def cost(f: int) -> tuple:
+            """What one more group adds to the sum of squared class counts; then the rows so far."""
+            return sum(2 * load[f].get(c["c"], 0) * c["n"] for c in counts), sum(load[f].values()), (f + seed) % k
+
+        folds = sorted(range(k), key=cost)
+        rounds, more = divmod(m, k)
+        for place, f in enumerate(folds):
+            for c in counts:
+                load[f][c["c"]] = load[f].get(c["c"], 0) + c["n"] * (rounds + (place < more))
+        orders.append((kind, folds if rounds % 2 == 0 else folds[::-1]))  # the last round, if it runs backwards, begins with the right ones
+    deal = df.sparkSession.createDataFrame(orders, "kind string, folds array<int>")
+    ranked = number_rows(groups.withColumns({"__h": draw(group, F.lit(seed)), "__o": -F.col("size")}), ["kind"], "__o", "__h", out="__rn")
+    at = (F.col("__rn") - 1) % (2 * k)
+    place = F.when(at < k, at).otherwise(2 * k - 1 - at).cast("int")
+    return df.join(ranked.join(deal, "kind").select(group, F.get("folds", place).alias(out)), group)
 
 
 def init_pool_split(df: DataFrame, group: str | None, score: str, key: str, fraction: float = 0.3, seed: int = 0, out: str = "role") -> DataFrame:

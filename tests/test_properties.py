@@ -42,6 +42,20 @@ def test_group_folds_of_small_groups(spark, blocks, t):
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 2
 
 
+def test_group_folds_balance_classes_and_large_groups(spark, blocks):
+    """Groups from one row to a third of the table, one rule for all."""
+    sizes = [4000, 1500, 1400, 1300, *[60 + i % 40 for i in range(60)], *[1 + i % 5 for i in range(600)]]
+    groups = spark.createDataFrame([(g, n) for g, n in enumerate(sizes)], "g long, n int")
+    rows = groups.select("g", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("c", (F.xxhash64("g", "i") % 3 == 0).cast("int"))
+    folds = G.group_folds(rows, "g", "c", 4, seed=2)
+    assert folds.count() == sum(sizes) and folds.groupBy("g").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+    counts = {(r.fold, r.c): r.n for r in folds.groupBy("fold", "c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the largest group fills a fold nearly alone, the others share the rest
+    for c in (0, 1):
+        by_fold = sorted(counts.get((f, c), 0) for f in range(4))
+        assert by_fold[2] <= 1.1 * by_fold[0]
+
+
 def test_stratified_folds_are_even(spark, blocks, t):
     folds = G.stratified_folds(t.orders, "o_orderstatus", "o_orderkey", 5)
     for r in folds.groupBy("o_orderstatus").pivot("fold", list(range(5))).count().collect():
