@@ -308,7 +308,7 @@ def learning_curve(scores: DataFrame, model: str, size: str, train: str, valid:
 def final_gap(curve: DataFrame, model: str, size: str) -> DataFrame:
     """The largest size per model and its gap class."""
     last = curve.groupBy(model).agg(F.max(size).alias(size), F.max_by("gap", size).alias("gap"), F.max_by("val_mean", size).alias("val_mean"))
-    kind = F.when(F.col("gap") > 0.10, "possible overfitting").when(F.col("gap") > 0.04, "moderate gap").otherwise("fairly tight train/validation fit")
+    kind = F.when(F.col("gap") > 0.10, "wide").when(F.col("gap") > 0.04, "some").otherwise("narrow")
     return last.withColumn("gap_class", kind)
 
 
@@ -360,7 +360,7 @@ def signed_rank(deltas: DataFrame, by: Sequence[str], delta: str = "delta") -> D
 
 
 def decision(n, median, p, win_rate) -> Column:
-    """A42."""
+    """A42. The codes are fixed values."""
     n, m, p, w = map(as_column, (n, median, p, win_rate))
     return (
         F.when(n < 3, "insufficient_data").when(n < 10, "underpowered")

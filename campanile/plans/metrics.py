@@ -202,7 +202,7 @@ def _(t):
     return M.learning_curve(learning_scores(t), "model", "size", "tr", "va").withColumns(r6("train_mean", "train_std", "val_mean", "val_std", "gap"))
 
 
-@query("a39_final_gap", f"WITH {LC} SELECT model, max(size) AS size, round(arg_max(gap, size), 6) AS gap, round(arg_max(val_mean, size), 6) AS val_mean, CASE WHEN arg_max(gap, size) > 0.10 THEN 'possible overfitting' WHEN arg_max(gap, size) > 0.04 THEN 'moderate gap' ELSE 'fairly tight train/validation fit' END AS gap_class FROM c GROUP BY 1")
+@query("a39_final_gap", f"WITH {LC} SELECT model, max(size) AS size, round(arg_max(gap, size), 6) AS gap, round(arg_max(val_mean, size), 6) AS val_mean, CASE WHEN arg_max(gap, size) > 0.10 THEN 'wide' WHEN arg_max(gap, size) > 0.04 THEN 'some' ELSE 'narrow' END AS gap_class FROM c GROUP BY 1")
 def _(t):
     return M.final_gap(M.learning_curve(learning_scores(t), "model", "size", "tr", "va"), "model", "size").withColumns(r6("gap", "val_mean"))
 
