@@ -109,21 +109,57 @@ def _attend(p: Parameters, seen: np.ndarray) -> tuple[np.ndarray, ...]:
     return q, k, v, a, own + a @ v
 
 
+class Scorer:
+    """Log-probabilities by fixed parameters, whose tables are prepared once: PAD's row, the scale within the queries, distances and causality as factors."""
+
+    def __init__(self, p: Parameters):
+        none = np.zeros((1, WIDTH), np.float32)
+        self.p = p
+        self.query, self.key, self.value, self.own = (np.concatenate([t, none]) for t in (p.query * np.float32(_SCALE), p.key, p.value, p.self_))
+        self.factor = np.exp(np.clip(p.distance, -_MOST, _MOST))[np.maximum(_BACK, 0)] * _CAUSAL
+
+    def attend(self, seen: np.ndarray) -> np.ndarray:
+        here = seen[:, BLOCK:]
+        a = _exp(self.query.take(here, axis=0) @ self.key.take(seen, axis=0).transpose(0, 2, 1))
+        a *= self.factor
+        padded = np.flatnonzero((seen[:, 0] == PAD) | (seen[:, -1] == PAD))
+        a[padded] *= (seen[padded] != PAD)[:, None, :]
+        h = a @ self.value.take(seen, axis=0)
+        h /= np.maximum(_total(a), 1e-30)[:, :, None]
+        h += self.own.take(here, axis=0)
+        return h.reshape(-1, WIDTH)
+
+    def __call__(self, seen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        return _log_targets(self.p, self.attend(seen), wanted)
+
+
 def log_probability(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Natural logarithms of the targets' probabilities, 0 at PAD."""
-    h = _attend(p, seen)[-1].reshape(-1, WIDTH)
+    return Scorer(p)(seen, wanted)
+
+
+def _log_targets(p: Parameters, h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     y = wanted.ravel()
-    order = np.argsort((y // SIDE).astype(np.uint8), kind="stable")
-    ends = np.searchsorted(y[order] // SIDE, np.arange(SIDE + 1))  # PAD comes after all classes
+    group = (y // SIDE).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=SIDE + 1))[:SIDE]  # PAD comes after all classes
     order = order[: ends[-1]]
-    h, y = h.take(order, axis=0), y[order]
-    logits = np.clip(h @ p.to_class + p.class_bias, -_MOST, _MOST)
-    out = logits[np.arange(len(y)), y // SIDE] - np.log(_total(np.exp(logits, out=logits)))
-    for c in range(SIDE):
-        a, b = ends[c], ends[c + 1]
-        if a < b:
-            inner = np.clip(h[a:b] @ p.to_place[c] + p.place_bias[c], -_MOST, _MOST)
-            out[a:b] += inner[np.arange(b - a), y[a:b] % SIDE] - np.log(_total(np.exp(inner, out=inner)))
+    h, y, group = h.take(order, axis=0), y[order], group[order]
+    at, place = np.arange(len(y)), y % SIDE
+    logits = h @ p.to_class
+    logits += p.class_bias
+    _exp(logits)
+    share = logits[at, group] / _total(logits)
+    inner = np.empty_like(logits)
+    begin = 0
+    for c, end in enumerate(ends):
+        if begin < end:
+            np.matmul(h[begin:end], p.to_place[c], out=inner[begin:end])
+            inner[begin:end] += p.place_bias[c]
+        begin = end
+    _exp(inner)
+    share *= inner[at, place] / _total(inner)
+    out = np.log(share)
     result = np.zeros(wanted.size, np.float32)
     result[order] = out
     return result.reshape(wanted.shape)

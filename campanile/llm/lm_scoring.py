@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campanile.llm.attention import PAD, SIDE, Parameters, blocks, fit, log_probability
+from campanile.llm.attention import PAD, SIDE, Parameters, Scorer, blocks, fit
 from campanile.llm.common import Memo, file_bytes, map_texts, shared_folder, words_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,7 +19,7 @@ _DOWN = str.maketrans(UPPER, LOWER)
 #: The most frequent words, sent to every task: at most so many, of at most so many characters, so under 20 MB. All others are joined.
 FREQUENT, LONGEST = 250_000, 64
 #: Of each training document's text a share of one in so many is learned from in each of two rounds, in pieces of at least so many characters.
-SHARE, PIECE, ROUNDS = 24, 240, 2
+SHARE, PIECE, ROUNDS = 40, 240, 2
 #: Pieces the common starting point is learned from, and steps each trainer takes at least (over the same pieces again where they are few).
 PILOT, LEAST_STEPS, RATE = 1500, 200, 0.06
 END, OTHER = 0, 1
@@ -30,8 +30,22 @@ def lowered(text: Column) -> Column:
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all rows. Counts are combined in each task before the shuffle."""
-    return df.select(F.explode(F.split(lowered(F.col(text)), "[\\x20\\x09-\\x0D]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word, n) over all rows. Counts are combined in each task before the shuffle, and spellings before they are made lower case."""
+    words = df.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+")).alias("spelling")).where("spelling <> ''")
+    spellings = words.groupBy("spelling").agg(F.count(F.lit(1)).alias("n"))
+    return spellings.groupBy(lowered(F.col("spelling")).alias("word")).agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame) -> dict[str, int]:
+    """The words above a count that at most FREQUENT reach. The count comes from a histogram of eighths of powers of two, so nothing is sorted."""
+    kept = counts.where(F.length("word") <= LONGEST).withColumn("bin", F.floor(F.log2("n") * 8))
+    total, least = 0, None
+    for r in sorted(kept.groupBy("bin").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.bin):
+        total += r.words
+        if total > FREQUENT:
+            break
+        least = r.bin
+    return {} if least is None else {r.word: r.n for r in kept.where(F.col("bin") >= least).collect()}
 
 
 class Subwords:
@@ -94,12 +108,12 @@ class Symbols:
 
 def _pieces(df: DataFrame, text: str, turn: int) -> DataFrame:
     """A piece of a SHARE-th of each text; of short texts a piece of PIECE characters, with the chance that keeps the share."""
-    t = lowered(F.col(text))
+    t = F.coalesce(F.col(text), F.lit(""))
     n = F.length(t)
     size = F.greatest(F.ceil(n / SHARE), F.lit(PIECE)).cast("int")
     draw = lambda k: F.pmod(F.xxhash64(t, F.lit(2 * turn + k)), F.lit(2**31))
     some = df.select(t.alias("t"), size.alias("size"), (draw(1) % (F.greatest(n - size, F.lit(0)) + 1)).cast("int").alias("at")).where(draw(0) * F.lit(1.0) < n / SHARE / size * 2**31)
-    return some.select(F.substring("t", F.col("at") + 1, F.col("size")).alias("piece"))
+    return some.select(lowered(F.substring("t", F.col("at") + 1, F.col("size"))).alias("piece"))
 
 
 def _trained(pieces: DataFrame, begin: Parameters, symbols: Symbols, file: bytes, rate: float) -> DataFrame:
@@ -169,14 +183,14 @@ def score(df: DataFrame, usable: Column, path: str, id_column: str = "doc_id", t
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, below = words + documents, words + documents + 0.5 * (distinct + (documents > 0) + 1)
     base = lambda c: math.log10((c + 0.5) / below)
-    frequent = {r.word: r.n for r in counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).toLocalIterator()}
+    frequent = frequent_words(counts)
     symbols = Symbols.of(subword_counts(counts, file), documents)
     model = train(learned, symbols, file, text)
     sent = spark.sparkContext.broadcast((frequent, symbols, model))
 
     def start():
         known, marks, parameters = sent.value
-        of = Subwords(file).of
+        of, probability = Subwords(file).of, Scorer(parameters)
 
         def look_up(word):
             symbols, rest = marks.encode(of(word))
@@ -204,9 +218,9 @@ def score(df: DataFrame, usable: Column, path: str, id_column: str = "doc_id", t
                     column.append(value)
             scores = np.array(rest)
             seen, wanted, owner = blocks(sequences, END)
-            for at in range(0, len(seen), 4096):
-                part = slice(at, at + 4096)
-                np.add.at(scores, owner[part], log_probability(parameters, seen[part], wanted[part]).sum(1, dtype=float))
+            for at in range(0, len(seen), 1024):  # so many windows stay in the processor's cache
+                part = slice(at, at + 1024)
+                np.add.at(scores, owner[part], probability(seen[part], wanted[part]).sum(1, dtype=float))
             return [*columns[:3], (scores / math.log(10)).tolist(), *columns[3:]]
 
         return judge
