@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -51,60 +52,67 @@ class Pieces:
         scores = np.array(raw) if unigram else -np.log(np.arange(len(raw)) + 20.0)
         self.real = {name: float(s) for (name, _), s in zip(names, scores)}
         self.other = float(scores.min()) - 10.0
-        self.score = {name: self.whole(name, s) for name, s in self.real.items()}
+        # scores of pieces; beginnings of pieces that are none have no score
+        self.prefixes: dict[str, int | None] = {name[:n]: None for name in self.real for n in range(1, len(name))}
+        self.prefixes |= {name: self.whole(name, s) for name, s in self.real.items()}
         self.id = dict(names)
         self.longest = max(map(len, self.id))
         # where a run of spaces begins after another character no piece can lie across, if no piece has a space within
         self.seams = not any(SPACE in name.lstrip(SPACE) for name in self.id)
-        self.units = Memo(self.unit)
+        self.units = Memo(self.unit, room=600_000)
 
     @staticmethod
     def whole(name: str, score: float) -> int:
         return (round(score * 1e4) << 20) + xxhash.xxh32_intdigest(name.encode()) % (1 << 20)
 
-    def steps(self, text: str, at: int):
-        """Pieces that begin at a place: length, score."""
-        found = False
-        for n in range(1, min(self.longest, len(text) - at) + 1):
-            if (s := self.score.get(text[at : at + n])) is not None:
-                found |= n == 1
-                yield n, s
-        if not found:
-            yield 1, self.whole(text[at], self.other)
-
     def best(self, text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
         """For each place from `begin` on, the greatest sum of pieces from there to it that begin before `end`, and the length of the last."""
-        total, last = [NEVER] * (len(text) + 1), [0] * (len(text) + 1)
+        size = len(text)
+        total, last = [NEVER] * (size + 1), [0] * (size + 1)
         total[begin] = 0
+        look_up = self.prefixes.get
         for at in range(begin, end):
             here = total[at]
             if here == NEVER:
                 continue
-            for n, s in self.steps(text, at):
-                if here + s > total[at + n]:
-                    total[at + n], last[at + n] = here + s, n
+            score = look_up(text[at])
+            if score is None:  # no piece of its own
+                score = self.whole(text[at], self.other)
+            if here + score > total[at + 1]:
+                total[at + 1], last[at + 1] = here + score, 1
+            for stop in range(at + 2, min(at + self.longest, size) + 1):
+                score = look_up(text[at:stop], 0)  # true scores are below 0
+                if score == 0:
+                    break
+                if score is not None and here + score > total[stop]:
+                    total[stop], last[stop] = here + score, stop - at
         return total, last
 
     def path(self, text: str, begin: int, end: int, stop: int) -> bytes:
         """Ids, as 32-bit numbers, of the best pieces from `begin` to `stop` that begin before `end`."""
-        _, last = self.best(text, begin, end)
+        return self.traced(text, begin, stop, self.best(text, begin, end)[1])
+
+    def traced(self, text: str, begin: int, stop: int, last: list[int]) -> bytes:
         ids, at = [], stop
         while at > begin:
             piece = text[at - last[at] : at]
             own = self.id.get(piece)
             ids += [own] if own is not None else [self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))]
             at -= last[at]
-        return np.array(ids[::-1], "<i4").tobytes()
+        ids.reverse()
+        return array("i", ids).tobytes()
 
-    def unit(self, text: str) -> bytes:
-        return self.path(text, 0, len(text), len(text))
+    def unit(self, text: str) -> tuple[bytes, int]:
+        """Ids and sum of a stretch that is encoded by itself."""
+        total, last = self.best(text, 0, len(text))
+        return self.traced(text, 0, len(text), last), total[-1]
 
     def split(self, text: str) -> list[str]:
         """Stretches no piece lies across."""
         return _UNITS.findall(text) if self.seams else [text]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.units.__getitem__, self.split(text)))
+        return b"".join([ids for ids, _ in map(self.units.__getitem__, self.split(text))])
 
     def first_seam(self, text: str, size: int) -> int | None:
         if not self.seams:
@@ -135,7 +143,7 @@ class Pieces:
             return out
         final = max(seam, self.last_seam(text, size))
         heads = [self.best(text[:seam], entry, seam)[0][seam] if entry <= seam else NEVER for entry in range(width)]
-        middle = sum(self.sum_of(u) for u in self.split(text[seam:final]))
+        middle = sum(total for _, total in map(self.units.__getitem__, self.split(text[seam:final])))
         tails = self.best(text[final:], 0, size - final)[0][size - final : size - final + width]
         for entry, head in enumerate(heads):
             if head > NEVER:
@@ -144,9 +152,6 @@ class Pieces:
                         out[entry, leave] = head + middle + tail
         return out
 
-    def sum_of(self, unit: str) -> int:
-        return self.best(unit, 0, len(unit))[0][len(unit)]
-
     def chunk_path(self, text: str, size: int, entry: int, leave: int) -> bytes:
         """Ids of the pieces that begin in a chunk, between the boundary states that the scan has found."""
         seam = self.first_seam(text, size)
