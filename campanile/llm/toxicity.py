@@ -247,9 +247,10 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_column: str = "do
     """
     ids = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & usable).groupBy(id_column).agg(F.max(F.col(label).cast("int")).alias("__toxic"))
     ids = ids.orderBy(F.xxhash64(id_column), id_column).limit(most)
-    docs = df.join(F.broadcast(ids), id_column).select(F.col(id_column).alias("id"), "__toxic", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = df.join(F.broadcast(ids), id_column).select("__toxic", F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = F.array_distinct(F.split(F.translate(F.lower("text"), EDGES, " " * len(EDGES)), r"\s+"))
-    words = docs.select(F.md5("text").alias("copy"), "__toxic", F.explode(parts).alias("word")).where(F.length("word") > 1)
+    # the name of the text is made before its words are rows, not once for each
+    words = docs.withColumn("copy", F.md5("text")).select("copy", "__toxic", F.explode(parts).alias("word")).where(F.length("word") > 1)
     words = cut(words.groupBy("word", "copy").agg(F.max("__toxic").alias("toxic")))
     counts = words.groupBy("word").agg(F.sum("toxic").alias("up"), F.sum(1 - F.col("toxic")).alias("down"))
     clean = counts.where("down >= 1")
