@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campanile.llm.common import Memo, file_bytes, map_texts
+from campanile.session import cut
 
 SPACE = "▁"
 #: Code points in a chunk, and chunks whose matrices are multiplied together at a time.
@@ -59,7 +60,7 @@ class Pieces:
         self.longest = max(map(len, self.id))
         # where a run of spaces begins after another character no piece can lie across, if no piece has a space within
         self.seams = not any(SPACE in name.lstrip(SPACE) for name in self.id)
-        self.units = Memo(self.unit, room=600_000)
+        self.units = Memo(self.unit, room=350_000)
 
     @staticmethod
     def whole(name: str, score: float) -> int:
@@ -254,7 +255,8 @@ def encode(df: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), text:
         encoder = pieces_of(file)
         return lambda texts: [[encoder.transfer(t, min(chunk, len(t))).tobytes() for t in texts]]
 
-    states = _scan(map_texts(parts, ["text_key", "chunk"], "part", "matrix binary", measure, rows=16))
+    # written once, as the scan reads the matrices on the way up and on the way down
+    states = _scan(cut(map_texts(parts, ["text_key", "chunk"], "part", "matrix binary", measure, rows=16)))
 
     def trace(batches):
         encoder = pieces_of(file)
