@@ -165,15 +165,16 @@ def _log_targets(p: Parameters, h: np.ndarray, wanted: np.ndarray) -> np.ndarray
     return result.reshape(wanted.shape)
 
 
-def _gather(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each symbol; PAD has none."""
-    ids, rows = ids.ravel(), rows.reshape(-1, WIDTH)
+def _gather(ids: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
+    """Sums of the rows of each symbol, for each of the tables of rows; PAD has none."""
+    ids = ids.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
     order = order[: np.searchsorted(ids[order], PAD)]
-    ids, out = ids[order], np.zeros((SIDE * SIDE, WIDTH), np.float32)
+    ids, out = ids[order].astype(np.int64), [np.zeros((SIDE * SIDE, WIDTH), np.float32) for _ in rows]
     if len(ids):
         starts = np.flatnonzero(np.diff(ids, prepend=-1))
-        out[ids[starts]] = np.add.reduceat(rows[order], starts)
+        for table, r in zip(out, rows):
+            table[ids[starts]] = np.add.reduceat(r.reshape(-1, WIDTH)[order], starts)
     return out
 
 
@@ -182,46 +183,101 @@ def gradient(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> tuple[float
     q, k, v, a, h = _attend(p, seen)
     y = wanted.ravel()
     real = np.flatnonzero(y != PAD)
+    real = real[np.argsort((y[real] // SIDE).astype(np.uint8), kind="stable")]  # the targets of a class lie together
     flat, y = h.reshape(-1, WIDTH)[real], y[real]
     n, at = len(y), np.arange(len(y))
+    ends = np.cumsum(np.bincount(y // SIDE, minlength=SIDE))
     outer = _exp(flat @ p.to_class + p.class_bias)
     outer /= _total(outer)[:, None]
     loss = -np.log(outer[at, y // SIDE]).sum()
     outer[at, y // SIDE] -= 1
     dh = outer @ p.to_class.T
     d_place, d_place_bias = np.zeros_like(p.to_place), np.zeros_like(p.place_bias)
-    for c in range(SIDE):
-        rows = np.flatnonzero(y // SIDE == c)
-        if len(rows):
+    begin = 0
+    for c, end in enumerate(ends):
+        if begin < end:
+            rows = slice(begin, end)
             inner = _exp(flat[rows] @ p.to_place[c] + p.place_bias[c])
             inner /= _total(inner)[:, None]
-            loss -= np.log(inner[np.arange(len(rows)), y[rows] % SIDE]).sum()
-            inner[np.arange(len(rows)), y[rows] % SIDE] -= 1
+            own = (np.arange(end - begin), y[rows] % SIDE)
+            loss -= np.log(inner[own]).sum()
+            inner[own] -= 1
             d_place[c], d_place_bias[c] = flat[rows].T @ inner, inner.sum(0)
             dh[rows] += inner @ p.to_place[c].T
+        begin = end
     d_out = np.zeros(h.shape, np.float32)
     d_out.reshape(-1, WIDTH)[real] = dh
     d_a = d_out @ v.transpose(0, 2, 1)
     d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True))
     d_distance = np.bincount(np.maximum(_BACK, 0).ravel(), d_s.sum(0).ravel() * (_BACK >= 0).ravel(), 2 * BLOCK)
     here = seen[:, BLOCK:]
+    d_query, d_self = _gather(here, d_s @ k * _SCALE, d_out)
+    d_key, d_value = _gather(seen, d_s.transpose(0, 2, 1) @ q * _SCALE, a.transpose(0, 2, 1) @ d_out)
     parts = [
-        _gather(here, d_s @ k * _SCALE), _gather(seen, d_s.transpose(0, 2, 1) @ q * _SCALE), _gather(seen, a.transpose(0, 2, 1) @ d_out), _gather(here, d_out),
-        d_distance, flat.T @ outer, outer.sum(0), d_place, d_place_bias,
+        d_query, d_key, d_value, d_self, d_distance, flat.T @ outer, outer.sum(0), d_place, d_place_bias,
     ]
     return float(loss / n), np.concatenate([x.ravel() for x in parts]).astype(np.float32) / n
 
 
+class Adam:
+    """Parameters on their way: one step for each call."""
+
+    def __init__(self, p: Parameters):
+        self.x = p.flat().astype(np.float32)
+        self.m, self.s, self.steps = np.zeros_like(self.x), np.zeros_like(self.x), 0
+
+    def step(self, seen: np.ndarray, wanted: np.ndarray, rate: float) -> None:
+        _, g = gradient(Parameters.of(self.x), seen, wanted)
+        self.steps += 1
+        self.m += np.float32(0.1) * (g - self.m)
+        self.s += np.float32(0.01) * (g * g - self.s)
+        self.x -= np.float32(rate / (1 - 0.9**self.steps)) * self.m / (np.sqrt(self.s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+
+
 def fit(p: Parameters, seen: np.ndarray, wanted: np.ndarray, steps: int, rate: float, batch: int = 128, seed: int = 0) -> Parameters:
     """Adam over the windows in random order, as often as `steps` needs; the rate falls to a tenth on the way."""
     rng = np.random.default_rng(seed)
-    x, m, s = p.flat(), 0.0, 0.0
+    adam = Adam(p)
     order = np.zeros(0, np.int64)
     for t in range(1, steps + 1):
         if len(order) < min(batch, len(seen)):
             order = np.concatenate([order, rng.permutation(len(seen))])
         rows, order = order[:batch], order[batch:]
-        _, g = gradient(Parameters.of(x), seen[rows], wanted[rows])
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        x = x - rate * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-    return Parameters.of(x)
+        adam.step(seen[rows], wanted[rows], rate * (1 - 0.9 * t / steps))
+    return Parameters.of(adam.x)
+
+
+class Stream:
+    """Learning from windows that come in parts and are kept only for a while: each is learned from once, in random order among those of a buffer.
+
+    The rate falls as 1 / (1 + t / `least`), to a tenth. Where all windows fit into the buffer, `fit` goes over them, for `least` steps at least.
+    """
+
+    def __init__(self, p: Parameters, rate: float, least: int, batch: int = 512, seed: int = 0):
+        self.begin, self.rate, self.least, self.batch, self.rng = p, rate, least, batch, np.random.default_rng(seed)
+        self.adam, self.parts, self.held, self.tokens = None, [], 0, 0
+
+    def add(self, seen: np.ndarray, wanted: np.ndarray) -> None:
+        self.parts.append((seen, wanted))
+        self.held += len(seen)
+        self.tokens += int((wanted != PAD).sum())
+        if self.held >= 2 * self.least * self.batch:
+            self._learn(self.least * self.batch)
+
+    def _learn(self, most_left: int) -> None:
+        """Steps over the windows in the buffer until at most so many are left, which go back to it."""
+        self.adam = self.adam or Adam(self.begin)
+        seen, wanted = (np.concatenate(x) for x in zip(*self.parts))
+        order = self.rng.permutation(len(seen))
+        while len(order) > most_left:
+            rows, order = order[: self.batch], order[self.batch :]
+            self.adam.step(seen[rows], wanted[rows], self.rate * max(0.1, 1 / (1 + self.adam.steps / self.least)))
+        self.parts, self.held = [(seen[order], wanted[order])], len(order)
+
+    def end(self) -> Parameters:
+        if self.adam:
+            self._learn(0)
+            return Parameters.of(self.adam.x)
+        seen, wanted = (np.concatenate(x) for x in zip(*self.parts))
+        batch = min(self.batch, max(128, len(seen) // self.least))
+        return fit(self.begin, seen, wanted, max(self.least, -(-len(seen) // batch)), self.rate, batch)

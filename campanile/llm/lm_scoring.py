@@ -11,17 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campanile.llm.attention import PAD, SIDE, Parameters, Scorer, blocks, fit
+from campanile.llm.attention import SIDE, Parameters, Scorer, Stream, blocks
 from campanile.llm.common import Memo, file_bytes, map_texts, shared_folder, words_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DOWN = str.maketrans(UPPER, LOWER)
 #: The most frequent words, sent to every task: at most so many, of at most so many characters, so under 20 MB. All others are joined.
 FREQUENT, LONGEST = 250_000, 64
-#: Of each training document's text a share of one in so many is learned from in each of two rounds, in pieces of at least so many characters.
-SHARE, PIECE, ROUNDS = 40, 240, 2
-#: Pieces the common starting point is learned from, and steps each trainer takes at least (over the same pieces again where they are few).
-PILOT, LEAST_STEPS, RATE = 1500, 200, 0.06
+#: Every training text is learned from, whole, in one of so many rounds.
+ROUNDS = 2
+#: The common starting point is learned from one text in so many, drawn from all, by one trainer for each PILOT of them (from PILOT texts where that is more).
+PILOT_SHARE, PILOT = 64, 1000
+#: Steps each trainer takes at least (over the same texts again where they are few), and the first round's rate.
+LEAST_STEPS, RATE = 200, 0.06
 END, OTHER = 0, 1
 
 
@@ -29,6 +31,11 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def small(text: str) -> str:
+    """A to Z in lower case."""
+    return text.lower() if text.isascii() else text.translate(_DOWN)
+
+
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all rows. Counts are combined in each task before the shuffle, and spellings before they are made lower case."""
     words = df.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+")).alias("spelling")).where("spelling <> ''")
@@ -106,35 +113,42 @@ class Symbols:
         return np.array(symbols, np.uint16).tobytes(), sum(float(self.rest[i]) for i, s in zip(ids, symbols) if s == OTHER)
 
 
-def _pieces(df: DataFrame, text: str, turn: int) -> DataFrame:
-    """A piece of a SHARE-th of each text; of short texts a piece of PIECE characters, with the chance that keeps the share."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.length(t)
-    size = F.greatest(F.ceil(n / SHARE), F.lit(PIECE)).cast("int")
-    draw = lambda k: F.pmod(F.xxhash64(t, F.lit(2 * turn + k)), F.lit(2**31))
-    some = df.select(t.alias("t"), size.alias("size"), (draw(1) % (F.greatest(n - size, F.lit(0)) + 1)).cast("int").alias("at")).where(draw(0) * F.lit(1.0) < n / SHARE / size * 2**31)
-    return some.select(lowered(F.substring("t", F.col("at") + 1, F.col("size"))).alias("piece"))
+def _drawn(df: DataFrame, seed: int) -> Column:
+    """A number below 2^31 for each row, by all its columns: copies of a text under other ids are drawn apart."""
+    return F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(2**31))
+
+
+def _pilot(df: DataFrame, documents: int) -> DataFrame:
+    """The rows the starting point is learned from, in as many partitions as it has trainers."""
+    n = max(documents / PILOT_SHARE, PILOT)
+    return df.where(_drawn(df, 0) * F.lit(1.0) < n / max(documents, 1) * 2**31).repartition(math.ceil(n / PILOT))
+
+
+def _round(df: DataFrame, turn: int) -> DataFrame:
+    """The rows learned from in a round from 1 to ROUNDS: each row is in one of them."""
+    return df.where(_drawn(df, 1) % ROUNDS == turn - 1)
 
 
-def _trained(pieces: DataFrame, begin: Parameters, symbols: Symbols, file: bytes, rate: float) -> DataFrame:
-    """Each task's parameters after learning from its pieces, and how many tokens these had."""
+def _trained(df: DataFrame, text: str, begin: Parameters, symbols: Symbols, file: bytes, rate: float) -> DataFrame:
+    """Each task's parameters after learning from its texts, and how many tokens these had."""
 
     def run(batches):
         memo = Memo(lambda w, of=Subwords(file).of: symbols.encode(of(w))[0])
-        sequences = []
+        stream = Stream(begin, rate, LEAST_STEPS)
         for batch in batches:
-            for piece in batch.column("piece").to_pylist():
-                words = words_of(piece)[1:-1]  # those at the ends may be cut
-                if words:
-                    sequences.append(np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint16).astype(np.int32))
-        if not sequences:
-            return
-        seen, wanted, _ = blocks(sequences, END)
-        n = int((wanted != PAD).sum())
-        made = fit(begin, seen, wanted, max(LEAST_STEPS, len(seen) // 128), rate)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([made.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "parameters"])
+            for at in range(0, batch.num_rows, 64):
+                sequences = []
+                for t in batch.column("text").slice(at, 64).to_pylist():
+                    words = words_of(small(t or ""))
+                    if words:
+                        sequences.append(np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint16).astype(np.int32))
+                if sequences:
+                    stream.add(*blocks(sequences, END)[:2])
+        if stream.tokens:
+            made = stream.end().flat().astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([stream.tokens], pa.int64()), pa.array([made], pa.binary())], names=["n", "parameters"])
 
-    return pieces.mapInArrow(run, "n long, parameters binary")
+    return df.select(F.col(text).alias("text")).mapInArrow(run, "n long, parameters binary")
 
 
 def _mean(trained: DataFrame, groups: int = 16) -> Parameters | None:
@@ -155,15 +169,16 @@ def _mean(trained: DataFrame, groups: int = 16) -> Parameters | None:
 
 
 def train(df: DataFrame, symbols: Symbols, file: bytes, text: str = "text") -> Parameters:
-    """Parameters learned from pieces of all texts.
+    """Parameters learned from all texts of `df`, which are `symbols.counts[END]` rows.
 
-    Starting from the corpus-wide counts, one task learns a common starting point from some pieces. Then every task goes on from there over the pieces of its own
-    texts, and the mean of all is taken, twice. What is learned from grows with the corpus.
+    Starting from the corpus-wide counts, a common starting point is learned from texts drawn from all; with more texts there are more trainers of it, whose mean is
+    taken. Then every task goes on from there over the texts of its own, a part of them in each of two rounds, and the mean of all is taken after each. Each token of each
+    text is learned from in one round.
     """
     now = Parameters.start(symbols.counts)
-    now = _mean(_trained(_pieces(df, text, 0).limit(PILOT), now, symbols, file, RATE)) or now
+    now = _mean(_trained(_pilot(df, int(symbols.counts[END])), text, now, symbols, file, RATE)) or now
     for turn in range(1, ROUNDS + 1):
-        now = _mean(_trained(_pieces(df, text, turn), now, symbols, file, RATE / 2**turn)) or now
+        now = _mean(_trained(_round(df, turn), text, now, symbols, file, RATE / 2**turn)) or now
     return now
 
 
@@ -185,7 +200,7 @@ def score(df: DataFrame, usable: Column, path: str, id_column: str = "doc_id", t
     base = lambda c: math.log10((c + 0.5) / below)
     frequent = frequent_words(counts)
     symbols = Symbols.of(subword_counts(counts, file), documents)
-    model = train(learned, symbols, file, text)
+    model = train(learned.select(*dict.fromkeys([id_column, text])), symbols, file, text)
     sent = spark.sparkContext.broadcast((frequent, symbols, model))
 
     def start():
@@ -202,7 +217,7 @@ def score(df: DataFrame, usable: Column, path: str, id_column: str = "doc_id", t
             columns = [[] for _ in range(5)]
             sequences, rest = [], []
             for t in texts:
-                words = words_of(t.lower() if t.isascii() else t.translate(_DOWN))
+                words = words_of(small(t))
                 found = list(map(memo.__getitem__, words))
                 rare: dict[str, int] = {}
                 total, hits = 0.0, 0

@@ -6,8 +6,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
-from campanile.llm import lm_scoring
+from campanile.llm import attention, lm_scoring
 from campanile.llm.attention import BLOCK, PAD, SIDE, Parameters, blocks, fit, gradient, log_probability
 from campanile.llm.common import held_out
 from campanile.llm.lm_scoring import Subwords, Symbols, score
@@ -108,3 +109,52 @@ def test_nulls_repeats_clashes_and_no_rows(spark):
     assert [r[:2] for r in rows] == [("1", 4), ("1", 4), ("2", 1), ("3", 2), ("None", 1)] and all(r[2] <= r[1] for r in rows)
     assert score(df.limit(0), ~held_out("doc_id", 1), PATH).count() == 0
     assert {r.n_known for r in score(df, held_out("doc_id", 1) & held_out("doc_id", 2), PATH).collect()} == {0}
+
+
+def learned(spark, monkeypatch, docs):
+    """Tokens learned from for the starting point and in each round, and the symbols."""
+    seen, mean = [], lm_scoring._mean
+
+    def spy(trained):
+        kept = trained.persist()
+        seen.append(sum(r.n for r in kept.select("n").collect()))
+        return mean(kept)
+
+    monkeypatch.setattr(lm_scoring, "_mean", spy)
+    file = open(PATH, "rb").read()
+    symbols = Symbols.of(lm_scoring.subword_counts(lm_scoring.word_counts(docs), file), docs.count())
+    lm_scoring.train(docs, symbols, file)
+    return seen, symbols
+
+
+def test_every_token_of_every_training_text_is_learned_from_once(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    seen, symbols = learned(spark, monkeypatch, docs)
+    assert sum(seen[1:]) >= symbols.counts[1:].sum()
+    assert min(seen[1:]) > 0.2 * sum(seen[1:])
+
+
+def test_starting_point_is_drawn_from_all_rows_and_grows(spark):
+    rows = spark.range(0, 40_000, 1, 20).select(F.col("id").alias("doc_id"), F.lit("a copy").alias("text"))
+    some = lm_scoring._pilot(rows.where("doc_id < 400"), 400)
+    assert some.count() == 400 and some.rdd.getNumPartitions() == 1
+    few, many = (lm_scoring._pilot(rows.limit(n) if n < 40_000 else rows, n).collect() for n in (20_000, 40_000))
+    assert len(few) == pytest.approx(lm_scoring.PILOT, rel=0.15) and len(many) == pytest.approx(lm_scoring.PILOT, rel=0.15)
+    assert len({r.doc_id // 2000 for r in many}) == 20
+    n = 200 * lm_scoring.PILOT
+    big = lm_scoring._pilot(spark.range(0, n, 1, 20).select(F.col("id").alias("doc_id"), F.lit("a copy").alias("text")), n)
+    assert big.count() == pytest.approx(n / lm_scoring.PILOT_SHARE, rel=0.1) and big.rdd.getNumPartitions() == math.ceil(n / lm_scoring.PILOT_SHARE / lm_scoring.PILOT)
+    assert big.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1.2 * lm_scoring.PILOT
+
+
+def test_streamed_learning_takes_each_window_once_within_its_buffer(monkeypatch):
+    rng, p = np.random.default_rng(6), model()
+    taken = []
+    monkeypatch.setattr(attention.Adam, "step", lambda self, seen, wanted, rate: (taken.extend(seen[:, -1].tolist()), setattr(self, "steps", self.steps + 1)))
+    stream, n = attention.Stream(p, 0.05, least=4, batch=8), 301
+    for at in range(0, n, 7):
+        ids = np.arange(at, min(at + 7, n))
+        stream.add(np.repeat(ids[:, None], 2 * BLOCK, 1), np.zeros((len(ids), BLOCK), np.int64))
+        assert stream.held < 64 + 7
+    stream.end()
+    assert sorted(taken) == list(range(n)) and taken != sorted(taken) and stream.tokens == n * BLOCK
