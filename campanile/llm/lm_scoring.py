@@ -134,16 +134,14 @@ def _trained(df: DataFrame, text: str, begin: Parameters, symbols: Symbols, file
 
     def run(batches):
         memo = Memo(lambda w, of=Subwords(file).of: symbols.encode(of(w))[0])
-        stream = Stream(begin, rate, LEAST_STEPS)
+        stream, end = Stream(begin, rate, LEAST_STEPS), np.array([END], np.uint16).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 sequences = []
                 for t in batch.column("text").slice(at, 64).to_pylist():
-                    words = words_of(small(t or ""))
-                    if words:
-                        sequences.append(np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint16).astype(np.int32))
-                if sequences:
-                    stream.add(*blocks(sequences, END)[:2])
+                    found = map(memo.__getitem__, words_of(small(t or "")))
+                    sequences.append(np.frombuffer(b"".join(found) + end, np.uint16).astype(np.int32))
+                stream.add(*blocks(sequences, END)[:2])
         if stream.tokens:
             made = stream.end().flat().astype("<f4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([stream.tokens], pa.int64()), pa.array([made], pa.binary())], names=["n", "parameters"])
@@ -173,7 +171,7 @@ def train(df: DataFrame, symbols: Symbols, file: bytes, text: str = "text") -> P
 
     Starting from the corpus-wide counts, a common starting point is learned from texts drawn from all; with more texts there are more trainers of it, whose mean is
     taken. Then every task goes on from there over the texts of its own, a part of them in each of two rounds, and the mean of all is taken after each. Each token of each
-    text is learned from in one round.
+    text, its end too, is learned from in one round.
     """
     now = Parameters.start(symbols.counts)
     now = _mean(_trained(_pilot(df, int(symbols.counts[END])), text, now, symbols, file, RATE)) or now

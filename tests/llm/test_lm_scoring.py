@@ -130,7 +130,7 @@ def learned(spark, monkeypatch, docs):
 def test_every_token_of_every_training_text_is_learned_from_once(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     seen, symbols = learned(spark, monkeypatch, docs)
-    assert sum(seen[1:]) >= symbols.counts[1:].sum()
+    assert sum(seen[1:]) == symbols.counts.sum()  # the ends too
     assert min(seen[1:]) > 0.2 * sum(seen[1:])
 
 
@@ -158,3 +158,20 @@ def test_streamed_learning_takes_each_window_once_within_its_buffer(monkeypatch)
         assert stream.held < 64 + 7
     stream.end()
     assert sorted(taken) == list(range(n)) and taken != sorted(taken) and stream.tokens == n * BLOCK
+
+
+def test_the_end_is_learned(spark, monkeypatch):
+    words = "the of and to in is it you that he was for on are with as his they be at one have this from or had by hot".split()
+    text = F.concat_ws(" ", *[F.element_at(F.array(*map(F.lit, words)), 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(len(words))).cast("int")) for k in range(9)])
+    docs = spark.range(0, 6000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.concat_ws(" ", text, F.lit("goodbye"))).otherwise(text).alias("text"))
+    train, file = docs.where("doc_id < 4800"), open(PATH, "rb").read()
+    symbols = Symbols.of(lm_scoring.subword_counts(lm_scoring.word_counts(train), file), train.count())
+    p = lm_scoring.train(train, symbols, file)
+    subwords = Subwords(file)
+    held = [[*(symbols.number.get(i, lm_scoring.OTHER) for w in r.text.split() for i in subwords.of(w)), lm_scoring.END] for r in docs.where("doc_id >= 4800").collect()]
+    share = math.log(symbols.counts[lm_scoring.END] / symbols.counts.sum())
+    seen, wanted, _ = blocks([np.array(h) for h in held], lm_scoring.END)
+    ends = log_probability(p, seen, wanted)[wanted == lm_scoring.END]
+    assert len(ends) == len(held) and ends.mean() > share
+    empty = log_probability(p, *blocks([np.array([lm_scoring.END])], lm_scoring.END)[:2])[0, 0]
+    assert empty == pytest.approx(math.log(0.25), abs=0.4)
