@@ -29,8 +29,8 @@ SIZE = 65
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 #: Signs about a word.
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>-_"
-#: Letters spelled out one by one, three or more.
-SPELLED = re.compile(r"(?<!\S)\w(?:[ \t.\-_*]+\w){2,}(?!\S)")
+#: Letters spelled out one by one, three or more. No sign is both letter and separator, so that a run of one sign is read in one way only.
+SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ \t.\-_*]++[^\W_]){2,}(?!\S)")
 
 
 def letters(word: str) -> list[int]:
@@ -185,7 +185,7 @@ def cover(bags: list[set[str]]) -> dict[str, int]:
 
 
 def spelled(text: str) -> list[str]:
-    return ["".join(re.findall(r"\w", m)) for m in SPELLED.findall(text)]
+    return ["".join(re.findall(r"[^\W_]", m)) for m in SPELLED.findall(text)]
 
 
 class Scorer:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -102,3 +103,15 @@ def test_sample_bound(spark, synthetic, monkeypatch):
     monkeypatch.setattr(toxicity, "platt", lambda m, y: (seen.append(len(y)) or 1.0, 0.0))
     train(docs, labels, usable=~held_out("doc_id", 0), most=50)
     assert seen == [50]
+
+
+@pytest.mark.parametrize("sign", ["_", " ", ".", "-", "*", "a ", "a.", "a_", "_a"])
+def test_long_runs_of_signs_are_read_in_time(sign):
+    begin = time.monotonic()
+    toxicity.spelled("x " + sign * 100_000 + "!")
+    assert time.monotonic() - begin < 2
+
+
+def test_letters_spelled_out_make_a_word():
+    assert toxicity.spelled("such an i d-i_o.t here") == ["idiot"]
+    assert toxicity.spelled("Signature ____________________________________________________________!") == []
