@@ -306,9 +306,9 @@ def learning_curve(scores: DataFrame, model: str, size: str, train: str, valid:
 
 
 def final_gap(curve: DataFrame, model: str, size: str) -> DataFrame:
-    """The largest size per model and its gap class."""
+    """The largest size per model and its gap class. The class texts are fixed values."""
     last = curve.groupBy(model).agg(F.max(size).alias(size), F.max_by("gap", size).alias("gap"), F.max_by("val_mean", size).alias("val_mean"))
-    kind = F.when(F.col("gap") > 0.10, "wide").when(F.col("gap") > 0.04, "some").otherwise("narrow")
+    kind = F.when(F.col("gap") > 0.10, "possible overfitting").when(F.col("gap") > 0.04, "moderate gap").otherwise("fairly tight train/validation fit")
     return last.withColumn("gap_class", kind)
 
 

@@ -202,7 +202,7 @@ def _(t):
     return M.learning_curve(learning_scores(t), "model", "size", "tr", "va").withColumns(r6("train_mean", "train_std", "val_mean", "val_std", "gap"))
 
 
-@query("a39_final_gap", f"WITH {LC} SELECT model, max(size) AS size, round(arg_max(gap, size), 6) AS gap, round(arg_max(val_mean, size), 6) AS val_mean, CASE WHEN arg_max(gap, size) > 0.10 THEN 'wide' WHEN arg_max(gap, size) > 0.04 THEN 'some' ELSE 'narrow' END AS gap_class FROM c GROUP BY 1")
+@query("a39_final_gap", f"WITH {LC} SELECT model, max(size) AS size, round(arg_max(gap, size), 6) AS gap, round(arg_max(val_mean, size), 6) AS val_mean, CASE WHEN arg_max(gap, size) > 0.10 THEN 'possible overfitting' WHEN arg_max(gap, size) > 0.04 THEN 'moderate gap' ELSE 'fairly tight train/validation fit' END AS gap_class FROM c GROUP BY 1")
 def _(t):
     return M.final_gap(M.learning_curve(learning_scores(t), "model", "size", "tr", "va"), "model", "size").withColumns(r6("gap", "val_mean"))
 
@@ -226,9 +226,9 @@ def _(t):
 
 # the integral of the density by Simpson's rule
 CDF = "(0.5 + Z9 / 1200 * list_sum([(CASE WHEN i % 400 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(Z9 * i / 400) * (Z9 * i / 400) / 2) for i in range(401)]) / sqrt(2 * pi()))".replace("Z9", "greatest(-9, least(9, z))")
-# exact for up to 12 deltas without ties or zeros: every choice of signs is tried
-TAIL = "(SELECT count(*) FILTER (list_sum([CASE WHEN (m >> (i - 1)::BIGINT) & 1 = 1 THEN i ELSE 0 END for i in range(1, 13)]) >= t) / (1 << least(n, 12)::INTEGER)::DOUBLE FROM (SELECT unnest(range(0, (1 << least(n, 12)::INTEGER)::BIGINT)) AS m))"
-P_VALUE = f"CASE WHEN n <= 12 AND ties = 0 AND zeros = 0 THEN {TAIL} ELSE 1 - {CDF} END"
+# exact for up to 50 deltas without ties or zeros: subsets of the ranks counted by their sum, one rank after another
+SUBSETS = "list_reduce([[1.0::DOUBLE]] || [[0.0::DOUBLE for i in range(k)] for k in range(1, n::INTEGER + 1)], lambda c, z: [x[1] + x[2] for x in list_zip(c || z, z || c)])"
+P_VALUE = f"CASE WHEN n <= 50 AND ties = 0 AND zeros = 0 THEN list_sum({SUBSETS}[t::INTEGER + 1:]) / pow(2, n) ELSE 1 - {CDF} END"
 WILCOXON = f"""{PAIRS}, rk AS (SELECT metric, delta, rank() OVER (PARTITION BY metric ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY metric, abs(delta)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY metric, abs(delta)) AS tie FROM d),
 w AS (SELECT metric, count(*)::DOUBLE AS n, sum(CASE WHEN delta > 0 THEN r WHEN delta = 0 THEN r / 2 ELSE 0 END) AS t, sum(tie * tie - 1)::DOUBLE AS ties, count(*) FILTER (delta = 0) AS zeros FROM rk GROUP BY 1),
 zz AS (SELECT metric, n, t, ties, zeros, (t - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM w)"""
