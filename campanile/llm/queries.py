@@ -1,16 +1,17 @@
-"""The ten operators over the given tables."""
+"""The training-data operators over the given tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campanile.llm.archives import read_archives, resolved, write_archives
 from campanile.llm import lm_scoring, toxicity
-from campanile.llm.common import held_out, shared_folder, vocabulary
+from campanile.llm.common import WORD, held_out, shared_folder, vocabulary
 from campanile.llm.dart_minhash import near_duplicates
 from campanile.llm.line_frequency import drop_boilerplate, lines_of
 from campanile.llm.packing import pack_documents
+from campanile.llm.periodic import periodic_runs
 from campanile.llm.pieces import decode, encode
 from campanile.llm.quality import cascade
 from campanile.llm.registry import QUERIES, TWINS, query, table  # noqa: F401  the entry file reads both
@@ -97,3 +98,48 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     # the file's sign for a space is itself read as one
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     return both.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
+#: CRC-32 of the bytes in the list B as DuckDB SQL.
+CRC32_SQL = "(xor(4294967295, list_reduce([4294967295::bigint] || B, lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))))"
+ID_CRC_SQL = CRC32_SQL.replace("B", "[ord(x)::bigint for x in string_split(doc_id::varchar, '')]")
+
+
+def looped(words: Column, h: Column) -> Column:
+    """The words, of which those from a = g % n on go on by repeating the p from there; g is h // 10, p follows from g and what is left."""
+    g = F.floor(h / 10)
+    cuts = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), (g % F.size(w)).cast("int").alias("a"), F.size(w).alias("n")))
+    cuts = F.transform(cuts, lambda x: F.struct(x["w"], x["a"], x["n"], (1 + F.floor((x["n"] - x["a"]) / (3 + g % 8))).cast("int").alias("p")))
+    made = F.transform(cuts, lambda x: F.concat(F.slice(x["w"], F.lit(1), x["a"]), F.transform(F.sequence(x["a"], x["n"] - 1), lambda i: F.get(x["w"], x["a"] + (i - x["a"]) % x["p"]))))
+    return made[0]
+
+
+@query("op12_periodic_runs", sql=rf"""
+    with t as (select doc_id, [w for w in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if w <> ''] w, {ID_CRC_SQL} h from documents),
+         c as (select doc_id, w, h, len(w) n, (h // 10) % len(w) a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) p from t),
+         d as (select doc_id, n, case when h % 10 = 0 and n > 0 then [case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end for i in range(n)] else w end w from c),
+         u as (select doc_id, n, unnest(w) word, unnest(range(n)) i from d),
+         pairs as (select x.doc_id, x.i, y.i - x.i q from u x join u y using (doc_id, word) where y.i > x.i and 3 * (y.i - x.i) <= x.n),
+         island as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) g from pairs),
+         stretch as (select doc_id, q, min(i) s, count(*) + q m from island group by doc_id, q, g having count(*) + q >= greatest(24, 3 * q)),
+         runs as (select doc_id, s, m, min(q) q from stretch group by all),
+         told as (select doc_id, count(*) n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' order by s, q) told, arg_min({{'s': s, 'm': m, 'q': q}}, {{'e': -m / q, 's': s, 'q': q}}) best from runs group by doc_id),
+         gone as (select distinct doc_id, unnest(range(s + q, s + m)) i from runs),
+         kept as (select doc_id, string_agg(word, ' ' order by i) kept from u anti join gone using (doc_id, i) group by doc_id)
+    select d.doc_id, coalesce(n_runs, 0) n_runs, best.s as start, best.m as length, best.q as period, 1000 * best.m // best.q exponent_milli,
+           sha256(coalesce(told, '')) runs_sha256, sha256(coalesce(kept, '')) collapsed_sha256
+    from d left join told using (doc_id) left join kept using (doc_id)
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = table(spark, folder, "documents").withColumn("text", F.when((h % 10 == 0) & F.col("text").rlike(WORD.pattern), F.array_join(looped(words, h), " ")).otherwise(F.col("text")))
+    found = periodic_runs(docs)
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    none = F.get("runs", F.lit(0))
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), none, lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("best"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id", "n_runs", *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
