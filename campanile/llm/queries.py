@@ -15,6 +15,7 @@ from campanile.llm.periodic import periodic_runs
 from campanile.llm.pieces import decode, encode
 from campanile.llm.quality import cascade
 from campanile.llm.registry import QUERIES, TWINS, query, table  # noqa: F401  the entry file reads both
+from campanile.llm.sharding import contiguous_shards
 from campanile.llm.token_counts import count_tokens
 from campanile.llm.winnowing import digest, edited_likeness
 
@@ -143,3 +144,25 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_runs", *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+@query("op11_sharding", sql=rf"""
+    with d as (select doc_id, coalesce(text, '') as text from documents),
+         k as (select doc_id, octet_length(encode(text))::bigint + 1 size, sha256(text) g, {CRC32_SQL.replace("B", "[('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::bigint for i in range(octet_length(encode(text)))]")} text_crc32 from d),
+         o as (select *, (sum(size) over (order by g, doc_id rows unbounded preceding) - size)::bigint before from k),
+         b as (select list(z order by z) b, max(z) total from (select min(before) z from o group by g union all select sum(size)::bigint from o)),
+         search as (with recursive s(lo, hi) as (select (total + 7) // 8, total from b union all
+             select case when list_reduce([0::bigint] || range(8), lambda p, k: list_max([x for x in b if x <= p + (lo + hi) // 2])) = total then lo else (lo + hi) // 2 + 1 end,
+                    case when list_reduce([0::bigint] || range(8), lambda p, k: list_max([x for x in b if x <= p + (lo + hi) // 2])) = total then (lo + hi) // 2 else hi end
+             from s, b where lo < hi) select min(hi) cap from s),
+         r as (select b, total, cap, list_reduce([[total]] || [[k] for k in range(8)], lambda r, k: r || [list_min([x for x in b if x >= r[-1] - cap])]) latest from b, search),
+         e as (select list_reduce([[0::bigint]] || [[k] for k in range(8, 0, -1)], lambda c, k: c || [coalesce(
+             list_min([{{'off': abs(x - c[-1] - (total - c[-1]) // k[1]), 'x': x}} for x in b if x > c[-1] and x <= c[-1] + cap and x >= latest[k[1]]]).x, total)]) ends from r),
+         p as (select doc_id, size, text_crc32, g, len([x for x in ends[2:8] if x <= before])::int shard from o, e)
+    select doc_id, size, text_crc32, 'bytes' law, shard, row_number() over (partition by shard order by g, doc_id) - 1 slot, null::int grown_shard
+    from p
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    placed = contiguous_shards(docs, carry=("doc_id", "text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
