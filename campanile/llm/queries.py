@@ -12,6 +12,7 @@ from campanile.llm.dart_minhash import near_duplicates
 from campanile.llm.line_frequency import drop_boilerplate, lines_of
 from campanile.llm.packing import pack_documents
 from campanile.llm.periodic import periodic_runs
+from campanile.llm.phrases import collocations
 from campanile.llm.pieces import decode, encode
 from campanile.llm.quality import cascade
 from campanile.llm.registry import QUERIES, TWINS, query, table  # noqa: F401  the entry file reads both
@@ -166,3 +167,22 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     placed = contiguous_shards(docs, carry=("doc_id", "text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_collocations", sql=r"""
+    with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+         w as (select lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] w from p),
+         g as (select lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) phrase from w, (select unnest([1, 2, 3, 4]) k)),
+         f as (select lang, k, phrase, count(*) f from g group by all),
+         n as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+         c as (select lang, k, phrase, f a, string_split(phrase, ' ') x from f where k > 1 and f >= 30),
+         j as (select lang, k, phrase, a, unnest(range(1, k)) j, x from c),
+         s as (select j.lang, j.k, j.phrase, a, arg_min({'l': l.f, 'r': r.f, 'score': 2000000::hugeint * a // (l.f + r.f)}, {'s': 2000000::hugeint * a // (l.f + r.f), 'j': j}) best
+               from j join f l on l.lang = j.lang and l.phrase = array_to_string(x[:j], ' ') join f r on r.lang = j.lang and r.phrase = array_to_string(x[j + 1:], ' ') group by all),
+         inner_part as (select lang, a, unnest(list_distinct(flatten([[array_to_string(x[i:i + m - 1], ' ') for i in range(1, k - m + 2)] for m in range(2, k)]))) phrase from c),
+         covered as (select distinct lang, s.phrase from s join inner_part i using (lang, phrase) where 100 * i.a >= 80 * s.a),
+         o as (select lang, row_number() over (partition by lang order by best.score desc, a desc, phrase) as rank, phrase, a, best.l as l, best.r as r, best.score::bigint score from s anti join covered using (lang, phrase))
+    select lang, rank, phrase, a, l, r, n, score from o join n using (lang) where rank <= 2000
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
