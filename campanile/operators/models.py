@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator
-from pyspark.ml.feature import VarianceThresholdSelector, VectorSlicer
+from pyspark.ml.feature import VarianceThresholdSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -20,10 +20,10 @@ from ..functions.numeric import array_sum
 from ..functions.scan import number_rows
 from ..session import cut
 from .candidates import expected_improvement
-from .features import binned_information, mutual_information
 from .groups import bootstrap_weights, group_folds
 from .metrics import consensus, elite_labels, pseudo_weights, quadratic_kappa, scaled_rank, sigma_scale, tail_weights, z_scores
 from .neighbours import nearest_neighbours
+from .stages import ClusterColumns, InformationSelector, MedianFill, Oversample, Stored, TrainingPipeline
 
 
 def array_stats(values: Column) -> tuple[Column, Column]:
@@ -42,31 +42,53 @@ def array_stats(values: Column) -> tuple[Column, Column]:
 # ---- ordinal classification ----------------------------------------------------------
 
 
-class OrdinalForest(Estimator):
+class OrdinalForest(Estimator, Stored):
     """M1: K - 1 weighted binary forests for P(y > k).
 
     Class weights come from one count per class; each fit reads the rows once per tree level.
     """
 
-    def __init__(self, label: str = "label", features: str = "features", classes: int = 3, trees: int = 50, depth: int = 5, seed: int = 42, weight: str | None = None):
+    SETTINGS = ("label", "features", "classes", "trees", "depth", "seed", "weight", "least_rows")
+
+    def __init__(self, label: str = "label", features: str = "features", classes: int = 3, trees: int = 50, depth: int = 5, seed: int = 42, weight: str | None = None, least_rows: int = 1):
         super().__init__()
-        self.label, self.features, self.classes = label, features, classes
-        self.trees, self.depth, self.seed, self.weight = trees, depth, seed, weight
+        self._keep(label=label, features=features, classes=classes, trees=trees, depth=depth, seed=seed, weight=weight, least_rows=least_rows)
+
+    def _binary(self, k: int):
+        """The classifier of P(y > k)."""
+        return RandomForestClassifier(numTrees=self.value("trees"), maxDepth=self.value("depth"), minInstancesPerNode=self.value("least_rows"), seed=self.value("seed") + k)
 
     def _fit(self, df: DataFrame) -> "OrdinalForestModel":
-        counts = {r[0]: r[1] for r in df.groupBy(self.label).count().collect()}
+        label, features, classes = self.value("label"), self.value("features"), self.value("classes")
+        counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
         total, models = sum(counts.values()), []
-        for k in range(self.classes - 1):
+        for k in range(classes - 1):
             above = sum(n for c, n in counts.items() if c > k)
             if above in (0, total):
                 models.append(float(above == total))
                 continue
-            binary = (F.col(self.label) > k).cast("double")
-            balance = F.when(F.col(self.label) > k, F.lit(total / (2.0 * above))).otherwise(F.lit(total / (2.0 * (total - above))))
-            weight = balance if self.weight is None else balance * F.col(self.weight)
-            forest = RandomForestClassifier(featuresCol=self.features, labelCol="__above", weightCol="__w", numTrees=self.trees, maxDepth=self.depth, seed=self.seed + k)
-            models.append(forest.fit(df.select(self.features, binary.alias("__above"), weight.alias("__w"))))
-        return OrdinalForestModel(models, self.features, self.classes)
+            binary = (F.col(label) > k).cast("double")
+            weight = F.when(F.col(label) > k, F.lit(total / (2.0 * above))).otherwise(F.lit(total / (2.0 * (total - above))))
+            if self.value("weight") is not None:
+                weight = weight * F.col(self.value("weight"))
+            one = self._binary(k).setFeaturesCol(features).setLabelCol("__above").setWeightCol("__w")
+            models.append(one.fit(df.select(features, binary.alias("__above"), weight.alias("__w"))))
+        return OrdinalForestModel(models, features, classes)
+
+
+class OrdinalBoost(OrdinalForest):
+    """The same with boosted trees; `trees` rounds, each of weight `step` and on a `share` of the rows."""
+
+    SETTINGS = (*OrdinalForest.SETTINGS, "step", "share")
+
+    def __init__(self, label: str = "label", features: str = "features", classes: int = 3, trees: int = 20, depth: int = 4, seed: int = 42, weight: str | None = None, least_rows: int = 1,
+                 step: float = 0.1, share: float = 1.0):
+        super().__init__(label, features, classes, trees, depth, seed, weight, least_rows)
+        self._keep(step=step, share=share)
+
+    def _binary(self, k: int):
+        return GBTClassifier(maxIter=self.value("trees"), maxDepth=self.value("depth"), minInstancesPerNode=self.value("least_rows"), seed=self.value("seed") + k,
+                             stepSize=self.value("step"), subsamplingRate=self.value("share"))
 
 
 def class_probabilities(above: Sequence[Column]) -> Column:
@@ -78,10 +100,14 @@ def class_probabilities(above: Sequence[Column]) -> Column:
     return F.transform(bound, lambda b: F.transform(b["raw"], lambda p: F.when(b["total"] > 0, p / b["total"]).otherwise(F.lit(1.0 / (len(above) + 1)))))[0]
 
 
-class OrdinalForestModel(Model):
-    def __init__(self, models: list, features: str, classes: int):
+class OrdinalForestModel(Model, Stored):
+    SETTINGS = ("features", "classes")
+    PARTS = ("models",)
+
+    def __init__(self, models: list | None = None, features: str = "features", classes: int = 3):
         super().__init__()
-        self.models, self.features, self.classes = models, features, classes
+        self.models = models or []
+        self._keep(features=features, classes=classes)
 
     def _above(self, df: DataFrame) -> tuple[DataFrame, list[Column], list[str]]:
         columns, extra = [], []
@@ -102,7 +128,7 @@ class OrdinalForestModel(Model):
         return out.withColumn("prediction", (F.array_position("class_probability", best) - 1).cast("int"))
 
     def with_uncertainty(self, df: DataFrame, trees: int = 20) -> DataFrame:
-        """M2: mean and deviation of the class probabilities over single trees (one column per tree, one pass)."""
+        """M2: mean and deviation of the class probabilities over single trees of forests (one column per tree, one pass)."""
         extra, per_tree = [], []
         for t in range(trees):
             above = []
@@ -112,12 +138,12 @@ class OrdinalForestModel(Model):
                     continue
                 tree = model.trees[t % len(model.trees)]
                 names = [f"__r{k}_{t}", f"__p{k}_{t}", f"__c{k}_{t}"]
-                df = tree.copy().setFeaturesCol(self.features).setRawPredictionCol(names[0]).setProbabilityCol(names[1]).setPredictionCol(names[2]).transform(df)
+                df = tree.copy().setFeaturesCol(self.value("features")).setRawPredictionCol(names[0]).setProbabilityCol(names[1]).setPredictionCol(names[2]).transform(df)
                 above.append(vector_to_array(names[1])[1])
                 extra += names
             per_tree.append(class_probabilities(above))
         df = df.withColumn("__trees", F.array(*per_tree)).drop(*extra)
-        for c in range(self.classes):
+        for c in range(self.value("classes")):
             mean, spread = array_stats(F.transform("__trees", lambda p: p[c]))
             df = df.withColumns({f"mean_{c}": mean, f"std_{c}": spread})
         return df.drop("__trees")
@@ -309,56 +335,7 @@ def refit_batch(observed: DataFrame, candidates: DataFrame, key: str, make: Call
     return observed.sparkSession.createDataFrame(picks, f"batch_rank int, `{key}` {dict(candidates.dtypes)[key]}, stand_in double")
 
 
-# ---- feature steps as estimators ----------------------------------------------------------------
-
-
-class ClusterColumns(Estimator):
-    """One-hot cluster membership, fitted on the rows given, appended to the vector."""
-
-    def __init__(self, features: str = "features", out: str = "with_clusters", k: int = 8, seed: int = 42):
-        super().__init__()
-        self.features, self.out, self.k, self.seed = features, out, k, seed
-
-    def _fit(self, df: DataFrame) -> "ClusterColumnsModel":
-        model = KMeans(featuresCol=self.features, predictionCol="__cluster", k=self.k, seed=self.seed).fit(df)
-        return ClusterColumnsModel(model, self.features, self.out, self.k)
-
-
-class ClusterColumnsModel(Model):
-    def __init__(self, model, features: str, out: str, k: int):
-        super().__init__()
-        self.model, self.features, self.out, self.k = model, features, out, k
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        hot = F.transform(F.sequence(F.lit(0), F.lit(self.k - 1)), lambda i: (i == F.col("__cluster")).cast("double"))
-        return self.model.transform(df).withColumn(self.out, array_to_vector(F.concat(vector_to_array(self.features), hot))).drop("__cluster")
-
-
-class InformationSelector(Estimator):
-    """T5, Z3: keep the positions with most mutual information, with one budget for discrete and one for continuous ones.
-
-    `score_fn(long) -> (feature, mi)` may replace the default scores.
-    """
-
-    def __init__(self, features: str, label: str, out: str, k: int = 100, k_continuous: int = 1000, discrete: Sequence[int] = (),
-                 score_fn: Callable[[DataFrame], DataFrame] | None = None):
-        super().__init__()
-        self.features, self.label, self.out = features, label, out
-        self.k, self.k_continuous, self.discrete, self.score_fn = k, k_continuous, list(discrete), score_fn
-
-    def scores(self, df: DataFrame) -> DataFrame:
-        long = df.select(F.posexplode(vector_to_array(self.features)).alias("feature", "value"), F.col(self.label).alias("label"))
-        if self.score_fn is not None:
-            return self.score_fn(long)
-        is_discrete = F.col("feature").isin(self.discrete)
-        return mutual_information(long.filter(is_discrete)).unionByName(binned_information(long.filter(~is_discrete)))
-
-    def _fit(self, df: DataFrame) -> Model:
-        # one row per position of the vector
-        ranked = sorted(((r["mi"], -r["feature"]) for r in self.scores(df).collect()), reverse=True)
-        positions = [-p for _, p in ranked]
-        kept = [p for p in positions if p in self.discrete][: self.k] + [p for p in positions if p not in self.discrete][: self.k_continuous]
-        return VectorSlicer(inputCol=self.features, outputCol=self.out, indices=sorted(kept))
+# ---- rows and clusters ------------------------------------------------------------------------
 
 
 def oversample(df: DataFrame, key: str, vector: str, label: str, targets: Mapping, neighbours: int = 5, seed: int = 42) -> DataFrame:
@@ -429,21 +406,41 @@ def fold_sweep(df: DataFrame, fold: str, n_folds: int, grid: Sequence[Mapping],
 # ---- assembly by variant -----------------------------------------------------------------------
 
 
-# fixed values: the steps of each model variant, in order
-VARIANTS = {
-    "rf": ("variance", "model"),
-    "rf_mi": ("variance", "information", "model"),
-    "rf_cl": ("clusters", "variance", "model"),
-    "rf_cl_mi": ("clusters", "variance", "information", "model"),
+# fixed values: the steps of each model variant, in order; `rf` are forests, `gb` boosted trees
+STEPS = {
+    "": ("impute", "variance", "oversample", "model"),
+    "_mi": ("impute", "variance", "information", "oversample", "model"),
+    "_cl": ("impute", "clusters", "variance", "oversample", "model"),
+    "_cl_mi": ("impute", "clusters", "variance", "information", "oversample", "model"),
 }
+VARIANTS = {kind + name: steps for kind in ("rf", "gb") for name, steps in STEPS.items()}
+# fixed values: parameters of a variant that was not tuned, and rows that classes 1 and 2 have at least
+UNTUNED = {
+    "rf": {"trees": 300, "depth": 10, "least_rows": 3},
+    "gb": {"trees": 300, "depth": 4, "least_rows": 5, "step": 0.05, "share": 0.8},
+}
+LEAST_ROWS_OF_CLASS = {1: 180, 2: 250}
+
 
+def variant_parameters(variant: str, tuned: Mapping[str, Mapping] | None = None) -> dict:
+    """A variant's tuned parameters, by its name; those of its kind where there are none."""
+    return dict((tuned or {}).get(variant) or UNTUNED[variant[:2]])
 
-def assemble(variant: str, label: str, features: str = "features", regression: bool = False, **options) -> Pipeline:
-    """An `ml.Pipeline` for a variant. Imputation comes before (P11), oversampling (G8) on training rows only."""
+
+def assemble(variant: str, label: str, features: str = "features", regression: bool = False, key: str | None = None, tuned: Mapping[str, Mapping] | None = None, **options) -> TrainingPipeline:
+    """The pipeline of a variant: medians for missing places, cluster columns, varying columns, selection, more rows of small classes, model.
+
+    Everything is fitted on the rows given to `fit` alone. Oversampling needs a unique `key` column and is left out without one, and in regression. `options` goes before tuned
+    parameters: trees, depth, least_rows, step, share; classes, clusters, k, k_continuous, discrete, targets. The pipeline and what it fits can be saved and loaded.
+    """
+    chosen = variant_parameters(variant, tuned) | {k: v for k, v in options.items() if k in ("trees", "depth", "least_rows", "step", "share")}
     stages, at = [], features
     for step in VARIANTS[variant]:
-        if step == "clusters":
-            stages.append(ClusterColumns(at, "with_clusters", options.get("clusters", 8)))
+        if step == "impute":
+            stages.append(MedianFill(at, "filled"))
+            at = "filled"
+        elif step == "clusters":
+            stages.append(ClusterColumns(at, "with_clusters", options.get("clusters", 10)))
             at = "with_clusters"
         elif step == "variance":
             stages.append(VarianceThresholdSelector(featuresCol=at, outputCol="varying", varianceThreshold=0.0))
@@ -451,8 +448,14 @@ def assemble(variant: str, label: str, features: str = "features", regression: b
         elif step == "information":
             stages.append(InformationSelector(at, label, "selected", options.get("k", 100), options.get("k_continuous", 1000), options.get("discrete", ())))
             at = "selected"
-        elif regression:
-            stages.append(RandomForestRegressor(featuresCol=at, labelCol=label, numTrees=options.get("trees", 30), maxDepth=options.get("depth", 6), seed=42))
+        elif step == "oversample":
+            if key is not None and not regression:
+                stages.append(Oversample(at, label, key, options.get("targets", LEAST_ROWS_OF_CLASS)))
+        elif not regression:
+            stages.append((OrdinalForest if variant.startswith("rf") else OrdinalBoost)(label, at, options.get("classes", 3), **chosen))
+        elif variant.startswith("rf"):
+            stages.append(RandomForestRegressor(featuresCol=at, labelCol=label, numTrees=chosen["trees"], maxDepth=chosen["depth"], minInstancesPerNode=chosen["least_rows"], seed=42))
         else:
-            stages.append(OrdinalForest(label, at, options.get("classes", 3), options.get("trees", 30), options.get("depth", 5)))
-    return Pipeline(stages=stages)
+            stages.append(GBTRegressor(featuresCol=at, labelCol=label, maxIter=chosen["trees"], maxDepth=chosen["depth"], minInstancesPerNode=chosen["least_rows"],
+                                       stepSize=chosen["step"], subsamplingRate=chosen["share"], seed=42))
+    return TrainingPipeline(stages=stages)

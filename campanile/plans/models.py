@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw
 from ..operators import metrics as Q
 from ..operators import models as M
+from ..operators.stages import MedianFill, Oversample
 from .registry import query
 
 
@@ -101,10 +102,46 @@ def _(t):
     return out
 
 
+def with_holes(t):
+    """Eight places of each vector, a fifth of them missing, in three folds by id."""
+    places = F.transform(F.slice("embedding", 1, 8), lambda x, i: F.when((F.col("vec_id") + i) % 5 != 0, x.cast("double")))
+    return rows(t).drop("features", "fold").join(t.embeddings.select("vec_id", places.alias("features"), (F.col("vec_id") % 3).cast("int").alias("fold")), "vec_id")
+
+
+@query("m15_fold_medians", """WITH v AS (SELECT vec_id, vec_id % 3 AS f, unnest(embedding[1:8])::DOUBLE AS x, unnest(range(8)) AS place FROM embeddings), folds AS (SELECT unnest([0, 1, 2])::INTEGER AS fold)
+SELECT fold, place::INTEGER AS place, round(median(x), 6) AS median FROM v, folds WHERE f <> fold AND (vec_id + place) % 5 <> 0 GROUP BY 1, 2""")
+def _(t):
+    medians = [(f, MedianFill().fit(with_holes(t).filter(F.col("fold") != f)).value("medians")) for f in range(3)]
+    found = t.spark.createDataFrame(medians, "fold int, m array<double>")
+    return found.select("fold", F.posexplode("m").alias("place", "median")).withColumn("median", F.round("median", 6))
+
+
+@query("m15_training_rows", """WITH c AS (SELECT vec_id % 3 AS f, CASE WHEN label <= 2 THEN 0 WHEN label <= 5 THEN 1 ELSE 2 END::INTEGER AS cls FROM embeddings), folds AS (SELECT unnest([0, 1, 2])::INTEGER AS fold)
+SELECT fold, cls, greatest(count(*), 250) AS n FROM c, folds WHERE f <> fold GROUP BY 1, 2""")
+def _(t):
+    more = Oversample("filled", "cls", "vec_id", {0: 250, 1: 250, 2: 250})
+    parts = []
+    for f in range(3):
+        train = with_holes(t).filter(F.col("fold") != f)
+        parts.append(more.resample(MedianFill().fit(train).transform(train)).groupBy("cls").agg(F.count(F.lit(1)).alias("n")).select(F.lit(f).alias("fold"), "cls", "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def assembled(t, variant, **options):
+    """Fitted on two folds, all rows scored."""
+    table = with_holes(t)
+    model = M.assemble(variant, "cls", key="vec_id", targets={0: 250, 1: 250}, clusters=4, k_continuous=6, **options).fit(table.filter("fold < 2"))
+    return model.transform(table).select("vec_id", "cls", "prediction")
+
+
 @query("m15_assembled_variant")
 def _(t):
-    model = M.assemble("rf_cl_mi", "cls", trees=6, clusters=4, k_continuous=20, discrete=list(range(64, 68))).fit(rows(t))
-    return model.transform(rows(t)).select("vec_id", "cls", "prediction")
+    return assembled(t, "rf_cl_mi", trees=6, depth=5)
+
+
+@query("m15_boosted_variant")
+def _(t):
+    return assembled(t, "gb_mi", trees=3, depth=3)
 
 
 @query("c4_refit_batch")
