@@ -8,6 +8,7 @@ partitions and shuffles the blocks; NumPy does the arithmetic inside a tile.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,7 +23,7 @@ from ..functions.scan import number_rows, running
 from ..session import cut
 
 ROWS_PER_BLOCK = 4_096
-PIVOTS = 32
+PIVOT_BYTES = 64 << 20
 HISTOGRAM = 1 << 16
 
 
@@ -38,88 +39,138 @@ def _distances(a: np.ndarray, b: np.ndarray):
         yield start, np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
 
 
-def _cells(df: DataFrame, key: str, vector: str, pivots: np.ndarray, group) -> DataFrame:
+def _cells(reps: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
     """Add the cell of each row (its nearest pivot, counted on per group) and the distance to the pivot."""
 
     def run(frames):
         for frame in frames:
             x = _matrix(frame["vec"])
-            best, near = np.zeros(len(frame), dtype=np.int32), np.zeros(len(frame))
-            for start, d in _distances(x, pivots) if len(frame) else ():
+            best, near = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame))
+            for start, d in _distances(x, centres) if len(frame) else ():
                 at = d.argmin(axis=1)
                 best[start : start + len(d)], near[start : start + len(d)] = at, d[np.arange(len(d)), at]
-            yield frame.assign(cell=frame["grp"].to_numpy() * len(pivots) + best, near=near)[["id", "vec", "cell", "near"]]
+            yield frame.assign(cell=frame["grp"].to_numpy() * len(centres) + best, near=near)
 
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"), group.cast("int").alias("grp"))
-    return rows.mapInPandas(run, f"id {kind}, vec array<double>, cell int, near double")
+    return reps.select("id", "grp", "vec", "asks").mapInPandas(run, f"id {kind}, grp int, vec array<double>, asks boolean, cell long, near double")
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_block: int = ROWS_PER_BLOCK, pivots: int = PIVOTS,
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least of each row, the first of equals first."""
+    return np.argsort(d, axis=1, kind="stable")[:, : min(k, d.shape[1])]
+
+
+def _inside(blocks: DataFrame, k: int, kind: str) -> DataFrame:
+    """Every row's k nearest within its own block, and the distance of the last of them: no row farther off can be among its k nearest."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", ignore_index=True)
+        x, names = _matrix(frame["vec"]), frame["id"].to_numpy()
+        near, far, bound = [], [], []
+        for start, d in _distances(x, x):
+            d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
+            order = _least(d, min(k, len(x) - 1))
+            found = np.take_along_axis(d, order, 1)
+            near += list(names[order])
+            far += list(found)
+            bound += list(found[:, -1] if found.shape[1] == k else np.full(len(d), np.inf))
+        asks = frame["asks"].to_numpy(dtype=bool)
+        return frame[["id", "grp", "vec", "block"]].assign(neighbours=near, distances=far, bound=np.where(asks, bound, -1.0))
+
+    return blocks.groupBy("block").applyInPandas(run, f"id {kind}, grp int, vec array<double>, block long, neighbours array<{kind}>, distances array<double>, bound double")
+
+
+def _asks(inside: DataFrame, centres: np.ndarray, told: pd.DataFrame, kind: str) -> DataFrame:
+    """Rows that have to be compared with other blocks, and those blocks: a ring about a pivot is asked if it comes as near as the row's bound."""
+    key, cell, low, high = (told[c].to_numpy() for c in ("block", "cell", "low", "high"))
+    pivot, group = cell % len(centres), cell // len(centres)
+
+    def run(frames):
+        for frame in frames:
+            frame = frame[frame["bound"] >= 0].reset_index(drop=True)
+            x, asked = _matrix(frame["vec"]), []
+            step = max(1, 4_000_000 // len(key))
+            for begin in range(0, len(frame), step):
+                part = frame.iloc[begin : begin + step]
+                to = np.concatenate([d for _, d in _distances(x[begin : begin + step], centres)])[:, pivot]
+                reach = part["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
+                meets = (to - high <= reach) & (low - to <= reach) & (group == part["grp"].to_numpy()[:, None]) & (key != part["block"].to_numpy()[:, None])
+                asked += [key[m] for m in meets]
+            yield frame[["id", "vec", "bound"]].assign(blocks=asked)
+
+    return inside.select("id", "grp", "vec", "block", "bound").mapInPandas(run, f"id {kind}, vec array<double>, bound double, blocks array<long>")
+
+
+def _across(asks: DataFrame, blocks: DataFrame, k: int, rows_per_block: int, kind: str) -> DataFrame:
+    """For every row and block it asks, the k nearest rows there that its bound lets in. A block asked by many is sent once for every few thousand of them."""
+    asked = asks.select("id", "vec", "bound", F.explode("blocks").alias("block"))
+    salts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (4 * rows_per_block)).cast("int").alias("salts"))
+    left = asked.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("id"), "salts"))
+    right = blocks.select("block", F.col("id").alias("id_q"), F.col("vec").alias("vec_q")).join(salts, "block")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("salts") - 1).cast("long"))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": left["id"][:0], "neighbour": left["id"][:0], "distance": np.zeros(0)})]
+        if len(left) and len(right):
+            right = right.sort_values("id_q", ignore_index=True)
+            ids, names, bound = left["id"].to_numpy(), right["id_q"].to_numpy(), left["bound"].to_numpy() * (1 + 1e-9) + 1e-9
+            for start, d in _distances(_matrix(left["vec"]), _matrix(right["vec_q"])):
+                order = _least(d, k)
+                rows, found = np.repeat(np.arange(start, start + len(d)), order.shape[1]), np.take_along_axis(d, order, 1).ravel()
+                near = found <= bound[rows]
+                out.append(pd.DataFrame({"id": ids[rows[near]], "neighbour": names[order.ravel()[near]], "distance": found[near]}))
+        return pd.concat(out, ignore_index=True)
+
+    columns = left.select("id", "vec", "bound", "block", "salt").groupBy("block", "salt").cogroup(right.select("id_q", "vec_q", "block", "salt").groupBy("block", "salt"))
+    return columns.applyInPandas(run, f"id {kind}, neighbour {kind}, distance double")
+
+
+def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_block: int = ROWS_PER_BLOCK, pivots: int | None = None,
                        within: str | None = None, groups: Sequence = ()) -> DataFrame:
-    """Exact k nearest other rows by Euclidean distance: (id, neighbour, distance, rank); ids break ties.
+    """Exact k nearest other rows by Euclidean distance: (id, neighbour, distance, rank); ids must be unique and break ties.
 
     With `within` only rows of one of the `groups` are used, and neighbours come from the row's own group.
 
-    Rows go to the cell of their nearest pivot and a large cell is split into
-    blocks. Two cells whose distance exceeds what the k nearest rows of the
-    first can reach (triangle inequality) never meet, so no result is lost.
+    Rows of one vector are one row with the least k + 1 of their ids, so many copies cost nothing. Rows go to the cell of their nearest pivot; a cell is cut into
+    rings of bounded size by the distance from the pivot. A first pass compares the rows of a ring with one another: the k-th distance there bounds what can still
+    be among the k nearest. A second pass sends a row to those rings only that come as near as its bound (triangle inequality), so no result is lost.
+
+    Pivots grow with the square root of the rows (up to `PIVOT_BYTES` of them, which every task holds), and the driver keeps four numbers a ring.
     """
-    group = F.lit(0)
+    kind, group = dict(df.dtypes)[key], F.lit(0)
     if within is not None:
         df = df.filter(F.col(within).isin(list(groups)))
         group = F.element_at(F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(g), F.lit(i))]), F.col(within))
-    # a cell should fill a good part of a block, or tiles become many and tiny
-    pivots = max(1, min(pivots, 4 * df.count() // rows_per_block))
-    chosen = df.select(F.col(key), F.col(vector).cast("array<double>").alias("v"), draw(key).alias("d")).orderBy("d", key).limit(pivots).collect()
-    if not chosen:
+    rows = df.select(F.col(key).alias("id"), group.cast("int").alias("grp"), F.col(vector).cast("array<double>").alias("vec"))
+    first = rows.withColumn("rn", F.row_number().over(W.partitionBy("grp", "vec").orderBy("id"))).filter(F.col("rn") <= k + 1)
+    same = first.groupBy("grp", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    reps = cut(same.withColumn("id", F.get("ids", F.lit(0))).withColumn("asks", F.size("ids") <= k))
+    told = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    if not told["n"]:
         raise ValueError("no rows")
-    centres = np.array([r["v"] for r in chosen])
-    # read three times below, so the assignment is kept
-    cells = cut(_cells(df, key, vector, centres, group))
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius")).collect()}
-    reach = {c: (2 * radius if n > k else float("inf")) for c, (n, radius) in stats.items()}
-    size = len(centres)
-    gap = lambda i, j: float(np.linalg.norm(centres[i % size] - centres[j % size])) if i // size == j // size else float("inf")
-    meets = {i: [j for j in stats if i // size == j // size and gap(i, j) - stats[i][1] - stats[j][1] <= reach[i] * (1 + 1e-9) + 1e-9] for i in stats}
-    met_by = {j: [i for i in stats if j in meets[i]] for j in stats}
-    parts = {c: -(-n // rows_per_block) for c, (n, _) in stats.items()}
-
-    def literal(table: dict):
-        entries = []
-        for c, v in table.items():
-            entries += [F.lit(c), F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)]
-        return F.create_map(*entries)
-
-    n_parts = literal(parts)
-    blocked = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(n_parts, F.col("cell"))).cast("int"))
-
-    def spread(table: dict) -> DataFrame:
-        other = blocked.withColumn("other", F.explode(F.element_at(literal(table), F.col("cell"))))
-        return other.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.element_at(n_parts, F.col("other")) - 1)))
-
-    ask = spread(meets).select("id", "vec", F.col("cell").alias("c1"), F.col("part").alias("p1"), F.col("other").alias("c2"), F.col("other_part").alias("p2"))
-    have = spread(met_by).select(F.col("id").alias("id_q"), F.col("vec").alias("vec_q"), F.col("other").alias("c1"), F.col("other_part").alias("p1"), F.col("cell").alias("c2"), F.col("part").alias("p2"))
-    tile = ["c1", "p1", "c2", "p2"]
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": left["id"][:0], "neighbour": left["id"][:0], "distance": np.zeros(0)})
-        right = right.sort_values("id_q", ignore_index=True)
-        ids, names = left["id"].to_numpy(), right["id_q"].to_numpy()
-        a, b, out = _matrix(left["vec"]), _matrix(right["vec_q"]), []
-        for start, d in _distances(a, b):
-            rows = ids[start : start + len(d)]
-            d = np.where(rows[:, None] == names[None, :], np.inf, d)
-            order = np.argsort(d, axis=1, kind="stable")[:, : min(k, d.shape[1])]
-            out.append(pd.DataFrame({"id": np.repeat(rows, order.shape[1]), "neighbour": names[order.ravel()], "distance": np.take_along_axis(d, order, 1).ravel()}))
-        found = pd.concat(out, ignore_index=True)
-        return found[np.isfinite(found["distance"])]
-
-    kind = dict(df.dtypes)[key]
-    found = ask.groupBy(*tile).cogroup(have.groupBy(*tile)).applyInPandas(nearest, f"id {kind}, neighbour {kind}, distance double")
-    order = W.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    # a cell should fill a good part of a block, or blocks become many and tiny
+    most = min(math.isqrt(told["n"]), 4 * told["n"] // rows_per_block, PIVOT_BYTES // (8 * told["width"])) if pivots is None else pivots
+    chosen = reps.select("id", "grp", "vec", draw("id", "grp").alias("d")).orderBy("d", "id", "grp").limit(max(1, most)).collect()
+    centres = np.array([r["vec"] for r in chosen])
+
+    ringed = number_rows(_cells(reps, centres, kind), ["cell"], "near", F.xxhash64("id"), out="rn")
+    block = F.shiftleft(F.col("cell"), 24) + F.floor((F.col("rn") - 1) / rows_per_block)
+    blocks = cut(ringed.withColumn("block", block.cast("long")).select("id", "grp", "vec", "asks", "block", "cell", "near"))
+    rings = blocks.groupBy("block").agg(F.max("cell").alias("cell"), F.min("near").alias("low"), F.max("near").alias("high")).toPandas()
+    inside = cut(_inside(blocks.select("id", "grp", "vec", "asks", "block"), k, kind))
+    asks = cut(_asks(inside, centres, rings, kind))
+    own = inside.filter("bound >= 0").select("id", F.explode(F.arrays_zip("neighbours", "distances")).alias("n")).select("id", F.col("n.neighbours").alias("neighbour"), F.col("n.distances").alias("distance"))
+    best = W.partitionBy("id").orderBy("distance", "neighbour")
+    found = own.unionByName(_across(asks, blocks, k, rows_per_block, kind)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    # from vectors back to rows: copies are at distance 0, and any copy of a near vector is as near
+    copies = reps.select(F.col("id").alias("neighbour"), F.col("ids").alias("others"))
+    near = found.join(copies, "neighbour").groupBy("id").agg(F.collect_list(F.struct("distance", "others")).alias("near"))
+    others = lambda x: F.transform(x["others"], lambda o: F.struct(x["distance"].alias("distance"), o.alias("neighbour")))
+    alike = F.transform("ids", lambda o: F.struct(F.lit(0.0).alias("distance"), o.alias("neighbour")))
+    listed = F.array_sort(F.concat(alike, F.flatten(F.transform(F.coalesce("near", F.array().cast(near.schema["near"].dataType)), others))))
+    answers = reps.join(near, "id", "left").select("grp", "vec", listed.alias("listed"))
+    each = rows.join(answers, ["grp", "vec"]).select("id", F.posexplode(F.slice(F.filter("listed", lambda x: x["neighbour"] != F.col("id")), 1, k)).alias("at", "n"))
+    return each.select("id", F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance"), (F.col("at") + 1).cast("int").alias("rank"))
 
 
 def label_agreement(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:

@@ -92,6 +92,33 @@ def test_neighbours_by_tiles_equal_brute_force(cloud, rows):
     assert [got[i] for i in range(len(points))] == want
 
 
+def test_rows_meet_few_other_blocks(spark, monkeypatch):
+    """On rows in clusters, a row is sent to few blocks, and to no more of them in a table eight times as large."""
+    copies = {}
+    real = B._asks
+
+    def spy(inside, centres, rings, kind):
+        out = real(inside, centres, rings, kind)
+        copies[inside.count()] = out.agg(F.avg(F.size("blocks"))).first()[0]
+        return out
+
+    monkeypatch.setattr(B, "_asks", spy)
+    rng = np.random.default_rng(3)
+    for n in (500, 4000):
+        centres = rng.normal(0, 50, (n // 50, 3))
+        points = np.concatenate([rng.normal(c, 1, (50, 3)) for c in centres])
+        df = spark.createDataFrame([(f"r{i:05d}", p.tolist()) for i, p in enumerate(points)], "id string, v array<double>")
+        got: dict = {}
+        for r in B.nearest_neighbours(df, "id", "v", 3, rows_per_block=64).collect():
+            got.setdefault(int(r["id"][1:]), []).append((r["rank"], int(r["neighbour"][1:])))
+        sample = rng.choice(n, 60, replace=False)
+        d = np.sqrt(((points[sample][:, None] - points[None]) ** 2).sum(2))
+        d[np.arange(60), sample] = np.inf
+        assert [[j for _, j in sorted(got[i])] for i in sample] == np.argsort(d, axis=1, kind="stable")[:, :3].tolist()
+    small, large = copies[500], copies[4000]
+    assert large < 3 * max(1.0, small) and large < 8
+
+
 @pytest.mark.parametrize("rows", [50, 4096])
 def test_semivariogram_by_tiles_equals_brute_force(cloud, blocks, rows):
     points, y, df = cloud
