@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import correlation, digamma
+from ..functions.numeric import digamma
 from ..functions.quantile import quantiles
 from ..functions.scan import as_column, number_rows, running
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -63,17 +69,119 @@ def varying_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(ranges.alias("r")).select(F.explode("r").alias("r")).filter("r.varies").select("r.column")
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """R for every column pair i < j, from one aggregate."""
-    pairs = [(i, j) for j in range(len(columns)) for i in range(j)]
-    row = df.agg(*[correlation(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    structs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[j]).alias("column"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+#: Columns of a block, and bytes of block products a task adds up at once; more blocks are more passes over the rows.
+COLUMNS_PER_BLOCK, PRODUCT_BYTES = 256, 256 << 20
 
 
-def correlated_columns(df: DataFrame, columns: Sequence[str], threshold: float = 0.95) -> DataFrame:
+def _batches(frames, missing_as: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Matrices of rows and whether their places hold a number; the others hold `missing_as`."""
+    for frame in frames:
+        if len(frame):
+            x = np.stack(frame["x"].to_numpy()).astype(np.float64)
+            there = np.isfinite(x)
+            yield np.where(there, x, missing_as), there
+
+
+def _column_totals(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count of numbers, mean, and whether it varies, per column: one row of totals a task, added up before they reach the driver."""
+
+    def run(frames):
+        n, total, low, high = np.zeros(width), np.zeros(width), np.full(width, np.inf), np.full(width, -np.inf)
+        for x, there in _batches(frames, 0.0):
+            n, total = n + there.sum(0), total + x.sum(0)
+            low, high = np.minimum(low, np.where(there, x, np.inf).min(0)), np.maximum(high, np.where(there, x, -np.inf).max(0))
+        yield pd.DataFrame({"n": [n], "total": [total], "low": [low], "high": [high]})
+
+    told = rows.mapInPandas(run, "n array<double>, total array<double>, low array<double>, high array<double>")
+    of = lambda c, how: getattr(Summarizer, how)(array_to_vector(c)).alias(c)
+    row = told.agg(of("n", "sum"), of("total", "sum"), of("low", "min"), of("high", "max")).first()
+    n, total, low, high = (np.array(row[c].toArray()) for c in ("n", "total", "low", "high"))
+    return n, total / np.maximum(n, 1), low < high
+
+
+def _products(rows: DataFrame, centre: np.ndarray, pairs: Sequence[tuple[int, int]], block: int, whole: bool) -> DataFrame:
+    """Rows (i, first, kind, v): sums over the rows of products of column i with the columns from `first` on; a task adds up its rows before any of it moves.
+
+    Kinds: 0 values with values; with missing places also 1 presence with presence, 2 values with presence, 3 presence with values, 4 squares with presence, 5 presence with squares.
+    """
+
+    def run(frames):
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
+        for x, there in _batches(frames, np.nan):
+            x = np.where(there, x - centre, 0.0)
+            forms = {0: (x, x)}
+            if not whole:
+                present, squares = there.astype(np.float64), x * x
+                forms |= {1: (present, present), 2: (x, present), 3: (present, x), 4: (squares, present), 5: (present, squares)}
+            for p, q in pairs:
+                for kind, (left, right) in forms.items():
+                    part = left[:, p * block : (p + 1) * block].T @ right[:, q * block : (q + 1) * block]
+                    key = (p, q, kind)
+                    sums[key] = sums[key] + part if key in sums else part
+        for (p, q, kind), total in sums.items():
+            yield pd.DataFrame({"i": np.arange(p * block, p * block + len(total)), "first": q * block, "kind": kind, "v": list(total)})
+
+    return rows.mapInPandas(run, "i int, first int, kind int, v array<double>")
+
+
+def correlation_blocks(df: DataFrame, columns: Sequence[str] | str, block: int = COLUMNS_PER_BLOCK) -> DataFrame:
+    """Rows (i, first, r): the correlations of column i with the `block` columns from `first` on, for blocks not left of i's own; null where a side is constant.
+
+    `columns` names number columns or one array column. Values are centred first, so large means cost no digits. Missing places (null or not finite) leave a pair of
+    columns out of a row, as SQL does. Products are made by blocks of rows and columns and added up in each task; neither plan nor result of a task grows with the square of the columns.
+    """
+    width = len(columns) if not isinstance(columns, str) else df.agg(F.max(F.size(columns))).first()[0] or 0
+    rows = df.select((F.array(*[F.col(c).cast("double") for c in columns]) if not isinstance(columns, str) else F.col(columns).cast("array<double>")).alias("x"))
+    size = rows.count()
+    if not size or not width:
+        return df.sparkSession.createDataFrame([], "i int, first int, r array<double>")
+    n, centre, varies = _column_totals(rows, width)
+    whole = n.min() == size
+    blocks = -(-width // block)
+    pairs = [(p, q) for p in range(blocks) for q in range(p, blocks)]
+    most = max(1, PRODUCT_BYTES // (8 * block * block * (1 if whole else 6)))
+    parts = [_products(rows, centre, pairs[a : a + most], block, whole) for a in range(0, len(pairs), most)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("i", "first", "kind").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    changes = lambda j: F.get(F.from_json(F.lit(json.dumps(varies.tolist())), "array<boolean>"), j)
+    if whole:
+        sums = cut(sums)
+        own = sums.filter(F.col("i").between(F.col("first"), F.col("first") + block - 1)).select("i", F.get("v", F.col("i") - F.col("first")).alias("s"))
+        squares = [0.0] * width
+        for r in own.collect():  # a number a column
+            squares[r["i"]] = r["s"]
+        of = lambda j: F.get(F.from_json(F.lit(json.dumps(squares)), "array<double>"), j)
+        r = F.transform("v", lambda x, t: F.when(changes(F.col("i")) & changes(F.col("first") + t), x / F.sqrt(of(F.col("i")) * of(F.col("first") + t))))
+        return sums.select("i", "first", r.alias("r"))
+    wide = sums.groupBy("i", "first").agg(*[F.first(F.when(F.col("kind") == k, F.col("v")), ignorenulls=True).alias(c) for k, c in enumerate(["xy", "n", "sx", "sy", "xx", "yy"])])
+
+    def pair(z):
+        spread = (z["n"] * z["xx"] - z["sx"] * z["sx"]) * (z["n"] * z["yy"] - z["sy"] * z["sy"])
+        return F.when(spread > 0, (z["n"] * z["xy"] - z["sx"] * z["sy"]) / F.sqrt(spread))
+
+    r = F.transform(F.arrays_zip("xy", "n", "sx", "sy", "xx", "yy"), lambda z, t: F.when(changes(F.col("i")) & changes(F.col("first") + t), pair(z)))
+    return wide.select("i", "first", r.alias("r"))
+
+
+def _pairs(df: DataFrame, columns: Sequence[str] | str, keep: Callable[[Column], Column]) -> DataFrame:
+    """Rows (i, j, r) with i < j of the pairs `keep` takes, chosen before they become rows."""
+    told = F.transform("r", lambda r, t: F.struct((F.col("first") + t).alias("j"), r.alias("r")))
+    chosen = F.filter(told, lambda s: (s["j"] > F.col("i")) & keep(s["r"]))
+    return correlation_blocks(df, columns).select("i", F.explode(chosen).alias("s")).select("i", "s.j", "s.r")
+
+
+def _named(columns: Sequence[str] | str) -> Column:
+    return F.col("j").cast("string") if isinstance(columns, str) else F.get(F.from_json(F.lit(json.dumps(list(columns))), "array<string>"), F.col("j"))
+
+
+def correlations(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:
+    """R for every column pair i < j; a place of an array column is named by its number."""
+    return _pairs(df, columns, lambda r: F.lit(True)).select("i", "j", _named(columns).alias("column"), "r")
+
+
+def correlated_columns(df: DataFrame, columns: Sequence[str] | str, threshold: float = 0.95) -> DataFrame:
     """The columns with |r| above the threshold to any earlier column, dropped or not."""
-    return correlations(df, columns).filter(F.abs("r") > threshold).groupBy("column").agg(F.max(F.abs("r")).alias("max_r"))
+    found = _pairs(df, columns, lambda r: F.abs(r) > threshold)
+    return found.groupBy(_named(columns).alias("column")).agg(F.max(F.abs("r")).alias("max_r"))
 
 
 def interactions(t: Column, r: Column, h: Column, high: float = 0.85) -> dict[str, Column]:
