@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+import json
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+from functools import partial, reduce
 
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -11,9 +15,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator
 from pyspark.ml.feature import VarianceThresholdSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.hashing import draw, uniform
 from ..functions.numeric import array_sum
@@ -21,7 +26,9 @@ from ..functions.scan import number_rows
 from ..session import cut
 from .candidates import expected_improvement
 from .groups import bootstrap_weights, group_folds
-from .metrics import consensus, elite_labels, pseudo_weights, quadratic_kappa, scaled_rank, sigma_scale, tail_weights, z_scores
+from .metrics import (
+    consensus, elite_labels, ndcg_at, precision_at, pseudo_weights, quadratic_kappa, rank_in_sample, ranking_quality, scaled_rank, sigma_scale, spearman, tail_rmse, tail_weights, z_scores,
+)
 from .neighbours import nearest_neighbours
 from .stages import ClusterColumns, InformationSelector, MedianFill, Oversample, Stored, TrainingPipeline
 
@@ -171,75 +178,183 @@ def stacked(df: DataFrame, fold: str, n_folds: int, bases: Sequence[Callable[[Da
 # ---- regression surrogates ---------------------------------------------------------------
 
 
+def leaf_values(model, trees: int) -> list[list[float]]:
+    """Predictions of the leaves of each regression tree from left to right, read from the model's own listing."""
+    values: list[list[float]] = []
+    for line in model.toDebugString.splitlines():
+        word = line.strip()
+        if word.startswith("Tree "):
+            values.append([])
+        elif word.startswith("Predict:"):
+            values[-1].append(float(word.removeprefix("Predict:")))
+    if len(values) != trees:
+        raise ValueError("not the listing of a forest")
+    return values
+
+
 class ForestSurrogate:
-    """M4: mean and deviation over trees, deviation times a calibrated scale; optional tail weights."""
+    """M4: mean and deviation over trees, deviation times a calibrated scale; tail weights to the power `alpha` (0: none)."""
 
-    def __init__(self, y: str = "y", features: str = "features", trees: int = 30, depth: int = 6, seed: int = 42, tail: bool = True):
-        self.y, self.features, self.trees, self.depth, self.seed, self.tail = y, features, trees, depth, seed, tail
+    def __init__(self, y: str = "y", features: str = "features", trees: int = 30, depth: int = 6, seed: int = 42, tail: bool = True, alpha: float = 0.5):
+        self.y, self.features, self.trees, self.depth, self.seed, self.tail, self.alpha = y, features, trees, depth, seed, tail, alpha
         self.scale = 1.0
 
+    def _settings(self) -> dict:
+        return {k: getattr(self, k) for k in ("y", "features", "trees", "depth", "seed", "tail", "alpha")}
+
     def fit(self, df: DataFrame, fold: str | None = None, n_folds: int = 5) -> "ForestSurrogate":
         """Fit; with a fold column also calibrate the scale on out-of-fold z."""
         if fold is not None:
-            raw = reduce(DataFrame.unionByName, [
-                self._clone().fit(df.filter(F.col(fold) != f)).predict(df.filter(F.col(fold) == f)).select(F.col(self.y).alias("y"), "mu", "sigma") for f in range(n_folds)
-            ])
-            self.scale = float(sigma_scale(z_scores(raw), n_folds).first()["sigma_scale"])
-        rows = tail_weights(df, self.y) if self.tail else df.withColumn("weight", F.lit(1.0))
+            self.scale = calibrated(self.held_out(df, fold, f) for f in range(n_folds))
+        return self._learn(df)
+
+    def _learn(self, df: DataFrame) -> "ForestSurrogate":
+        rows = tail_weights(df, self.y, alpha=self.alpha) if self.tail and self.alpha > 0 else df.withColumn("weight", F.lit(1.0))
         self.model = RandomForestRegressor(featuresCol=self.features, labelCol=self.y, weightCol="weight", numTrees=self.trees, maxDepth=self.depth, seed=self.seed).fit(
             rows.select(self.features, F.col(self.y).cast("double").alias(self.y), "weight")
         )
         return self
 
-    def _clone(self) -> "ForestSurrogate":
-        return ForestSurrogate(self.y, self.features, self.trees, self.depth, self.seed, self.tail)
+    def held_out(self, df: DataFrame, fold: str, f: int) -> DataFrame:
+        """(y, mu, sigma) of the rows of a fold by a surrogate of the other rows."""
+        other = ForestSurrogate(**self._settings())._learn(df.filter(F.col(fold) != f))
+        return other.predict(df.filter(F.col(fold) == f)).select(F.col(self.y).alias("y"), "mu", "sigma")
 
     def per_tree(self, df: DataFrame) -> DataFrame:
-        """Add `trees`, the array of tree predictions."""
-        names = []
-        for i, tree in enumerate(self.model.trees):
-            df = tree.copy().setFeaturesCol(self.features).setPredictionCol(f"__t{i}").transform(df)
-            names.append(f"__t{i}")
-        return df.withColumn("trees", F.array(*names)).drop(*names)
+        """Add `trees`, the array of tree predictions: the forest gives each row's leaves in one transform, whose values are looked up."""
+        values = F.from_json(F.lit(json.dumps(leaf_values(self.model, self.trees))), "array<array<double>>")
+        leaves = self.model.copy().setLeafCol("__leaves").setPredictionCol("__mean").transform(df)
+        return leaves.withColumn("trees", F.transform(vector_to_array("__leaves"), lambda leaf, t: F.get(F.get(values, t), leaf.cast("int")))).drop("__leaves", "__mean")
 
     def predict(self, df: DataFrame) -> DataFrame:
         mean, spread = array_stats(F.col("trees"))
         return self.per_tree(df).withColumns({"mu": mean, "sigma": spread * F.lit(self.scale)}).drop("trees")
 
+    def save(self, path: str) -> None:
+        """Settings, scale and forest."""
+        spark = SparkSession.active()
+        self.model.write().save(f"{path}/forest")
+        spark.createDataFrame([(json.dumps(self._settings() | {"scale": self.scale}),)], "settings string").coalesce(1).write.text(f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str) -> "ForestSurrogate":
+        told = json.loads(SparkSession.active().read.text(f"{path}/settings").first()[0])
+        scale = told.pop("scale")
+        loaded = cls(**told)
+        loaded.scale, loaded.model = scale, RandomForestRegressionModel.load(f"{path}/forest")
+        return loaded
+
+
+def calibrated(held_out: Iterable[DataFrame]) -> float:
+    """The scale that gives z of held-out rows unit deviation; 1 when there is too little data."""
+    parts = list(held_out)
+    return float(sigma_scale(z_scores(reduce(DataFrame.unionByName, parts)), len(parts)).first()["sigma_scale"])
+
 
 class RankSurrogate(ForestSurrogate):
-    """M5: the same on the scaled rank of the target, without tail weights."""
+    """M5: the same on the scaled rank of the target, without tail weights.
+
+    Ranks are those of the rows that are learned from. So in calibration each fold's model has ranks of its own, and held-out targets are mapped into them (W8).
+    """
+
+    def __init__(self, y: str = "y", features: str = "features", trees: int = 30, depth: int = 6, seed: int = 42, tail: bool = False, alpha: float = 0.0):
+        super().__init__(y, features, trees, depth, seed, False, 0.0)
 
-    def fit(self, df: DataFrame, fold: str | None = None, n_folds: int = 5) -> "RankSurrogate":
+    def ranked(self, df: DataFrame) -> DataFrame:
+        """Add `__rank`: the target's rank among these rows, from 0 to 1."""
         rows = df.withColumns({"__one": F.lit(0), "__tie": F.xxhash64(F.col(self.y), self.features)})
-        ranked = scaled_rank(rows, ["__one"], self.y, "__tie", "__rank").drop("__one", "__tie")
-        self.inner = ForestSurrogate("__rank", self.features, self.trees, self.depth, self.seed, tail=False).fit(ranked, fold, n_folds)
-        self.model, self.scale = self.inner.model, self.inner.scale
+        return scaled_rank(rows, ["__one"], self.y, "__tie", "__rank").drop("__one", "__tie")
+
+    def mapped(self, df: DataFrame, sample: DataFrame) -> DataFrame:
+        """Add `__rank`: where the target lies among the targets of `sample` (W8); one look-up for each distinct value."""
+        value = F.col(self.y).cast("double")
+        asked = df.select(value.alias("__v")).distinct().withColumn("__key", F.xxhash64("__v"))
+        found = rank_in_sample(asked, sample.select(value.alias("__v")), "__v", "__key", "__rank")
+        return df.withColumn("__v", value).join(found.select("__v", "__rank"), "__v", "left").drop("__v")
+
+    def _learn(self, df: DataFrame) -> "RankSurrogate":
+        self.inner = ForestSurrogate("__rank", self.features, self.trees, self.depth, self.seed, tail=False)._learn(self.ranked(df))
+        self.model = self.inner.model
+        # equal targets are one row
+        self.sample = cut(df.groupBy(F.col(self.y).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
         return self
 
+    def held_out(self, df: DataFrame, fold: str, f: int) -> DataFrame:
+        train = df.filter(F.col(fold) != f)
+        other = RankSurrogate(**self._settings())._learn(train)
+        return other.predict(self.mapped(df.filter(F.col(fold) == f), train)).select(F.col("__rank").alias("y"), "mu", "sigma")
+
+    def raw_to_rank(self, value: float) -> float:
+        """A raw target, such as the best so far, among the targets learned from."""
+        told = self.sample.agg(F.sum(F.when(F.col("value") <= value, F.col("n")).otherwise(0)).alias("upto"), F.sum("n").alias("n")).first()
+        return min(1.0, max(0.0, (told["upto"] - 1) / max(told["n"] - 1, 1)))
+
+    def save(self, path: str) -> None:
+        super().save(path)
+        self.sample.write.parquet(f"{path}/sample")
+
+    @classmethod
+    def load(cls, path: str) -> "RankSurrogate":
+        loaded = super().load(path)
+        loaded.sample = SparkSession.active().read.parquet(f"{path}/sample")
+        return loaded
+
 
 class BoostedEnsemble:
-    """M6: boosted regressors on bootstrap weights; mean and deviation over the members."""
+    """M6: boosted regressors on bootstrap weights times tail weights; mean and deviation over the members, deviation times a calibrated scale.
 
-    def __init__(self, y: str = "y", features: str = "features", members: int = 5, rounds: int = 10, depth: int = 4, seed: int = 42):
-        self.y, self.features, self.members, self.rounds, self.depth, self.seed = y, features, members, rounds, depth, seed
+    A row whose bootstrap count is 0 in a member was not seen by it. Such members alone give the row's mean and deviation in calibration, so no further fit is needed (A24).
+    """
+
+    def __init__(self, y: str = "y", features: str = "features", members: int = 5, rounds: int = 10, depth: int = 4, seed: int = 42, tail: bool = True):
+        self.y, self.features, self.members, self.rounds, self.depth, self.seed, self.tail = y, features, members, rounds, depth, seed, tail
+        self.scale = 1.0
 
     def fit(self, df: DataFrame, key: str) -> "BoostedEnsemble":
-        weighted = bootstrap_weights(df, key, self.members, self.seed)
+        rows = tail_weights(df, self.y) if self.tail else df.withColumn("weight", F.lit(1.0))
+        counts = [f"boot_{m}" for m in range(self.members)]
+        # every member reads it
+        weighted = cut(bootstrap_weights(rows, key, self.members, self.seed).select(self.features, F.col(self.y).cast("double").alias(self.y), "weight", *counts))
         self.models = [
-            GBTRegressor(featuresCol=self.features, labelCol=self.y, weightCol=f"boot_{m}", maxIter=self.rounds, maxDepth=self.depth, seed=self.seed + m).fit(
-                weighted.filter(F.col(f"boot_{m}") > 0).select(self.features, F.col(self.y).cast("double").alias(self.y), f"boot_{m}")
+            GBTRegressor(featuresCol=self.features, labelCol=self.y, weightCol="__w", maxIter=self.rounds, maxDepth=self.depth, seed=self.seed + m).fit(
+                weighted.filter(F.col(count) > 0).select(self.features, self.y, (F.col(count) * F.col("weight")).alias("__w"))
             )
-            for m in range(self.members)
+            for m, count in enumerate(counts)
         ]
+        self.scale = calibrated([self.out_of_bag(weighted, counts)])
         return self
 
+    def _each(self, df: DataFrame) -> DataFrame:
+        for i, model in enumerate(self.models):
+            df = model.copy().setPredictionCol(f"__m{i}").transform(df)
+        return df
+
+    def out_of_bag(self, weighted: DataFrame, counts: Sequence[str]) -> DataFrame:
+        """(y, mu, sigma) of rows by the members that have not seen them, where there are two or more."""
+        unseen = F.filter(F.array(*[F.when(F.col(c) == 0, F.col(f"__m{i}")) for i, c in enumerate(counts)]), lambda x: x.isNotNull())
+        rows = self._each(weighted).withColumn("__unseen", unseen).filter(F.size("__unseen") >= 2)
+        mean, spread = array_stats(F.col("__unseen"))
+        return rows.select(F.col(self.y).alias("y"), mean.alias("mu"), spread.alias("sigma"))
+
     def predict(self, df: DataFrame) -> DataFrame:
         names = [f"__m{i}" for i in range(len(self.models))]
-        for name, model in zip(names, self.models):
-            df = model.copy().setPredictionCol(name).transform(df)
         mean, spread = array_stats(F.array(*names))
-        return df.withColumns({"mu": mean, "sigma": spread}).drop(*names)
+        return self._each(df).withColumns({"mu": mean, "sigma": spread * F.lit(self.scale)}).drop(*names)
+
+    def save(self, path: str) -> None:
+        """Settings, scale and members."""
+        settings = {k: getattr(self, k) for k in ("y", "features", "members", "rounds", "depth", "seed", "tail")}
+        for i, model in enumerate(self.models):
+            model.write().save(f"{path}/member_{i}")
+        SparkSession.active().createDataFrame([(json.dumps(settings | {"scale": self.scale}),)], "settings string").coalesce(1).write.text(f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str) -> "BoostedEnsemble":
+        told = json.loads(SparkSession.active().read.text(f"{path}/settings").first()[0])
+        scale = told.pop("scale")
+        loaded = cls(**told)
+        loaded.scale, loaded.models = scale, [GBTRegressionModel.load(f"{path}/member_{i}") for i in range(loaded.members)]
+        return loaded
 
 
 # ---- scores ---------------------------------------------------------------------------------
@@ -297,7 +412,8 @@ def acquisition(name: str, surrogate: ForestSurrogate, observed: DataFrame, cand
         return candidates.withColumn("acquisition", uniform(key, F.lit(seed)))
     if name == "thompson":
         return thompson_score(surrogate, candidates, key, seed)
-    best = 1.0 if isinstance(surrogate, RankSurrogate) else float(observed.agg(F.max(y)).first()[0])
+    best = float(observed.agg(F.max(y)).first()[0])
+    best = surrogate.raw_to_rank(best) if isinstance(surrogate, RankSurrogate) else best
     by_ei = lambda df: surrogate.predict(df).withColumn("acquisition", expected_improvement("mu", "sigma", best))
     if name == "ei":
         return by_ei(candidates)
@@ -393,14 +509,86 @@ class KappaEvaluator(Evaluator):
         return True
 
 
-def fold_sweep(df: DataFrame, fold: str, n_folds: int, grid: Sequence[Mapping], fit: Callable[[DataFrame, Mapping], Transformer], evaluate: Callable[[DataFrame], float]) -> DataFrame:
-    """One row per parameter set and fold with its score; feeds `sweep_summary`."""
-    rows = []
-    for i, params in enumerate(grid):
-        for f in range(n_folds):
-            model = fit(df.filter(F.col(fold) != f), params)
-            rows.append((i, str(dict(sorted(params.items()))), f, float(evaluate(model.transform(df.filter(F.col(fold) == f))))))
-    return df.sparkSession.createDataFrame(rows, "setting int, params string, fold int, score double")
+def concurrently(jobs: Sequence[Callable[[], object]], parallelism: int, spark: SparkSession) -> list:
+    """Results of the jobs in order, `parallelism` of them at a time. When one fails, the Spark jobs of the others are cancelled and its error is raised."""
+    tag, stopped = f"sweep-{uuid.uuid4().hex}", threading.Event()
+
+    def tagged(job):
+        if stopped.is_set():
+            return None
+        spark.sparkContext.addJobTag(tag)
+        spark.sparkContext.setInterruptOnCancel(True)
+        try:
+            return job()
+        except BaseException:
+            stopped.set()
+            raise
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(tagged), job) for job in jobs]
+        wait(started, return_when=FIRST_EXCEPTION)
+        failed = next((f for f in started if f.done() and not f.cancelled() and f.exception()), None)
+        if failed is not None:
+            spark.sparkContext.cancelJobsWithTag(tag)
+            raise failed.exception()
+        return [f.result() for f in started]
+
+
+def fold_sweep(df: DataFrame, fold: str, n_folds: int, grid: Sequence[Mapping], fit: Callable[[DataFrame, Mapping], Transformer], evaluate: Callable[[DataFrame], float], parallelism: int = 4) -> DataFrame:
+    """One row per parameter set and fold with its score; feeds `sweep_summary`. The table is written once, and a few settings and folds are fitted at a time."""
+    rows = cut(df)
+
+    def one(i: int, params: Mapping, f: int):
+        model = fit(rows.filter(F.col(fold) != f), params)
+        return i, str(dict(sorted(params.items()))), f, float(evaluate(model.transform(rows.filter(F.col(fold) == f))))
+
+    jobs = [partial(one, i, params, f) for i, params in enumerate(grid) for f in range(n_folds)]
+    return df.sparkSession.createDataFrame(concurrently(jobs, parallelism, df.sparkSession), "setting int, params string, fold int, score double")
+
+
+def score_sweep(df: DataFrame, fold: str, n_folds: int, grid: Sequence[Mapping], score: Callable[[DataFrame, DataFrame, Mapping], DataFrame], key: str, y: str, parallelism: int = 4) -> DataFrame:
+    """Held-out scores, rows (setting, params, fold, id, y, score), one per row and setting.
+
+    `score(train, test, params)` adds a column `score` to the test rows, whose target it does not see. Each setting and fold is written as it is done, a few at a time.
+    """
+    rows = cut(df)
+
+    def one(i: int, params: Mapping, f: int) -> DataFrame:
+        test = rows.filter(F.col(fold) == f)
+        scored = score(rows.filter(F.col(fold) != f), test.drop(y), params).select(F.col(key).alias("id"), F.col("score").cast("double").alias("score"))
+        told = test.select(F.col(key).alias("id"), F.col(y).cast("double").alias("y")).join(scored, "id")
+        return cut(told.select(F.lit(i).alias("setting"), F.lit(json.dumps(dict(sorted(params.items())))).alias("params"), F.lit(f).alias("fold"), "id", "y", "score"))
+
+    jobs = [partial(one, i, params, f) for i, params in enumerate(grid) for f in range(n_folds)]
+    return reduce(DataFrame.unionByName, concurrently(jobs, parallelism, df.sparkSession))
+
+
+def sweep_metrics(scored: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Per setting and fold the share of hits (y >= threshold) among the k best, NDCG at k, ROC-AUC and average precision of hits, Spearman and the error on the tail.
+
+    A metric that is not defined for a fold is null: AUC without both classes, NDCG without gain, Spearman of a constant, tail error without a tail.
+    """
+    by, hit = ["setting", "params", "fold"], F.col("y") >= threshold
+    top = precision_at(scored, by, hit, "score", "id", [k]).select(*by, F.col("precision_at_k").alias("hit_at_k"))
+    curves = ranking_quality(scored, by, hit, "score")
+    both = F.col("prevalence").between(1e-300, 1 - 1e-15)
+    curves = curves.select(*by, F.when(both, F.col("roc_auc")).alias("roc_auc"), F.when(both, F.col("average_precision")).alias("pr_auc"))
+    parts = [top, ndcg_at(scored, by, "y", "score", "id", k), curves, spearman(scored, by, "score", "y", "id"), tail_rmse(scored, by, "y", "score", threshold)]
+    return reduce(lambda a, b: a.join(b, by, "left"), parts)
+
+
+def gamma_sweep(df: DataFrame, fold: str, n_folds: int, gammas: Sequence[float], key: str, y: str, features: str = "features", trees: int = 100, depth: int = 5, parallelism: int = 4) -> DataFrame:
+    """Held-out elite scores (M7) for each share of elites."""
+    elite = lambda train, test, p: elite_score(train, test, y, features, p["gamma"], trees, depth).withColumnRenamed("acquisition", "score")
+    return score_sweep(df, fold, n_folds, [{"gamma": g} for g in gammas], elite, key, y, parallelism)
+
+
+def alpha_sweep(df: DataFrame, fold: str, n_folds: int, alphas: Sequence[float], key: str, y: str, features: str = "features", trees: int = 30, depth: int = 6, parallelism: int = 4) -> DataFrame:
+    """Held-out predictions of the regression surrogate (M4) for each power of the tail weights."""
+    forest = lambda train, test, p: ForestSurrogate(y, features, trees, depth, alpha=p["alpha"])._learn(train).predict(test).withColumnRenamed("mu", "score")
+    return score_sweep(df, fold, n_folds, [{"alpha": a} for a in alphas], forest, key, y, parallelism)
 
 
 # ---- assembly by variant -----------------------------------------------------------------------

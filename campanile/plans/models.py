@@ -48,7 +48,7 @@ def _(t):
 
 @query("m5_rank_surrogate")
 def _(t):
-    model = M.RankSurrogate(trees=8, depth=4).fit(rows(t))
+    model = M.RankSurrogate(trees=8, depth=4).fit(rows(t), "fold", 3)
     return model.predict(rows(t)).select("vec_id", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
@@ -84,6 +84,39 @@ def _(t):
     return Q.sweep_summary(folds, "params", ["score"], ["score"], "score")
 
 
+@query("m10_gamma_sweep")
+def _(t):
+    scored = M.gamma_sweep(rows(t), "fold", 3, [0.1, 0.25], "vec_id", "y", trees=6, depth=4)
+    return M.sweep_metrics(scored, 7, 20).select("params", "fold", *[F.round(c, 6).alias(c) for c in ("hit_at_k", "ndcg", "roc_auc", "pr_auc")])
+
+
+@query("m10_alpha_sweep")
+def _(t):
+    metrics = M.sweep_metrics(M.alpha_sweep(rows(t), "fold", 3, [0.0, 0.5], "vec_id", "y", trees=6, depth=4), 7, 20)
+    return Q.sweep_summary(metrics, "params", ["hit_at_k", "ndcg", "spearman", "tail_rmse"], ["hit_at_k"], "hit_at_k")
+
+
+@query("m10_sweep_metrics", """WITH e AS (SELECT vec_id AS id, (vec_id % 3)::INTEGER AS fold, label::DOUBLE AS y, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+s AS (SELECT w::INTEGER AS setting, id, fold, y, CASE w WHEN 0 THEN a ELSE y + 3 * b END AS score FROM e, (SELECT unnest([0, 1]) AS w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY setting, fold ORDER BY score DESC, id) AS top, row_number() OVER (PARTITION BY setting, fold ORDER BY y DESC, id) AS ideal,
+      rank() OVER (PARTITION BY setting, fold ORDER BY score) + (count(*) OVER (PARTITION BY setting, fold, score) - 1) / 2.0::DOUBLE AS rs,
+      rank() OVER (PARTITION BY setting, fold ORDER BY y) + (count(*) OVER (PARTITION BY setting, fold, y) - 1) / 2.0::DOUBLE AS ry,
+      sum((y >= 7)::INT) OVER (PARTITION BY setting, fold ORDER BY score DESC) AS tp, count(*) OVER (PARTITION BY setting, fold ORDER BY score DESC) AS upto FROM s),
+h AS (SELECT setting, fold, sum((y >= 7)::INT) AS p, sum((y < 7)::INT) AS n FROM s GROUP BY 1, 2),
+auc AS (SELECT a.setting, a.fold, sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END)::DOUBLE AS wins FROM s a JOIN s b USING (setting, fold) WHERE a.y >= 7 AND b.y < 7 GROUP BY 1, 2)
+SELECT setting, fold, round(avg((y >= 7)::INT) FILTER (top <= 20), 6) AS hit_at_k, round(sum(y / log2(top + 1)) FILTER (top <= 20) / sum(y / log2(ideal + 1)) FILTER (ideal <= 20), 6) AS ndcg,
+       round(any_value(wins) / any_value(p * n), 6) AS roc_auc, round(sum(CASE WHEN y >= 7 THEN tp / upto::DOUBLE END) / any_value(p), 6) AS pr_auc, round(corr(rs, ry), 6) AS spearman,
+       round(sqrt(avg((score - y) * (score - y)) FILTER (y >= 7)), 6) AS tail_rmse
+FROM r JOIN h USING (setting, fold) JOIN auc USING (setting, fold) GROUP BY 1, 2""")
+def _(t):
+    table = t.embeddings.select("vec_id", F.col("label").cast("double").alias("y"), (F.col("vec_id") % 3).cast("int").alias("fold"), "embedding", F.col("label").alias("target"))
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    score = lambda train, test, p: test.withColumn("score", at(0) if p["w"] == 0 else F.col("target") + 3 * at(1))
+    scored = M.score_sweep(table, "fold", 3, [{"w": 0}, {"w": 1}], score, "vec_id", "y")
+    names = ["hit_at_k", "ndcg", "roc_auc", "pr_auc", "spearman", "tail_rmse"]
+    return M.sweep_metrics(scored, 7, 20).select("setting", "fold", *[F.round(c, 6).alias(c) for c in names])
+
+
 @query("m12_thompson_score")
 def _(t):
     model = M.ForestSurrogate(trees=8, depth=4).fit(rows(t))
@@ -95,8 +128,8 @@ def _(t):
     observed, pool = rows(t).filter("fold < 2"), rows(t).filter("fold = 2").drop("y")
     model = M.ForestSurrogate(trees=8, depth=4).fit(observed)
     out = None
-    for name in ("random", "ei", "lfbo", "consensus"):
-        options = {} if name in ("random", "ei") else {"trees": 8}
+    for name in ("random", "ei", "thompson", "lfbo", "lfbo_ssl", "consensus"):
+        options = {} if name in ("random", "ei", "thompson") else {"trees": 8}
         part = M.acquisition(name, model, observed, pool, "vec_id", **options).select("vec_id", F.lit(name).alias("score"), F.round("acquisition", 6).alias("acquisition"))
         out = part if out is None else out.unionByName(part)
     return out
