@@ -151,6 +151,27 @@ def _machine(start: float, low: float, high: float, success_tol: int, failure_to
     return states, [[states.index(step(s, flag)) for s in states] for flag in (False, True)]
 
 
+def _small_rises(flagged: DataFrame, campaign: str, score: str, least: float = 1e-6) -> DataFrame:
+    """Set `__up` right where the highest score rose by `least` or less, so that the best lags behind it.
+
+    Only rows above all before them can improve. A row that rises by more than `least` above all before it does, whatever the best; the rows of small rises that follow it are
+    gone through in order, up to the next such row. Tables without small rises are left as they are.
+    """
+    rise = F.col(score) > F.col("__before")
+    if flagged.filter(rise & (F.col("__up") == 0)).isEmpty():
+        return flagged
+    high = flagged.filter(rise | F.col("__before").isNull()).select(campaign, "rn", F.col(score).alias("__s"), "__up")
+    chains = running(high, [campaign], "rn", "rn", {"__chain": ("sum", "__up")}).groupBy(campaign, "__chain").agg(F.array_sort(F.collect_list(F.struct("rn", "__s"))).alias("rows"))
+    start = F.struct(F.lit(float("-inf")).alias("best"), F.array().cast("array<bigint>").alias("taken"))
+
+    def take(acc, r):
+        better = r["__s"] > acc["best"] + least
+        return F.struct(F.when(better, r["__s"]).otherwise(acc["best"]).alias("best"), F.when(better, F.array_append(acc["taken"], r["rn"])).otherwise(acc["taken"]).alias("taken"))
+
+    taken = chains.select(campaign, F.explode(F.aggregate("rows", start, take)["taken"]).alias("rn")).withColumn("__took", F.lit(1))
+    return flagged.drop("__up").join(taken, [campaign, "rn"], "left").withColumn("__up", F.coalesce("__took", F.lit(0))).drop("__took")
+
+
 def trust_region(history: DataFrame, campaign: str, step: str, score: str, start: float = 0.8, low: float = 0.1, high: float = 1.6,
                  success_tol: int = 3, failure_tol: int = 3, reset: float = 0.8, chunk: int = 10_000) -> DataFrame:
     """Length, counters and best score of each campaign after its last update.
@@ -158,8 +179,8 @@ def trust_region(history: DataFrame, campaign: str, step: str, score: str, start
     The rule has few reachable states, so a stretch of updates is a map from
     state to state. Maps of stretches of `chunk` updates are made in parallel and
     composed in rounds until one per campaign is left: no task sees more than
-    `chunk` rows of a campaign. An update improves when it beats the best before
-    it by more than 1e-6.
+    `chunk` rows of a campaign. An update improves when it beats the best by more
+    than 1e-6, and is then the best; a smaller rise leaves the best as it was.
     """
     states, tables = _machine(start, low, high, success_tol, failure_tol, reset)
     # the place of a row in the order is its number, so ordering needs one more scan only for `improved`
@@ -169,11 +190,12 @@ def trust_region(history: DataFrame, campaign: str, step: str, score: str, start
     flagged = lagged(seen, [campaign], "__best", "rn", "__before").withColumn(
         "__up", F.when(F.col("__before").isNull() | (F.col(score) > F.col("__before") + 1e-6), F.lit(1)).otherwise(F.lit(0))
     )
+    flagged = _small_rises(cut(flagged), campaign, score)
     identity = F.array(*[F.lit(i) for i in range(len(states))])
     moves = F.array(*[F.array(*[F.lit(x) for x in t]) for t in tables])
     runs = flagged.groupBy(campaign, F.floor((F.col("rn") - 1) / chunk).alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "__up"))), lambda r: r["__up"]).alias("ups"),
-        F.count(F.lit(1)).alias("n"), F.max(score).alias("best"),
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("__up") == 1, F.col(score))).alias("best"),
     )
     maps = runs.select(
         campaign, "part", "n", "best",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.files import scratch
 from ..streaming import append, region
 from .candidates import campaign_steps
@@ -34,16 +35,15 @@ def _(t):
 def _(t):
     base = scratch(t.spark, "region")
     steps = campaign_steps(t).select(F.col("o_custkey").alias("campaign"), F.col("at").alias("step"), F.col("y").alias("score"))
-    # a campaign's steps are split over files that are written, and so read, in their order: its state crosses micro-batches
+    steps = cut(steps)
+    # a campaign's steps arrive in four parts, one after another: its state lasts from one run of the stream to the next
     cuts = steps.select(F.percentile_approx("step", [0.25, 0.5, 0.75])).first()[0]
     part = sum((F.col("step") > c).cast("int") for c in cuts)
-    for k in range(4):
-        steps.filter(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = t.spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    region.region_stream(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    for k in range(4):
+        steps.filter(part == k).repartition("campaign").write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(steps.schema).parquet(f"{base}/in")
+        write = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        region.region_stream(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     last = t.spark.read.parquet(f"{base}/out").groupBy("campaign").agg(F.max_by(F.struct("length", "successes", "failures", "best", "n_updates"), "batch").alias("s"))
     return last.select("campaign", "s.*")

@@ -1,9 +1,10 @@
 """Versioned Parquet snapshots and the table maintenance on top of them.
 
 A version is a pointer: a small file that names the data folders it is made of. A
-writer puts its rows into a folder of its own and publishes by creating the next
-pointer; creation fails when another writer was first, so nobody touches what a
-published version reads. An append adds one folder to the list of the version
+writer puts its rows into a folder of its own, writes the whole pointer under a name
+of its own, and publishes by giving it the next number; that fails when another
+writer was first. So nobody touches what a published version reads, and a writer
+that stops half-way leaves nothing that counts as a version. An append adds one folder to the list of the version
 before. Older versions stay as backups.
 """
 
@@ -43,7 +44,10 @@ class SnapshotTable:
 
     def folders(self, version: int) -> list[str]:
         """The data folders of a version."""
-        return [r.value for r in self.spark.read.text(f"{self.folder}/commits/{version}").collect()]
+        named = [r.value for r in self.spark.read.text(f"{self.folder}/commits/{version}").collect()]
+        if not named:
+            raise ValueError(f"version {version} of {self.folder} names no data")
+        return named
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
@@ -62,14 +66,28 @@ class SnapshotTable:
         own = uuid.uuid4().hex
         df.write.parquet(f"{self.folder}/data/{own}")
         names = [*(self.folders(base) if append and base else []), own]
-        try:
-            pointer = self._fs.create(self._path(f"{self.folder}/commits/{base + 1}"), False)
-        except Exception as error:
-            raise ConcurrentEdit(f"version {base + 1} was committed by another writer") from error
+        pending = self._path(f"{self.folder}/commits/pending-{own}")
+        pointer = self._fs.create(pending, False)
         pointer.writeBytes("".join(f"{n}\n" for n in names))
         pointer.close()
+        if not self._publish(pending, self._path(f"{self.folder}/commits/{base + 1}")):
+            raise ConcurrentEdit(f"version {base + 1} was committed by another writer")
         return base + 1
 
+    def _publish(self, pending, final) -> bool:
+        """Give a whole pointer its number in one step, unless the number is taken."""
+        if self._fs.getUri().getScheme() == "file":  # renaming would replace a file here, linking does not
+            file = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+            try:
+                self.spark._jvm.java.nio.file.Files.createLink(file(final), file(pending))
+            except Exception:
+                if self._fs.exists(final):
+                    return False
+                raise
+            self._fs.delete(pending, False)
+            return True
+        return not self._fs.exists(final) and self._fs.rename(pending, final)
+
     def backups(self) -> list[int]:
         """The versions before the current one, newest first."""
         return self.versions()[-2::-1]

@@ -228,3 +228,30 @@ assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
     root = __file__.rsplit("/", 2)[0]
     for before in ("", "import tempfile; spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())"):
         subprocess.run([sys.executable, "-c", code.format(before=before)], cwd=root, check=True, timeout=120, capture_output=True, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)})
+
+
+@pytest.mark.parametrize("chunk", [3, 10_000])
+def test_trust_region_with_rises_below_the_threshold(spark, blocks, chunk):
+    """The best stays where it was until a score beats it by more than 1e-6, whatever the highest score is."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    tracks = [[1.0, 1 + 0.6e-6, 1 + 1.2e-6], [2.0] * 5, [1.0, 1 + 0.9e-6, 1 + 1.8e-6, 1 + 2.7e-6, 1 + 3.6e-6, 5.0, 5 + 1e-7]]
+    tracks += [list(1 + np.cumsum(rng.choice([0.0, 0.4e-6, 0.7e-6, 2e-6, -1e-6], 40))) for _ in range(6)]
+    want = {}
+    for c, track in enumerate(tracks):
+        length, s, f, best = 0.8, 0, 0, float("-inf")
+        for y in track:
+            if y > best + 1e-6:
+                s, f, best = s + 1, 0, y
+            else:
+                s, f = 0, f + 1
+            if s >= 3:
+                length, s = min(length * 2, 1.6), 0
+            if f >= 3:
+                length, f = length / 2, 0
+                length = 0.8 if length < 0.1 else length
+        want[c] = (length, s, f, best, len(track))
+    rows = [(c, i, float(y)) for c, track in enumerate(tracks) for i, y in enumerate(track)]
+    got = K.trust_region(spark.createDataFrame(rows, "c int, step long, y double"), "c", "step", "y", chunk=chunk).collect()
+    assert {r.c: (r.length, r.successes, r.failures, r.best, r.n_updates) for r in got} == want
