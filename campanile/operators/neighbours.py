@@ -240,87 +240,116 @@ def _over_pairs(df: DataFrame, key: str, vector: str, y: str, rows_per_block: in
 
 
 class PairDistances:
-    """Exact order statistics and bin sums of all pair distances of a table."""
+    """Order statistics and sums of dy^2 of all pair distances, exact, from two passes over the pairs.
+
+    The first counts pairs, sums dy^2 and takes the ends of the distances of `HISTOGRAM` equal slots. The second gives the distinct distances of a few slots. A slot of one
+    distance, such as that of many copies, needs no second look.
+    """
 
     def __init__(self, df: DataFrame, key: str, vector: str, y: str, rows_per_block: int = ROWS_PER_BLOCK):
         self.args = (df, key, vector, y, rows_per_block)
         first = df.select(F.col(vector).alias("v")).orderBy(key).limit(1)
         far = df.withColumn("__v", first.scalar()).agg(F.count(F.lit(1)).alias("n"), F.max(euclidean(vector, "__v")).alias("r")).first()
         self.n_pairs = far["n"] * (far["n"] - 1) // 2
-        self.width = max(2 * far["r"], 1e-12) * (1 + 1e-9) / HISTOGRAM
-        self._hist = None
-
-    def _histogram(self) -> list:
-        if self._hist is None:
-            width = self.width
-
-            def emit(d, _):
-                slot, n = np.unique((d / width).astype(np.int64), return_counts=True)
-                return pd.DataFrame({"slot": slot, "n": n.astype(np.int64)})
-
-            counts = _over_pairs(*self.args, emit, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-            # at most HISTOGRAM rows
-            self._hist = sorted((r["slot"], r["n"]) for r in counts.collect())
-        return self._hist
-
-    def order_statistics(self, positions: Sequence[int]) -> dict[int, float]:
-        """The distances at given positions (from 0) of the sorted list of all pairs."""
-        wanted, before, slots = sorted(set(positions)), 0, {}
-        for slot, n in self._histogram():
-            inside = [p for p in wanted if before <= p < before + n]
-            if inside:
-                slots[slot] = (before, inside)
-            before += n
-        width, keep = self.width, np.array(sorted(slots))
-
-        def emit(d, _):
-            slot = (d / width).astype(np.int64)
-            inside = np.isin(slot, keep)
-            value, n = np.unique(d[inside], return_counts=True)
-            return pd.DataFrame({"slot": (value / width).astype(np.int64), "value": value, "n": n.astype(np.int64)})
-
-        values = _over_pairs(*self.args, emit, "slot long, value double, n long").groupBy("slot", "value").agg(F.sum("n").alias("n"))
-        scanned = running(values, ["slot"], "value", F.lit(0), {"upto": ("sum", "n")})
-        hits = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(p).alias("pos"), F.lit(p - start).alias("at")) for s, (start, ps) in slots.items() for p in ps])
-        found = scanned.withColumn("h", F.explode(hits)).filter(
-            (F.col("h.slot") == F.col("slot")) & (F.col("h.at") < F.col("upto")) & (F.col("h.at") >= F.col("upto") - F.col("n"))
-        )
-        return {r["pos"]: r["value"] for r in found.select("h.pos", "value").collect()}
-
-    def quantile(self, positions: Sequence[float]) -> dict[float, float]:
-        """Linear interpolation at fractional positions."""
-        need = sorted({int(np.floor(h)) for h in positions} | {min(int(np.floor(h)) + 1, self.n_pairs - 1) for h in positions})
-        at = self.order_statistics(need)
-        out = {}
-        for h in positions:
-            low = int(np.floor(h))
-            high = min(low + 1, self.n_pairs - 1)
-            out[h] = at[low] + (at[high] - at[low]) * (h - low)
+        self.width = width = max(2 * (far["r"] or 0.0), 1e-12) * (1 + 1e-9) / HISTOGRAM
+
+        def emit(d, gap):
+            slot, at = np.unique((d / width).astype(np.int64), return_inverse=True)
+            low, high = np.full(len(slot), np.inf), np.full(len(slot), -np.inf)
+            np.minimum.at(low, at, d)
+            np.maximum.at(high, at, d)
+            return pd.DataFrame({"slot": slot, "n": np.bincount(at, minlength=len(slot)), "s2": np.bincount(at, weights=gap * gap, minlength=len(slot)), "low": low, "high": high})
+
+        counts = _over_pairs(*self.args, emit, "slot long, n long, s2 double, low double, high double")
+        told = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.min("low").alias("low"), F.max("high").alias("high"))
+        # at most HISTOGRAM rows
+        self.slots = told.toPandas().sort_values("slot", ignore_index=True)
+        self.before = np.concatenate([[0], np.cumsum(self.slots["n"].to_numpy())])
+        self.one = (self.slots["low"] == self.slots["high"]).to_numpy()
+        self.fine: DataFrame | None = None
+        self.looked_at = np.zeros(len(self.slots), dtype=bool)
+
+    def slot_of(self, positions: np.ndarray) -> np.ndarray:
+        """Rows of the histogram that hold positions of the sorted distances."""
+        return np.searchsorted(self.before, positions, "right") - 1
+
+    def refine(self, spans: Sequence[tuple[int, int]]) -> None:
+        """The second pass: the distinct distances of all slots that hold one of the positions from the first to the last of a span."""
+        for low, high in spans:
+            first, last = self.slot_of(np.array([low, high]))
+            self.looked_at[first : last + 1] = True
+        self.looked_at &= ~self.one
+        width, keep = self.width, self.slots["slot"].to_numpy()[self.looked_at]
+
+        def emit(d, gap):
+            inside = np.isin((d / width).astype(np.int64), keep)
+            value, at = np.unique(d[inside], return_inverse=True)
+            return pd.DataFrame({"slot": (value / width).astype(np.int64), "value": value, "n": np.bincount(at, minlength=len(value)), "s2": np.bincount(at, weights=gap[inside] ** 2, minlength=len(value))})
+
+        if len(keep):
+            values = _over_pairs(*self.args, emit, "slot long, value double, n long, s2 double")
+            self.fine = cut(values.groupBy("slot", "value").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2")))
+
+    def at(self, positions: Sequence[int]) -> dict[int, float]:
+        """The distances at positions (from 0) of the sorted list; slots of several distances must have been refined."""
+        wanted = np.unique(np.array(positions, dtype=np.int64))
+        slots = self.slot_of(wanted)
+        out = {int(p): float(self.slots["low"][s]) for p, s in zip(wanted, slots) if self.one[s]}
+        rest = [(int(self.slots["slot"][s]), int(p), int(p - self.before[s])) for p, s in zip(wanted, slots) if not self.one[s]]
+        if rest:
+            hits = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(p).cast("long").alias("pos"), F.lit(k).cast("long").alias("at")) for s, p, k in rest])
+            scanned = running(self.fine, ["slot"], "value", F.lit(0), {"upto": ("sum", "n")}).withColumn("h", F.explode(hits))
+            found = scanned.filter((F.col("h.slot") == F.col("slot")) & (F.col("h.at") < F.col("upto")) & (F.col("h.at") >= F.col("upto") - F.col("n")))
+            out |= {r["pos"]: r["value"] for r in found.select("h.pos", "value").collect()}
         return out
 
+    def quantile(self, positions: Sequence[float]) -> list[float]:
+        """Linear interpolation at fractional positions."""
+        low = [int(np.floor(h)) for h in positions]
+        at = self.at([*low, *(min(k + 1, self.n_pairs - 1) for k in low)])
+        return [at[k] + (at[min(k + 1, self.n_pairs - 1)] - at[k]) * (h - k) for h, k in zip(positions, low)]
+
+    def sums(self, edges: np.ndarray) -> dict[int, tuple[int, float]]:
+        """Per bin (how many edges are at or below a distance): pairs and sum of dy^2."""
+        out: dict[int, list] = {}
+        rough = self.slots[~self.looked_at]
+        told = list(zip(np.digitize(rough["low"], edges), rough["n"], rough["s2"]))
+        if self.fine is not None:
+            at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("value")))
+            told += [(r["bin"], r["n"], r["s2"]) for r in self.fine.groupBy(at.alias("bin")).agg(F.sum("n").alias("n"), F.sum("s2").alias("s2")).collect()]
+        for k, n, s2 in told:
+            total = out.setdefault(int(k), [0, 0.0])
+            total[0], total[1] = total[0] + int(n), total[1] + float(s2)
+        return {k: tuple(v) for k, v in out.items()}
+
 
 def semivariogram(df: DataFrame, key: str, vector: str, y: str, n_bins: int = 10, least: int = 3, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Per equal-frequency distance bin over all pairs: pairs, median distance, mean(dy^2) / 2."""
+    """Per equal-frequency distance bin over all pairs: pairs, median distance, mean(dy^2) / 2.
+
+    All pairs are formed twice. After the first pass it is known between which positions each edge and each median lies; the second looks at the slots that hold these.
+    """
     pairs = PairDistances(df, key, vector, y, rows_per_block)
     last = pairs.n_pairs - 1
-    edges = np.array([v for _, v in sorted(pairs.quantile([last * i / n_bins for i in range(n_bins + 1)]).items())])
-
-    def emit(d, gap):
-        at = np.digitize(d, edges)
-        return pd.DataFrame({
-            "bin": np.arange(n_bins + 2, dtype=np.int32), "n": np.bincount(at, minlength=n_bins + 2).astype(np.int64),
-            "s1": np.bincount(at, weights=gap, minlength=n_bins + 2), "s2": np.bincount(at, weights=gap * gap, minlength=n_bins + 2),
-        })
-
-    sums = _over_pairs(*pairs.args, emit, "bin int, n long, s1 double, s2 double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
-    rows = [r for r in sorted(sums.collect(), key=lambda r: r["bin"])]
-    centre, before = {}, 0
-    for r in rows:
-        if 1 <= r["bin"] <= n_bins and r["n"] >= least:
-            centre[r["bin"]] = before + (r["n"] - 1) / 2
-        before += r["n"]
-    medians = pairs.quantile(list(centre.values()))
-    out = [(r["bin"], r["n"], medians[centre[r["bin"]]], r["s2"] / r["n"] / 2) for r in rows if r["bin"] in centre]
+    out = []
+    if last >= 0:
+        cuts = [last * i / n_bins for i in range(n_bins + 1)]
+        low = [int(np.floor(h)) for h in cuts]
+        spans = [(k, min(k + 1, last)) for k in low]
+        # pairs below an edge: those of the slots before its own at least, and those up to its position at most
+        least_below, most_below = pairs.before[pairs.slot_of(np.array(low))], np.array(low) + 1
+        for i in range(n_bins):
+            first, final = least_below[i] + least_below[i + 1] - 1, most_below[i] + most_below[i + 1] - 1
+            spans.append((max(0, first // 2), min(last, -(-final // 2))))
+        pairs.refine(spans)
+        edges = np.array(pairs.quantile(cuts))
+        sums, before, centre = pairs.sums(edges), 0, {}
+        for k in sorted(sums):
+            n = sums[k][0]
+            if 1 <= k <= n_bins and n >= least:
+                centre[k] = before + (n - 1) / 2
+            before += n
+        medians = pairs.quantile(list(centre.values())) if centre else []
+        out = [(k, sums[k][0], float(m), float(sums[k][1] / sums[k][0] / 2)) for k, m in zip(centre, medians)]
     return df.sparkSession.createDataFrame(out, "bin int, n long, median_distance double, semivariance double")
 
 
