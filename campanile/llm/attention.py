@@ -167,15 +167,9 @@ def _log_targets(p: Parameters, h: np.ndarray, wanted: np.ndarray) -> np.ndarray
 
 def _gather(ids: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
     """Sums of the rows of each symbol, for each of the tables of rows; PAD has none."""
-    ids = ids.ravel().astype(np.uint16)
-    order = np.argsort(ids, kind="stable")
-    order = order[: np.searchsorted(ids[order], PAD)]
-    ids, out = ids[order].astype(np.int64), [np.zeros((SIDE * SIDE, WIDTH), np.float32) for _ in rows]
-    if len(ids):
-        starts = np.flatnonzero(np.diff(ids, prepend=-1))
-        for table, r in zip(out, rows):
-            table[ids[starts]] = np.add.reduceat(r.reshape(-1, WIDTH)[order], starts)
-    return out
+    cells = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    size = SIDE * SIDE * WIDTH
+    return [np.bincount(cells, r.ravel(), size)[:size].astype(np.float32).reshape(-1, WIDTH) for r in rows]
 
 
 def gradient(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:
@@ -193,30 +187,30 @@ def gradient(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> tuple[float
     outer[at, y // SIDE] -= 1
     dh = outer @ p.to_class.T
     d_place, d_place_bias = np.zeros_like(p.to_place), np.zeros_like(p.place_bias)
-    begin = 0
-    for c, end in enumerate(ends):
-        if begin < end:
-            rows = slice(begin, end)
-            inner = _exp(flat[rows] @ p.to_place[c] + p.place_bias[c])
-            inner /= _total(inner)[:, None]
-            own = (np.arange(end - begin), y[rows] % SIDE)
-            loss -= np.log(inner[own]).sum()
-            inner[own] -= 1
-            d_place[c], d_place_bias[c] = flat[rows].T @ inner, inner.sum(0)
-            dh[rows] += inner @ p.to_place[c].T
-        begin = end
+    parts = [(c, slice(begin, end)) for c, (begin, end) in enumerate(zip([0, *ends[:-1]], ends)) if begin < end]
+    inner = np.empty_like(outer)
+    for c, rows in parts:
+        np.matmul(flat[rows], p.to_place[c], out=inner[rows])
+        inner[rows] += p.place_bias[c]
+    _exp(inner)
+    inner /= _total(inner)[:, None]
+    loss -= np.log(inner[at, y % SIDE]).sum()
+    inner[at, y % SIDE] -= 1
+    for c, rows in parts:
+        d_place[c], d_place_bias[c] = flat[rows].T @ inner[rows], inner[rows].sum(0)
+        dh[rows] += inner[rows] @ p.to_place[c].T
     d_out = np.zeros(h.shape, np.float32)
     d_out.reshape(-1, WIDTH)[real] = dh
     d_a = d_out @ v.transpose(0, 2, 1)
-    d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True))
+    d_s = a * (d_a - _total(d_a * a)[:, :, None])
     d_distance = np.bincount(np.maximum(_BACK, 0).ravel(), d_s.sum(0).ravel() * (_BACK >= 0).ravel(), 2 * BLOCK)
     here = seen[:, BLOCK:]
     d_query, d_self = _gather(here, d_s @ k * _SCALE, d_out)
     d_key, d_value = _gather(seen, d_s.transpose(0, 2, 1) @ q * _SCALE, a.transpose(0, 2, 1) @ d_out)
-    parts = [
+    found = [
         d_query, d_key, d_value, d_self, d_distance, flat.T @ outer, outer.sum(0), d_place, d_place_bias,
     ]
-    return float(loss / n), np.concatenate([x.ravel() for x in parts]).astype(np.float32) / n
+    return float(loss / n), np.concatenate([x.ravel() for x in found]).astype(np.float32) / n
 
 
 class Adam:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from campanile.llm.attention import SIDE, Parameters, Scorer, Stream, blocks
 from campanile.llm.common import Memo, file_bytes, map_texts, shared_folder, words_of
@@ -18,12 +20,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DOWN = str.maketrans(UPPER, LOWER)
 #: The most frequent words, sent to every task: at most so many, of at most so many characters, so under 20 MB. All others are joined.
 FREQUENT, LONGEST = 250_000, 64
-#: Every training text is learned from, whole, in one of so many rounds.
-ROUNDS = 2
+#: Every training text is learned from, whole, in one of so many rounds, by one trainer for each TRAINER texts of the round (on average).
+ROUNDS, TRAINER = 2, 2000
 #: The common starting point is learned from one text in so many, drawn from all, by one trainer for each PILOT of them (from PILOT texts where that is more).
 PILOT_SHARE, PILOT = 64, 1000
 #: Steps each trainer takes at least (over the same texts again where they are few), and the first round's rate.
-LEAST_STEPS, RATE = 200, 0.06
+LEAST_STEPS, RATE = 400, 0.06
+#: As many vectors of parameters are added up in a task, and come to the driver, at most.
+FAN_IN = 32
 END, OTHER = 0, 1
 
 
@@ -113,107 +117,115 @@ class Symbols:
         return np.array(symbols, np.uint16).tobytes(), sum(float(self.rest[i]) for i, s in zip(ids, symbols) if s == OTHER)
 
 
-def _drawn(df: DataFrame, seed: int) -> Column:
-    """A number below 2^31 for each row, by all its columns: copies of a text under other ids are drawn apart."""
-    return F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(2**31))
+def _drawn(seed: int, below: int) -> Column:
+    """A whole number from 0 to below - 1 for each row, by its column `draw`."""
+    return F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(below))
 
 
-def _pilot(df: DataFrame, documents: int) -> DataFrame:
-    """The rows the starting point is learned from, in as many partitions as it has trainers."""
+def _pilot(rows: DataFrame, documents: int) -> tuple[DataFrame, int]:
+    """The rows the starting point is learned from, each with its `trainer`, and how many trainers there are."""
     n = max(documents / PILOT_SHARE, PILOT)
-    return df.where(_drawn(df, 0) * F.lit(1.0) < n / max(documents, 1) * 2**31).repartition(math.ceil(n / PILOT))
+    trainers = math.ceil(n / PILOT)
+    return rows.where(_drawn(0, 2**31) * F.lit(1.0) < n / max(documents, 1) * 2**31).withColumn("trainer", _drawn(2, trainers)), trainers
 
 
-def _round(df: DataFrame, turn: int) -> DataFrame:
-    """The rows learned from in a round from 1 to ROUNDS: each row is in one of them."""
-    return df.where(_drawn(df, 1) % ROUNDS == turn - 1)
+def _round(rows: DataFrame, documents: int, turn: int) -> tuple[DataFrame, int]:
+    """The rows learned from in a round from 1 to ROUNDS, each with its `trainer`, and how many trainers there are. Each row is in one round."""
+    trainers = math.ceil(max(documents, 1) / ROUNDS / TRAINER)
+    return rows.where(_drawn(1, ROUNDS) == turn - 1).withColumn("trainer", _drawn(2, trainers)), trainers
 
 
-def _trained(df: DataFrame, text: str, begin: Parameters, symbols: Symbols, file: bytes, rate: float) -> DataFrame:
-    """Each task's parameters after learning from its texts, and how many tokens these had."""
+def _learned(rows: DataFrame, trainers: int, begin: Parameters, rate: float) -> Parameters | None:
+    """The mean, by tokens, of what the trainers make of `begin`, each from the rows of its own in the order of their draws.
 
-    def run(batches):
-        memo = Memo(lambda w, of=Subwords(file).of: symbols.encode(of(w))[0])
-        stream, end = Stream(begin, rate, LEAST_STEPS), np.array([END], np.uint16).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                sequences = []
-                for t in batch.column("text").slice(at, 64).to_pylist():
-                    found = map(memo.__getitem__, words_of(small(t or "")))
-                    sequences.append(np.frombuffer(b"".join(found) + end, np.uint16).astype(np.int32))
-                stream.add(*blocks(sequences, END)[:2])
-        if stream.tokens:
-            made = stream.end().flat().astype("<f4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([stream.tokens], pa.int64()), pa.array([made], pa.binary())], names=["n", "parameters"])
-
-    return df.select(F.col(text).alias("text")).mapInArrow(run, "n long, parameters binary")
-
-
-def _mean(trained: DataFrame, groups: int = 16) -> Parameters | None:
-    """The mean of the tasks' parameters by tokens: first in a few groups, so that few come to the driver."""
+    Which rows a trainer has, and their order, follow from ids and texts, so the result does not depend on the partitions (but for the last digits of sums).
+    A task goes through its trainers one after another, holds a buffer of windows, and gives one sum; sums are added in tasks until few are left.
+    """
 
     def run(batches):
+        total, tokens, now, stream = 0.0, 0, None, None
+        for batch in batches:
+            ids, raws = batch.column("trainer").to_numpy(), batch.column("symbols").to_pylist()
+            cuts = [0, *(1 + np.flatnonzero(np.diff(ids))).tolist(), len(ids)]
+            for begins, ends in zip(cuts, cuts[1:]):
+                if begins == ends:
+                    continue
+                if ids[begins] != now:
+                    if stream:
+                        total, tokens = total + stream.tokens * stream.end().flat().astype(float), tokens + stream.tokens
+                    now, stream = ids[begins], Stream(begin, rate, LEAST_STEPS)
+                for at in range(begins, ends, 64):
+                    stream.add(*blocks([symbols_of(raw) for raw in raws[at : min(at + 64, ends)]], END)[:2])
+        if stream:
+            total, tokens = total + stream.tokens * stream.end().flat().astype(float), tokens + stream.tokens
+            yield _weighted(total / tokens, tokens)
+
+    def add(batches):
         total, tokens = 0.0, 0
         for batch in batches:
             for n, raw in zip(batch.column("n").to_pylist(), batch.column("parameters").to_pylist()):
-                total, tokens = total + n * np.frombuffer(raw, "<f4").astype(float), tokens + n
+                total, tokens = total + n * np.frombuffer(raw, "<f8"), tokens + n
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary())], names=["n", "parameters"])
+            yield _weighted(total / tokens, tokens)
 
-    rows = trained.repartition(groups).mapInArrow(run, "n long, parameters binary").collect()
+    spark = rows.sparkSession
+    parts = min(trainers, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+    dealt = rows.select("trainer", "draw", "symbols").repartition(parts, "trainer").sortWithinPartitions("trainer", "draw")
+    sums = dealt.mapInArrow(run, "n long, parameters binary")
+    while parts > FAN_IN:
+        parts = math.ceil(parts / FAN_IN)
+        sums = sums.repartition(parts).mapInArrow(add, "n long, parameters binary")
+    return _mean(sums)
+
+
+def _weighted(parameters: np.ndarray, tokens: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([parameters.astype("<f8").tobytes()], pa.binary())], names=["n", "parameters"])
+
+
+def _mean(sums: DataFrame) -> Parameters | None:
+    """The mean of a few rows of parameters by tokens; None without rows."""
+    rows = sorted(sums.collect(), key=lambda r: (r.n, r.parameters))
     if not rows:
         return None
-    return Parameters.of(sum(r.n * np.frombuffer(r.parameters, "<f4").astype(float) for r in rows) / sum(r.n for r in rows))
+    return Parameters.of(sum(r.n * np.frombuffer(r.parameters, "<f8") for r in rows) / sum(r.n for r in rows))
 
 
-def train(df: DataFrame, symbols: Symbols, file: bytes, text: str = "text") -> Parameters:
-    """Parameters learned from all texts of `df`, which are `symbols.counts[END]` rows.
+def train(rows: DataFrame, symbols: Symbols) -> Parameters:
+    """Parameters learned from all `rows` (draw, symbols), which are `symbols.counts[END]`.
 
     Starting from the corpus-wide counts, a common starting point is learned from texts drawn from all; with more texts there are more trainers of it, whose mean is
-    taken. Then every task goes on from there over the texts of its own, a part of them in each of two rounds, and the mean of all is taken after each. Each token of each
-    text, its end too, is learned from in one round.
+    taken. Then trainers, each with about TRAINER texts drawn for it, go on from there in each of two rounds, and the mean of all is taken after each; more texts mean
+    more trainers, not shorter ones. Each token of each text, its end too, is learned from in one round. Rows equal in id and text have the same trainer.
     """
+    documents = int(symbols.counts[END])
     now = Parameters.start(symbols.counts)
-    now = _mean(_trained(_pilot(df, int(symbols.counts[END])), text, now, symbols, file, RATE)) or now
+    now = _learned(*_pilot(rows, documents), now, RATE) or now
     for turn in range(1, ROUNDS + 1):
-        now = _mean(_trained(_round(df, turn), text, now, symbols, file, RATE / 2**turn)) or now
+        now = _learned(*_round(rows, documents, turn), now, RATE / 2**turn) or now
     return now
 
 
-def score(df: DataFrame, usable: Column, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of `df`: the id, n_tokens, n_known, train_tokens, base_score and score, learned from the rows for which `usable` holds.
+def symbols_of(raw: bytes) -> np.ndarray:
+    """A text's symbols and the end, from the bytes of the symbols."""
+    return np.frombuffer(raw, np.uint16).astype(np.int32)
 
-    Tokens are words (A to Z in lower case) and one end. base_score is the unigram's log10 probability, score the attention model's: the product over the subword ids
-    of the words and the end. Frequent words' counts go to all tasks; the other words of each row are joined to theirs, combined by row. Null and empty texts are
-    the end alone; long ones are scored whole, window by window; repeated rows get a row each. Without training rows every word is unknown.
-    """
-    spark, file = df.sparkSession, file_bytes(path)
-    folder = shared_folder(spark, "lm")
-    learned = df.where(usable)
-    word_counts(learned, text).write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
-    documents = learned.count()
-    words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n, below = words + documents, words + documents + 0.5 * (distinct + (documents > 0) + 1)
-    base = lambda c: math.log10((c + 0.5) / below)
-    frequent = frequent_words(counts)
-    symbols = Symbols.of(subword_counts(counts, file), documents)
-    model = train(learned.select(*dict.fromkeys([id_column, text])), symbols, file, text)
-    sent = spark.sparkContext.broadcast((frequent, symbols, model))
+
+def prepared(df: DataFrame, text: str, carry: list[str], file: bytes, symbols: Symbols, frequent: dict[str, int], base: Callable[[int], float]) -> DataFrame:
+    """Each row's columns `carry` and its words once for all: their symbols with the end, the rare ids' shares, the base's sum over frequent words, and the other words with their counts."""
+    sent = df.sparkSession.sparkContext.broadcast((frequent, symbols))
 
     def start():
-        known, marks, parameters = sent.value
-        of, probability = Subwords(file).of, Scorer(parameters)
+        known, marks = sent.value
+        of = Subwords(file).of
 
         def look_up(word):
-            symbols, rest = marks.encode(of(word))
-            return symbols, rest, base(known[word]) if word in known else None
+            encoded, rest = marks.encode(of(word))
+            return encoded, rest, base(known[word]) if word in known else None
 
         memo, end = Memo(look_up, room=500_000), np.array([END], np.uint16).tobytes()
 
-        def judge(texts):
-            columns = [[] for _ in range(5)]
-            sequences, rest = [], []
+        def read(texts):
+            columns = [[] for _ in range(7)]
             for t in texts:
                 words = words_of(small(t))
                 found = list(map(memo.__getitem__, words))
@@ -225,26 +237,67 @@ def score(df: DataFrame, usable: Column, path: str, id_column: str = "doc_id", t
                     else:
                         total += value
                         hits += 1
-                sequences.append(np.frombuffer(b"".join([f[0] for f in found]) + end, np.uint16).astype(np.int32))
-                rest.append(sum([f[1] for f in found]))
-                for column, value in zip(columns, (len(words), hits, total, list(rare), list(rare.values()))):
+                made = b"".join([f[0] for f in found]) + end, sum([f[1] for f in found])
+                for column, value in zip(columns, (len(words), hits, total, *made, list(rare), list(rare.values()))):
                     column.append(value)
-            scores = np.array(rest)
-            seen, wanted, owner = blocks(sequences, END)
-            for at in range(0, len(seen), 1024):  # so many windows stay in the processor's cache
-                part = slice(at, at + 1024)
-                np.add.at(scores, owner[part], probability(seen[part], wanted[part]).sum(1, dtype=float))
-            return [*columns[:3], (scores / math.log(10)).tolist(), *columns[3:]]
-
-        return judge
-
-    scored = map_texts(df.select(id_column, text).withColumn("row_id", F.monotonically_increasing_id()), [id_column, "row_id"], text, "n_words long, n_frequent long, base_frequent double, score double, words array<string>, times array<long>", start, rows=64)
-    scored.write.parquet(f"{folder}/scored")
-    scored = spark.read.parquet(f"{folder}/scored")
-    rare = scored.select("row_id", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row_id", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+            return columns
+
+        return read
+
+    return map_texts(df, carry, text, "n_words long, n_frequent long, base_frequent double, symbols binary, rest double, words array<string>, times array<long>", start, rows=64)
+
+
+def scored(rows: DataFrame, model: Parameters, carry: list[str]) -> DataFrame:
+    """The columns `carry` of prepared rows and the model's log10 probability of each."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([rows.schema[c] for c in carry] + [T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        probability = Scorer(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                scores = np.array(part.column("rest").to_pylist())
+                seen, wanted, owner = blocks([symbols_of(raw) for raw in part.column("symbols").to_pylist()], END)
+                for first in range(0, len(seen), 1024):  # so many windows stay in the processor's cache
+                    some = slice(first, first + 1024)
+                    np.add.at(scores, owner[some], probability(seen[some], wanted[some]).sum(1, dtype=float))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(scores / math.log(10))], names=schema.names)
+
+    return rows.select(*carry, "symbols", "rest").mapInArrow(run, schema)
+
+
+def score(df: DataFrame, usable: Column, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of `df`: the id, n_tokens, n_known, train_tokens, base_score and score, learned from the rows for which `usable` holds.
+
+    Tokens are words (A to Z in lower case) and one end. base_score is the unigram's log10 probability, score the attention model's: the product over the subword ids
+    of the words and the end. Frequent words' counts go to all tasks; the other words of each row are joined to theirs, combined by row. Null and empty texts are
+    the end alone; long ones are scored whole, window by window; repeated rows get a row each. Without training rows every word is unknown. An empty table gives no rows.
+
+    Words are made symbols once, in a table in the shared folder (2 bytes a symbol), which training and scoring read. What is learned depends on ids and texts only,
+    not on the partitions.
+    """
+    spark, file = df.sparkSession, file_bytes(path)
+    folder = shared_folder(spark, "lm")
+    learned = df.where(usable)
+    word_counts(learned, text).write.parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    documents = learned.count()
+    words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n, below = words + documents, words + documents + 0.5 * (distinct + (documents > 0) + 1)
+    base = lambda c: math.log10((c + 0.5) / below)
+    frequent = frequent_words(counts)
+    symbols = Symbols.of(subword_counts(counts, file), documents)
+    # copies of a text under other ids are drawn apart
+    drawn = F.when(usable, F.xxhash64(id_column, text)).alias("draw")
+    numbered = df.select(F.col(id_column), F.col(text), drawn, F.monotonically_increasing_id().alias("row_id"))
+    prepared(numbered, text, [id_column, "row_id", "draw"], file, symbols, frequent, base).write.parquet(f"{folder}/prepared")
+    rows = spark.read.parquet(f"{folder}/prepared")
+    model = train(rows.where("draw IS NOT NULL"), symbols)
+    rare = rows.select("row_id", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row_id", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     found = rare.join(counts, "word", "left").select("row_id", (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / below)).alias("base"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"))
     sums = found.groupBy("row_id").agg(F.sum("base").alias("base_rare"), F.sum("known").alias("n_rare"))
-    out = scored.join(sums, "row_id", "left")
+    out = scored(rows, model, [id_column, "row_id", "n_words", "n_frequent", "base_frequent"]).join(sums, "row_id", "left")
     return out.select(
         id_column, (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0)) + int(documents > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_frequent") + F.coalesce("base_rare", F.lit(0.0)) + base(documents)).alias("base_score"), "score",

@@ -111,19 +111,26 @@ def test_nulls_repeats_clashes_and_no_rows(spark):
     assert {r.n_known for r in score(df, held_out("doc_id", 1) & held_out("doc_id", 2), PATH).collect()} == {0}
 
 
+def ready(docs):
+    """Prepared rows of all documents, each with a draw, and the symbols."""
+    file = open(PATH, "rb").read()
+    symbols = Symbols.of(lm_scoring.subword_counts(lm_scoring.word_counts(docs), file), docs.count())
+    drawn = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    return lm_scoring.prepared(drawn, "text", ["doc_id", "draw"], file, symbols, {}, float).persist(), symbols
+
+
 def learned(spark, monkeypatch, docs):
     """Tokens learned from for the starting point and in each round, and the symbols."""
     seen, mean = [], lm_scoring._mean
 
-    def spy(trained):
-        kept = trained.persist()
+    def spy(sums):
+        kept = sums.persist()
         seen.append(sum(r.n for r in kept.select("n").collect()))
         return mean(kept)
 
     monkeypatch.setattr(lm_scoring, "_mean", spy)
-    file = open(PATH, "rb").read()
-    symbols = Symbols.of(lm_scoring.subword_counts(lm_scoring.word_counts(docs), file), docs.count())
-    lm_scoring.train(docs, symbols, file)
+    rows, symbols = ready(docs)
+    lm_scoring.train(rows, symbols)
     return seen, symbols
 
 
@@ -134,17 +141,41 @@ def test_every_token_of_every_training_text_is_learned_from_once(spark, folder,
     assert min(seen[1:]) > 0.2 * sum(seen[1:])
 
 
-def test_starting_point_is_drawn_from_all_rows_and_grows(spark):
-    rows = spark.range(0, 40_000, 1, 20).select(F.col("id").alias("doc_id"), F.lit("a copy").alias("text"))
-    some = lm_scoring._pilot(rows.where("doc_id < 400"), 400)
-    assert some.count() == 400 and some.rdd.getNumPartitions() == 1
-    few, many = (lm_scoring._pilot(rows.limit(n) if n < 40_000 else rows, n).collect() for n in (20_000, 40_000))
-    assert len(few) == pytest.approx(lm_scoring.PILOT, rel=0.15) and len(many) == pytest.approx(lm_scoring.PILOT, rel=0.15)
-    assert len({r.doc_id // 2000 for r in many}) == 20
+@pytest.mark.parametrize("trainer, fan_in", [(2000, 32), (20, 2)])
+def test_what_is_learned_does_not_depend_on_partitions(spark, folder, monkeypatch, trainer, fan_in):
+    monkeypatch.setattr(lm_scoring, "TRAINER", trainer)
+    monkeypatch.setattr(lm_scoring, "FAN_IN", fan_in)
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 20)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id % 2 = 0")
+    tokens = sum(len((r.text or "").split()) + 1 for r in docs.collect())
+    found = [{r.doc_id: r.score for r in score(docs.repartition(n), ~held_out("doc_id", 1), PATH).collect()} for n in (1, 7, 40)]
+    assert max(abs(f[i] - found[0][i]) for f in found for i in f) < 0.01 * tokens / len(found[0])
+    assert abs(sum(found[0].values()) - sum(found[2].values())) < 1e-3 * tokens
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = score(docs, ~held_out("doc_id", 1), PATH).where(held_out("doc_id", 1)).agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1]
+
+
+def test_trainers_grow_with_the_rows_and_draw_from_all(spark):
+    def drawn(n, copies=20):
+        return spark.range(0, n, 1, copies).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("draw"))
+
+    some, trainers = lm_scoring._pilot(drawn(400), 400)
+    assert some.count() == 400 and trainers == 1
+    many = lm_scoring._pilot(drawn(40_000), 40_000)[0].collect()
+    assert len(many) == pytest.approx(lm_scoring.PILOT, rel=0.15) and len({r.doc_id // 2000 for r in many}) == 20
     n = 200 * lm_scoring.PILOT
-    big = lm_scoring._pilot(spark.range(0, n, 1, 20).select(F.col("id").alias("doc_id"), F.lit("a copy").alias("text")), n)
-    assert big.count() == pytest.approx(n / lm_scoring.PILOT_SHARE, rel=0.1) and big.rdd.getNumPartitions() == math.ceil(n / lm_scoring.PILOT_SHARE / lm_scoring.PILOT)
-    assert big.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1.2 * lm_scoring.PILOT
+    big, trainers = lm_scoring._pilot(drawn(n), n)
+    assert big.count() == pytest.approx(n / lm_scoring.PILOT_SHARE, rel=0.1) and trainers == math.ceil(n / lm_scoring.PILOT_SHARE / lm_scoring.PILOT)
+    assert big.groupBy("trainer").count().agg(F.max("count")).first()[0] < 1.2 * lm_scoring.PILOT
+    turns = [lm_scoring._round(drawn(n), n, turn) for turn in range(1, lm_scoring.ROUNDS + 1)]
+    assert sum(rows.count() for rows, _ in turns) == n
+    for rows, trainers in turns:
+        assert trainers == n // lm_scoring.ROUNDS // lm_scoring.TRAINER == rows.select("trainer").distinct().count()
+        assert rows.groupBy("trainer").count().agg(F.max("count")).first()[0] < 1.2 * lm_scoring.TRAINER
 
 
 def test_streamed_learning_takes_each_window_once_within_its_buffer(monkeypatch):
@@ -165,8 +196,8 @@ def test_the_end_is_learned(spark, monkeypatch):
     text = F.concat_ws(" ", *[F.element_at(F.array(*map(F.lit, words)), 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(len(words))).cast("int")) for k in range(9)])
     docs = spark.range(0, 6000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.concat_ws(" ", text, F.lit("goodbye"))).otherwise(text).alias("text"))
     train, file = docs.where("doc_id < 4800"), open(PATH, "rb").read()
-    symbols = Symbols.of(lm_scoring.subword_counts(lm_scoring.word_counts(train), file), train.count())
-    p = lm_scoring.train(train, symbols, file)
+    rows, symbols = ready(train)
+    p = lm_scoring.train(rows, symbols)
     subwords = Subwords(file)
     held = [[*(symbols.number.get(i, lm_scoring.OTHER) for w in r.text.split() for i in subwords.of(w)), lm_scoring.END] for r in docs.where("doc_id >= 4800").collect()]
     share = math.log(symbols.counts[lm_scoring.END] / symbols.counts.sum())
