@@ -52,14 +52,19 @@ def observed_domain(df: DataFrame, column: str, limit: int = 10_000) -> list[str
     return sorted(values)
 
 
-def weighted_vector_sum(inventory: DataFrame, vectors: DataFrame, key: str, vector: str = "vector") -> DataFrame:
-    """Sum over tokens of count x vector, per position: (id, pos, value). Partial sums combine before the shuffle."""
-    joined = inventory.join(vectors, "token")
-    return (
-        joined.select(key, "count", F.posexplode(vector).alias("pos", "v"))
-        .groupBy(key, "pos")
-        .agg(F.sum(F.col("count") * F.col("v")).alias("value"))
-    )
+def weighted_vector_sum(inventory: DataFrame, vectors: DataFrame, key: str, vector: str = "vector", chunk: int = 32) -> DataFrame:
+    """Sum over tokens of count x vector, per position: (id, pos, value).
+
+    Vectors are cut into chunks, and the positions of a chunk are summed side by side, so no position becomes a row before the sum. Partial sums combine before the
+    shuffle. Null places add nothing; vectors may differ in length; null and empty ones give no rows.
+    """
+    cut = vectors.where(F.size(vector) > 0).select("token", vector, F.explode(F.sequence(F.lit(0), F.size(vector) - 1, F.lit(chunk))).alias("__first"))
+    parts = cut.select("token", "__first", F.slice(vector, F.col("__first") + 1, F.lit(chunk)).alias("__part"))
+    joined = inventory.select(key, "token", "count").join(parts, "token")
+    places = [F.sum(F.col("count") * F.get("__part", F.lit(i))).alias(f"__{i}") for i in range(chunk)]
+    sums = joined.groupBy(key, "__first").agg(F.max(F.size("__part")).alias("__n"), *places)
+    told = F.posexplode(F.slice(F.array(*[f"__{i}" for i in range(chunk)]), F.lit(1), F.col("__n"))).alias("__i", "value")
+    return sums.select(key, "__first", told).select(key, (F.col("__first") + F.col("__i")).alias("pos"), "value")
 
 
 def weighted_quality(inventory: DataFrame, quality: DataFrame, key: str) -> DataFrame:

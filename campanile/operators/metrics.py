@@ -153,10 +153,12 @@ def tail_weights(df: DataFrame, y: str, threshold: float = 7.0, alpha: float = 0
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """N / (classes * class size)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    table = counts.select(label, (F.sum("n").over(W.partitionBy()) / (F.count(F.lit(1)).over(W.partitionBy()) * F.col("n"))).alias("w"))
-    return df.withColumn("__w", _literal_map(table, label, "w")).withColumn("class_weight", F.element_at("__w", F.col(label))).drop("__w")
+    """N / (classes * class size), joined to the rows, so there may be many classes. A null label counts as a class and has no weight."""
+    counts = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    rows, classes = counts.agg(F.sum("__n")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
+    table = counts.select("__label", (rows / (classes * F.col("__n"))).alias("__w"))
+    joined = df.join(table, F.col(label) == F.col("__label"), "left")
+    return joined.withColumn("class_weight", F.col("__w")).drop("__label", "__n", "__w")
 
 
 # ---- ordinal and ranking metrics ------------------------------------------------
