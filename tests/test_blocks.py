@@ -1,10 +1,11 @@
-"""Sums by chunks of vectors, and weights of many classes."""
+"""Sums by chunks of vectors, weights of many classes, and profiles from folded values."""
 
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from campanile.operators.clean import column_profile
 from campanile.operators.groups import balanced_resample
 from campanile.operators.inventory import weighted_vector_sum
 from campanile.operators.metrics import class_weights
@@ -48,3 +49,12 @@ def test_class_weights_of_many_classes_and_nulls(spark):
     small = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("label"))
     by = {r.label: r.n for r in balanced_resample(small, "label", "id").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert by["rare"] == pytest.approx(1500, rel=0.1) and by["common"] == pytest.approx(1500, rel=0.1)
+
+
+def test_column_profiles_with_hot_values_nulls_and_no_rows(spark):
+    rows = [(1 if i % 3 == 0 else i, None, 2.5 if i % 2 else None, 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b double, column double, v int")
+    got = {r["column"]: tuple(r)[1:] for r in column_profile(df, ["a", "b", "column", "v"]).collect()}
+    a = [r[0] for r in rows]
+    assert got == {"a": (len(set(a)), 1.0, 299.0, pytest.approx(sum(a) / 300)), "b": (0, None, None, None), "column": (1, 2.5, 2.5, 2.5), "v": (1, 7.0, 7.0, 7.0)}
+    assert sorted(map(tuple, column_profile(df.limit(0), ["a", "b"]).collect())) == [("a", 0, None, None, None), ("b", 0, None, None, None)]
