@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import digamma
 from ..functions.quantile import quantiles
-from ..functions.scan import as_column, number_rows, running
+from ..functions.scan import as_column, number_rows, running, with_halo
 from ..session import cut
 
 
@@ -210,11 +210,9 @@ def feasibility(temperature, limit, margin: float = 15.0, default: float = 500.0
 
 def feature_catalog(blocks: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Ordered (pos, name, group, is_discrete) from block rows (block_no, prefix, group, width, is_discrete)."""
-    spread = blocks.select("block_no", "prefix", "group", "is_discrete", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("i"))
-    before = blocks.select("block_no", F.coalesce(F.sum("width").over(W.orderBy("block_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    full = spread.join(before, "block_no").select(
-        (F.col("start") + F.col("i")).alias("pos"), F.concat("prefix", F.lit("_"), F.col("i").cast("string")).alias("name"), "group", "is_discrete"
-    )
+    laid = running(blocks, [], "block_no", F.xxhash64("prefix"), {"upto": ("sum", "width")})
+    spread = laid.select("prefix", "group", "is_discrete", (F.col("upto") - F.col("width")).alias("start"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("i"))
+    full = spread.select((F.col("start") + F.col("i")).alias("pos"), F.concat("prefix", F.lit("_"), F.col("i").cast("string")).alias("name"), "group", "is_discrete")
     return full if kept is None else full.join(kept, "pos", "left_semi")
 
 
@@ -293,19 +291,21 @@ def stratified_top(scores: DataFrame, stratum: str, budgets: Mapping, score: str
 def elbow(scores: DataFrame, score: str, name: str, least: int = 50, most: int | None = None) -> DataFrame:
     """Rank of the largest second difference of the sorted, peak-normalised scores of a feature table.
 
-    A feature table has one row per column of the matrix, so it is sorted as a whole.
+    Null scores come last. Equal scores are interchangeable, as only ranks come out; rows are numbered by blocks, and a second difference sees two rows before its own.
     """
-    order = W.orderBy(F.desc(score), F.asc(name))
-    ranked = scores.select(F.col(score).alias("s"), F.row_number().over(order).alias("rn"), F.max(score).over(W.partitionBy()).alias("peak"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
-    limit = F.col("n") if most is None else F.least(F.col("n"), F.lit(most))
-    curve = ranked.filter(F.col("rn") <= limit)
-    by_rank = W.orderBy("rn")
-    second = curve.withColumn("d2", (F.lead("s", 2).over(by_rank) - 2 * F.lead("s", 1).over(by_rank) + F.col("s")) / F.col("peak"))
+    rows = scores.select(F.col(score).cast("double").alias("s"), F.xxhash64(name).alias("__t"))
+    down = F.coalesce(-F.col("s"), F.lit(float("inf")))
+    ranked = running(rows.withColumn("__o", down), [], "__o", "__t", {"rn": ("count", F.lit(1))}, {"n": ("count", F.lit(1)), "peak": ("max", F.col("s"))})
+    curve = ranked if most is None else ranked.filter(F.col("rn") <= most)
+    around = with_halo(curve.select("s", "rn", "n", "peak"), "rn", 2, 100_000)
+    by_rank = W.partitionBy("chunk").orderBy("rn")
+    change = F.try_divide(F.col("s") - 2 * F.lag("s", 1).over(by_rank) + F.lag("s", 2).over(by_rank), F.col("peak"))
+    second = around.withColumn("d2", change).filter(~F.col("is_halo"))
     best = second.agg(
         F.max("n").alias("n"), F.max("peak").alias("peak"),
-        F.min_by("rn", F.when(F.col("d2").isNotNull(), F.struct((-F.col("d2")).alias("k"), F.col("rn")))).alias("at"),
+        F.min_by("rn", F.when(F.col("d2").isNotNull(), F.struct((-F.col("d2")).alias("k"), F.col("rn")))).alias("third"),
         F.min(F.when(F.col("s") < F.col("peak") * 0.05, F.col("rn") - 1)).alias("below_5pct"),
-    )
+    ).withColumn("at", F.col("third") - 2)
     cap = F.col("n") if most is None else F.least(F.col("n"), F.lit(most))
     chosen = F.when(F.col("n") <= least, F.col("n")).when(F.col("peak") == 0, cap).otherwise(F.greatest(F.lit(least), F.least(F.coalesce("at", cap), cap)))
     cliff = F.greatest(F.lit(1), F.least(F.coalesce("below_5pct", "n"), F.coalesce("at", "n"), F.col("n")))

@@ -90,10 +90,23 @@ def held_out_groups(df: DataFrame, group: str, least: int = 20, share: float = 0
     return sizes.withColumn("n_all", total).filter(F.col("n_pool") >= least).select(group, "n_pool", (F.col("n_all") - F.col("n_pool")).alias("n_init"), budget.cast("long").alias("budget"))
 
 
-def leave_group_out(df: DataFrame, group: str, held: Sequence) -> DataFrame:
-    """A copy of the rows per held-out group, with role 'pool' for its own rows and 'init' for the rest."""
-    copies = F.array(*[F.lit(h) for h in held])
-    return df.withColumn("held", F.explode(copies)).withColumn("role", F.when(F.col(group) == F.col("held"), "pool").otherwise("init"))
+def leave_group_out(df: DataFrame, group: str, held: DataFrame) -> DataFrame:
+    """The rows once, with `held_out`: whether the row's group is among those held out in turn (`held` has the column `group`). `group_split` gives one of the splits."""
+    marks = held.select(group, F.lit(True).alias("held_out")).distinct()
+    return df.join(marks, group, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+
+
+def group_split(df: DataFrame, group: str, value, out: str = "role") -> DataFrame:
+    """Role 'pool' for the rows of the held-out group, 'init' for all others, also those without a group."""
+    return df.withColumn(out, F.when(F.col(group).eqNullSafe(F.lit(value)), "pool").otherwise("init"))
+
+
+def split_sizes(marked: DataFrame, group: str) -> DataFrame:
+    """Rows (held, role, n) for every held-out group, from one count of the rows of each group."""
+    sizes = marked.groupBy(group, "held_out").agg(F.count(F.lit(1)).alias("n_pool"))
+    total = sizes.agg(F.sum("n_pool")).scalar()
+    both = F.array(F.struct(F.lit("pool").alias("role"), F.col("n_pool").alias("n")), F.struct(F.lit("init").alias("role"), (total - F.col("n_pool")).alias("n")))
+    return sizes.filter("held_out").select(F.col(group).alias("held"), F.explode(both).alias("r")).select("held", "r.*").filter("n > 0")
 
 
 def latin_hypercube(ids: DataFrame, key: str, bounds: Mapping[str, tuple[float, float]], log_params: Sequence[str] = (),

@@ -371,17 +371,23 @@ def decision(n, median, p, win_rate) -> Column:
     )
 
 
-def paired_compare(pairs: DataFrame, key: str, metrics: Mapping[str, bool]) -> DataFrame:
-    """One row per metric."""
+def paired_summary(pairs: DataFrame, key: str, metrics: Mapping[str, bool]) -> DataFrame:
+    """One row per metric: valid pairs, share of positive deltas, means and quartiles, which are null under three pairs."""
     deltas = paired_deltas(pairs, key, metrics)
     counts = deltas.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n_valid"), F.avg((F.col("delta") > 0).cast("double")).alias("win_rate"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b")
     )
     q = quantiles_wide(deltas, ["metric"], "delta", {"q1": 0.25, "median_delta": 0.5, "q3": 0.75})
-    out = counts.join(q, "metric").join(signed_rank(deltas, ["metric"]), "metric")
-    enough = F.col("n_valid") >= 3
-    fields = ["win_rate", "mean_a", "mean_b", "q1", "median_delta", "q3", "p_value"]
-    return out.withColumn("decision", decision("n_valid", "median_delta", "p_value", "win_rate")).withColumns({f: F.when(enough, F.col(f)) for f in fields})
+    fields = ["win_rate", "mean_a", "mean_b", "q1", "median_delta", "q3"]
+    return counts.join(q, "metric").withColumns({f: F.when(F.col("n_valid") >= 3, F.col(f)) for f in fields})
+
+
+def paired_compare(pairs: DataFrame, key: str, metrics: Mapping[str, bool]) -> DataFrame:
+    """The summary with p-value and decision."""
+    tested = signed_rank(paired_deltas(pairs, key, metrics), ["metric"])
+    out = paired_summary(pairs, key, metrics).join(tested, "metric")
+    decided = decision("n_valid", "median_delta", "p_value", "win_rate")
+    return out.withColumn("decision", decided).withColumn("p_value", F.when(F.col("n_valid") >= 3, F.col("p_value")))
 
 
 # ---- importance, datasets, variance -----------------------------------------------------

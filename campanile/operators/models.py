@@ -437,17 +437,20 @@ def refit_batch(observed: DataFrame, candidates: DataFrame, key: str, make: Call
     """
     surrogate, picks = make(), []
     best = float(observed.agg(F.max(y)).first()[0])
-    seen, pool = observed.select(surrogate.features, F.col(y).cast("double").alias(y)), candidates
+    base = cut(observed.select(surrogate.features, F.col(y).cast("double").alias(y)))  # every refit reads it
+    seen, pool = base, candidates
     for _ in range(size):
         model = make().fit(seen)
         top = acquisition(score, model, seen, model.predict(pool), key, y) if score != "ei" else model.predict(pool).withColumn("acquisition", expected_improvement("mu", "sigma", best))
         pick = top.orderBy(F.desc("acquisition"), key).select(key, "mu", "acquisition").first()
         if pick is None:
             break
-        value = best if strategy == "constant_liar" else float(round(pick["mu"]))
-        picks.append((len(picks) + 1, pick[key], value))
-        chosen = pool.filter(F.col(key) == pick[key]).select(surrogate.features, F.lit(value).alias(y))
-        seen, pool = seen.unionByName(chosen), pool.filter(F.col(key) != pick[key])
+        picks.append((len(picks) + 1, pick[key], best if strategy == "constant_liar" else float(round(pick["mu"]))))
+        # one filter and one union, however many picks there are
+        chosen, values = [k for _, k, _ in picks], F.create_map(*[F.lit(x) for _, k, v in picks for x in (k, v)])
+        taken = F.col(key).isin(chosen)
+        seen = base.unionByName(candidates.filter(taken).select(surrogate.features, F.element_at(values, F.col(key)).alias(y)))
+        pool = candidates.filter(~taken)
     return observed.sparkSession.createDataFrame(picks, f"batch_rank int, `{key}` {dict(candidates.dtypes)[key]}, stand_in double")
 
 

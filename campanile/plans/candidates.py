@@ -39,6 +39,20 @@ def _(t):
     return folds.groupBy("fold", "cls").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("n_groups"))
 
 
+@query("g1_fold_invariants", """WITH c AS (SELECT CASE WHEN o_totalprice <= 150000 THEN 0 WHEN o_totalprice <= 300000 THEN 1 ELSE 2 END::INTEGER AS cls, count(*) AS n FROM orders GROUP BY 1)
+SELECT cls, n, 0::BIGINT AS split_groups, 3::BIGINT AS n_folds, true AS even FROM c""")
+def _(t):
+    """Whole groups in one fold each, all rows dealt, and no fold's share of a class off an even one by more than a tenth of the class and two of the largest groups."""
+    rows = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_totalprice") <= 150000, 0).when(F.col("o_totalprice") <= 300000, 1).otherwise(2).alias("cls"))
+    folds = G.group_folds(rows, "o_custkey", "cls", 3)
+    per_group = folds.groupBy("o_custkey").agg(F.countDistinct("fold").alias("k"), F.count(F.lit(1)).alias("n"))
+    over = per_group.agg(F.count_if(F.col("k") > 1).alias("split_groups"), F.max("n").alias("largest"))
+    cells = folds.groupBy("cls", "fold").agg(F.count(F.lit(1)).alias("n"))
+    told = cells.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_folds"), F.max("n").alias("most"), F.min("n").alias("fewest"))
+    even = F.greatest(F.col("most") - F.col("n") / 3, F.col("n") / 3 - F.col("fewest")) <= 0.1 * F.col("n") + 2 * F.col("largest")
+    return told.crossJoin(over).select("cls", "n", "split_groups", "n_folds", even.alias("even"))
+
+
 @query("g1_repeated_group_folds")
 def _(t):
     rows = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_totalprice") <= 150000, 0).when(F.col("o_totalprice") <= 300000, 1).otherwise(2).alias("cls"))
@@ -63,8 +77,8 @@ def _(t):
 
 @query("g4_leave_group_out", "SELECT held, (CASE WHEN o_orderpriority = held THEN 'pool' ELSE 'init' END) AS role, count(*) AS n FROM orders, (SELECT DISTINCT o_orderpriority AS held FROM orders) GROUP BY 1, 2")
 def _(t):
-    held = [r[0] for r in G.held_out_groups(t.orders, "o_orderpriority").collect()]
-    return G.leave_group_out(t.orders.select("o_orderpriority"), "o_orderpriority", held).groupBy("held", "role").agg(F.count(F.lit(1)).alias("n"))
+    held = G.held_out_groups(t.orders, "o_orderpriority")
+    return G.split_sizes(G.leave_group_out(t.orders.select("o_orderpriority"), "o_orderpriority", held), "o_orderpriority")
 
 
 BOX = {"equivalents": (1.0, 100.0), "temperature": (300.0, 400.0), "phi": (0.0, 1.0)}

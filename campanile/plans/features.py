@@ -205,9 +205,8 @@ def _(t):
 @query("f10_token_counts", "SELECT p_type, count(*) FILTER (p_name = 'red widget') AS red_widget, count(DISTINCT p_name) AS n_names FROM part GROUP BY 1")
 def _(t):
     counts = t.part.groupBy("p_type", "p_name").agg(F.count(F.lit(1)).alias("n"))
-    # one map per type over its distinct names (a dimension-sized map)
-    maps = counts.groupBy("p_type").agg(F.map_from_entries(F.collect_list(F.struct("p_name", "n"))).alias("m"))
-    return maps.select("p_type", F.coalesce(F.element_at("m", F.lit("red widget")), F.lit(0)).alias("red_widget"), F.size("m").cast("bigint").alias("n_names"))
+    found = F.max(F.when(F.col("p_name") == "red widget", F.col("n")))
+    return counts.groupBy("p_type").agg(F.coalesce(found, F.lit(0)).alias("red_widget"), F.count("p_name").alias("n_names"))
 
 
 @query("f11_json", """SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, '{"id":' || event_id || ',"type":"' || event_type || '"}' AS doc FROM events""")
@@ -236,6 +235,17 @@ def _(t):
     return t.documents.select("doc_id", F.size(H.fold_tokens_fast(tokens, 2048)).alias("n_bits"))
 
 
+@query("f13_fast_hash_bounds", """WITH d AS (SELECT doc_id, len(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+'))) AS n FROM documents)
+SELECT doc_id, n::BIGINT AS n_tokens, true AS within FROM d""")
+def _(t):
+    """Distinct positions are no more than the distinct tokens, and about as many as an even hash gives."""
+    tokens = F.split(F.lower("text"), "[^a-z]+")
+    n, bits = F.size(F.array_distinct(tokens)), F.size(H.fold_tokens_fast(tokens, 2048))
+    expected = 2048 * (1 - F.pow(F.lit(1 - 1 / 2048), n))
+    within = (bits <= n) & (bits >= 1) & (F.abs(bits - expected) <= 6 * F.sqrt(expected) + 1)
+    return t.documents.select("doc_id", n.cast("bigint").alias("n_tokens"), within.alias("within"))
+
+
 @query("q_exact_quantiles", "SELECT event_type, unnest([0.0::DOUBLE, 0.1, 0.25, 0.5, 0.9, 1.0]) AS prob, round(unnest(quantile_cont(value, [0.0::DOUBLE, 0.1, 0.25, 0.5, 0.9, 1.0])), 6) AS q FROM events GROUP BY 1")
 def _(t):
     return quantiles(t.events, ["event_type"], "value", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]).withColumns(r6("q"))

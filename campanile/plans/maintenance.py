@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scan import number_rows
 from ..sources import files as S
 from ..sources import snapshots as E
 from .metrics import r6
@@ -157,9 +158,11 @@ def _(t):
 
 @query("e7_pending_picks", """WITH f AS (SELECT conv_id AS iteration, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS rank, role FROM conversations) SELECT * FROM f WHERE NOT (rank = 1) ORDER BY iteration DESC, rank""")
 def _(t):
-    batches = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("picks"))
+    # a long conversation is several rows of at most 64 picks
+    numbered = number_rows(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], "turn", F.xxhash64("role"), out="n")
+    batches = numbered.groupBy("conv_id", (F.floor((F.col("n") - 1) / 64) * 64).alias("before")).agg(F.array_sort(F.collect_list(F.struct("n", "role"))).alias("picks"))
     dismissed = t.conversations.select(F.col("conv_id").alias("iteration"), F.lit(1).alias("rank")).distinct()
-    return E.pending_picks(batches, "conv_id", "picks", dismissed).drop("turn")
+    return E.pending_picks(batches, "conv_id", "picks", dismissed, before="before").drop("n")
 
 
 @query("c12_memo_enrichment", "SELECT p_partkey, length(p_name)::BIGINT AS value FROM part")

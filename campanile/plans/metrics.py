@@ -221,7 +221,7 @@ METRICS = {"af": True, "regret": False}
 @query("a40_paired_deltas", f"WITH {PAIRS} SELECT metric, count(*) AS n_valid, round(avg((delta > 0)::INT), 6) AS win_rate, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(quantile_cont(delta, 0.25::DOUBLE), 6) AS q1, round(median(delta), 6) AS median_delta, round(quantile_cont(delta, 0.75::DOUBLE), 6) AS q3 FROM d GROUP BY 1")
 def _(t):
     cols = ["win_rate", "mean_a", "mean_b", "q1", "median_delta", "q3"]
-    return M.paired_compare(pairs(t), "seed", METRICS).withColumns(r6(*cols)).select("metric", "n_valid", *cols)
+    return M.paired_summary(pairs(t), "seed", METRICS).withColumns(r6(*cols)).select("metric", "n_valid", *cols)
 
 
 # the integral of the density by Simpson's rule
@@ -326,7 +326,15 @@ def _(t):
     return X.binned_information(t.lineitem.select(F.lit("price").alias("feature"), F.col("l_extendedprice").alias("value"), F.col("l_returnflag").alias("label"))).withColumns(r6("mi", digits=8))
 
 
-@query("a48_neighbour_information")
+@query("a48_neighbour_information", """WITH e AS (SELECT event_id, event_type AS c, value::DOUBLE AS x, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+u AS (SELECT *, least(3, n - 1) AS k, [abs(lag(x, 1) OVER w - x), abs(lag(x, 2) OVER w - x), abs(lag(x, 3) OVER w - x), abs(lead(x, 1) OVER w - x), abs(lead(x, 2) OVER w - x), abs(lead(x, 3) OVER w - x)] AS gaps
+      FROM e WHERE n > 1 WINDOW w AS (PARTITION BY c ORDER BY x, event_id)),
+r AS (SELECT *, list_sort(list_filter(gaps, lambda g: g IS NOT NULL))[k] AS r FROM u),
+upto AS (SELECT x AS at, sum(count(*)) OVER (ORDER BY x) AS upto FROM u GROUP BY x),
+m AS (SELECT n, k, greatest(1, coalesce(b.upto, 0) - coalesce(a.upto, 0))::BIGINT AS m FROM r ASOF LEFT JOIN upto b ON r.x + r.r > b.at ASOF LEFT JOIN upto a ON r.x - r.r >= a.at),
+psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / nullif(i - 1, 0)) OVER (ORDER BY i), 0) AS psi FROM (SELECT row_number() OVER () AS i FROM events))
+SELECT 'value' AS feature, round(greatest(0, (SELECT psi FROM psi WHERE i = (SELECT count(*) FROM m)) + avg(pk.psi) - avg(pn.psi) - avg(pm.psi)), 6) AS mi
+FROM m JOIN psi pk ON pk.i = m.k JOIN psi pn ON pn.i = m.n JOIN psi pm ON pm.i = m.m""")
 def _(t):
     long = t.events.select("event_id", F.lit("value").alias("feature"), "value", F.col("event_type").alias("label"))
     return X.neighbour_information(long, "event_id").withColumns(r6("mi"))

@@ -76,6 +76,15 @@ def _(t):
     return scored.select("vec_id", "fold", "cls", "prediction")
 
 
+@query("m9_prediction_table", """WITH e AS (SELECT vec_id, (('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 3)::INTEGER AS fold, CASE WHEN label <= 2 THEN 0 WHEN label <= 5 THEN 1 ELSE 2 END::INTEGER AS cls FROM embeddings)
+SELECT fold, cls, count(*) AS n, count(DISTINCT vec_id) AS n_ids, true AS in_range FROM e GROUP BY 1, 2""")
+def _(t):
+    """Every row is predicted once, in its own fold, by a class that exists."""
+    scored = M.out_of_fold(rows(t), "fold", 3, small_forest)
+    good = F.bool_and(F.col("prediction").isin(0, 1, 2))
+    return scored.groupBy("fold", "cls").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_ids"), good.alias("in_range"))
+
+
 @query("m10_fold_sweep")
 def _(t):
     grid = [{"depth": 2}, {"depth": 4}]

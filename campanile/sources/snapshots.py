@@ -154,10 +154,14 @@ def replace_batch(spark: SparkSession, folder: str, batch: DataFrame, iteration:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(folder)
 
 
-def pending_picks(batches: DataFrame, iteration: str, picks: str, dismissed: DataFrame | None = None) -> DataFrame:
-    """Nested batches to (iteration, rank, pick...), newest first, dismissed ones left out."""
-    flat = batches.select(F.col(iteration).alias("iteration"), F.posexplode(picks).alias("pos", "pick"))
-    flat = flat.select("iteration", (F.col("pos") + 1).alias("rank"), "pick.*")
+def pending_picks(batches: DataFrame, iteration: str, picks: str, dismissed: DataFrame | None = None, before: str | None = None) -> DataFrame:
+    """Nested batches to (iteration, rank, pick...), newest first, dismissed ones left out.
+
+    A batch may be kept in several rows; the column `before` then tells how many picks of the batch come before those of the row.
+    """
+    ahead = F.lit(0) if before is None else F.col(before)
+    flat = batches.select(F.col(iteration).alias("iteration"), ahead.alias("__ahead"), F.posexplode(picks).alias("pos", "pick"))
+    flat = flat.select("iteration", (F.col("__ahead") + F.col("pos") + 1).cast("int").alias("rank"), "pick.*")
     if dismissed is not None:
         flat = flat.join(dismissed.select("iteration", "rank").distinct(), ["iteration", "rank"], "left_anti")
     return flat.orderBy(F.desc("iteration"), "rank")

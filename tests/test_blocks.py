@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from campanile.operators.clean import column_profile
-from campanile.operators.groups import balanced_resample
+from campanile.operators.features import elbow, feature_catalog
+from campanile.operators.groups import balanced_resample, group_split, held_out_groups, leave_group_out, split_sizes
 from campanile.operators.inventory import weighted_vector_sum
 from campanile.operators.metrics import class_weights
+from campanile.operators.profiles import moments, two_member_blend, two_member_moments
+from campanile.sources.snapshots import pending_picks
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 32])
@@ -58,3 +61,60 @@ def test_column_profiles_with_hot_values_nulls_and_no_rows(spark):
     a = [r[0] for r in rows]
     assert got == {"a": (len(set(a)), 1.0, 299.0, pytest.approx(sum(a) / 300)), "b": (0, None, None, None), "column": (1, 2.5, 2.5, 2.5), "v": (1, 7.0, 7.0, 7.0)}
     assert sorted(map(tuple, column_profile(df.limit(0), ["a", "b"]).collect())) == [("a", 0, None, None, None), ("b", 0, None, None, None)]
+
+
+def knee(scores, least, most=None):
+    """Elbow and cliff of a list, by definition."""
+    s = sorted((x for x in scores if x is not None), reverse=True)
+    n, peak = len(scores), s[0]
+    s += [None] * (n - len(s))
+    cap = n if most is None else min(n, most)
+    steps = [((s[i + 2] - 2 * s[i + 1] + s[i]) / peak, -(i + 1)) for i in range(cap - 2) if s[i + 2] is not None] if peak else []
+    at = -max(steps)[1] if steps else None
+    low = next((i for i in range(cap) if s[i] is not None and s[i] < peak * 0.05), None)
+    chosen = n if n <= least else cap if peak == 0 else max(least, min(at or cap, cap))
+    return chosen, max(1, min(n if low is None else low, at or n, n))
+
+
+def test_elbow_of_ties_nulls_and_flat_scores(spark, blocks):
+    falling = [1000 / (1 + i) ** 1.5 for i in range(400)]
+    cases = [(falling, 5, None), (falling, 5, 100), ([3.0] * 300 + [1.0] * 300 + [None] * 5, 50, None), ([0.0] * 60, 50, None), ([2.0, 1.0], 50, None), ([5.0, None], 1, None)]
+    for scores, least, most in cases:
+        table = spark.createDataFrame([(f"f{i}", x) for i, x in enumerate(scores)], "name string, score double")
+        got = elbow(table, "score", "name", least, most).first()
+        assert (got.elbow, got.cliff) == knee(scores, least, most)
+
+
+def test_catalog_positions_by_blocks(spark, blocks):
+    widths = [(i * 7) % 5 + 1 for i in range(300)]
+    table = spark.createDataFrame([(i, f"b{i}", "g", w, i % 2 == 0) for i, w in enumerate(widths)], "block_no int, prefix string, group string, width int, is_discrete boolean")
+    expected = [f"b{i}_{j}" for i, w in enumerate(widths) for j in range(w)]
+    assert [r.name for r in feature_catalog(table).orderBy("pos").collect()] == expected
+    assert sorted(r.pos for r in feature_catalog(table).select("pos").collect()) == list(range(len(expected)))
+
+
+def test_groups_held_out_in_turn_without_copies(spark):
+    rows = spark.createDataFrame([("a",)] * 30 + [("b",)] * 25 + [("c",)] * 5 + [(None,)] * 2, "g string")
+    marked = leave_group_out(rows, "g", held_out_groups(rows, "g").filter("g is not null"))
+    assert marked.count() == 62 and {r.g for r in marked.filter("held_out").collect()} == {"a", "b"}
+    told = {(r.held, r.role): r.n for r in split_sizes(marked, "g").collect()}
+    assert told == {("a", "pool"): 30, ("a", "init"): 32, ("b", "pool"): 25, ("b", "init"): 37}
+    assert {r.role: r["count"] for r in group_split(marked, "g", "b").groupBy("role").count().collect()} == {"pool": 25, "init": 37}
+
+
+def test_batches_kept_in_several_rows(spark):
+    schema = "it int, ahead int, picks array<struct<x:string>>"
+    parts = spark.createDataFrame([(1, 0, [("a",), ("b",)]), (1, 2, [("c",)]), (2, 0, [("d",)])], schema)
+    gone = spark.createDataFrame([(1, 2)], "iteration int, rank int")
+    assert [tuple(r) for r in pending_picks(parts, "it", "picks", gone, before="ahead").collect()] == [(2, 1, "d"), (1, 1, "a"), (1, 3, "c")]
+
+
+def test_blend_moments_from_member_moments(spark):
+    axis = [-2.0, -1.0, 0.0, 1.0, 2.0]
+    members = spark.createDataFrame([("A", [1.0, 2.0, 3.0, 2.0, 1.0], 10.0), ("B", [0.0, 1.0, 5.0, 4.0, 2.0], None), ("C", None, 5.0)], "name string, area array<double>, unit double")
+    rows = spark.createDataFrame([("a", "B", 0.3), ("a", "zz", 0.5), ("c", "A", 0.5), ("b", "c", 0.2), ("a", "b", 0.0)], "a string, b string, phi double")
+    whole = two_member_blend(rows, "a", "b", "phi", members)
+    slow = whole.select("a", "b", "phi", "share_1", *[c.alias(n) for n, c in moments("area", axis).items()]).collect()
+    fast = two_member_moments(rows, "a", "b", "phi", members, axis).collect()
+    as_text = lambda r: {k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()}
+    assert sorted(map(str, map(as_text, slow))) == sorted(map(str, map(as_text, fast)))
