@@ -48,9 +48,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_line_dedup", sql=r"""
     with p as (select doc_id, coalesce(source, '') host, string_split(coalesce(text, ''), chr(10)) lines from documents),
-         l as (select host, line, count(*) k from (select host, unnest(list_distinct([x for x in lines if regexp_matches(x, '[^\x20\x09-\x0D]')])) line from p) group by all),
-         t as (select host, count(*) n from p group by host),
-         b as (select l.host, list(line) gone from l join t using (host) where k >= 4 and k > 0.05 * n group by l.host),
+         u as (select distinct host, lines from p),
+         l as (select host, line, count(*) k from (select host, unnest(list_distinct([x for x in lines if regexp_matches(x, '[^\x20\x09-\x0D]')])) line from u) group by all),
+         t as (select host, count(*) n from u group by host),
+         b as (select l.host, list(line) gone from l join t using (host) where k >= 2 and k > 0.05 * n and (k >= 4 or k > 0.5 * n) group by l.host),
          c as (select doc_id, lines, case when gone is null then lines else [x for x in lines if not list_contains(gone, x)] end kept from p left join b using (host))
     select doc_id, len(lines)::int n_lines, (len(lines) - len(kept))::int n_dropped_lines, length(array_to_string(kept, chr(10)))::int n_chars, md5(array_to_string(kept, chr(10))) text_md5
     from c
