@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from campanile.llm.common import map_texts
@@ -17,6 +18,8 @@ from campanile.session import cut
 
 #: Labelled documents learned from, at most; those with the smallest hashes of their ids.
 MAX_DOCUMENTS = 20_000
+#: Words without a clean text that are looked at in one toxic text.
+MAX_WORDS = 2_000
 #: Words of clean documents learned from: drawn by hash, the most frequent, and in each round the worst mistakes.
 NEGATIVE, FREQUENT, HARD, ROUNDS = 5_000, 1_500, 2_000, 3
 LANDMARKS = 192
@@ -238,12 +241,13 @@ def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(df: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_DOCUMENTS) -> Model:
+def train(df: DataFrame, labels: DataFrame, usable: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_DOCUMENTS, most_words: int = MAX_WORDS) -> Model:
     """Learn words that make documents toxic from document labels, on at most `most` labelled documents for which `usable` holds.
 
     A toxic document has some toxic word and a clean one none, so the words sought are those of toxic documents that no clean one has. At first they are the fewest that meet
     most toxic documents; after each training, the word of each toxic document with the greatest margin, if that is enough. The worst mistakes among clean words
-    join the negatives. Documents with equal texts count once. Rows with a null label or id are not learned from; without a toxic word all margins are equal.
+    join the negatives. Of each toxic text at most `most_words` such words are looked at, those in the most toxic texts first, so what the driver gets is at most
+    `most` times `most_words` short strings however long the texts are. Documents with equal texts count once. Rows with a null label or id are not learned from; without a toxic word all margins are equal.
     """
     ids = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & usable).groupBy(id_column).agg(F.max(F.col(label).cast("int")).alias("__toxic"))
     ids = ids.orderBy(F.xxhash64(id_column), id_column).limit(most)
@@ -257,9 +261,11 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_column: str = "do
     negative = [r.word for r in clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVE).collect()]
     negative += [r.word for r in clean.orderBy(F.desc("down"), "word").limit(FREQUENT).collect()]
     only = words.join(counts.where("down = 0"), "word").select("word", "copy", "up")
+    place = F.row_number().over(W.partitionBy("copy").orderBy(F.desc("up"), F.xxhash64("word"), "word"))
+    only = only.withColumn("place", place).where(F.col("place") <= most_words).drop("place")
     bags: dict[str, set[str]] = {}
     seen = {}
-    for r in only.collect():  # bounded as the documents are
+    for r in only.collect():  # at most `most` * `most_words` rows
         bags.setdefault(r.copy, set()).add(r.word)
         seen[r.word] = r.up
     everything = sorted(seen)
