@@ -9,6 +9,7 @@ from campanile.operators.clean import column_profile
 from campanile.operators.features import elbow, feature_catalog
 from campanile.operators.groups import balanced_resample, group_split, held_out_groups, leave_group_out, split_sizes
 from campanile.operators.inventory import weighted_vector_sum
+from campanile.operators.joins import unordered_pairs, with_ratios
 from campanile.operators.metrics import class_weights
 from campanile.operators.profiles import moments, two_member_blend, two_member_moments
 from campanile.sources.snapshots import pending_picks
@@ -118,3 +119,15 @@ def test_blend_moments_from_member_moments(spark):
     fast = two_member_moments(rows, "a", "b", "phi", members, axis).collect()
     as_text = lambda r: {k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()}
     assert sorted(map(str, map(as_text, slow))) == sorted(map(str, map(as_text, fast)))
+
+
+def test_pairs_of_repeated_names_and_units_that_cancel(spark):
+    """As the SQL of V8 has it: each pair of rows counts, and a share over a sum of 0 is infinite, its blend undefined."""
+    members = spark.createDataFrame([("A", [1.0, 2.0], -2.0), ("B", [4.0, 3.0], 2.0), ("B", [1.0, 1.0], 6.0)], "name string, area array<double>, unit double")
+    pairs = unordered_pairs(members, "name", repeats=True)
+    assert sorted(map(tuple, pairs.collect())) == [("A", ""), ("A", "B"), ("A", "B"), ("B", "")]
+    told = two_member_moments(with_ratios(pairs, [0.5]), "a", "b", "phi", members, [0.0, 1.0]).select("a", "b", "share_1", "m0").collect()
+    # -1/4 beside 1/4 (cancels) and beside 1/12
+    assert sorted((r.a, r.b, round(r.share_1, 9), str(round(r.m0, 9))) for r in told) == [
+        ("A", "", 1.0, "3.0"), *[("A", "B", float("-inf"), "nan")] * 2, *[("A", "B", 1.5, "3.5")] * 2, ("B", "", 1.0, "2.0"), ("B", "", 1.0, "7.0"),
+    ]
