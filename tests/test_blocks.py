@@ -11,7 +11,7 @@ from campanile.operators.groups import balanced_resample, group_split, held_out_
 from campanile.operators.inventory import weighted_vector_sum
 from campanile.operators.joins import unordered_pairs, with_ratios
 from campanile.operators.metrics import class_weights
-from campanile.operators.profiles import moments, two_member_blend, two_member_moments
+from campanile.operators.profiles import blend, blend_totals, moments, proportions, two_member_blend, two_member_moments
 from campanile.sources.snapshots import pending_picks
 
 
@@ -131,3 +131,13 @@ def test_pairs_of_repeated_names_and_units_that_cancel(spark):
     assert sorted((r.a, r.b, round(r.share_1, 9), str(round(r.m0, 9))) for r in told) == [
         ("A", "", 1.0, "3.0"), *[("A", "B", float("-inf"), "nan")] * 2, *[("A", "B", 1.5, "3.5")] * 2, ("B", "", 1.0, "2.0"), ("B", "", 1.0, "7.0"),
     ]
+
+
+def test_added_up_blends_without_profiles_in_the_rows(spark):
+    members = spark.createDataFrame([("A", [1.0, 2.0], 2.0), ("B", [4.0, 3.0], 6.0), ("C", None, 1.0), ("D", [1.0, 9.0], None)], "name string, area array<double>, unit double")
+    rows = [(1, 0, "A", 3.0), (1, 1, "B", 1.0), (2, 0, "A", 1.0), (2, 1, "C", 1.0), (3, 0, "D", 2.0), (3, 1, "A", 2.0), (3, 2, "A", 1.0), (4, 0, "zz", 1.0)]
+    slots = spark.createDataFrame(rows, "k int, slot int, name string, amount double")
+    each = [r.area for r in blend(proportions(slots, "k", members), "k", members, 2).collect() if r.area is not None]
+    plan = blend_totals(slots, "k", members)
+    assert len(each) == 2
+    assert {r.pos: (r.n, round(r.total, 9)) for r in plan.collect()} == {i: (2, round(sum(a[i] for a in each), 9)) for i in range(2)}
