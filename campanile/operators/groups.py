@@ -101,9 +101,9 @@ def group_split(df: DataFrame, group: str, value, out: str = "role") -> DataFram
     return df.withColumn(out, F.when(F.col(group).eqNullSafe(F.lit(value)), "pool").otherwise("init"))
 
 
-def split_sizes(marked: DataFrame, group: str) -> DataFrame:
-    """Rows (held, role, n) for every held-out group, from one count of the rows of each group."""
-    sizes = marked.groupBy(group, "held_out").agg(F.count(F.lit(1)).alias("n_pool"))
+def split_sizes(marked: DataFrame, group: str, count: str | None = None) -> DataFrame:
+    """Rows (held, role, n) for every held-out group, from one count of the rows of each group. With `count` a row of `marked` stands for that many rows."""
+    sizes = marked.groupBy(group, "held_out").agg((F.count(F.lit(1)) if count is None else F.sum(count)).alias("n_pool"))
     total = sizes.agg(F.sum("n_pool")).scalar()
     both = F.array(F.struct(F.lit("pool").alias("role"), F.col("n_pool").alias("n")), F.struct(F.lit("init").alias("role"), (total - F.col("n_pool")).alias("n")))
     return sizes.filter("held_out").select(F.col(group).alias("held"), F.explode(both).alias("r")).select("held", "r.*").filter("n > 0")
