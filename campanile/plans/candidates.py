@@ -11,6 +11,7 @@ from ..operators import candidates as K
 from ..operators import features as X
 from ..operators import groups as G
 from ..operators import joins as J
+from ..session import cut
 from .campaigns import GROUPED, SCORED, grouped, micros, scored
 from .metrics import CDF, r6
 from .registry import query
@@ -292,6 +293,7 @@ def _(t):
 c AS (SELECT count(*) FILTER (score >= 5) AS ns FROM nb) SELECT 'n_chars' AS param, round(CASE WHEN max(ns) >= 2 THEN sum(v * combined_sim * (score + 1)) FILTER (score >= 5) / sum(combined_sim * (score + 1)) FILTER (score >= 5) ELSE sum(v * combined_sim * (score + 1)) / sum(combined_sim * (score + 1)) END, 4) AS center,
 round(stddev_pop(v), 4) AS spread FROM nb, c""")
 def _(t):
-    rows = K.nearest_rows(doc_rows(t), "doc_id").withColumn("score", F.col("n_chars") % 10)
+    # a handful of rows, which the template reads four times
+    rows = cut(K.nearest_rows(doc_rows(t), "doc_id").withColumn("score", F.col("n_chars") % 10))
     out = K.neighbourhood_template(rows, "doc_id", "tok", "lang", "en", "score", {"n_chars": (100, 5000)})
     return out.withColumns(r6("center", "spread", digits=4))
