@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,8 +14,14 @@ from ..operators import joins as J
 from .registry import query
 
 
+# fixed value: characters of the texts whose tokens one task counts
+CHARS_PER_TASK = 8_000_000
+
+
 def doc_tokens(t):
-    return I.token_inventory(t.documents.select("doc_id", "text").repartition("doc_id"), "doc_id", F.split(F.lower("text"), "[^a-z]+"))
+    """Tokens of each document. The number of parts follows the texts, so a task counts the tokens of a bounded share of them."""
+    parts = max(1, math.ceil((t.documents.agg(F.sum(F.length("text"))).first()[0] or 0) / CHARS_PER_TASK), int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return I.token_inventory(t.documents.select("doc_id", "text").repartition(parts, "doc_id"), "doc_id", F.split(F.lower("text"), "[^a-z]+"))
 
 
 WORDS = """
