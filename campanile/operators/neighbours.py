@@ -23,8 +23,12 @@ from ..functions.scan import number_rows, running
 from ..session import cut
 
 ROWS_PER_BLOCK = 4_096
+# blocks grow with the table up to these bytes: what moves grows with the number of blocks
+BLOCK_BYTES = 64 << 20
+LEAST_ROWS = 16_384
+ASKING_ROWS = 32_768
 PIVOT_BYTES = 64 << 20
-HISTOGRAM = 1 << 16
+HISTOGRAM = 1 << 18
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -39,6 +43,29 @@ def _distances(a: np.ndarray, b: np.ndarray):
         yield start, np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
 
 
+def _squares(a: np.ndarray, b: np.ndarray):
+    """Row blocks of squared distances by matrix products, and what rounding may put them off by. They are for leaving pairs out; what counts is worked out by `_between`."""
+    na, nb = np.square(a).sum(axis=1), np.square(b).sum(axis=1)
+    off = 8 * np.finfo(np.float64).eps * (a.shape[1] + 8) * (na.max() + nb.max())
+    step = max(1, 1_000_000 // len(b))
+    for start in range(0, len(a), step):
+        d = a[start : start + step] @ b.T
+        d *= -2
+        d += na[start : start + step, None]
+        d += nb[None, :]
+        yield start, d, off
+
+
+def _between(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of single pairs of rows from plain differences, added up position by position."""
+    out = np.zeros(len(i))
+    for start in range(0, len(i), 50_000):
+        part = slice(start, start + 50_000)
+        for gap in np.ascontiguousarray((a[i[part]] - b[j[part]]).T):
+            out[part] += gap * gap
+    return np.sqrt(out)
+
+
 def _cells(reps: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
     """Add the cell of each row (its nearest pivot, counted on per group) and the distance to the pivot."""
 
@@ -54,9 +81,11 @@ def _cells(reps: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
     return reps.select("id", "grp", "vec", "asks").mapInPandas(run, f"id {kind}, grp int, vec array<double>, asks boolean, cell long, near double")
 
 
-def _least(d: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k least of each row, the first of equals first."""
-    return np.argsort(d, axis=1, kind="stable")[:, : min(k, d.shape[1])]
+def _first(i: np.ndarray, j: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least of each row i, rows in order, the first column j of equals first."""
+    order = np.lexsort((j, distance, i))
+    rows = i[order]
+    return order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
 
 
 def _inside(blocks: DataFrame, k: int, kind: str) -> DataFrame:
@@ -65,14 +94,18 @@ def _inside(blocks: DataFrame, k: int, kind: str) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", ignore_index=True)
         x, names = _matrix(frame["vec"]), frame["id"].to_numpy()
-        near, far, bound = [], [], []
-        for start, d in _distances(x, x):
-            d[np.arange(len(d)), start + np.arange(len(d))] = np.inf
-            order = _least(d, min(k, len(x) - 1))
-            found = np.take_along_axis(d, order, 1)
-            near += list(names[order])
-            far += list(found)
-            bound += list(found[:, -1] if found.shape[1] == k else np.full(len(d), np.inf))
+        near, far, bound, most = [], [], [], min(k, len(x) - 1)
+        for start, d, off in _squares(x, x):
+            own = start + np.arange(len(d))
+            d[np.arange(len(d)), own] = np.inf
+            limit = np.partition(d, most - 1, axis=1)[:, most - 1] + 2 * off if most else np.full(len(d), -np.inf)
+            i, j = np.nonzero(~(d > limit[:, None]))
+            i, j = i[own[i] != j], j[own[i] != j]
+            exact = _between(x, x, start + i, j)
+            at = _first(i, j, exact, most).reshape(len(d), most)
+            near += list(names[j[at]])
+            far += list(exact[at])
+            bound += list(exact[at][:, -1] if most == k else np.full(len(d), np.inf))
         asks = frame["asks"].to_numpy(dtype=bool)
         return frame[["id", "grp", "vec", "block"]].assign(neighbours=near, distances=far, bound=np.where(asks, bound, -1.0))
 
@@ -103,7 +136,7 @@ def _asks(inside: DataFrame, centres: np.ndarray, told: pd.DataFrame, kind: str)
 def _across(asks: DataFrame, blocks: DataFrame, k: int, rows_per_block: int, kind: str) -> DataFrame:
     """For every row and block it asks, the k nearest rows there that its bound lets in. A block asked by many is sent once for every few thousand of them."""
     asked = asks.select("id", "vec", "bound", F.explode("blocks").alias("block"))
-    salts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (4 * rows_per_block)).cast("int").alias("salts"))
+    salts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / min(4 * rows_per_block, ASKING_ROWS)).cast("int").alias("salts"))
     left = asked.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("id"), "salts"))
     right = blocks.select("block", F.col("id").alias("id_q"), F.col("vec").alias("vec_q")).join(salts, "block")
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("salts") - 1).cast("long"))))
@@ -113,18 +146,27 @@ def _across(asks: DataFrame, blocks: DataFrame, k: int, rows_per_block: int, kin
         if len(left) and len(right):
             right = right.sort_values("id_q", ignore_index=True)
             ids, names, bound = left["id"].to_numpy(), right["id_q"].to_numpy(), left["bound"].to_numpy() * (1 + 1e-9) + 1e-9
-            for start, d in _distances(_matrix(left["vec"]), _matrix(right["vec_q"])):
-                order = _least(d, k)
-                rows, found = np.repeat(np.arange(start, start + len(d)), order.shape[1]), np.take_along_axis(d, order, 1).ravel()
-                near = found <= bound[rows]
-                out.append(pd.DataFrame({"id": ids[rows[near]], "neighbour": names[order.ravel()[near]], "distance": found[near]}))
+            x, y = _matrix(left["vec"]), _matrix(right["vec_q"])
+            for start, d, off in _squares(x, y):
+                within = bound[start : start + len(d)]
+                limit = within * within + off
+                if np.isinf(within).any() and k < d.shape[1]:
+                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * off)
+                i, j = np.nonzero(~(d > limit[:, None]))
+                found = _between(x, y, start + i, j)
+                i, j, found = (part[found <= within[i]] for part in (i, j, found))
+                at = _first(i, j, found, k)
+                out.append(pd.DataFrame({"id": ids[start + i[at]], "neighbour": names[j[at]], "distance": found[at]}))
         return pd.concat(out, ignore_index=True)
 
-    columns = left.select("id", "vec", "bound", "block", "salt").groupBy("block", "salt").cogroup(right.select("id_q", "vec_q", "block", "salt").groupBy("block", "salt"))
+    # the work of a part is not in its bytes, so parts of few bytes must not be put together: their number is given
+    parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (x.repartition(parts, "block", "salt") for x in (left.select("id", "vec", "bound", "block", "salt"), right.select("id_q", "vec_q", "block", "salt")))
+    columns = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt"))
     return columns.applyInPandas(run, f"id {kind}, neighbour {kind}, distance double")
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_block: int = ROWS_PER_BLOCK, pivots: int | None = None,
+def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_block: int | None = None, pivots: int | None = None,
                        within: str | None = None, groups: Sequence = ()) -> DataFrame:
     """Exact k nearest other rows by Euclidean distance: (id, neighbour, distance, rank); ids must be unique and break ties.
 
@@ -134,7 +176,9 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_bl
     rings of bounded size by the distance from the pivot. A first pass compares the rows of a ring with one another: the k-th distance there bounds what can still
     be among the k nearest. A second pass sends a row to those rings only that come as near as its bound (triangle inequality), so no result is lost.
 
-    Pivots grow with the square root of the rows (up to `PIVOT_BYTES` of them, which every task holds), and the driver keeps four numbers a ring.
+    Where no ring can be left out, a row meets every ring, so there are few: a block holds an eighth of a group's rows, up to `BLOCK_BYTES`, unless `rows_per_block`
+    is given, and there are about four cells a block. Pairs are left out by matrix products with a margin for rounding; the rest is worked out from differences.
+    Pivots are at most the square root of the rows (and `PIVOT_BYTES`, which every task holds), and the driver keeps four numbers a ring.
     """
     kind, group = dict(df.dtypes)[key], F.lit(0)
     if within is not None:
@@ -147,8 +191,11 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, rows_per_bl
     told = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
     if not told["n"]:
         raise ValueError("no rows")
-    # a cell should fill a good part of a block, or blocks become many and tiny
-    most = min(math.isqrt(told["n"]), 4 * told["n"] // rows_per_block, PIVOT_BYTES // (8 * told["width"])) if pivots is None else pivots
+    parts = max(1, len(groups))
+    if rows_per_block is None:
+        rows_per_block = max(1, min(max(LEAST_ROWS, told["n"] // (8 * parts)), BLOCK_BYTES // (8 * max(1, told["width"]))))
+    # a cell, the rows of a group about a pivot, should fill a good part of a block, or blocks become many and tiny
+    most = min(math.isqrt(told["n"]), 4 * told["n"] // (rows_per_block * parts), PIVOT_BYTES // (8 * told["width"])) if pivots is None else pivots
     chosen = reps.select("id", "grp", "vec", draw("id", "grp").alias("d")).orderBy("d", "id", "grp").limit(max(1, most)).collect()
     centres = np.array([r["vec"] for r in chosen])
 
@@ -213,10 +260,17 @@ def sampled_pairs(df: DataFrame, key: str, vector: str, y: str, n_pairs: int = 2
 # ---- sums over all pairs -----------------------------------------------------------------
 
 
-def _over_pairs(df: DataFrame, key: str, vector: str, y: str, rows_per_block: int, emit, schema: str) -> DataFrame:
-    """Apply `emit(distances, dy)` (flat arrays of one part of a tile) to every unordered pair, tile by tile."""
+def _over_pairs(df: DataFrame, key: str, vector: str, y: str, rows_per_block: int | None, emit, schema: str) -> DataFrame:
+    """Apply `emit(squared, off, gap, exact)` to every unordered pair, tile by tile, and add up what it returns.
+
+    It gets flat arrays of a part of a tile: squared distances that are right to `off`, |dy|, and a function from places to their exact distances.
+    Without `rows_per_block` a block holds a 32nd of the rows within bounds, so what moves grows with the rows.
+    """
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.col(y).cast("double").alias("y"))
-    blocks = max(1, -(-df.count() // rows_per_block))
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    if rows_per_block is None:
+        rows_per_block = max(1, min(max(ROWS_PER_BLOCK, told["n"] // 32), BLOCK_BYTES // (32 * max(1, told["width"] or 1))))
+    blocks = max(1, -(-told["n"] // rows_per_block))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     later, earlier = F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))), F.explode(F.sequence(F.lit(0), F.col("block")))
     left = blocked.select(F.col("block").alias("a"), later.alias("b"), "id", "vec", "y")
@@ -227,45 +281,60 @@ def _over_pairs(df: DataFrame, key: str, vector: str, y: str, rows_per_block: in
         if len(p) and len(q):
             p, q = p.sort_values("id", ignore_index=True), q.sort_values("id_q", ignore_index=True)
             yp, yq = p["y"].to_numpy(), q["y_q"].to_numpy()
-            for start, d in _distances(_matrix(p["vec"]), _matrix(q["vec_q"])):
+            x, z = _matrix(p["vec"]), _matrix(q["vec_q"])
+            for start, d, off in _squares(x, z):
                 gap = np.abs(yp[start : start + len(d), None] - yq[None, :])
-                if same:
-                    keep = np.arange(d.shape[1])[None, :] > (start + np.arange(len(d)))[:, None]
-                    out.append(emit(d[keep], gap[keep]))
-                else:
-                    out.append(emit(d.ravel(), gap.ravel()))
-        return pd.concat(out, ignore_index=True) if out else emit(np.zeros(0), np.zeros(0))
+                keep = np.nonzero((np.arange(d.shape[1])[None, :] > (start + np.arange(len(d)))[:, None]).ravel())[0] if same else None
 
+                def exact(places, start=start, keep=keep):
+                    i, j = np.divmod(places if keep is None else keep[places], len(z))
+                    return _between(x, z, start + i, j)
+
+                flat = (d.ravel(), gap.ravel()) if keep is None else (d.ravel()[keep], gap.ravel()[keep])
+                out.append(emit(flat[0], off, flat[1], exact))
+        nothing = emit(np.zeros(0), 0.0, np.zeros(0), lambda places: np.zeros(0))
+        parts = pd.concat([nothing, *out], ignore_index=True)
+        return parts.groupby([c for c in parts.columns if c not in ("n", "s2")], as_index=False).sum()
+
+    # the work of a tile is not in its bytes, so tiles must not be put together by these: the number of parts is given
+    parts = min(blocks * (blocks + 1) // 2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (x.repartition(parts, "a", "b") for x in (left, right))
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(tile, schema)
 
 
+def _slots(d: np.ndarray, off: float, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the highest slot in which a squared distance that is right to `off` may lie."""
+    low, high = np.sqrt(np.maximum(d - off, 0)), np.sqrt(np.maximum(d + off, 0))
+    return (low / width).astype(np.int64), (high / width).astype(np.int64)
+
+
 class PairDistances:
     """Order statistics and sums of dy^2 of all pair distances, exact, from two passes over the pairs.
 
-    The first counts pairs, sums dy^2 and takes the ends of the distances of `HISTOGRAM` equal slots. The second gives the distinct distances of a few slots. A slot of one
-    distance, such as that of many copies, needs no second look.
+    The first counts pairs and sums dy^2 by `HISTOGRAM` equal slots of the distance. The second gives the distinct distances of a few slots. Distances come from matrix products
+    where these leave no doubt about the slot, and from plain differences for all other pairs and for those of the second pass.
     """
 
-    def __init__(self, df: DataFrame, key: str, vector: str, y: str, rows_per_block: int = ROWS_PER_BLOCK):
+    def __init__(self, df: DataFrame, key: str, vector: str, y: str, rows_per_block: int | None = None):
         self.args = (df, key, vector, y, rows_per_block)
         first = df.select(F.col(vector).alias("v")).orderBy(key).limit(1)
         far = df.withColumn("__v", first.scalar()).agg(F.count(F.lit(1)).alias("n"), F.max(euclidean(vector, "__v")).alias("r")).first()
         self.n_pairs = far["n"] * (far["n"] - 1) // 2
         self.width = width = max(2 * (far["r"] or 0.0), 1e-12) * (1 + 1e-9) / HISTOGRAM
 
-        def emit(d, gap):
-            slot, at = np.unique((d / width).astype(np.int64), return_inverse=True)
-            low, high = np.full(len(slot), np.inf), np.full(len(slot), -np.inf)
-            np.minimum.at(low, at, d)
-            np.maximum.at(high, at, d)
-            return pd.DataFrame({"slot": slot, "n": np.bincount(at, minlength=len(slot)), "s2": np.bincount(at, weights=gap * gap, minlength=len(slot)), "low": low, "high": high})
-
-        counts = _over_pairs(*self.args, emit, "slot long, n long, s2 double, low double, high double")
-        told = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.min("low").alias("low"), F.max("high").alias("high"))
-        # at most HISTOGRAM rows
+        def emit(d, off, gap, exact):
+            slot, high = _slots(d, off, width)
+            unsure = np.nonzero(slot != high)[0]
+            slot[unsure] = (exact(unsure) / width).astype(np.int64)
+            n, s2 = np.bincount(slot, minlength=1), np.bincount(slot, weights=gap * gap, minlength=1)
+            some = np.nonzero(n)[0]
+            return pd.DataFrame({"slot": some, "n": n[some], "s2": s2[some]})
+
+        counts = _over_pairs(*self.args, emit, "slot long, n long, s2 double")
+        told = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"))
+        # about HISTOGRAM rows at most
         self.slots = told.toPandas().sort_values("slot", ignore_index=True)
         self.before = np.concatenate([[0], np.cumsum(self.slots["n"].to_numpy())])
-        self.one = (self.slots["low"] == self.slots["high"]).to_numpy()
         self.fine: DataFrame | None = None
         self.looked_at = np.zeros(len(self.slots), dtype=bool)
 
@@ -278,12 +347,17 @@ class PairDistances:
         for low, high in spans:
             first, last = self.slot_of(np.array([low, high]))
             self.looked_at[first : last + 1] = True
-        self.looked_at &= ~self.one
         width, keep = self.width, self.slots["slot"].to_numpy()[self.looked_at]
-
-        def emit(d, gap):
-            inside = np.isin((d / width).astype(np.int64), keep)
-            value, at = np.unique(d[inside], return_inverse=True)
+        wanted = np.zeros(HISTOGRAM + 2, dtype=bool)
+        wanted[keep] = True
+
+        def emit(d, off, gap, exact):
+            low, high = _slots(d, off, width)
+            places = np.nonzero(wanted[low] | wanted[high])[0]
+            distance = exact(places)
+            sure = wanted[(distance / width).astype(np.int64)]
+            value, at = np.unique(distance[sure], return_inverse=True)
+            inside = places[sure]
             return pd.DataFrame({"slot": (value / width).astype(np.int64), "value": value, "n": np.bincount(at, minlength=len(value)), "s2": np.bincount(at, weights=gap[inside] ** 2, minlength=len(value))})
 
         if len(keep):
@@ -291,11 +365,11 @@ class PairDistances:
             self.fine = cut(values.groupBy("slot", "value").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2")))
 
     def at(self, positions: Sequence[int]) -> dict[int, float]:
-        """The distances at positions (from 0) of the sorted list; slots of several distances must have been refined."""
+        """The distances at positions (from 0) of the sorted list, whose slots must have been refined."""
         wanted = np.unique(np.array(positions, dtype=np.int64))
         slots = self.slot_of(wanted)
-        out = {int(p): float(self.slots["low"][s]) for p, s in zip(wanted, slots) if self.one[s]}
-        rest = [(int(self.slots["slot"][s]), int(p), int(p - self.before[s])) for p, s in zip(wanted, slots) if not self.one[s]]
+        out: dict[int, float] = {}
+        rest = [(int(self.slots["slot"][s]), int(p), int(p - self.before[s])) for p, s in zip(wanted, slots)]
         if rest:
             hits = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(p).cast("long").alias("pos"), F.lit(k).cast("long").alias("at")) for s, p, k in rest])
             scanned = running(self.fine, ["slot"], "value", F.lit(0), {"upto": ("sum", "n")}).withColumn("h", F.explode(hits))
@@ -313,7 +387,8 @@ class PairDistances:
         """Per bin (how many edges are at or below a distance): pairs and sum of dy^2."""
         out: dict[int, list] = {}
         rough = self.slots[~self.looked_at]
-        told = list(zip(np.digitize(rough["low"], edges), rough["n"], rough["s2"]))
+        # no edge lies within a slot that was not looked at
+        told = list(zip(np.digitize((rough["slot"] + 0.5) * self.width, edges), rough["n"], rough["s2"]))
         if self.fine is not None:
             at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("value")))
             told += [(r["bin"], r["n"], r["s2"]) for r in self.fine.groupBy(at.alias("bin")).agg(F.sum("n").alias("n"), F.sum("s2").alias("s2")).collect()]
@@ -323,7 +398,7 @@ class PairDistances:
         return {k: tuple(v) for k, v in out.items()}
 
 
-def semivariogram(df: DataFrame, key: str, vector: str, y: str, n_bins: int = 10, least: int = 3, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def semivariogram(df: DataFrame, key: str, vector: str, y: str, n_bins: int = 10, least: int = 3, rows_per_block: int | None = None) -> DataFrame:
     """Per equal-frequency distance bin over all pairs: pairs, median distance, mean(dy^2) / 2.
 
     All pairs are formed twice. After the first pass it is known between which positions each edge and each median lies; the second looks at the slots that hold these.
