@@ -414,7 +414,7 @@ def semivariogram(df: DataFrame, key: str, vector: str, y: str, n_bins: int = 10
         least_below, most_below = pairs.before[pairs.slot_of(np.array(low))], np.array(low) + 1
         for i in range(n_bins):
             first, final = least_below[i] + least_below[i + 1] - 1, most_below[i] + most_below[i + 1] - 1
-            spans.append((max(0, first // 2), min(last, -(-final // 2))))
+            spans.append((max(0, first // 2), min(last, -(-final // 2) + 1)))  # a quantile also reads the position after its own
         pairs.refine(spans)
         edges = np.array(pairs.quantile(cuts))
         sums, before, centre = pairs.sums(edges), 0, {}
