@@ -21,6 +21,8 @@ SPACE = "▁"
 CHUNK, FAN = 16_384, 64
 #: No path.
 NEVER = -(2**60)
+#: Words worked out at a time, and a sum that no path has (two of them can still be added).
+TOGETHER, ABSENT = 2048, -(2**61)
 
 
 class Pieces:
@@ -60,12 +62,133 @@ class Pieces:
         self.longest = max(map(len, self.id))
         # where a run of spaces begins after another character no piece can lie across, if no piece has a space within
         self.seams = not any(SPACE in name.lstrip(SPACE) for name in self.id)
-        self.units = Memo(self.unit, room=350_000)
+        self.units = Memo(self.unit, room=120_000)
+        self.code = None
 
     @staticmethod
     def whole(name: str, score: float) -> int:
         return (round(score * 1e4) << 20) + xxhash.xxh32_intdigest(name.encode()) % (1 << 20)
 
+    def _tree(self) -> None:
+        """The tree of all beginnings of pieces as arrays, for steps on many places at once: the next state is `onward[state] + code`, if its `parent` is the state.
+
+        Codes number the characters that pieces have, and are the states of these; all others have code 0. The number of a character that is no piece is -1 less its code point.
+        """
+        rng = np.random.default_rng(1)
+        letters = sorted({c for name in self.real for c in name})
+        self.code = np.zeros(0x110000, np.uint16 if len(letters) < 2**16 else np.uint32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number = dict(zip(letters, range(1, len(letters) + 1)))
+        below: dict[str, list[str]] = {}
+        for name in self.prefixes:
+            if len(name) > 1:
+                below.setdefault(name[:-1], []).append(name)
+        size = 8 * len(self.prefixes) + len(letters) + 2
+        self.onward, self.parent = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        self.score, self.own = np.zeros(size, np.int64), np.full(size, -1, np.int32)  # true scores are below 0
+        # children lie at a drawn distance where all of them find room, the largest families first
+        families = [(np.array([number[n[-1]] for n in names]), name, names) for name, names in sorted(below.items(), key=lambda x: -len(x[1]))]
+        taken = np.zeros(size, bool)
+        taken[: len(letters) + 1] = True
+        at, place = dict(number), []  # the state of each beginning
+        for codes, _, names in families:
+            while taken[states := codes + int(rng.integers(1, size - len(letters) - 1))].any():
+                pass
+            taken[states] = True
+            place.append(states)
+            at.update(zip(names, states.tolist()))
+        for (codes, name, _), states in zip(families, place):
+            self.onward[at[name]] = states[0] - codes[0]
+            self.parent[states] = at[name]
+        for name, state in at.items():
+            if self.prefixes[name] is not None:
+                self.score[state], self.own[state] = self.prefixes[name], self.id[name]
+            elif len(name) == 1:
+                self.score[state], self.own[state] = self.whole(name, self.other), -1 - ord(name)
+
+    def units_of(self, words: list[str]) -> list[tuple[bytes, int]]:
+        """What `units` gives for each of the words; those not met before are worked out together."""
+        units = self.units
+        new = [w for w in set(words) if w not in units and len(w) <= units.longest] if self.longest < 32 else []
+        if len(units) + len(new) > units.room:
+            units.clear()
+            new = [w for w in set(words) if len(w) <= units.longest] if self.longest < 32 else []
+        new.sort(key=len, reverse=True)
+        for first in range(0, len(new), TOGETHER):
+            self._meet(new[first : first + TOGETHER])
+        return list(map(units.__getitem__, words))
+
+    def _meet(self, words: list[str]) -> None:
+        """Puts ids and sums of words, the longest first, into `units`: the steps of `best` on all words at once, place by place.
+
+        `edges` has, for each place j, a row for each length of a piece that ends there (the longest first), over the words that have a place j; a sum is held 32 times with
+        the length of the last piece added, so that the greatest tells both and of equal sums the longest last piece is taken, as in `best`.
+        """
+        if self.code is None:  # workers that only decode need no tree
+            self._tree()
+        lengths = np.array([len(w) for w in words])
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = self.code[points]
+        width, longest = self.longest, int(lengths[0])
+        row = np.repeat(np.arange(len(words)), lengths)
+        ends = np.cumsum(lengths)
+        index = np.arange(len(code)) - np.repeat(ends - lengths, lengths)
+        active = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")  # words of at least so many places
+        begins = np.concatenate([[0, 0], np.cumsum(active[1:]) * width])  # of the rows of place j
+        edges = np.full(int(active[1:].sum()) * width, ABSENT, np.int64)
+        owns = np.zeros(len(edges), np.int32)
+        alone = np.flatnonzero(code == 0)
+        cell = begins[index[alone] + 1] + (width - 1) * active[index[alone] + 1] + row[alone]
+        edges[cell] = np.array([self.whole(chr(c), self.other) for c in points[alone]], np.int64) * 32 + 1
+        owns[cell] = -1 - points[alone].astype(np.int32)
+        at, state = np.flatnonzero(code), code[code != 0].astype(np.int32)
+        for n in range(1, width + 1):
+            score = self.score[state]
+            real = np.flatnonzero(score)
+            j, r = index[at[real]] + n, row[at[real]]
+            cell = begins[j] + (width - n) * active[j] + r
+            edges[cell] = score[real] * 32 + n
+            owns[cell] = self.own[state[real]]
+            inside = np.flatnonzero((self.onward[state] > 0) & (at + n < ends[row[at]]))
+            at, state = at[inside], state[inside]
+            onward = self.onward[state] + code[at + n]
+            found = np.flatnonzero((self.parent[onward] == state) & (code[at + n] > 0))
+            at, state = at[found], onward[found]
+            if not len(at):
+                break
+        sums = np.full((width + longest + 1, len(words)), ABSENT, np.int64)
+        sums[width] = 0
+        last = np.zeros((longest + 1, len(words)), np.int64)
+        for j in range(1, longest + 1):
+            n = active[j]
+            greatest = (sums[j : j + width, :n] + edges[begins[j] : begins[j] + width * n].reshape(width, n)).max(0)
+            last[j, :n] = greatest & 31
+            sums[j + width, :n] = greatest & ~31
+        places, rows, back = lengths.copy(), np.arange(len(words)), []
+        while len(rows):
+            j = places[rows]
+            length = last[j, rows]
+            back.append((rows, owns[begins[j] + (width - length) * active[j] + rows]))
+            places[rows] -= length
+            rows = rows[places[rows] > 0]
+        counts = np.zeros(len(words), np.int64)
+        for rows, _ in back:
+            counts[rows] += 1
+        stops = np.cumsum(counts)
+        ids = np.zeros(int(stops[-1]), "<i4")
+        for n, (rows, own) in enumerate(back):
+            ids[stops[rows] - 1 - n] = own
+        raw, totals = ids.tobytes(), (sums[width + lengths, np.arange(len(words))] >> 5).tolist()
+        pairs = [(raw[a:b], total) for a, b, total in zip(((stops - counts) * 4).tolist(), (stops * 4).tolist(), totals)]
+        for r in set(np.repeat(np.arange(len(words)), counts)[ids < 0].tolist()):
+            pairs[r] = self._in_bytes(ids[stops[r] - counts[r] : stops[r]].tolist()), totals[r]
+        self.units.update(zip(words, pairs))
+
+    def _in_bytes(self, ids: list[int]) -> bytes:
+        """Ids in which each character without a piece is replaced by those of its bytes."""
+        parts = [[i] if i >= 0 else [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] for i in ids]
+        return array("i", [i for part in parts for i in part]).tobytes()
+
     def best(self, text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
         """For each place from `begin` on, the greatest sum of pieces from there to it that begin before `end`, and the length of the last."""
         size = len(text)
@@ -113,7 +236,13 @@ class Pieces:
         return _UNITS.findall(text) if self.seams else [text]
 
     def encode(self, text: str) -> bytes:
-        return b"".join([ids for ids, _ in map(self.units.__getitem__, self.split(text))])
+        return b"".join([ids for ids, _ in self.units_of(self.split(text))])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        words = list(map(self.split, texts))
+        ids = [ids for ids, _ in self.units_of([w for some in words for w in some])]
+        ends = np.cumsum([0, *map(len, words)]).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
     def first_seam(self, text: str, size: int) -> int | None:
         if not self.seams:
@@ -144,7 +273,7 @@ class Pieces:
             return out
         final = max(seam, self.last_seam(text, size))
         heads = [self.best(text[:seam], entry, seam)[0][seam] if entry <= seam else NEVER for entry in range(width)]
-        middle = sum(total for _, total in map(self.units.__getitem__, self.split(text[seam:final])))
+        middle = sum([total for _, total in self.units_of(self.split(text[seam:final]))])
         tails = self.best(text[final:], 0, size - final)[0][size - final : size - final + width]
         for entry, head in enumerate(heads):
             if head > NEVER:
@@ -237,13 +366,13 @@ def encode(df: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), text:
         encoder = pieces_of(file)
 
         def ids(texts):
-            raw = [encoder.encode(SPACE + t.replace(" ", SPACE)) if t else b"" for t in texts]
+            raw = encoder.encode_all([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))]
 
         return ids
 
-    short = map_texts(df.where(F.length(plain) <= chunk), columns, text, "ids array<int>", start, rows=128)
+    short = map_texts(df.where(F.length(plain) <= chunk), columns, text, "ids array<int>", start, rows=32)
 
     long = df.where(F.length(plain) > chunk)
     written = F.concat(F.lit(SPACE), F.translate(plain, " ", SPACE))
@@ -278,11 +407,14 @@ def decode(df: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), ids:
     chosen = df.select(*dict.fromkeys([*carry, ids]))
 
     def run(batches):
-        table = pieces_of(file).text
+        table = np.array(pieces_of(file).text, object)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = [b"".join(map(table.__getitem__, row or ())).decode("utf-8", "replace") for row in part.column(ids).to_pylist()]
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                rows = part.column(ids)
+                ends = np.cumsum([0, *(n or 0 for n in rows.value_lengths().to_pylist())]).tolist()
+                pieces = table[rows.flatten().to_numpy(zero_copy_only=False)].tolist()
+                texts = [b"".join(pieces[a:b]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array([t.removeprefix(" ") for t in texts], pa.string())], names=[*carry, into])
 
     schema = chosen.select(*carry).schema.add(into, "string")

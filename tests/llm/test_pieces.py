@@ -126,3 +126,19 @@ def test_how_far_the_ids_are_from_the_librarys_bpe(spark, folder):
         unlike = sum(np.frombuffer(PIECES.encode(w), "<i4").tolist() != ids for w, ids in zip(written, of_library))
         words, other, texts = words + len(written), other + unlike, texts + 1
     assert texts > 100 and 0.2 < other / words < 0.3
+
+
+def test_words_worked_out_together_are_those_worked_out_one_by_one(spark, folder, monkeypatch):
+    pieces, alone = Pieces(FILE), Pieces(FILE)
+    texts = [SPACE + r.text.replace(" ", SPACE) for r in spark.read.parquet(f"{folder}/documents.parquet").where("length(text) < 3000").limit(150).collect()] + ["", "▁☃é\n你", "▁" * 40, "▁" + "a" * 63, "▁" + "a" * 70]
+    words = [w for t in texts for w in alone.split(t)]
+    expected = [alone.unit(w) for w in words]
+    assert pieces.units_of(words) == expected and pieces.units_of([]) == []
+    pieces.units.clear()
+    pieces.units.room = 500  # the memory overflows within and between calls
+    assert [u for at in range(0, len(words), 700) for u in pieces.units_of(words[at : at + 700])] == expected
+    pieces.units.clear()
+    calls = []
+    monkeypatch.setattr(pieces, "best", lambda *a: calls.append(a) or alone.best(*a))
+    assert pieces.encode_all(texts) == [alone.encode(t) for t in texts]
+    assert len(set(calls)) < 0.01 * len(set(words))  # only words too long to be kept go one by one
