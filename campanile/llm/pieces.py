@@ -109,14 +109,18 @@ class Pieces:
     def units_of(self, words: list[str]) -> list[tuple[bytes, int]]:
         """What `units` gives for each of the words; those not met before are worked out together."""
         units = self.units
-        new = [w for w in set(words) if w not in units and len(w) <= units.longest] if self.longest < 32 else []
-        if len(units) + len(new) > units.room:
-            units.clear()
-            new = [w for w in set(words) if len(w) <= units.longest] if self.longest < 32 else []
-        new.sort(key=len, reverse=True)
-        for first in range(0, len(new), TOGETHER):
-            self._meet(new[first : first + TOGETHER])
-        return list(map(units.__getitem__, words))
+        found = list(map(units.get, words))
+        blank = [i for i, unit in enumerate(found) if unit is None]
+        if blank:
+            new = [w for w in {words[i] for i in blank} if len(w) <= units.longest] if self.longest < 32 else []
+            if len(units) + len(new) > units.room:
+                units.clear()
+            new.sort(key=len, reverse=True)
+            for first in range(0, len(new), TOGETHER):
+                self._meet(new[first : first + TOGETHER])
+            for i in blank:
+                found[i] = units[words[i]]
+        return found
 
     def _meet(self, words: list[str]) -> None:
         """Puts ids and sums of words, the longest first, into `units`: the steps of `best` on all words at once, place by place.
@@ -134,7 +138,7 @@ class Pieces:
         ends = np.cumsum(lengths)
         index = np.arange(len(code)) - np.repeat(ends - lengths, lengths)
         active = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")  # words of at least so many places
-        begins = np.concatenate([[0, 0], np.cumsum(active[1:]) * width])  # of the rows of place j
+        begins = np.concatenate([[0, 0], np.cumsum(active[1:-1]) * width])  # of the rows of place j
         edges = np.full(int(active[1:].sum()) * width, ABSENT, np.int64)
         owns = np.zeros(len(edges), np.int32)
         alone = np.flatnonzero(code == 0)
@@ -142,18 +146,22 @@ class Pieces:
         edges[cell] = np.array([self.whole(chr(c), self.other) for c in points[alone]], np.int64) * 32 + 1
         owns[cell] = -1 - points[alone].astype(np.int32)
         at, state = np.flatnonzero(code), code[code != 0].astype(np.int32)
+        tops, left = begins + width * active, np.repeat(ends, lengths) - np.arange(len(code))
         for n in range(1, width + 1):
-            score = self.score[state]
+            score = self.score.take(state)
             real = np.flatnonzero(score)
-            j, r = index[at[real]] + n, row[at[real]]
-            cell = begins[j] + (width - n) * active[j] + r
-            edges[cell] = score[real] * 32 + n
-            owns[cell] = self.own[state[real]]
-            inside = np.flatnonzero((self.onward[state] > 0) & (at + n < ends[row[at]]))
-            at, state = at[inside], state[inside]
-            onward = self.onward[state] + code[at + n]
-            found = np.flatnonzero((self.parent[onward] == state) & (code[at + n] > 0))
-            at, state = at[found], onward[found]
+            some = at.take(real)
+            j = index.take(some) + n
+            cell = tops.take(j) - n * active.take(j) + row.take(some)
+            edges[cell] = score.take(real) * 32 + n
+            owns[cell] = self.own.take(state.take(real))
+            begin = self.onward.take(state)
+            inside = np.flatnonzero((begin > 0) & (left.take(at) > n))
+            at, state = at.take(inside), state.take(inside)
+            letter = code.take(at + n)
+            onward = begin.take(inside) + letter
+            found = np.flatnonzero((self.parent.take(onward) == state) & (letter > 0))
+            at, state = at.take(found), onward.take(found)
             if not len(at):
                 break
         sums = np.full((width + longest + 1, len(words)), ABSENT, np.int64)
