@@ -37,13 +37,24 @@ def select_names(df: DataFrame, keep: Callable[[str], bool]) -> DataFrame:
     return df.select(*[c for c in df.columns if keep(c)])
 
 
-def read_profiles(spark: SparkSession, glob: str, pattern: str, rows: int) -> DataFrame:
+def write_profiles(lines: DataFrame, path: str) -> None:
+    """S3: the lines (name, value) of many profile files in few files, each line behind its file's name (without tabs or line breaks) and a tab."""
+    lines.select(F.concat_ws("\t", "name", "value").alias("value")).write.text(path)
+
+
+def read_profiles(spark: SparkSession, glob: str, pattern: str, rows: int, bundled: bool = False) -> DataFrame:
     """S3: whitespace-separated profile files to (index_no, area array); `pattern` captures the number in the path.
 
     A file counts only with exactly `rows` rows. When two names give one number
-    the longer (padded) name wins.
+    the longer (padded) name wins. `bundled`: the files are those of `write_profiles`,
+    whose names take the place of paths; each small file costs processes, tasks and memory of the driver.
     """
-    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    text = spark.read.text(glob)
+    if bundled:
+        cut = F.split("value", "\t", 2)
+        lines = text.select(cut[0].alias("path"), F.coalesce(F.get(cut, F.lit(1)), F.lit("")).alias("value"))
+    else:
+        lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     parts = F.split(F.trim("value"), r"\s+")
     points = lines.select(
         "path", F.regexp_extract("path", pattern, 1).alias("digits"),

@@ -8,6 +8,7 @@ from campanile.operators import neighbours as B
 from campanile.operators.groups import held_out_groups, leave_group_out, split_sizes
 from campanile.plans import tokens
 from campanile.plans.registry import Tables
+from campanile.sources import files
 from campanile.streaming import region
 
 
@@ -75,3 +76,17 @@ def test_parts_of_token_counts_follow_the_texts(spark, folder, monkeypatch):
 def test_the_template_reads_the_documents_no_more(spark, folder):
     out = entry.queries()["c6_neighbourhood_template"](spark, folder)
     assert "documents" not in out._jdf.queryExecution().toString()
+
+
+def test_profile_files_are_few_and_read_as_single_ones(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "scratch", lambda spark, name: str(tmp_path / "s3"))
+    rows = entry.queries()["s3_profile_files"](spark, folder)
+    assert rows.count() == 500 and len(list((tmp_path / "s3").rglob("*.txt"))) < 50
+    # padded names win, also with other content; a file of another length or with a bad line counts for nothing
+    made = {"p_07": ["0 1", " 1\t 2 "], "p_7": ["0 8", "1 9"], "p_8": ["0 3"], "p_9": ["0 1", "1 x"], "p_10": ["1 5", "0 4"], "p_11": ["0 1", "1 1", "2 1"], "p_012": ["0 1"], "p_12": ["0 6", "1 7"], "q": ["0 1", "1 2"]}
+    (tmp_path / "single").mkdir()
+    for name, lines in made.items():
+        (tmp_path / "single" / f"{name}.txt").write_text("\n".join(lines) + "\n")
+    files.write_profiles(spark.createDataFrame([(f"{n}.txt", x) for n, xs in made.items() for x in xs], "name string, value string").repartition(3), str(tmp_path / "bundled"))
+    single, bundled = (sorted(map(tuple, files.read_profiles(spark, str(tmp_path / kind), r"p_(\d+)\.txt", 2, kind == "bundled").collect())) for kind in ("single", "bundled"))
+    assert single == bundled == [(7, [0.0, 1.0], [1.0, 2.0]), (10, [0.0, 1.0], [4.0, 5.0]), (12, [0.0, 1.0], [6.0, 7.0])]
