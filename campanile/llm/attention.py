@@ -83,6 +83,11 @@ def blocks(sequences: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(seen), np.concatenate(wanted), np.concatenate(owner)
 
 
+def keep_memory() -> None:
+    """Lets this process keep the memory of freed arrays of up to 8 MB (glibc learns the bound from the first one freed); else it is handed back and asked for at each step."""
+    np.empty(8 << 20, np.uint8)
+
+
 def _exp(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.clip(x, -_MOST, _MOST, out=x)
@@ -109,18 +114,32 @@ def _attend(p: Parameters, seen: np.ndarray) -> tuple[np.ndarray, ...]:
     return q, k, v, a, own + a @ v
 
 
+def _weights(p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """Output weights of the classes and of each class's places, with the biases as the last row."""
+    return np.concatenate([p.to_class, p.class_bias[None]]), np.concatenate([p.to_place, p.place_bias[:, None]], 1)
+
+
+def _with_one(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """These rows with a one at the end, for the biases."""
+    out = np.ones((len(rows), WIDTH + 1), np.float32)
+    out[:, :WIDTH] = h.take(rows, axis=0)
+    return out
+
+
 class Scorer:
-    """Log-probabilities by fixed parameters, whose tables are prepared once: PAD's row, the scale within the queries, distances and causality as factors."""
+    """Log-probabilities by fixed parameters, whose tables are prepared once: each symbol's weight for each one before it, PAD's row, distances and causality as factors."""
 
     def __init__(self, p: Parameters):
+        keep_memory()
         none = np.zeros((1, WIDTH), np.float32)
-        self.p = p
-        self.query, self.key, self.value, self.own = (np.concatenate([t, none]) for t in (p.query * np.float32(_SCALE), p.key, p.value, p.self_))
+        self.weights = _weights(p)
+        query, key, self.value, self.own = (np.concatenate([t, none]) for t in (p.query * np.float32(_SCALE), p.key, p.value, p.self_))
+        self.pairs = _exp(query @ key.T).ravel()
         self.factor = np.exp(np.clip(p.distance, -_MOST, _MOST))[np.maximum(_BACK, 0)] * _CAUSAL
 
     def attend(self, seen: np.ndarray) -> np.ndarray:
         here = seen[:, BLOCK:]
-        a = _exp(self.query.take(here, axis=0) @ self.key.take(seen, axis=0).transpose(0, 2, 1))
+        a = self.pairs.take((here * (PAD + 1))[:, :, None] + seen[:, None, :])
         a *= self.factor
         padded = np.flatnonzero((seen[:, 0] == PAD) | (seen[:, -1] == PAD))
         a[padded] *= (seen[padded] != PAD)[:, None, :]
@@ -130,7 +149,7 @@ class Scorer:
         return h.reshape(-1, WIDTH)
 
     def __call__(self, seen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        return _log_targets(self.p, self.attend(seen), wanted)
+        return _log_targets(self.weights, self.attend(seen), wanted)
 
 
 def log_probability(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -138,24 +157,22 @@ def log_probability(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> np.n
     return Scorer(p)(seen, wanted)
 
 
-def _log_targets(p: Parameters, h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _log_targets(weights: tuple[np.ndarray, np.ndarray], h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     y = wanted.ravel()
     group = (y // SIDE).astype(np.uint8)
     order = np.argsort(group, kind="stable")
     ends = np.cumsum(np.bincount(group, minlength=SIDE + 1))[:SIDE]  # PAD comes after all classes
     order = order[: ends[-1]]
-    h, y, group = h.take(order, axis=0), y[order], group[order]
+    to_class, to_place = weights
+    h, y, group = _with_one(h, order), y[order], group[order]
     at, place = np.arange(len(y)), y % SIDE
-    logits = h @ p.to_class
-    logits += p.class_bias
-    _exp(logits)
+    logits = _exp(h @ to_class)
     share = logits[at, group] / _total(logits)
     inner = np.empty_like(logits)
     begin = 0
     for c, end in enumerate(ends):
         if begin < end:
-            np.matmul(h[begin:end], p.to_place[c], out=inner[begin:end])
-            inner[begin:end] += p.place_bias[c]
+            np.matmul(h[begin:end], to_place[c], out=inner[begin:end])
         begin = end
     _exp(inner)
     share *= inner[at, place] / _total(inner)
@@ -178,26 +195,26 @@ def gradient(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> tuple[float
     y = wanted.ravel()
     real = np.flatnonzero(y != PAD)
     real = real[np.argsort((y[real] // SIDE).astype(np.uint8), kind="stable")]  # the targets of a class lie together
-    flat, y = h.reshape(-1, WIDTH)[real], y[real]
+    flat, y = _with_one(h.reshape(-1, WIDTH), real), y[real]
+    to_class, to_place = _weights(p)
     n, at = len(y), np.arange(len(y))
     ends = np.cumsum(np.bincount(y // SIDE, minlength=SIDE))
-    outer = _exp(flat @ p.to_class + p.class_bias)
+    outer = _exp(flat @ to_class)
     outer /= _total(outer)[:, None]
     loss = -np.log(outer[at, y // SIDE]).sum()
     outer[at, y // SIDE] -= 1
     dh = outer @ p.to_class.T
-    d_place, d_place_bias = np.zeros_like(p.to_place), np.zeros_like(p.place_bias)
+    d_place = np.zeros_like(to_place)
     parts = [(c, slice(begin, end)) for c, (begin, end) in enumerate(zip([0, *ends[:-1]], ends)) if begin < end]
     inner = np.empty_like(outer)
     for c, rows in parts:
-        np.matmul(flat[rows], p.to_place[c], out=inner[rows])
-        inner[rows] += p.place_bias[c]
+        np.matmul(flat[rows], to_place[c], out=inner[rows])
     _exp(inner)
     inner /= _total(inner)[:, None]
     loss -= np.log(inner[at, y % SIDE]).sum()
     inner[at, y % SIDE] -= 1
     for c, rows in parts:
-        d_place[c], d_place_bias[c] = flat[rows].T @ inner[rows], inner[rows].sum(0)
+        np.matmul(flat[rows].T, inner[rows], out=d_place[c])
         dh[rows] += inner[rows] @ p.to_place[c].T
     d_out = np.zeros(h.shape, np.float32)
     d_out.reshape(-1, WIDTH)[real] = dh
@@ -208,7 +225,7 @@ def gradient(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> tuple[float
     d_query, d_self = _gather(here, d_s @ k * _SCALE, d_out)
     d_key, d_value = _gather(seen, d_s.transpose(0, 2, 1) @ q * _SCALE, a.transpose(0, 2, 1) @ d_out)
     found = [
-        d_query, d_key, d_value, d_self, d_distance, flat.T @ outer, outer.sum(0), d_place, d_place_bias,
+        d_query, d_key, d_value, d_self, d_distance, flat.T @ outer, d_place[:, :WIDTH], d_place[:, WIDTH],
     ]
     return float(loss / n), np.concatenate([x.ravel() for x in found]).astype(np.float32) / n
 
@@ -250,6 +267,7 @@ class Stream:
     def __init__(self, p: Parameters, rate: float, least: int, batch: int = 512, seed: int = 0):
         self.begin, self.rate, self.least, self.batch, self.rng = p, rate, least, batch, np.random.default_rng(seed)
         self.adam, self.parts, self.held, self.tokens = None, [], 0, 0
+        keep_memory()
 
     def add(self, seen: np.ndarray, wanted: np.ndarray) -> None:
         self.parts.append((seen, wanted))

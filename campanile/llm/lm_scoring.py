@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campanile.llm.attention import SIDE, Parameters, Scorer, Stream, blocks
-from campanile.llm.common import Memo, file_bytes, map_texts, shared_folder, words_of
+from campanile.llm.attention import SIDE, Parameters, Scorer, Stream, blocks, keep_memory
+from campanile.llm.common import OTHER_SPACE, file_bytes, map_texts, shared_folder, words_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_DOWN = str.maketrans(UPPER, LOWER)
 #: The most frequent words, sent to every task: at most so many, of at most so many characters, so under 20 MB. All others are joined.
 FREQUENT, LONGEST = 250_000, 64
 #: Every training text is learned from, whole, in one of so many rounds, by one trainer for each TRAINER texts of the round (on average).
@@ -37,7 +36,7 @@ def lowered(text: Column) -> Column:
 
 def small(text: str) -> str:
     """A to Z in lower case."""
-    return text.lower() if text.isascii() else text.translate(_DOWN)
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -69,10 +68,32 @@ class Subwords:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file.splitlines())}
         self.size = len(ranks)
         self.ids = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.begins = np.zeros(max(ranks.values(), default=-1) + 1, bool)
+        self.begins[[i for token, i in ranks.items() if token[:1] == b" "]] = True
 
     def of(self, word: str) -> list[int]:
         return self.ids(" " + word)
 
+    def of_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and how many each has.
+
+        Words joined by spaces have the ids they have alone: a space goes with what follows it, and only a word's first id begins with one. Words with other white space are taken alone.
+        """
+        parts, lengths = [], []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            joined = " ".join(some)
+            ids = [] if OTHER_SPACE.search(joined) else self.ids(" " + joined)
+            starts = np.flatnonzero(self.begins[ids]) if ids else []
+            if len(starts) == len(some):
+                lengths.append(np.diff(starts, append=len(ids)))
+            else:
+                each = [self.of(w) for w in some]
+                ids = [i for word in each for i in word]
+                lengths.append([len(word) for word in each])
+            parts.append(ids)
+        return tuple(np.concatenate([*map(np.asarray, x), []]).astype(np.int64) for x in (parts, lengths))
+
 
 def subword_counts(counts: DataFrame, file: bytes) -> np.ndarray:
     """How often each id occurs in the words counted; the table has as many rows as the vocabulary at most."""
@@ -81,9 +102,8 @@ def subword_counts(counts: DataFrame, file: bytes) -> np.ndarray:
         subwords = Subwords(file)
         total = np.zeros(subwords.size, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                for i in subwords.of(word):
-                    total[i] += n
+            ids, lengths = subwords.of_all(batch.column("word").to_pylist())
+            np.add.at(total, ids, np.repeat(batch.column("n").to_numpy(), lengths))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
@@ -111,10 +131,53 @@ class Symbols:
         share = np.log((rare + 0.5) / (rare.sum() + 0.5 * (len(counts) - len(known))))
         return cls({i: k + 2 for k, i in enumerate(known)}, np.concatenate([[documents, rare.sum()], counts[known]]).astype(float), share)
 
-    def encode(self, ids: list[int]) -> tuple[bytes, float]:
-        """Symbols as 16-bit numbers, and the logarithm of the rare ids' shares."""
-        symbols = [self.number.get(i, OTHER) for i in ids]
-        return np.array(symbols, np.uint16).tobytes(), sum(float(self.rest[i]) for i, s in zip(ids, symbols) if s == OTHER)
+    def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids' symbols as 16-bit numbers, and the logarithms of the rare ids' shares (0 for the others)."""
+        table = np.full(len(self.rest), OTHER, np.uint16)
+        table[list(self.number)] = list(self.number.values())
+        symbols = table[ids]
+        return symbols, np.where(symbols == OTHER, self.rest[ids], 0.0)
+
+
+class Lexicon(dict):
+    """Numbers of words met, from 1 on in the order they came; 0 is the end, as the word "". By number: symbols, the rare ids' shares, the base if frequent.
+
+    It is emptied where it has grown beyond its room; that never changes a result.
+    """
+
+    def __init__(self, subwords: Subwords, marks: Symbols, frequent: dict[str, int], base: Callable[[int], float], room: int = 400_000, characters: int = 8_000_000):
+        super().__init__()
+        self.subwords, self.marks, self.frequent, self.base, self.room, self.characters = subwords, marks, frequent, base, room, characters
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.names, self.held = [], 0
+        self[""]
+        self.symbols, self.begins, self.lengths = np.array([END], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.rests, self.bases = np.zeros(1), np.zeros(1)
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        self.names.append(word)
+        return n
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.names) > self.room or self.held > self.characters:
+            self.empty()
+        known = len(self.names)
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        new = self.names[known:]
+        if new:
+            ids, lengths = self.subwords.of_all(new)
+            symbols, rests = self.marks.encode(ids)
+            begins = np.cumsum(lengths) - lengths
+            counts = [self.frequent.get(w) for w in new]
+            parts = (begins + len(self.symbols), lengths, np.add.reduceat(rests, begins), np.array([np.nan if c is None else self.base(c) for c in counts]))
+            self.begins, self.lengths, self.rests, self.bases = (np.concatenate(x) for x in zip((self.begins, self.lengths, self.rests, self.bases), parts))
+            self.symbols = np.concatenate([self.symbols, symbols])
+            self.held += sum(map(len, new))
+        return found
 
 
 def _drawn(seed: int, below: int) -> Column:
@@ -210,41 +273,47 @@ def symbols_of(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint16).astype(np.int32)
 
 
+def _lists(kind: pa.DataType, offsets: np.ndarray, values: pa.Buffer) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), values])
+
+
 def prepared(df: DataFrame, text: str, carry: list[str], file: bytes, symbols: Symbols, frequent: dict[str, int], base: Callable[[int], float]) -> DataFrame:
     """Each row's columns `carry` and its words once for all: their symbols with the end, the rare ids' shares, the base's sum over frequent words, and the other words with their counts."""
     sent = df.sparkSession.sparkContext.broadcast((frequent, symbols))
 
     def start():
         known, marks = sent.value
-        of = Subwords(file).of
-
-        def look_up(word):
-            encoded, rest = marks.encode(of(word))
-            return encoded, rest, base(known[word]) if word in known else None
-
-        memo, end = Memo(look_up, room=500_000), np.array([END], np.uint16).tobytes()
+        lexicon = Lexicon(Subwords(file), marks, known, base)
+        keep_memory()
 
         def read(texts):
-            columns = [[] for _ in range(7)]
+            words, ends = [], []
             for t in texts:
-                words = words_of(small(t))
-                found = list(map(memo.__getitem__, words))
-                rare: dict[str, int] = {}
-                total, hits = 0.0, 0
-                for w, (_, _, value) in zip(words, found):
-                    if value is None:
-                        rare[w] = rare.get(w, 0) + 1
-                    else:
-                        total += value
-                        hits += 1
-                made = b"".join([f[0] for f in found]) + end, sum([f[1] for f in found])
-                for column, value in zip(columns, (len(words), hits, total, *made, list(rare), list(rare.values()))):
-                    column.append(value)
-            return columns
+                words += words_of(small(t))
+                words.append("")
+                ends.append(len(words))
+            numbers = lexicon.numbers(words)
+            begins = np.array([0, *ends[:-1]])
+            lengths, bases = lexicon.lengths[numbers], lexicon.bases[numbers]
+            after = np.cumsum(lengths)
+            symbols = lexicon.symbols[np.repeat(lexicon.begins[numbers] - after + lengths, lengths) + np.arange(after[-1])]
+            joined = _lists(pa.binary(), 2 * np.append(0, after[np.array(ends) - 1]), pa.py_buffer(symbols))
+            # words that are not frequent, once in each text
+            rare = np.flatnonzero(np.isnan(bases))
+            bases[rare] = 0
+            owner = np.searchsorted(ends, rare, side="right")
+            each, times = np.unique(owner * len(lexicon.names) + numbers[rare], return_counts=True)
+            cuts = np.searchsorted(each, np.arange(len(ends) + 1) * len(lexicon.names))
+            names = pa.array([lexicon.names[i] for i in each % len(lexicon.names)], pa.string())
+            n_words = np.diff(ends, prepend=0) - 1
+            rests, sums = np.add.reduceat(lexicon.rests[numbers], begins), np.add.reduceat(bases, begins)
+            offsets = pa.array(cuts, pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))
+            return [n_words, n_words - np.bincount(owner, minlength=len(ends)), sums, joined, rests, *lists]
 
         return read
 
-    return map_texts(df, carry, text, "n_words long, n_frequent long, base_frequent double, symbols binary, rest double, words array<string>, times array<long>", start, rows=64)
+    return map_texts(df, carry, text, "n_words long, n_frequent long, base_frequent double, symbols binary, rest double, words array<string>, times array<long>", start, rows=256)
 
 
 def scored(rows: DataFrame, model: Parameters, carry: list[str]) -> DataFrame:

@@ -206,3 +206,43 @@ def test_the_end_is_learned(spark, monkeypatch):
     assert len(ends) == len(held) and ends.mean() > share
     empty = log_probability(p, *blocks([np.array([lm_scoring.END])], lm_scoring.END)[:2])[0, 0]
     assert empty == pytest.approx(math.log(0.25), abs=0.4)
+
+
+def test_new_words_are_encoded_together_as_alone():
+    subwords = Subwords(open(PATH, "rb").read())
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcétz'’19.,-漢é😀"), rng.integers(1, 9))) for _ in range(5000)]
+    words[2500], words[2501], words[4700] = "a b", "　", "\x1cq"  # other white space than the contract's
+    alone = [subwords.of(w) for w in words]
+    calls, ids = [], subwords.ids
+    subwords.ids = lambda text: calls.append(1) or ids(text)
+    found, lengths = subwords.of_all(words)
+    assert found.tolist() == [i for each in alone for i in each] and lengths.tolist() == list(map(len, alone))
+    assert len(calls) < 2100 and [len(x) for x in subwords.of_all([])] == [0, 0]
+
+
+@pytest.mark.parametrize("room", [3, 400_000])
+def test_texts_become_symbols_by_arrays_as_word_by_word(spark, folder, monkeypatch, room):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").limit(150).collect()] + [(-1, None), (-2, ""), (-3, " \tÄB b B 漢 b B "), (-4, "x" * 5000)]
+    docs, file = spark.createDataFrame(rows, "doc_id long, text string"), open(PATH, "rb").read()
+    start = lm_scoring.Lexicon.__init__
+    monkeypatch.setattr(lm_scoring.Lexicon, "__init__", lambda self, *args: start(self, *args, room=room))
+    counts = lm_scoring.subword_counts(lm_scoring.word_counts(docs), file)
+    symbols, subwords, frequent = Symbols.of(counts, len(rows)), Subwords(file), {"b": 5, "the": 9, "la": 4}
+    sent = {"broadcast": lambda value: type("Sent", (), {"value": value})}
+    got = {}
+    monkeypatch.setattr(lm_scoring, "map_texts", lambda df, carry, text, fields, start, rows: got.update(start=start))
+    frame = type("Frame", (), {"sparkSession": type("S", (), {"sparkContext": type("C", (), {k: staticmethod(f) for k, f in sent.items()})})})
+    lm_scoring.prepared(frame, "text", [], file, symbols, frequent, float)
+    work = got["start"]()
+    columns = []
+    for at in range(0, len(rows), 40):
+        made = [list(c.to_pylist() if hasattr(c, "to_pylist") else c) for c in work([t or "" for _, t in rows[at : at + 40]])]
+        columns = [a + b for a, b in zip(columns, made)] if columns else made
+    for (_, text), n_words, n_frequent, total, raw, rest, names, times in zip(rows, *columns):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        ids = [i for w in words for i in subwords.of(w)]
+        assert (n_words, n_frequent, total) == (len(words), sum(w in frequent for w in words), sum(frequent.get(w, 0) for w in words))
+        assert lm_scoring.symbols_of(raw).tolist() == [*(symbols.number.get(i, lm_scoring.OTHER) for i in ids), lm_scoring.END]
+        assert rest == pytest.approx(sum(symbols.rest[i] for i in ids if i not in symbols.number), abs=1e-9)
+        assert dict(zip(names, times)) == Counter(w for w in words if w not in frequent) and len(names) == len(set(names))
