@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -18,6 +19,10 @@ _CAUSAL = (_BACK >= 0).astype(np.float32)
 _MOST = 60.0
 #: The row after the known symbols.
 PAD = SIDE * SIDE
+#: Where each symbol's row of two vectors lies in a table of such rows, in pairs of numbers.
+_CELLS = np.arange((PAD + 1) * WIDTH).reshape(PAD + 1, WIDTH)
+#: Rows of output weights: a vector's, the biases', and as many zeros as make the rows of products lie evenly in memory.
+_ROWS = WIDTH + 4
 
 
 @dataclass
@@ -47,8 +52,9 @@ class Parameters:
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Parameters:
+        """Views of `flat` where that is of 32-bit numbers."""
         sizes = np.cumsum([int(np.prod(s)) for s in cls.shapes()])[:-1]
-        return cls(*(part.reshape(s).astype(np.float32) for part, s in zip(np.split(flat, sizes), cls.shapes())))
+        return cls(*(part.reshape(s).astype(np.float32, copy=False) for part, s in zip(np.split(flat, sizes), cls.shapes())))
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 7) -> Parameters:
@@ -90,66 +96,96 @@ def keep_memory() -> None:
 
 def _exp(x: np.ndarray) -> np.ndarray:
     """In place."""
-    np.clip(x, -_MOST, _MOST, out=x)
+    flat = x.reshape(-1)
+    if flat.size and not (flat.max() <= _MOST and flat.min() >= -_MOST):
+        np.clip(x, -_MOST, _MOST, out=x)
     return np.exp(x, out=x)
 
 
 def _total(x: np.ndarray) -> np.ndarray:
-    """Sums over the last axis; a product with ones is the quick way for short rows."""
-    return x @ np.ones(x.shape[-1], np.float32)
+    """Sums over the last axis; one product with ones is the quick way for short rows."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(x.shape[:-1])
 
 
-def _attend(p: Parameters, seen: np.ndarray) -> tuple[np.ndarray, ...]:
-    here = seen[:, BLOCK:]
-    none = np.zeros((1, WIDTH), np.float32)
-    q, k, v, own = (np.concatenate([table, none]).take(ids, axis=0) for table, ids in ((p.query, here), (p.key, seen), (p.value, seen), (p.self_, here)))
-    a = q @ k.transpose(0, 2, 1)
-    a *= _SCALE
-    a += p.distance[np.maximum(_BACK, 0)]
-    _exp(a)
-    a *= _CAUSAL
-    padded = np.flatnonzero((seen == PAD).any(1))
-    a[padded] *= (seen[padded] != PAD)[:, None, :]
-    a /= np.maximum(_total(a), 1e-30)[:, :, None]
-    return q, k, v, a, own + a @ v
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Each matrix transposed and copied; small products with views that are only turned are slower than the copy."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
 
 
-def _weights(p: Parameters) -> tuple[np.ndarray, np.ndarray]:
-    """Output weights of the classes and of each class's places, with the biases as the last row."""
-    return np.concatenate([p.to_class, p.class_bias[None]]), np.concatenate([p.to_place, p.place_bias[:, None]], 1)
+def _table(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Two vectors of each symbol side by side, and PAD's row of zeros."""
+    out = np.zeros((PAD + 1, 2 * WIDTH), np.float32)
+    out[:PAD, :WIDTH], out[:PAD, WIDTH:] = left, right
+    return out
 
 
-def _with_one(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """These rows with a one at the end, for the biases."""
-    out = np.ones((len(rows), WIDTH + 1), np.float32)
-    out[:, :WIDTH] = h.take(rows, axis=0)
+def _factor(p: Parameters) -> np.ndarray:
+    """Distances and causality as factors of the weights."""
+    return np.exp(np.clip(p.distance, -_MOST, _MOST))[np.maximum(_BACK, 0)] * _CAUSAL
+
+
+def _leave_pads(a: np.ndarray, seen: np.ndarray) -> None:
+    """Takes the weight of what is not there; a window of `blocks` that has such places has one at its beginning or its end."""
+    padded = np.flatnonzero((seen[:, 0] == PAD) | (seen[:, -1] == PAD))
+    a[padded] *= (seen[padded] != PAD)[:, None, :]
+
+
+def _weights(p: Parameters) -> np.ndarray:
+    """For each class the output weights of all classes and of its own places side by side, with the biases as the row after them."""
+    out = np.zeros((SIDE, _ROWS, 2 * SIDE), np.float32)
+    out[:, :WIDTH, :SIDE], out[:, WIDTH, :SIDE], out[:, :WIDTH, SIDE:], out[:, WIDTH, SIDE:] = p.to_class, p.class_bias, p.to_place, p.place_bias
     return out
 
 
+def _outputs(weights: np.ndarray, h: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the targets that are there, those of a class together: their places in `wanted`; each class with where its targets begin and end; their vectors
+    with a one for the biases; the exponentials of the classes and of the places, a row for each; and where in these the target's own are."""
+    y = wanted.ravel()
+    group = (y // SIDE).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=SIDE + 1))[:SIDE].tolist()  # PAD comes after all classes
+    order = order[: ends[-1]]
+    rows = np.zeros((len(order), _ROWS), np.float32)
+    rows[:, :WIDTH] = h.take(order, axis=0)
+    rows[:, WIDTH] = 1
+    parts = [(c, begin, end) for c, (begin, end) in enumerate(zip([0, *ends[:-1]], ends)) if begin < end]
+    logits = np.empty((len(order), 2 * SIDE), np.float32)
+    for c, begin, end in parts:
+        np.matmul(rows[begin:end], weights[c], out=logits[begin:end])
+    cells = np.arange(0, logits.size, SIDE)
+    cells[::2] += group.take(order)
+    cells[1::2] += y.take(order) % SIDE
+    return order, parts, rows, _exp(logits).reshape(-1, SIDE), cells
+
+
 class Scorer:
     """Log-probabilities by fixed parameters, whose tables are prepared once: each symbol's weight for each one before it, PAD's row, distances and causality as factors."""
 
     def __init__(self, p: Parameters):
         keep_memory()
         none = np.zeros((1, WIDTH), np.float32)
-        self.weights = _weights(p)
+        self.weights, self.factor = _weights(p), _factor(p)
         query, key, self.value, self.own = (np.concatenate([t, none]) for t in (p.query * np.float32(_SCALE), p.key, p.value, p.self_))
         self.pairs = _exp(query @ key.T).ravel()
-        self.factor = np.exp(np.clip(p.distance, -_MOST, _MOST))[np.maximum(_BACK, 0)] * _CAUSAL
 
     def attend(self, seen: np.ndarray) -> np.ndarray:
+        seen = seen.astype(np.intp)
         here = seen[:, BLOCK:]
-        a = self.pairs.take((here * (PAD + 1))[:, :, None] + seen[:, None, :])
+        a = self.pairs.take((here * (PAD + 1))[:, :, None] + seen[:, None, :], mode="clip")  # none is out of bounds
         a *= self.factor
-        padded = np.flatnonzero((seen[:, 0] == PAD) | (seen[:, -1] == PAD))
-        a[padded] *= (seen[padded] != PAD)[:, None, :]
+        _leave_pads(a, seen)
         h = a @ self.value.take(seen, axis=0)
         h /= np.maximum(_total(a), 1e-30)[:, :, None]
         h += self.own.take(here, axis=0)
         return h.reshape(-1, WIDTH)
 
     def __call__(self, seen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        return _log_targets(self.weights, self.attend(seen), wanted)
+        order, _, _, found, cells = _outputs(self.weights, self.attend(seen), wanted)
+        share = found.ravel().take(cells)
+        share /= _total(found)
+        result = np.zeros(wanted.size, np.float32)
+        result[order] = np.log(share[::2] * share[1::2])
+        return result.reshape(wanted.shape)
 
 
 def log_probability(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -157,77 +193,64 @@ def log_probability(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> np.n
     return Scorer(p)(seen, wanted)
 
 
-def _log_targets(weights: tuple[np.ndarray, np.ndarray], h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    y = wanted.ravel()
-    group = (y // SIDE).astype(np.uint8)
-    order = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=SIDE + 1))[:SIDE]  # PAD comes after all classes
-    order = order[: ends[-1]]
-    to_class, to_place = weights
-    h, y, group = _with_one(h, order), y[order], group[order]
-    at, place = np.arange(len(y)), y % SIDE
-    logits = _exp(h @ to_class)
-    share = logits[at, group] / _total(logits)
-    inner = np.empty_like(logits)
-    begin = 0
-    for c, end in enumerate(ends):
-        if begin < end:
-            np.matmul(h[begin:end], to_place[c], out=inner[begin:end])
-        begin = end
-    _exp(inner)
-    share *= inner[at, place] / _total(inner)
-    out = np.log(share)
-    result = np.zeros(wanted.size, np.float32)
-    result[order] = out
-    return result.reshape(wanted.shape)
-
-
-def _gather(ids: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
-    """Sums of the rows of each symbol, for each of the tables of rows; PAD has none."""
-    cells = (ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    size = SIDE * SIDE * WIDTH
-    return [np.bincount(cells, r.ravel(), size)[:size].astype(np.float32).reshape(-1, WIDTH) for r in rows]
+def _gather(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each symbol, which have two vectors; PAD has none. Two neighbouring numbers are added at a time, as one complex number."""
+    out = np.zeros((PAD + 1, 2 * WIDTH), np.float32)
+    np.add.at(out.view(np.complex64).ravel(), _CELLS.take(ids.ravel(), axis=0).ravel(), rows.view(np.complex64).ravel())
+    return out[:PAD]
 
 
 def gradient(p: Parameters, seen: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean negative log-probability of the targets, and its gradient in the order of `flat`."""
-    q, k, v, a, h = _attend(p, seen)
-    y = wanted.ravel()
-    real = np.flatnonzero(y != PAD)
-    real = real[np.argsort((y[real] // SIDE).astype(np.uint8), kind="stable")]  # the targets of a class lie together
-    flat, y = _with_one(h.reshape(-1, WIDTH), real), y[real]
-    to_class, to_place = _weights(p)
-    n, at = len(y), np.arange(len(y))
-    ends = np.cumsum(np.bincount(y // SIDE, minlength=SIDE))
-    outer = _exp(flat @ to_class)
+    g = np.empty_like(p.flat())
+    terms = _slope(p, seen, wanted, Parameters.of(g))
+    return float(-np.log(terms).sum() / (len(terms) // 2)), g
+
+
+def _slope(p: Parameters, seen: np.ndarray, wanted: np.ndarray, to: Parameters) -> np.ndarray:
+    """Two factors of the probability of each target; the gradient of the mean goes to `to`."""
+    here = seen[:, BLOCK:]
+    at_here, at_seen = _table(p.query * np.float32(_SCALE), p.self_).take(here, axis=0), _table(p.key, p.value).take(seen, axis=0)
+    (q, own), (k, v) = ((x[:, :, :WIDTH], x[:, :, WIDTH:]) for x in (at_here, at_seen))
+    a = _exp(q @ _turned(k))
+    a *= _factor(p)
+    _leave_pads(a, seen)
+    a /= np.maximum(_total(a), 1e-30)[:, :, None]
+    h = a @ v
+    h += own
+    weights = _weights(p)
+    order, parts, rows, outer, cells = _outputs(weights, h.reshape(-1, WIDTH), wanted)
     outer /= _total(outer)[:, None]
-    loss = -np.log(outer[at, y // SIDE]).sum()
-    outer[at, y // SIDE] -= 1
-    dh = outer @ p.to_class.T
-    d_place = np.zeros_like(to_place)
-    parts = [(c, slice(begin, end)) for c, (begin, end) in enumerate(zip([0, *ends[:-1]], ends)) if begin < end]
-    inner = np.empty_like(outer)
-    for c, rows in parts:
-        np.matmul(flat[rows], to_place[c], out=inner[rows])
-    _exp(inner)
-    inner /= _total(inner)[:, None]
-    loss -= np.log(inner[at, y % SIDE]).sum()
-    inner[at, y % SIDE] -= 1
-    for c, rows in parts:
-        np.matmul(flat[rows].T, inner[rows], out=d_place[c])
-        dh[rows] += inner[rows] @ p.to_place[c].T
-    d_out = np.zeros(h.shape, np.float32)
-    d_out.reshape(-1, WIDTH)[real] = dh
-    d_a = d_out @ v.transpose(0, 2, 1)
-    d_s = a * (d_a - _total(d_a * a)[:, :, None])
+    terms = outer.ravel().take(cells)
+    outer.ravel()[cells] = terms - 1
+    outer = outer.reshape(-1, 2 * SIDE)
+    back = _turned(weights[:, :WIDTH])
+    d_weights, d_rows = np.zeros_like(weights), np.zeros((len(rows) + 1, WIDTH), np.float32)
+    for c, begin, end in parts:
+        some = outer[begin:end]
+        np.matmul(rows[begin:end].T, some, out=d_weights[c])
+        np.matmul(some, back[c], out=d_rows[begin:end])
+    place = np.full(wanted.size, len(rows))
+    place[order] = np.arange(len(rows))
+    d_here, d_seen = np.empty_like(at_here), np.empty_like(at_seen)
+    d_out = d_rows.take(place, axis=0).reshape(h.shape)
+    d_s = d_out @ _turned(v)
+    d_s *= a
+    d_s -= a * _total(d_s)[:, :, None]
+    np.matmul(d_s, k, out=d_here[:, :, :WIDTH])
+    d_here[:, :, WIDTH:] = d_out
+    np.matmul(d_s.transpose(0, 2, 1), q, out=d_seen[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), d_out, out=d_seen[:, :, WIDTH:])
+    d_here, d_seen = _gather(here, d_here), _gather(seen, d_seen)
     d_distance = np.bincount(np.maximum(_BACK, 0).ravel(), d_s.sum(0).ravel() * (_BACK >= 0).ravel(), 2 * BLOCK)
-    here = seen[:, BLOCK:]
-    d_query, d_self = _gather(here, d_s @ k * _SCALE, d_out)
-    d_key, d_value = _gather(seen, d_s.transpose(0, 2, 1) @ q * _SCALE, a.transpose(0, 2, 1) @ d_out)
+    d_class, d_place, share = d_weights[:, :, :SIDE].sum(0), d_weights[:, :, SIDE:], np.float32(1 / len(rows))
     found = [
-        d_query, d_key, d_value, d_self, d_distance, flat.T @ outer, d_place[:, :WIDTH], d_place[:, WIDTH],
+        d_here[:, :WIDTH] * np.float32(_SCALE), d_seen[:, :WIDTH], d_seen[:, WIDTH:], d_here[:, WIDTH:],
+        d_distance.astype(np.float32), d_class[:WIDTH], d_class[WIDTH], d_place[:, :WIDTH], d_place[:, WIDTH],
     ]
-    return float(loss / n), np.concatenate([x.ravel() for x in found]).astype(np.float32) / n
+    for x, out in zip(found, to.arrays()):
+        np.multiply(x, share, out=out)
+    return terms
 
 
 class Adam:
@@ -235,14 +258,26 @@ class Adam:
 
     def __init__(self, p: Parameters):
         self.x = p.flat().astype(np.float32)
+        self.g = np.empty_like(self.x)
+        self.now, self.slope = Parameters.of(self.x), Parameters.of(self.g)
+        # ten times the running mean of the gradient, and a hundred times that of its square
         self.m, self.s, self.steps = np.zeros_like(self.x), np.zeros_like(self.x), 0
 
     def step(self, seen: np.ndarray, wanted: np.ndarray, rate: float) -> None:
-        _, g = gradient(Parameters.of(self.x), seen, wanted)
+        g = self.g
+        _slope(self.now, seen, wanted, self.slope)
         self.steps += 1
-        self.m += np.float32(0.1) * (g - self.m)
-        self.s += np.float32(0.01) * (g * g - self.s)
-        self.x -= np.float32(rate / (1 - 0.9**self.steps)) * self.m / (np.sqrt(self.s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+        self.m *= np.float32(0.9)
+        self.m += g
+        self.s *= np.float32(0.99)
+        g *= g
+        self.s += g
+        scale = math.sqrt(0.01 / (1 - 0.99**self.steps))
+        np.sqrt(self.s, out=g)
+        g += np.float32(1e-8 / scale)
+        np.divide(self.m, g, out=g)
+        g *= np.float32(0.1 * rate / (1 - 0.9**self.steps) / scale)
+        self.x -= g
 
 
 def fit(p: Parameters, seen: np.ndarray, wanted: np.ndarray, steps: int, rate: float, batch: int = 128, seed: int = 0) -> Parameters:

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campanile.llm.attention import SIDE, Parameters, Scorer, Stream, blocks, keep_memory
-from campanile.llm.common import OTHER_SPACE, file_bytes, map_texts, shared_folder, words_of
+from campanile.llm.common import OTHER_SPACE, file_bytes, map_texts, shared_folder
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The most frequent words, sent to every task: at most so many, of at most so many characters, so under 20 MB. All others are joined.
 FREQUENT, LONGEST = 250_000, 64
 #: Every training text is learned from, whole, in one of so many rounds, by one trainer for each TRAINER texts of the round (on average).
@@ -30,20 +32,26 @@ FAN_IN = 32
 END, OTHER = 0, 1
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all words one after another, with A to Z in lower case."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, bounds = lists.flatten(), lists.offsets.to_numpy()
+    there = pc.binary_length(words).to_numpy() > 0  # white space at an end of a text leaves an empty word
+    counts = np.diff(np.concatenate([[0], np.cumsum(there)])[bounds - bounds[0]])
+    return counts, words if there.all() else words.filter(pa.array(there))
 
 
-def small(text: str) -> str:
-    """A to Z in lower case."""
-    return text.lower() if text.isascii() else text.encode().lower().decode()
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) over all rows. Counts are combined in each task, 2000 texts at a time, and again before the shuffle."""
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                found = split_words(batch.column("text").slice(at, 2000))[1].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
-def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all rows. Counts are combined in each task before the shuffle, and spellings before they are made lower case."""
-    words = df.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+")).alias("spelling")).where("spelling <> ''")
-    spellings = words.groupBy("spelling").agg(F.count(F.lit(1)).alias("n"))
-    return spellings.groupBy(lowered(F.col("spelling")).alias("word")).agg(F.sum("n").alias("n"))
+    counted = df.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame) -> dict[str, int]:
@@ -102,7 +110,7 @@ def subword_counts(counts: DataFrame, file: bytes) -> np.ndarray:
         subwords = Subwords(file)
         total = np.zeros(subwords.size, np.int64)
         for batch in batches:
-            ids, lengths = subwords.of_all(batch.column("word").to_pylist())
+            ids, lengths = subwords.of_all(batch.column("word").to_numpy(zero_copy_only=False).tolist())
             np.add.at(total, ids, np.repeat(batch.column("n").to_numpy(), lengths))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
@@ -139,44 +147,57 @@ class Symbols:
         return symbols, np.where(symbols == OTHER, self.rest[ids], 0.0)
 
 
-class Lexicon(dict):
-    """Numbers of words met, from 1 on in the order they came; 0 is the end, as the word "". By number: symbols, the rare ids' shares, the base if frequent.
+@dataclass
+class Entries:
+    """What is known of words by their numbers: where their symbols begin and how many they are, the rare ids' shares, the base (NaN if not frequent)."""
+
+    symbols: np.ndarray
+    begins: np.ndarray
+    lengths: np.ndarray
+    rests: np.ndarray
+    bases: np.ndarray
+
+    @classmethod
+    def end(cls) -> Entries:
+        """The end alone."""
+        return cls(np.array([END], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1), np.zeros(1))
+
+    def with_words(self, words: list[str], bases: np.ndarray, subwords: Subwords, marks: Symbols) -> Entries:
+        if not words:
+            return self
+        ids, lengths = subwords.of_all(words)
+        symbols, rests = marks.encode(ids)
+        begins = np.cumsum(lengths) - lengths
+        new = (symbols, begins + len(self.symbols), lengths, np.add.reduceat(rests, begins), bases)
+        return Entries(*(np.concatenate(x) for x in zip((self.symbols, self.begins, self.lengths, self.rests, self.bases), new)))
+
+
+class Lexicon(defaultdict):
+    """Numbers of words: 0 is the end, as the word "", then come the frequent words, whose entries every task is given, and those met, in the order they came.
 
-    It is emptied where it has grown beyond its room; that never changes a result.
+    It is emptied down to the frequent words where it has grown beyond its room; that never changes a result.
     """
 
-    def __init__(self, subwords: Subwords, marks: Symbols, frequent: dict[str, int], base: Callable[[int], float], room: int = 400_000, characters: int = 8_000_000):
+    def __init__(self, subwords: Subwords, marks: Symbols, given: dict[str, int], entries: Entries, room: int = 400_000, characters: int = 8_000_000):
         super().__init__()
-        self.subwords, self.marks, self.frequent, self.base, self.room, self.characters = subwords, marks, frequent, base, room, characters
+        self.subwords, self.marks, self.given, self.first, self.room, self.characters = subwords, marks, given, entries, room, characters
         self.empty()
 
     def empty(self) -> None:
         self.clear()
-        self.names, self.held = [], 0
-        self[""]
-        self.symbols, self.begins, self.lengths = np.array([END], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.rests, self.bases = np.zeros(1), np.zeros(1)
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        self.names.append(word)
-        return n
+        self.update(self.given)
+        self.default_factory = itertools.count(len(self)).__next__
+        self.names, self.held, self.entries = [], 0, self.first
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.names) > self.room or self.held > self.characters:
+        if self.names and (len(self) > self.room or self.held > self.characters):
             self.empty()
-        known = len(self.names)
+        known = len(self)
         found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        new = self.names[known:]
-        if new:
-            ids, lengths = self.subwords.of_all(new)
-            symbols, rests = self.marks.encode(ids)
-            begins = np.cumsum(lengths) - lengths
-            counts = [self.frequent.get(w) for w in new]
-            parts = (begins + len(self.symbols), lengths, np.add.reduceat(rests, begins), np.array([np.nan if c is None else self.base(c) for c in counts]))
-            self.begins, self.lengths, self.rests, self.bases = (np.concatenate(x) for x in zip((self.begins, self.lengths, self.rests, self.bases), parts))
-            self.symbols = np.concatenate([self.symbols, symbols])
-            self.held += sum(map(len, new))
+        new = list(itertools.islice(reversed(self), len(self) - known))[::-1]
+        self.entries = self.entries.with_words(new, np.full(len(new), np.nan), self.subwords, self.marks)
+        self.names += new
+        self.held += sum(map(len, new))
         return found
 
 
@@ -279,34 +300,37 @@ def _lists(kind: pa.DataType, offsets: np.ndarray, values: pa.Buffer) -> pa.Arra
 
 def prepared(df: DataFrame, text: str, carry: list[str], file: bytes, symbols: Symbols, frequent: dict[str, int], base: Callable[[int], float]) -> DataFrame:
     """Each row's columns `carry` and its words once for all: their symbols with the end, the rare ids' shares, the base's sum over frequent words, and the other words with their counts."""
-    sent = df.sparkSession.sparkContext.broadcast((frequent, symbols))
+    given = {w: i for i, w in enumerate(["", *frequent])}
+    entries = Entries.end().with_words(list(frequent), np.array([base(n) for n in frequent.values()]), Subwords(file), symbols)
+    sent = df.sparkSession.sparkContext.broadcast((given, entries, symbols))
 
     def start():
-        known, marks = sent.value
-        lexicon = Lexicon(Subwords(file), marks, known, base)
+        given, entries, marks = sent.value
+        lexicon = Lexicon(Subwords(file), marks, given, entries)
         keep_memory()
 
         def read(texts):
-            words, ends = [], []
-            for t in texts:
-                words += words_of(small(t))
-                words.append("")
-                ends.append(len(words))
-            numbers = lexicon.numbers(words)
-            begins = np.array([0, *ends[:-1]])
-            lengths, bases = lexicon.lengths[numbers], lexicon.bases[numbers]
+            n_words, words = split_words(pa.array(texts, pa.string()))
+            coded = words.dictionary_encode()
+            each = lexicon.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            ends = np.cumsum(n_words + 1)
+            begins, known = ends - n_words - 1, lexicon.entries
+            is_word = np.ones(ends[-1], bool)
+            is_word[ends - 1] = False
+            numbers = np.zeros(ends[-1], np.int64)
+            numbers[is_word] = each[coded.indices.to_numpy()]
+            lengths, bases = known.lengths[numbers], known.bases[numbers]
             after = np.cumsum(lengths)
-            symbols = lexicon.symbols[np.repeat(lexicon.begins[numbers] - after + lengths, lengths) + np.arange(after[-1])]
-            joined = _lists(pa.binary(), 2 * np.append(0, after[np.array(ends) - 1]), pa.py_buffer(symbols))
+            symbols = known.symbols[np.repeat(known.begins[numbers] - after + lengths, lengths) + np.arange(after[-1])]
+            joined = _lists(pa.binary(), 2 * np.append(0, after[ends - 1]), pa.py_buffer(symbols))
             # words that are not frequent, once in each text
             rare = np.flatnonzero(np.isnan(bases))
             bases[rare] = 0
             owner = np.searchsorted(ends, rare, side="right")
-            each, times = np.unique(owner * len(lexicon.names) + numbers[rare], return_counts=True)
-            cuts = np.searchsorted(each, np.arange(len(ends) + 1) * len(lexicon.names))
-            names = pa.array([lexicon.names[i] for i in each % len(lexicon.names)], pa.string())
-            n_words = np.diff(ends, prepend=0) - 1
-            rests, sums = np.add.reduceat(lexicon.rests[numbers], begins), np.add.reduceat(bases, begins)
+            each, times = np.unique(owner * len(lexicon) + numbers[rare], return_counts=True)
+            cuts = np.searchsorted(each, np.arange(len(ends) + 1) * len(lexicon))
+            names = pa.array([lexicon.names[i] for i in (each % len(lexicon) - len(given)).tolist()], pa.string())
+            rests, sums = np.add.reduceat(known.rests[numbers], begins), np.add.reduceat(bases, begins)
             offsets = pa.array(cuts, pa.int32())
             lists = pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))
             return [n_words, n_words - np.bincount(owner, minlength=len(ends)), sums, joined, rests, *lists]

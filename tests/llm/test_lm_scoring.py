@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,35 @@ def test_texts_become_symbols_by_arrays_as_word_by_word(spark, folder, monkeypat
         assert lm_scoring.symbols_of(raw).tolist() == [*(symbols.number.get(i, lm_scoring.OTHER) for i in ids), lm_scoring.END]
         assert rest == pytest.approx(sum(symbols.rest[i] for i in ids if i not in symbols.number), abs=1e-9)
         assert dict(zip(names, times)) == Counter(w for w in words if w not in frequent) and len(names) == len(set(names))
+
+
+def test_words_are_split_by_arrays_as_the_contract_says():
+    texts = ["A\tb  C\x0b", None, "", " \n ", "Ä\x1cÉ b\x85c d\xa0e　F", "\x0cx\x0d\x0ay"]
+    counts, words = lm_scoring.split_words(pa.array(["left out", *texts]).slice(1))
+    expected = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    assert counts.tolist() == list(map(len, expected)) and words.to_pylist() == [w for ws in expected for w in ws]
+
+
+def test_tasks_do_not_encode_frequent_words_again(monkeypatch):
+    subwords, asked = Subwords(open(PATH, "rb").read()), []
+    symbols = Symbols.of(np.arange(subwords.size), 3)
+    frequent = {"the": 9, "b": 5}
+    entries = lm_scoring.Entries.end().with_words(list(frequent), np.array([9.0, 5.0]), subwords, symbols)
+    lexicon = lm_scoring.Lexicon(subwords, symbols, {"": 0, "the": 1, "b": 2}, entries, room=4)
+    monkeypatch.setattr(subwords, "of_all", lambda words, f=subwords.of_all: asked.append(words) or f(words))
+    assert lexicon.numbers(["b", "zz", "the", "b", "yy"]).tolist() == [2, 3, 1, 2, 4] and asked == [["zz", "yy"]]
+    assert np.isnan(lexicon.entries.bases[3:]).all() and lexicon.entries.bases[1:3].tolist() == [9, 5] and lexicon.names == ["zz", "yy"]
+    assert lexicon.numbers(["xx", "b"]).tolist() == [3, 2] and lexicon.names == ["xx"]  # emptied down to the frequent words
+
+
+def test_a_step_keeps_the_parameters_within_those_of_the_plain_rule():
+    rng, p = np.random.default_rng(8), model()
+    adam, x = attention.Adam(p), p.flat().astype(float)
+    m, s = np.zeros_like(x), np.zeros_like(x)
+    for t in range(1, 6):
+        seen, wanted, _ = blocks([rng.integers(0, SIDE * SIDE, 40)], 0)
+        _, g = gradient(Parameters.of(x), seen, wanted)
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g.astype(float) ** 2
+        x -= 0.01 * m / (1 - 0.9**t) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+        adam.step(seen, wanted, 0.01)
+    assert np.quantile(np.abs(adam.x - x), 0.99) < 1e-4
