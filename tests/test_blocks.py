@@ -2,16 +2,19 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from campanile.functions.numeric import round_half_up
 from campanile.operators.clean import column_profile
 from campanile.operators.features import elbow, feature_catalog
 from campanile.operators.groups import balanced_resample, group_split, held_out_groups, leave_group_out, split_sizes
 from campanile.operators.inventory import weighted_vector_sum
 from campanile.operators.joins import unordered_pairs, with_ratios
 from campanile.operators.metrics import class_weights
-from campanile.operators.profiles import blend, blend_totals, moments, proportions, two_member_blend, two_member_moments
+from campanile.operators.profiles import blend, blend_totals, enumerated_moments, moments, proportions, two_member_blend, two_member_moments
 from campanile.sources.snapshots import pending_picks
 
 
@@ -133,6 +136,41 @@ def test_pairs_of_repeated_names_and_units_that_cancel(spark):
     ]
 
 
+def test_enumerated_blends_match_no_pair_with_anything(spark, folder):
+    """V8: pairs carry the numbers of their members, so nothing is joined or moved after they are formed."""
+    plan = entry.queries()["v8_enumerated_blends"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("CartesianProduct")[0] if "CartesianProduct" in plan else plan.split("BroadcastNestedLoopJoin")[0]
+    assert above != plan and "Join" not in above and "Exchange" not in above and "Join" not in plan.split("Union")[1].replace("BroadcastNestedLoopJoin", "")
+
+
+@pytest.mark.parametrize("rows", [2, 4096])
+def test_enumerated_blends_equal_blends_by_name(spark, monkeypatch, rows):
+    monkeypatch.setattr("campanile.operators.profiles.FIRST_ROWS", rows)
+    monkeypatch.setattr("campanile.operators.profiles.SECOND_ROWS", rows)
+    axis = [-0.02, 0.0, 0.02]
+    members = [("A", [1.0, 2.0, 3.0], -2.0), ("B", [4.0, 3.0, 0.5], 2.0), ("B", [1.0, 1.0, 7.0], 6.0), ("C", [0.0, 0.0, 0.0], None), ("D", None, 1.0), ("E", [2.0, 2.0, 1.0], 0.0)]
+    members = spark.createDataFrame(members, "name string, area array<double>, unit double")
+    slow = two_member_moments(with_ratios(unordered_pairs(members.filter("area is not null"), "name", repeats=True), [0.25, 0.5]), "a", "b", "phi", members, axis)
+    fast = enumerated_moments(members, [0.25, 0.5], axis)
+    as_text = lambda df: sorted(str({k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()}) for r in df.select(slow.columns).collect())
+    assert as_text(slow) == as_text(fast)
+
+
+def test_enumerated_blends_of_odd_names(spark):
+    """As the SQL of V8 has it: an empty name is a name, blanks belong to it, and a member without a name is told alone only."""
+    members = spark.createDataFrame([("", [1.0], 1.0), (" A", [3.0], 1.0), (None, [5.0], 1.0)], "name string, area array<double>, unit double")
+    told = enumerated_moments(members, [0.25], [0.0]).select("a", "b", "phi", "m0").collect()
+    assert sorted(map(tuple, told), key=str) == sorted([("", " A", 0.25, 2.5), (" A", "", 0.25, 1.5), ("", "", 1.0, 1.0), (" A", "", 1.0, 3.0), (None, "", 1.0, 5.0)], key=str)
+
+
+def test_rounding_equals_that_of_spark(spark):
+    rng = np.random.default_rng(5)
+    halves = (rng.integers(-10**6, 10**6, 5000) + 0.5) / 1e4
+    values = np.concatenate([halves, np.nextafter(halves, 1e9), np.nextafter(halves, -1e9), rng.normal(0, 50, 5000), 10.0 ** rng.integers(-9, 18, 2000) * rng.normal(0, 1, 2000), [0.0, -0.0, -0.00001, np.nan, np.inf, -np.inf, 1e300]])
+    both = spark.createDataFrame([(float(v),) for v in values], "x double").select(F.round("x", 4).alias("a"), round_half_up("x", 4).alias("b"))
+    assert all(str(r.a) == str(r.b) for r in both.collect())
+
+
 def test_added_up_blends_without_profiles_in_the_rows(spark):
     members = spark.createDataFrame([("A", [1.0, 2.0], 2.0), ("B", [4.0, 3.0], 6.0), ("C", None, 1.0), ("D", [1.0, 9.0], None)], "name string, area array<double>, unit double")
     rows = [(1, 0, "A", 3.0), (1, 1, "B", 1.0), (2, 0, "A", 1.0), (2, 1, "C", 1.0), (3, 0, "D", 2.0), (3, 1, "A", 2.0), (3, 2, "A", 1.0), (4, 0, "zz", 1.0)]
