@@ -29,12 +29,26 @@ LEAST_ROWS = 16_384
 ASKING_ROWS = 32_768
 PIVOT_BYTES = 64 << 20
 HISTOGRAM = 1 << 18
+# rows and columns of a piece of a tile that is worked out at once; its arrays should stay in a core's cache
+PIECE = (128, 1_024)
+# parts over which the tiles are dealt, a tile each while there are no more
+TILE_PARTS = 1_024
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
+def _packed(column: pd.Series) -> pd.Series:
+    return column.map(lambda v: np.asarray(v, dtype=np.float64).tobytes())
+
+
+def _unpacked(column: pd.Series) -> np.ndarray:
+    if column.map(len).nunique() > 1:
+        raise ValueError("vectors of different lengths")
+    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def _distances(a: np.ndarray, b: np.ndarray):
     """Row blocks of the distance matrix between two tiles, from plain differences."""
     step = max(1, 8_000_000 // max(1, b.size))
@@ -59,8 +73,8 @@ def _squares(a: np.ndarray, b: np.ndarray):
 def _between(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Distances of single pairs of rows from plain differences, added up position by position."""
     out = np.zeros(len(i))
-    for start in range(0, len(i), 50_000):
-        part = slice(start, start + 50_000)
+    for start in range(0, len(i), 2_000):
+        part = slice(start, start + 2_000)
         for gap in np.ascontiguousarray((a[i[part]] - b[j[part]]).T):
             out[part] += gap * gap
     return np.sqrt(out)
@@ -260,10 +274,9 @@ def sampled_pairs(df: DataFrame, key: str, vector: str, y: str, n_pairs: int = 2
 # ---- sums over all pairs -----------------------------------------------------------------
 
 
-def _over_pairs(df: DataFrame, key: str, vector: str, y: str, rows_per_block: int | None, emit, schema: str) -> DataFrame:
-    """Apply `emit(squared, off, gap, exact)` to every unordered pair, tile by tile, and add up what it returns.
+def _over_pairs(df: DataFrame, key: str, vector: str, y: str, rows_per_block: int | None, work, schema: str) -> DataFrame:
+    """Apply `work(x, y of x, z, y of z, same)` to every tile of two blocks and add up what it returns by its columns but n and s2. Rows come in the order of y; of a block with itself (`same`) only pairs i < j count.
 
-    It gets flat arrays of a part of a tile: squared distances that are right to `off`, |dy|, and a function from places to their exact distances.
     Without `rows_per_block` a block holds a 32nd of the rows within bounds, so what moves grows with the rows.
     """
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.col(y).cast("double").alias("y"))
@@ -271,41 +284,123 @@ def _over_pairs(df: DataFrame, key: str, vector: str, y: str, rows_per_block: in
     if rows_per_block is None:
         rows_per_block = max(1, min(max(ROWS_PER_BLOCK, told["n"] // 32), BLOCK_BYTES // (32 * max(1, told["width"] or 1))))
     blocks = max(1, -(-told["n"] // rows_per_block))
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # a vector is copied to every tile of its block, so it is made bytes once and moves as these; a table of few files is dealt out before
+    spread = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocked = rows.repartition(spread, "id").select("id", F.pandas_udf(_packed, "binary")("vec").alias("vec"), "y", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     later, earlier = F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))), F.explode(F.sequence(F.lit(0), F.col("block")))
     left = blocked.select(F.col("block").alias("a"), later.alias("b"), "id", "vec", "y")
     right = blocked.select(earlier.alias("a"), F.col("block").alias("b"), *[F.col(c).alias(f"{c}_q") for c in ("id", "vec", "y")])
 
     def tile(keys, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        same, out = keys[0] == keys[1], []
-        if len(p) and len(q):
-            p, q = p.sort_values("id", ignore_index=True), q.sort_values("id_q", ignore_index=True)
-            yp, yq = p["y"].to_numpy(), q["y_q"].to_numpy()
-            x, z = _matrix(p["vec"]), _matrix(q["vec_q"])
-            for start, d, off in _squares(x, z):
-                gap = np.abs(yp[start : start + len(d), None] - yq[None, :])
-                keep = np.nonzero((np.arange(d.shape[1])[None, :] > (start + np.arange(len(d)))[:, None]).ravel())[0] if same else None
-
-                def exact(places, start=start, keep=keep):
-                    i, j = np.divmod(places if keep is None else keep[places], len(z))
-                    return _between(x, z, start + i, j)
-
-                flat = (d.ravel(), gap.ravel()) if keep is None else (d.ravel()[keep], gap.ravel()[keep])
-                out.append(emit(flat[0], off, flat[1], exact))
-        nothing = emit(np.zeros(0), 0.0, np.zeros(0), lambda places: np.zeros(0))
-        parts = pd.concat([nothing, *out], ignore_index=True)
-        return parts.groupby([c for c in parts.columns if c not in ("n", "s2")], as_index=False).sum()
-
-    # the work of a tile is not in its bytes, so tiles must not be put together by these: the number of parts is given
-    parts = min(blocks * (blocks + 1) // 2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        p, q = p.sort_values(["y", "id"], ignore_index=True), q.sort_values(["y_q", "id_q"], ignore_index=True)
+        return work(_unpacked(p["vec"]), p["y"].to_numpy(), _unpacked(q["vec_q"]), q["y_q"].to_numpy(), keys[0] == keys[1])
+
+    # the work of a tile is not in its bytes, so tiles must not be put together by these: the number of parts is given. Parts get tiles by a hash, so many small parts fill the cores more evenly
+    parts = min(blocks * (blocks + 1) // 2, max(TILE_PARTS, spread))
     left, right = (x.repartition(parts, "a", "b") for x in (left, right))
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(tile, schema)
 
 
-def _slots(d: np.ndarray, off: float, width: float) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the highest slot in which a squared distance that is right to `off` may lie."""
-    low, high = np.sqrt(np.maximum(d - off, 0)), np.sqrt(np.maximum(d + off, 0))
-    return (low / width).astype(np.int64), (high / width).astype(np.int64)
+def _spans(y: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Places from and to of pieces of at most `size` rows; where runs of equal y are long, no piece has two of them."""
+    ends = np.flatnonzero(y[1:] != y[:-1]) + 1
+    runs = [0, *(ends if len(y) >= 256 * (len(ends) + 1) else []), len(y)]
+    return [(start, min(start + size, end)) for begin, end in zip(runs, runs[1:]) for start in range(begin, end, size)]
+
+
+def _pieces(yp: np.ndarray, yq: np.ndarray, same: bool):
+    """Pieces (rows from, to, columns from, to) of a tile that hold a pair, a list for each piece of the columns."""
+    rows = _spans(yp, PIECE[0])
+    for first, last in _spans(yq, PIECE[1]):
+        yield [(top, bottom, first, last) for top, bottom in rows if not same or last - 1 > top]
+
+
+def _factors(x: np.ndarray, z: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two matrices of `kind` whose product is the squared distances, and twice what rounding may put these off by."""
+    nx, nz = np.square(x).sum(axis=1), np.square(z).sum(axis=1)
+    left = np.column_stack([x, nx, np.ones(len(x))]).astype(kind)
+    right = np.vstack([-2 * z.T, np.ones(len(z)), nz]).astype(kind)
+    return left, right, 2 * float(np.finfo(kind).eps) * (x.shape[1] + 8) * (nx.max() + nz.max())
+
+
+def _count_slots(x, yp, z, yq, same: bool, centre: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and sums of dy^2 of a tile by slot of the distance. Slots come from a matrix product where it leaves no doubt, else from plain differences."""
+    n, s2, held = np.zeros(HISTOGRAM + 2, dtype=np.int64), np.zeros(HISTOGRAM + 2), {}
+    left, right, off = _factors((x - centre) / width, (z - centre) / width, np.float64)
+    off *= 4
+    near = 2 * off + 1e-6
+    room, places, less = np.empty((2, PIECE[0] * PIECE[1])), np.empty(PIECE[0] * PIECE[1], dtype=np.int64), np.empty(PIECE[0] * PIECE[1], dtype=bool)
+
+    def fold():
+        for weight, counts in held.items():
+            np.add(n, counts, out=n)
+            np.add(s2, counts * weight, out=s2)
+        held.clear()
+
+    for pieces in _pieces(yp, yq, same):
+        for top, bottom, first, last in pieces:
+            shape = bottom - top, last - first
+            d, rest, slot, small = (r[: shape[0] * shape[1]].reshape(shape) for r in (*room, places, less))
+            np.matmul(left[top:bottom], right[:, first:last], out=d)
+            np.sqrt(np.abs(d, out=d), out=d)
+            np.copyto(slot, d, casting="unsafe")
+            np.subtract(np.rint(d, out=rest), d, out=rest)
+            doubt = np.flatnonzero(np.less(np.abs(rest, out=rest), near, out=small))
+            v2 = np.square(d.ravel()[doubt])
+            doubt = doubt[np.floor(np.sqrt(np.maximum(v2 - off, 0))) != np.floor(np.sqrt(v2 + off))]
+            if len(doubt):
+                i, j = np.divmod(doubt, shape[1])
+                slot[i, j] = (_between(x, z, top + i, first + j) / width).astype(np.int64)
+            if same and first < bottom:
+                # pairs i >= j go to the last place, which is no slot
+                slot[np.arange(first, last)[None, :] <= np.arange(top, bottom)[:, None]] = HISTOGRAM + 1
+            if yp[top] == yp[bottom - 1] and yq[first] == yq[last - 1]:
+                weight = (yp[top] - yq[first]) ** 2
+                if weight not in held:
+                    if len(held) == 16:
+                        fold()
+                    held[weight] = np.zeros(HISTOGRAM + 2, dtype=np.int64)
+                np.add.at(held[weight], slot.ravel(), 1)
+            else:
+                np.square(np.subtract.outer(yp[top:bottom], yq[first:last], out=rest), out=rest)
+                np.add.at(n, slot.ravel(), 1)
+                np.add.at(s2, slot.ravel(), rest.ravel())
+    fold()
+    return n[:-1], s2[:-1]
+
+
+def _slot_values(x, yp, z, yq, same: bool, centre: np.ndarray, width: float, wanted: np.ndarray) -> pd.DataFrame:
+    """The distinct distances of a tile within the slots that are `wanted`, with pairs and sums of dy^2. Products of single precision leave out pairs that are surely elsewhere."""
+    left, right, off = _factors((x - centre) / width, (z - centre) / width, np.float32)
+    # cells of equal squared distance that may hold a pair of a wanted slot
+    ends = np.flatnonzero(np.diff(np.concatenate([[False], wanted, [False]]).astype(np.int8))).astype(float)
+    scale = HISTOGRAM / (HISTOGRAM + 2.0) ** 2
+    meets = np.zeros(HISTOGRAM + HISTOGRAM // 8, dtype=bool)
+    for low, high in zip(ends[::2], ends[1::2]):
+        meets[int(max(0, (low * low - off) * scale - 1)) : int((high * high + off) * scale + 2)] = True
+    room, cells, less = np.empty(PIECE[0] * PIECE[1], dtype=np.float32), np.empty(PIECE[0] * PIECE[1], dtype=np.int64), np.empty(PIECE[0] * PIECE[1], dtype=bool)
+    out = []
+    for pieces in _pieces(yp, yq, same):
+        rows, columns = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for top, bottom, first, last in pieces:
+            shape = bottom - top, last - first
+            d, cell, some = (r[: shape[0] * shape[1]].reshape(shape) for r in (room, cells, less))
+            np.matmul(left[top:bottom], right[:, first:last], out=d)
+            np.abs(d, out=d)
+            d *= np.float32(scale)
+            np.copyto(cell, d, casting="unsafe")
+            i, j = np.divmod(np.flatnonzero(meets.take(cell, out=some, mode="clip")), shape[1])
+            rows.append(top + i)
+            columns.append(first + j)
+        i, j = np.concatenate(rows), np.concatenate(columns)
+        if same:
+            i, j = i[i < j], j[i < j]
+        exact = _between(x, z, i, j)
+        sure = wanted[(exact / width).astype(np.int64)]
+        value, at = np.unique(exact[sure], return_inverse=True)
+        s2 = np.bincount(at, weights=np.square(yp[i[sure]] - yq[j[sure]]), minlength=len(value))
+        out.append(pd.DataFrame({"slot": (value / width).astype(np.int64), "value": value, "n": np.bincount(at, minlength=len(value)), "s2": s2}))
+    return pd.concat(out, ignore_index=True).groupby(["slot", "value"], as_index=False).sum()
 
 
 class PairDistances:
@@ -317,20 +412,18 @@ class PairDistances:
 
     def __init__(self, df: DataFrame, key: str, vector: str, y: str, rows_per_block: int | None = None):
         self.args = (df, key, vector, y, rows_per_block)
-        first = df.select(F.col(vector).alias("v")).orderBy(key).limit(1)
-        far = df.withColumn("__v", first.scalar()).agg(F.count(F.lit(1)).alias("n"), F.max(euclidean(vector, "__v")).alias("r")).first()
+        first = df.select(F.col(vector).cast("array<double>").alias("v")).orderBy(key).limit(1)
+        far = df.withColumn("__v", first.scalar()).agg(F.count(F.lit(1)).alias("n"), F.max(euclidean(vector, "__v")).alias("r"), F.first("__v").alias("centre")).first()
         self.n_pairs = far["n"] * (far["n"] - 1) // 2
         self.width = width = max(2 * (far["r"] or 0.0), 1e-12) * (1 + 1e-9) / HISTOGRAM
+        self.centre = centre = np.array(far["centre"] or [], dtype=np.float64)
 
-        def emit(d, off, gap, exact):
-            slot, high = _slots(d, off, width)
-            unsure = np.nonzero(slot != high)[0]
-            slot[unsure] = (exact(unsure) / width).astype(np.int64)
-            n, s2 = np.bincount(slot, minlength=1), np.bincount(slot, weights=gap * gap, minlength=1)
-            some = np.nonzero(n)[0]
+        def work(x, yp, z, yq, same):
+            n, s2 = _count_slots(x, yp, z, yq, same, centre, width) if len(x) and len(z) else (np.zeros(0, dtype=np.int64), np.zeros(0))
+            some = np.flatnonzero(n)
             return pd.DataFrame({"slot": some, "n": n[some], "s2": s2[some]})
 
-        counts = _over_pairs(*self.args, emit, "slot long, n long, s2 double")
+        counts = _over_pairs(*self.args, work, "slot long, n long, s2 double")
         told = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"))
         # about HISTOGRAM rows at most
         self.slots = told.toPandas().sort_values("slot", ignore_index=True)
@@ -347,21 +440,17 @@ class PairDistances:
         for low, high in spans:
             first, last = self.slot_of(np.array([low, high]))
             self.looked_at[first : last + 1] = True
-        width, keep = self.width, self.slots["slot"].to_numpy()[self.looked_at]
+        width, centre, keep = self.width, self.centre, self.slots["slot"].to_numpy()[self.looked_at]
         wanted = np.zeros(HISTOGRAM + 2, dtype=bool)
         wanted[keep] = True
 
-        def emit(d, off, gap, exact):
-            low, high = _slots(d, off, width)
-            places = np.nonzero(wanted[low] | wanted[high])[0]
-            distance = exact(places)
-            sure = wanted[(distance / width).astype(np.int64)]
-            value, at = np.unique(distance[sure], return_inverse=True)
-            inside = places[sure]
-            return pd.DataFrame({"slot": (value / width).astype(np.int64), "value": value, "n": np.bincount(at, minlength=len(value)), "s2": np.bincount(at, weights=gap[inside] ** 2, minlength=len(value))})
+        def work(x, yp, z, yq, same):
+            if not len(x) or not len(z):
+                return pd.DataFrame({"slot": np.zeros(0, dtype=np.int64), "value": np.zeros(0), "n": np.zeros(0, dtype=np.int64), "s2": np.zeros(0)})
+            return _slot_values(x, yp, z, yq, same, centre, width, wanted)
 
         if len(keep):
-            values = _over_pairs(*self.args, emit, "slot long, value double, n long, s2 double")
+            values = _over_pairs(*self.args, work, "slot long, value double, n long, s2 double")
             self.fine = cut(values.groupBy("slot", "value").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2")))
 
     def at(self, positions: Sequence[int]) -> dict[int, float]:
@@ -398,8 +487,8 @@ class PairDistances:
         return {k: tuple(v) for k, v in out.items()}
 
 
-def semivariogram(df: DataFrame, key: str, vector: str, y: str, n_bins: int = 10, least: int = 3, rows_per_block: int | None = None) -> DataFrame:
-    """Per equal-frequency distance bin over all pairs: pairs, median distance, mean(dy^2) / 2.
+def semivariogram(df: DataFrame, key: str, vector: str, y: str, n_bins: int = 10, least: int = 3, rows_per_block: int | None = None, medians: bool = True) -> DataFrame:
+    """Per equal-frequency distance bin over all pairs: pairs, median distance (null without `medians`), mean(dy^2) / 2.
 
     All pairs are formed twice. After the first pass it is known between which positions each edge and each median lies; the second looks at the slots that hold these.
     """
@@ -412,7 +501,7 @@ def semivariogram(df: DataFrame, key: str, vector: str, y: str, n_bins: int = 10
         spans = [(k, min(k + 1, last)) for k in low]
         # pairs below an edge: those of the slots before its own at least, and those up to its position at most
         least_below, most_below = pairs.before[pairs.slot_of(np.array(low))], np.array(low) + 1
-        for i in range(n_bins):
+        for i in range(n_bins if medians else 0):
             first, final = least_below[i] + least_below[i + 1] - 1, most_below[i] + most_below[i + 1] - 1
             spans.append((max(0, first // 2), min(last, -(-final // 2) + 1)))  # a quantile also reads the position after its own
         pairs.refine(spans)
@@ -423,8 +512,8 @@ def semivariogram(df: DataFrame, key: str, vector: str, y: str, n_bins: int = 10
             if 1 <= k <= n_bins and n >= least:
                 centre[k] = before + (n - 1) / 2
             before += n
-        medians = pairs.quantile(list(centre.values())) if centre else []
-        out = [(k, sums[k][0], float(m), float(sums[k][1] / sums[k][0] / 2)) for k, m in zip(centre, medians)]
+        middle = pairs.quantile(list(centre.values())) if centre and medians else [None] * len(centre)
+        out = [(k, sums[k][0], m if m is None else float(m), float(sums[k][1] / sums[k][0] / 2)) for k, m in zip(centre, middle)]
     return df.sparkSession.createDataFrame(out, "bin int, n long, median_distance double, semivariance double")
 
 

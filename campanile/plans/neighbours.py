@@ -81,4 +81,4 @@ def _(t):
 SELECT round(avg((semivariance > prev)::INT) FILTER (rn <= mid + 1 AND prev IS NOT NULL), 5) AS rising, round(stddev_pop(semivariance) FILTER (rn > mid) / (avg(semivariance) FILTER (rn > mid) + 1e-9), 5) AS flat,
 avg((semivariance > prev)::INT) FILTER (rn <= mid + 1 AND prev IS NOT NULL) >= 0.5 AND stddev_pop(semivariance) FILTER (rn > mid) / (avg(semivariance) FILTER (rn > mid) + 1e-9) < 0.25 AS has_sill FROM r""")
 def _(t):
-    return B.sill_verdict(B.semivariogram(t.embeddings, "vec_id", "embedding", "label")).withColumns(r6("rising", "flat", digits=5))
+    return B.sill_verdict(B.semivariogram(t.embeddings, "vec_id", "embedding", "label", medians=False)).withColumns(r6("rising", "flat", digits=5))

@@ -132,6 +132,60 @@ def test_semivariogram_by_tiles_equals_brute_force(cloud, blocks, rows):
         assert got[b] == pytest.approx(want[b])
 
 
+@pytest.mark.parametrize("kind", ["labels", "few copies", "any y", "far off", "one point"])
+@pytest.mark.parametrize("same", [True, False])
+def test_tiles_of_pairs_equal_brute_force(kind, same):
+    """Slots from products and values of the second pass are those of plain differences, with copies and near copies too."""
+    rng = np.random.default_rng(9)
+    x, z = rng.normal(0, 1, (700, 8)), rng.normal(0, 1, (1100, 8))
+    x[200:400], z[100:300] = x[0], x[0] + rng.normal(0, 1e-7, (200, 8))
+    if kind == "far off":
+        x, z = x + 1e6, z + 1e6
+    if kind == "one point":
+        x[:], z[:] = x[0], x[0]
+    z = x if same else z
+    y = lambda n: np.sort(rng.normal(0, 2, n) if kind == "any y" else rng.integers(0, 700 if kind == "few copies" else 3, n).astype(float))
+    yp = y(len(x))
+    yz = yp if same else y(len(z))
+    i, j = np.triu_indices(len(x), 1) if same else np.divmod(np.arange(len(x) * len(z)), len(z))
+    d = B._between(x, z, i, j)
+    width = max(2 * np.sqrt(((np.concatenate([x, z]) - x[0]) ** 2).sum(1)).max(), 1e-12) * (1 + 1e-9) / B.HISTOGRAM
+    slot, s2 = (d / width).astype(int), (yp[i] - yz[j]) ** 2
+    got = B._count_slots(x, yp, z, yz, same, x[0], width)
+    assert (got[0] == np.bincount(slot, minlength=len(got[0]))).all()
+    assert got[1] == pytest.approx(np.bincount(slot, weights=s2, minlength=len(got[1])))
+    wanted = np.zeros(B.HISTOGRAM + 2, dtype=bool)
+    wanted[np.unique(slot)[::7]] = True
+    told = B._slot_values(x, yp, z, yz, same, x[0], width, wanted)
+    values, n = np.unique(d[wanted[slot]], return_counts=True)
+    assert (told["value"].to_numpy() == values).all() and (told["n"].to_numpy() == n).all()
+    assert told["s2"].sum() == pytest.approx(s2[wanted[slot]].sum())
+
+
+def test_verdict_of_pairs_looks_at_edges_only_and_deals_tiles_out(spark, cloud, monkeypatch):
+    points, y, df = cloud
+    looked, parts = [], []
+    real, over = B.PairDistances.refine, B._over_pairs
+
+    def refine(self, spans):
+        real(self, spans)
+        looked.append(int(self.looked_at.sum()))
+
+    def spy(*args):
+        out = over(*args)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(B.PairDistances, "refine", refine)
+    monkeypatch.setattr(B, "_over_pairs", spy)
+    with_medians = B.sill_verdict(B.semivariogram(df, "id", "v", "y", 5, rows_per_block=25)).collect()
+    without = B.sill_verdict(B.semivariogram(df, "id", "v", "y", 5, rows_per_block=25, medians=False)).collect()
+    assert with_medians == without and looked[1] < looked[0]
+    blocks = -(-len(points) // 25)
+    # one part a tile, however few shuffle partitions there are
+    assert set(parts) == {blocks * (blocks + 1) // 2} and parts[0] > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_oversampling_reaches_targets_between_neighbours(cloud, blocks):
     _, _, df = cloud
     rows = df.withColumn("cls", (F.col("id") % 5 == 0).cast("int"))
